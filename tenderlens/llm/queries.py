@@ -6,7 +6,15 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_groups
+from .hilbert import sharded
+from .licenses import document_files, license_scan
+from .line_rules import line_rules
+from .mixing import mixed
+from .packing import packed
+from .pii import KINDS, find_pii
+from .quality_knn import quality
 from .simhash import near_groups
+from .toxicity import toxicity
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -33,3 +41,53 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 @query
 def op10_simhash(spark, sf_dir):
     return near_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_license_scan(spark, sf_dir):
+    scanned = license_scan(document_files(table(spark, sf_dir, "documents")))
+    return scanned.withColumnRenamed("file_id", "doc_id")
+
+
+@query
+def op2_quality(spark, sf_dir):
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_hilbert_shards(spark, sf_dir):
+    return sharded(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_source_mix(spark, sf_dir):
+    return mixed(table(spark, sf_dir, "documents")).drop("check")
+
+
+@query
+def op5_pii(spark, sf_dir):
+    found = find_pii(table(spark, sf_dir, "documents"))
+    number = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *number, "base_sha256", "spans")
+
+
+@query
+def op7_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_line_rules(spark, sf_dir):
+    return line_rules(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
+@query
+def op9_packing(spark, sf_dir):
+    return packed(table(spark, sf_dir, "documents"), tokenizer())
+
+
+def tokenizer() -> str:
+    """The place of the vocabulary file; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
