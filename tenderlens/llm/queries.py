@@ -64,10 +64,14 @@ def op4_source_mix(spark, sf_dir):
     return mixed(table(spark, sf_dir, "documents")).drop("check")
 
 
+def is_kind(kind):
+    return lambda k: k == kind
+
+
 @query
 def op5_pii(spark, sf_dir):
     found = find_pii(table(spark, sf_dir, "documents"))
-    number = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    number = [F.coalesce(F.size(F.filter(F.col("base.kind"), is_kind(k))), F.lit(0)).cast("bigint").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *number, "base_sha256", "spans")
 
 
