@@ -1,6 +1,6 @@
 """Operator 8: line-first cleaning, with Spark functions only.
 
-Every line with a word is judged alone: it must end like a sentence and not shout
+Every line with a word is judged alone: it must hold the end of a sentence and not shout
 (punctuation), not be a run of links or table cells (navigation), and not be a known notice
 (boilerplate).  Failed lines go; a document that keeps too small a part of its word
 characters is rejected, and so is one that fails the base rules.
@@ -21,7 +21,7 @@ SYMBOLS = r"[#*$%&|<>]"
 #: Notices that fail a line (fixed values).
 BOILERPLATE = r"(?i)lorem ipsum|cookie policy|accept (all )?cookies|privacy policy|terms of (use|service)|all rights reserved|enable javascript|click here|subscribe to our|sign up for our|skip to (main )?content|read more$"
 NAVIGATION = r"^[^|»›>]{0,60}([|»›>][^|»›>]{0,60}){3,}$"
-ENDING = r"[.!?:;…。！？][\"'”’»)\]]*[\x20\x09-\x0D]*$"
+ENDING = r"[.!?:;…。！？][\"'”’»)\]]*(?:[\x20\x09-\x0D]|$)"
 
 
 def words_of(text: Column) -> Column:

@@ -1,7 +1,8 @@
 """Operator 2: quality by nearest-neighbour voting among latent-semantic vectors.
 
 A text is counted as pairs of neighbouring character classes over the whole text (each letter,
-digits, capitals, each sign, white space, high bytes).  A bounded sample of labelled documents (the ``sample``
+digits, capitals, each sign, white space, high bytes), with two more terms for the shares of
+words equal to the word before and of lines equal to an earlier line.  A bounded sample of labelled documents (the ``sample``
 training rows of least hash) gives the inverse document frequencies and, by a truncated SVD of
 its TF-IDF matrix, a latent space of ``dims`` dimensions.  The labelled vectors (sample x dims
 floats, 1 MB at the defaults) go to every task, which takes exact cosine products of its
@@ -12,6 +13,7 @@ similarity.  Null and empty texts have no terms and get the share of label 1 in
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,7 @@ from .toxicity import training_rows
 ship(__name__)
 
 SAMPLE, DIMS, NEIGHBOURS, BLOCK = 4096, 48, 15, 512
+TERMS, SHARE = 4096 + 2, 30.0
 
 
 def classes() -> np.ndarray:
@@ -49,10 +52,15 @@ def classes() -> np.ndarray:
 
 
 def counts(text: bytes, table: np.ndarray) -> np.ndarray:
-    """Damped counts of the pairs of classes, 4096 of them."""
+    """Damped counts of the pairs of classes, 4096 of them, and the two shares of repeats."""
     code = table[np.frombuffer(text, np.uint8)]
-    pairs = np.bincount(code[:-1] << 6 | code[1:], minlength=4096) if len(code) > 1 else np.zeros(4096, np.int64)
-    return np.log1p(pairs).astype(np.float32)
+    out = np.zeros(TERMS, np.float32)
+    if len(code) > 1:
+        out[:4096] = np.log1p(np.bincount(code[:-1] << 6 | code[1:], minlength=4096))
+        words, lines = text.split(), text.split(b"\n")
+        out[4096] = SHARE * sum(map(eq, words, words[1:])) / max(1, len(words))
+        out[4097] = SHARE * (1 - len(set(lines)) / len(lines))
+    return out
 
 
 def sparse_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +116,7 @@ def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshol
     kind = rows.schema["row"].dataType.simpleString()
     found = rows.mapInArrow(sparse_counts, f"row {kind}, label int, at binary, value binary").collect()  # at most ``sample`` rows
     found.sort(key=lambda r: r["row"])
-    x, y = np.zeros((len(found), 4096), np.float32), np.array([float(r["label"]) for r in found], np.float32)
+    x, y = np.zeros((len(found), TERMS), np.float32), np.array([float(r["label"]) for r in found], np.float32)
     for i, r in enumerate(found):
         x[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["value"], np.float32)
     base = float(y.mean()) if len(y) else 0.0
@@ -116,7 +124,7 @@ def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshol
         idf, basis = space(x, min(dims, len(found)))
         known = unit(unit(x * idf) @ basis)
     else:
-        idf, basis, known, y = np.ones(4096, np.float32), np.zeros((4096, 1), np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32)
+        idf, basis, known, y = np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32)
     own = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", "text").mapInArrow(score_batches(idf, basis, known, y, neighbours, base), f"doc_id {own}, score double")
     return out.select("doc_id", (F.crc32(id_text()) % folds == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -80,7 +80,7 @@ def fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, swap_weight: float, ri
     return w
 
 
-def model(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, sample: int = SAMPLE, least: int = LEAST, z_least: float = Z_LEAST, swap_weight: float = 10.0, ridge: float = 0.05) -> tuple[dict[str, float], float]:
+def model(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, sample: int = SAMPLE, least: int = LEAST, z_least: float = Z_LEAST, swap_weight: float = 10.0, ridge: float = 0.005) -> tuple[dict[str, float], float]:
     """(weight of each word, intercept)."""
     rows = training_rows(docs, labels, label, folds, held, sample)
     kind = rows.schema["row"].dataType.simpleString()
