@@ -1,10 +1,13 @@
 """Operator 7: a toxicity classifier regularised by counterfactuals.
 
 A bounded sample of labelled documents (the ``sample`` training rows of least hash) is cut in
-words on the executors; words that at least ``least`` sampled documents hold and that tell the
-labels apart (a two-proportion z of ``z_least``), and all identity terms, are the vocabulary.
+words on the executors.  A document's features are its words, and for each beginning of three
+or five letters whether at least one word, 0.5 % or 2 % of its words begin so (inflected and
+compound insults share a beginning).  Features that at least ``least`` sampled documents hold
+and that tell the labels apart (a two-proportion z of ``z_least``), and all identity terms, are
+the vocabulary.
 Every sampled document that names a group also yields its counterfactual, with each identity
-term swapped for another of its family.  A logistic regression on word presence is fitted with
+term swapped for another of its family.  A logistic regression on feature presence is fitted with
 an L2 penalty and ``swap_weight`` times the squared change of the linear score under the swap,
 so that naming a group cannot by itself move the score.  The documents are scored in batches,
 from the distinct words of each batch, with weights of bounded size.
@@ -45,15 +48,32 @@ def word_lists(texts: pa.Array) -> pa.ListArray:
     return pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), SPLIT)
 
 
-def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, label, text) to one row (row, label, word) for each distinct word of a text."""
+def features(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(names, row, code): parts of the features of each text, as distinct pairs of row and code in names."""
+    lists = word_lists(texts)
+    words = lists.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    code = words.indices.to_numpy().astype(np.int64)
+    real = pc.not_equal(words.dictionary, "").to_numpy(zero_copy_only=False)[code] if len(code) else np.zeros(0, bool)
+    row, code = row[real], code[real]
+    total = np.bincount(row, minlength=len(texts))
+    pairs = np.unique(row << 32 | code)
+    yield words.dictionary, pairs >> 32, pairs & 0xFFFFFFFF
+    for letters in (3, 5):
+        starts = pc.utf8_slice_codeunits(words.dictionary, 0, letters).dictionary_encode()
+        own = starts.indices.to_numpy().astype(np.int64)[code] if len(code) else code
+        pairs, number = np.unique(row << 32 | own, return_counts=True)
+        share = number / np.maximum(total[pairs >> 32], 1)
+        for mark, level in (("", 0.0), ("%", 0.005), ("%%", 0.02)):
+            kept = pairs[share >= level]
+            yield pc.binary_join_element_wise(f"{letters}{mark}", starts.dictionary, "^"), kept >> 32, kept & 0xFFFFFFFF
+
+
+def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, label, text) to one row (row, label, word) for each feature of a text."""
     for batch in batches:
-        lists = word_lists(batch.column("text"))
-        words = lists.flatten().dictionary_encode()
-        doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-        pairs = np.unique(doc.astype(np.int64) << 32 | words.indices.to_numpy().astype(np.int64))
-        doc, code = pairs >> 32, pairs & 0xFFFFFFFF
-        yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(doc)), batch.column("label").take(pa.array(doc)), words.dictionary.take(pa.array(code))], ["row", "label", "word"])
+        for names, row, code in features(batch.column("text")):
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(row)), batch.column("label").take(pa.array(row)), names.take(pa.array(code))], ["row", "label", "word"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, sample: int) -> DataFrame:
@@ -84,18 +104,19 @@ def model(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     """(weight of each word, intercept)."""
     rows = training_rows(docs, labels, label, folds, held, sample)
     kind = rows.schema["row"].dataType.simpleString()
-    words = durable(rows.mapInArrow(distinct_words, f"row {kind}, label int, word string"))
+    words = durable(rows.mapInArrow(feature_rows, f"row {kind}, label int, word string"))
     totals = words.groupBy("label").agg(F.count_distinct("row").alias("n")).collect()
     n = {r["label"]: r["n"] for r in totals}
     if len(n) < 2:
         rate = 1.0 if 1 in n else 0.0
         return {}, math.inf if rate else -math.inf
     n1, n0 = n[1], n[0]
-    counted = words.filter("word != ''").groupBy("word").agg(F.sum(F.col("label").cast("bigint")).alias("a"), F.sum(1 - F.col("label")).alias("b"))
+    counted = words.groupBy("word").agg(F.sum(F.col("label").cast("bigint")).alias("a"), F.sum(1 - F.col("label")).alias("b"))
     rate = (F.col("a") + F.col("b")) / F.lit(n0 + n1)
     z = (F.col("a") / F.lit(n1) - F.col("b") / F.lit(n0)) / F.sqrt(rate * (1 - rate) * F.lit(1 / n0 + 1 / n1) + 1e-12)
     told = counted.filter((F.col("a") + F.col("b") >= least) & (F.abs(z) >= z_least)).orderBy(F.abs(z).desc(), "word").limit(VOCABULARY // 8)
-    vocabulary = sorted({r["word"] for r in told.select("word").collect()} | set(SWAP))  # bounded by VOCABULARY / 8 and the terms
+    group_starts = {f"{n}{mark}^{w[:n]}" for w in SWAP for n in (3, 5) for mark in ("", "%", "%%")}  # a swap must change nothing but its terms
+    vocabulary = sorted({r["word"] for r in told.select("word").collect()} - group_starts | set(SWAP))  # bounded by VOCABULARY / 8 and the terms
     index = {w: i for i, w in enumerate(vocabulary)}
     spark = docs.sparkSession
     known = F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "word string"))
@@ -124,14 +145,10 @@ def scores(weights: dict[str, float], intercept: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = word_lists(batch.column("text"))
-            words = lists.flatten().dictionary_encode()
-            at = pc.fill_null(pc.index_in(words.dictionary, known), len(known)).to_numpy().astype(np.int64)
-            code = at[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            hit = code < len(known)
-            pairs = np.unique(doc[hit] << 32 | code[hit])
-            linear = intercept + np.bincount(pairs >> 32, values[pairs & 0xFFFFFFFF], batch.num_rows)
+            linear = np.full(batch.num_rows, intercept)
+            for names, row, code in features(batch.column("text")):
+                weight = values[pc.fill_null(pc.index_in(names, known), len(known)).to_numpy()] if len(names) else values
+                linear += np.bincount(row, weight[code], batch.num_rows)
             with np.errstate(over="ignore"):
                 score = 1 / (1 + np.exp(-linear))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
