@@ -12,7 +12,8 @@ def query(sql: str | None = None):
     """Registers a function of ``Tables`` under its name; ``sql`` goes after the views' common table expressions."""
 
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        QUERIES[f.__name__] = run = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        run.mod = f.__module__
         if sql:
             ORACLE[f.__name__] = f"{SQL.rstrip()},{sql.strip().removeprefix('WITH')}" if sql.strip().startswith("WITH") else f"{SQL}{sql.strip()}"
         return f

@@ -268,7 +268,7 @@ def set_similarity(t):
 
 @query("""
 WITH c AS (SELECT bid_id, tender_id, vendor_name, total_amount, is_disqualified, msme, row_number() OVER (PARTITION BY tender_id ORDER BY is_disqualified, total_amount, bid_id) AS r FROM bid_fact)
-SELECT tender_id, CASE WHEN is_disqualified THEN 'DQ' ELSE r::VARCHAR END AS rank, bid_id, vendor_name, round(total_amount, 6) AS total_amount, CASE WHEN msme THEN 'Yes' ELSE 'No' END AS msme, CASE WHEN is_disqualified THEN 'Yes' ELSE 'No' END AS disqualified FROM c""")
+SELECT tender_id, CASE WHEN is_disqualified THEN 'DQ' ELSE r::VARCHAR END AS rank, bid_id, vendor_name, total_amount, CASE WHEN msme THEN 'Yes' ELSE 'No' END AS msme, CASE WHEN is_disqualified THEN 'Yes' ELSE 'No' END AS disqualified FROM c""")
 def export_comparative_csv(t):
     """The comparative sheet, written as CSV and read back."""
     from ..sources.files import comparative_sheet, csv_round_trip

@@ -37,7 +37,7 @@ def file_listing(spark: SparkSession, path: str) -> DataFrame:
 def comparative_sheet(fact: DataFrame) -> DataFrame:
     yes = lambda c: F.when(F.col(c), "Yes").otherwise("No")
     place = F.row_number().over(W.partitionBy("tender_id").orderBy("is_disqualified", "total_amount", "bid_id"))
-    return fact.select("tender_id", F.when(F.col("is_disqualified"), "DQ").otherwise(place.cast("string")).alias("rank"), "bid_id", "vendor_name", F.round("total_amount", 6).alias("total_amount"), yes("msme").alias("msme"), yes("is_disqualified").alias("disqualified"))
+    return fact.select("tender_id", F.when(F.col("is_disqualified"), "DQ").otherwise(place.cast("string")).alias("rank"), "bid_id", "vendor_name", "total_amount", yes("msme").alias("msme"), yes("is_disqualified").alias("disqualified"))
 
 
 def csv_round_trip(df: DataFrame) -> DataFrame:
