@@ -31,7 +31,7 @@ from .common import durable, partitions, ship
 
 ship(__name__)
 
-SHINGLE, RADIUS, HOT = 3, 2, 20_000
+SHINGLE, RADIUS, HOT, HEAVY = 3, 2, 20_000, 4096
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Sizes of index nodes, from the top.
 FANS = (4096, 512, 64, 8, 1)
@@ -220,13 +220,18 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 def near_groups(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """One row per input row: doc_id, fingerprint, component_id."""
     rows = durable(fingerprints(docs, size))
-    distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = durable(components(similar_edges(distinct, radius, hot)))
     named = distinct.join(roots, distinct["fp"] == roots["node"])
     whole = named.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = named.join(whole, "root").select("fp", "component_id")
-    per_code = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(per_code, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    per_code = durable(distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")))
+    # fingerprints of more than rows / HEAVY rows are fewer than HEAVY: they are broadcast, so that no group of copies meets in a task
+    least = (distinct.agg(F.sum("n").alias("rows")).first()["rows"] or 0) / HEAVY
+    heavy = F.broadcast(per_code.filter(F.col("n") > least).select("fp", "component_id"))
+    hot = rows.join(heavy, "fp")
+    cold = rows.join(heavy, "fp", "left_anti").join(per_code.filter(F.col("n") <= least).select("fp", "component_id"), "fp")
+    return hot.unionByName(cold).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
