@@ -1,6 +1,6 @@
 """All registered queries; importing the modules registers them."""
 
-from . import aggregates, relational, sequences, text  # noqa: F401
+from . import aggregates, relational, rules, sequences, text  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
