@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, id_text, ship
+from .common import durable, id_text, ship, slices
 
 ship(__name__)
 
@@ -71,7 +71,7 @@ def features(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray
 
 def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, label, text) to one row (row, label, word) for each feature of a text."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text")):
         for names, row, code in features(batch.column("text")):
             yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(row)), batch.column("label").take(pa.array(row)), names.take(pa.array(code))], ["row", "label", "word"])
 
@@ -144,7 +144,7 @@ def scores(weights: dict[str, float], intercept: float):
     values = np.array([*weights.values(), 0.0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             linear = np.full(batch.num_rows, intercept)
             for names, row, code in features(batch.column("text")):
                 weight = values[pc.fill_null(pc.index_in(names, known), len(known)).to_numpy()] if len(names) else values
@@ -170,7 +170,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **set
     score = scores(weights, intercept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             own = next(score(iter([batch])))
             yield batch.filter(pc.less(own.column("score"), threshold))
 
