@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,24 +30,24 @@ from .common import durable, ranked, ship
 ship(__name__)
 
 WIDTH, END = 2048, 1
-#: Pre-token pattern of the vocabulary file (fixed value).
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Pre-token pattern of the vocabulary file, for lower-cased plain words, and the end of a word's row (fixed value).
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|\n|[^a-z0-9ß-öø-ſ\n]+")
+#: What plain words do not hold: signs beyond ASCII and Latin letters, a capital whose lower case is two signs, and the start of special tokens.
+ODD = re.compile(r"[^\n\x21-\x7EÀ-įı-ſ]|<\|")
 
 
 class Words:
     """Ids of distinct words under a word-end BPE vocabulary file.
 
     Words of plain Latin letters, digits and ASCII signs go through a byte-pair encoder built
-    from the same vocabulary, with byte 0 standing for the end of a word; all other words go
+    from the same vocabulary, with byte 0 standing for the end of a piece; all other words go
     through the vocabulary's own tokenizer.
     """
 
     def __init__(self, path: str):
-        import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.own = Tokenizer.from_file(path)
+        self.path, self.own = path, None
         vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         chars = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
@@ -55,34 +56,32 @@ class Words:
             body, end = (token[:-4], b"\0") if token.endswith("</w>") else (token, b"")
             if not token.startswith("<|") and (code := bytes(chars[c] for c in body) + end) != b"\0":
                 ranks[code] = i
-        spare = max(vocab.values()) + 1
-        ranks[b"\0"] = spare
-        self.line = ranks[b"\n"]
-        self.fast = tiktoken.Encoding("words", pat_str=r"[^\x00\n]+\x00|\n", mergeable_ranks=ranks, special_tokens={})
-        self.pieces = regex.compile(PIECES)
-        self.plain = regex.compile(r"[\x21-\x7EÀ-ſ]+")
-
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words one after another, ids per word)."""
-        whole = self.plain.fullmatch
-        odd = [i for i, w in enumerate(words) if not whole(w) or "<|" in w]
-        for i in odd:
-            words[i] = ""
-        text = self.pieces.sub(r"\g<0>" + "\0", "\n".join(words).lower() + "\n") if words else ""
-        ids = np.asarray(self.fast.encode_to_numpy(text), dtype=np.uint32) if text else np.zeros(0, np.uint32)
+        ranks[b"\0"] = max(vocab.values()) + 1
+        self.line = ranks[b"\n\0"]
+        self.fast = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+
+    def plain(self, lines: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, ids per word) of plain words, each ended by a line feed."""
+        ids = np.asarray(self.fast.encode_to_numpy("\0".join(PIECES.findall(lines.lower())) + "\0"), dtype=np.uint32)
         stops = np.flatnonzero(ids == self.line)
-        counts = np.diff(np.concatenate(([-1], stops))) - 1
-        return np.delete(ids, stops), counts
-
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        whole = self.plain.fullmatch
-        odd = [i for i, w in enumerate(words) if w and (not whole(w) or "<|" in w)]
-        kept = list(words)
-        others = [kept[i] for i in odd]
-        ids, counts = self.encode(kept)
-        if not odd:
-            return ids, counts
-        found = [np.asarray(e.ids, np.uint32) for e in self.own.encode_batch(others, add_special_tokens=False)]
+        return np.delete(ids, stops), np.diff(np.concatenate(([-1], stops))) - 1
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        lines = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "\n")[0].as_py() + "\n"
+        if not ODD.search(lines):
+            return self.plain(lines)
+        if self.own is None:
+            from tokenizers import Tokenizer
+
+            self.own = Tokenizer.from_file(self.path)
+        rows = lines.split("\n")[:-1]
+        odd = [i for i, w in enumerate(rows) if ODD.search(w)]
+        found = [np.asarray(e.ids, np.uint32) for e in self.own.encode_batch([rows[i] for i in odd], add_special_tokens=False)]
+        for i in odd:
+            rows[i] = ""
+        ids, counts = self.plain("\n".join(rows) + "\n")
         starts = np.cumsum(counts) - counts
         parts, at = [], 0
         for i, own in zip(odd, found, strict=True):
@@ -101,7 +100,7 @@ def cut_pieces(path: str, width: int):
                 continue
             lists = pc.ascii_split_whitespace(pc.fill_null(batch.column("text"), ""))
             coded = lists.flatten().dictionary_encode()
-            flat, count = words(coded.dictionary.to_pylist())
+            flat, count = words(coded.dictionary)
             start = np.cumsum(count) - count
             codes, offsets = coded.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
             row, begin, size, crc, total = [], [], [], [], []
