@@ -1,0 +1,351 @@
+"""The ten operators against brute force and on the odd inputs that each must take."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tenderlens.llm import exact_dedup, hilbert, licenses, line_rules, mixing, packing, pii, quality_knn, simhash, toxicity
+from tenderlens.llm.queries import tokenizer
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, digest string, rank int, size string"
+
+
+def lower(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+
+
+def some_texts(n=120, seed=5):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(n):
+        if i % 7 == 3:
+            texts.append(texts[rng.randrange(len(texts))])
+        elif i % 7 == 5:
+            w = texts[rng.randrange(len(texts))].split(" ")
+            w[rng.randrange(len(w))] = "changed"
+            texts.append(" ".join(w))
+        else:
+            texts.append(" ".join(rng.choices(vocabulary, k=rng.choice([5, 40, 400]))))
+    return texts
+
+
+def odd_rows():
+    """Nulls in every column, empty and very long texts, ties, repeated rows; three columns clash with operators' names."""
+    long_text = " ".join(f"word{i % 977}" for i in range(30_000)) + "."
+    rows = [(1, None), (2, ""), (3, "  \n "), (None, "No id here."), (None, None), (4, long_text), (5, long_text.upper()), (6, "Same text."), (7, "SAME text."), (7, "SAME text."), (8, "x"), (9, "é" * 50)]
+    return [(i, t, None if k % 3 else "en", None if k % 4 == 0 else f"s{k % 3}", None, None if k % 2 else "d", None, "z") for k, (i, t) in enumerate(rows)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def mixed_docs(spark):
+    rows = [(i, t, "en", ["a", "b", "c", None][i % 4], len(t), None, None, None) for i, t in enumerate(some_texts())]
+    return spark.createDataFrame(rows, SCHEMA).repartition(4), rows
+
+
+def test_exact_groups(mixed_docs):
+    docs, rows = mixed_docs
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], bytes(r["digest"]).hex()) for r in exact_dedup.exact_groups(docs, counters=4).collect()}
+    groups = collections.defaultdict(list)
+    for i, t, *_ in rows:
+        groups[lower(t)].append(i)
+    want = {i: (max(g), len(g), i == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g}
+    assert got == want
+
+
+def test_exact_odd(odd, none):
+    got = exact_dedup.exact_groups(odd).collect()
+    assert len(got) == 12 and sum(r["kept"] for r in got) == 7
+    kept = exact_dedup.drop_exact_copies(odd)
+    assert kept.columns == odd.columns
+    assert kept.count() == 7
+    assert exact_dedup.exact_groups(none).count() == 0 and exact_dedup.drop_exact_copies(none).count() == 0
+
+
+def brute_fingerprint(t):
+    w = WORD.findall(lower(t))
+    s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(mixed_docs):
+    docs, rows = mixed_docs
+    fp = [brute_fingerprint(t) for _, t, *_ in rows]
+    label = list(range(len(fp)))
+    changed = True
+    while changed:
+        new = [min(label[j] for j in range(len(fp)) if (fp[i] ^ fp[j]).bit_count() <= 2) for i in range(len(fp))]
+        changed, label = new != label, new
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_groups(docs, hot=3).collect()}
+    assert got == {i: (f"{fp[i]:016x}", label[i]) for i in range(len(fp))}
+
+
+def test_gray_index_finds_all_links():
+    rng = np.random.default_rng(2)
+    centres = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    fps = np.unique(np.concatenate([centres ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) for _ in range(12)] + [centres]))
+    group = rng.integers(0, 3, len(fps))
+    order = np.lexsort((simhash.gray_rank(fps), group))
+    fps, group = fps[order], group[order]
+    a, b = simhash.links(fps, group, 2, step=64)
+    near = (np.bitwise_count(fps[:, None] ^ fps[None]) <= 2) & (group[:, None] == group[None])
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j}
+
+
+def test_simhash_odd(odd, none):
+    got = simhash.near_groups(odd).collect()
+    assert len(got) == 12
+    assert {r["fingerprint"] for r in got if r["doc_id"] in (1, 2, 3)} == {"0" * 16} and {r["component_id"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
+    assert simhash.near_groups(none).count() == 0 and simhash.keep_one(odd).columns == odd.columns
+
+
+def test_hilbert_curve_visits_neighbours():
+    bits, dims = 3, 3
+    cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
+    index = hilbert.curve_index(cells, bits)
+    assert sorted(index.tolist()) == list(range(1 << (bits * dims)))
+    path = cells[np.argsort(index)]
+    assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_shards(mixed_docs, odd, none):
+    for docs, n in ((mixed_docs[0], 120), (odd, 12)):
+        rows = hilbert.sharded(docs).collect()
+        slots = collections.defaultdict(list)
+        for r in rows:
+            slots[r["shard"]].append(r["slot"])
+        assert len(rows) == n and all(sorted(s) == list(range(len(s))) for s in slots.values())
+        assert set(slots) <= set(range(16)) and max(map(len, slots.values())) - (min(map(len, slots.values())) if len(slots) == 16 else 0) <= 1
+    by_id = {r["doc_id"]: r for r in hilbert.sharded(mixed_docs[0]).collect()}
+    assert all(by_id[i]["size"] == len(t.encode()) + 1 and by_id[i]["text_crc32"] == zlib.crc32(t.encode()) for i, t, *_ in mixed_docs[1])
+    assert hilbert.sharded(none).count() == 0
+
+
+def test_subset_sum_fits_exactly():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        lengths = np.unique(rng.integers(1, 900, 40))
+        counts = rng.integers(1, 30, len(lengths))
+        budget = int(rng.integers(1, (lengths * counts).sum()))
+        take = mixing.fit(lengths, counts, budget, grid=int(rng.choice([5000, 65_536])))
+        assert ((take >= 0) & (take <= counts)).all() and 0 <= budget - (take * lengths).sum() <= max(2, lengths.min())
+
+
+def water_filled(sizes):
+    """Targets by resharing what capped sources cannot take."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    capped: dict = {}
+    while True:
+        rest, open_ = sum(sizes.values()) - sum(capped.values()), [s for s in names if s not in capped]
+        goal = {s: rest * w[s] / sum(w[x] for x in open_) for s in open_}
+        over = [s for s in open_ if goal[s] > 3 * sizes[s]]
+        if not over:
+            return capped | goal
+        capped |= {s: 3 * sizes[s] for s in over}
+
+
+def test_mix(spark, mixed_docs):
+    docs, rows = mixed_docs
+    rows = rows + [(1000 + i, " ".join(["q"] * 9000), None, "big", 0, None, None, None) for i in range(3)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r[3]] += len(WORD.findall(r[1]))
+    want, source = water_filled(sizes), {r[0]: r[3] for r in rows}
+    got = mixing.mixed(docs).collect()
+    taken = collections.Counter()
+    for r in got:
+        s = source[r["doc_id"]]
+        assert r["source_size"] == sizes[s] and abs(r["target"] - want[s]) < 1e-6 and r["taken"] <= 3 * r["size"] and (r["size"] == 0 or r["taken"] % r["size"] == 0)
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 9000 if s == "big" else abs(taken[s] - want[s]) <= 5 for s in sizes)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mixed(docs.repartition(5)).collect()))
+
+
+def test_mix_odd(odd, none):
+    got = mixing.mixed(odd)
+    assert got.count() == 12 and got.filter("size = 0 and taken != 0").count() == 0
+    assert mixing.take_mix(odd).columns == odd.columns and mixing.mixed(none).count() == 0
+    assert mixing.take_mix(odd).select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] == got.select(F.sum("taken")).first()[0]
+
+
+def brute_spans(t):
+    out = []
+    for kind, p in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(p, t):
+            d = re.sub(r"[^0-9]", "", m[0])
+            luhn = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+            if kind == "email" or (kind == "ip" and all(int(x) <= 255 for x in m[0].split("."))) or (kind == "card" and 12 <= len(d) <= 19 and luhn) or (kind == "phone" and 9 <= len(d) <= 15):
+                out.append((kind, m.start(), m.end()))
+    return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+def test_pii_base_spans():
+    rng = random.Random(1)
+    parts = ["a.b@c.org", "x@@y.z", "@", "1.2.3.4", "300.1.1.1", "1.2.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 123-4567", "+1", "é", "９", " ", "\n", "a%b@c-d.e.f.", "12", "at", "dot", "..", "+", "007.1.01.255"]
+    for _ in range(3000):
+        t = "".join(rng.choices(parts, k=rng.randrange(12)))
+        assert pii.spans(t)[0] == brute_spans(t), t
+
+
+@pytest.mark.parametrize("text, kind, part", [
+    ("write to bob [at] foo (dot) com now", "email", "bob [at] foo (dot) com"), ("jane at x dot org", "email", "jane at x dot org"), ("mail а@b.cοm", "email", "а@b.cοm"),
+    ("ring plus four four two zero seven nine four six zero nine five eight ok", "phone", "plus four four two zero seven nine four six zero nine five eight"),
+    ("é ip one nine two dot one six eight dot zero dot one", "ip", "one nine two dot one six eight dot zero dot one"),
+])
+def test_pii_disguises(text, kind, part):
+    base, found = pii.spans(text)
+    assert base == [] and [(k, text[a:b]) for k, a, b in found] == [(kind, part)]
+
+
+def test_pii_odd(odd, none):
+    assert pii.find_pii(odd).count() == 12 and pii.find_pii(none).count() == 0
+
+
+def test_toxicity(spark):
+    rng = random.Random(9)
+    calm = [f"calm{i}" for i in range(200)]
+    rows, labels = [], []
+    for i in range(600):
+        words = rng.choices(calm, k=40)
+        toxic = i % 3 == 0
+        if toxic:
+            words[5:5] = rng.choices(["idiot", "scum"], k=3)
+        if rng.random() < (0.6 if toxic else 0.1):  # groups are named more often in toxic rows: a biased sample
+            words.append("muslim")
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    rows += [(1000, " ".join(calm[:30] + ["muslim", "women"])), (1001, ""), (1002, None), (None, "you idiot scum idiot")]
+    docs, labelled = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labelled).collect()}
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i in range(600))
+    assert all(got[i]["predicted"] == (i % 3 == 0) for i in range(600) if got[i]["held_out"])
+    assert got[1000]["predicted"] == 0 and got[None]["predicted"] == 1 and got[1001]["score"] == got[1002]["score"]
+    free, _ = toxicity.model(docs, labelled, swap_weight=0.0)
+    held, _ = toxicity.model(docs, labelled, swap_weight=1000.0)
+    gap = lambda w: abs(w.get("muslim", 0) - w.get("christian", 0))
+    assert gap(held) < 0.2 * gap(free) and held["idiot"] > 1
+
+
+def test_toxicity_odd(spark, odd, none):
+    labels = spark.createDataFrame([(2, 1, 0), (4, 1, 1), (6, 0, None), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    assert toxicity.toxicity(odd, labels).count() == 12 and toxicity.toxicity(none, labels).count() == 0
+    assert toxicity.drop_toxic(odd, labels).columns == odd.columns
+    scores = [r["score"] for r in toxicity.toxicity(odd, labels.limit(0)).collect()]
+    assert all(0 <= s <= 1 for s in scores)
+
+
+def test_quality(spark):
+    rng = random.Random(2)
+    words = ["the", "river", "house", "green", "walks", "slowly", "under", "morning"]
+    good = lambda: " ".join(rng.choices(words, k=60)).capitalize() + "."
+    junk = [lambda: " ".join(rng.choices(words, k=1)) * 1 + " buy" * 80, lambda: " ".join(w + "###" for w in rng.choices(words, k=60)), lambda: " | ".join(rng.choices(words, k=60))]
+    rows = [(i, good() if i % 4 else junk[i // 4 % 3]()) for i in range(400)] + [(1000, ""), (1001, None)]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(400)], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality_knn.quality(spark.createDataFrame(rows, "doc_id bigint, text string"), labels).collect()}
+    assert all(got[i]["predicted"] == int(i % 4 > 0) for i in range(400) if got[i]["held_out"])
+    assert 0 <= got[1000]["score"] <= 1 and got[1000]["score"] == got[1001]["score"]
+
+
+def test_quality_odd(spark, odd, none):
+    labels = spark.createDataFrame([(2, 1, 0), (4, 1, 1), (6, 0, None), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    for some in (labels, labels.limit(0)):
+        assert all(0 <= r["score"] <= 1 for r in quality_knn.quality(odd, some).collect())
+    assert quality_knn.quality(none, labels).count() == 0
+
+
+def brute_rules(t):
+    w = WORD.findall(t or "")
+    c = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    covered = {j for i in range(len(w) - 4) if c[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+    lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_line_rules(spark, odd, none):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["a", "b", "c", "dé", "#x|", "\n", "\t"], k=rng.randrange(60))) for _ in range(200)] + [None, ""]
+    got = {r["doc_id"]: r for r in line_rules.line_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for i, t in enumerate(texts):
+        n, chars, symbols, dup, rep = brute_rules(t)
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, dup, rep)
+        assert r["base_failed"] == (n < 10 or 100 * rep > 20 * n) and not (r["base_failed"] and r["kept"])
+    assert line_rules.line_rules(odd).count() == 12 and line_rules.line_rules(none).count() == 0
+
+
+def test_line_first_verdicts(spark):
+    good = "A clean paragraph about rivers and houses.\nIt goes on for a second line, with more words in it.\nHome | About | Contact | Login | Help"
+    bad = "Home | About | Contact | Login | Help | Search\nnews | sport | weather | travel | money | arts | culture\nA line."
+    got = {r["doc_id"]: r for r in line_rules.line_rules(spark.createDataFrame([(1, good), (2, bad)], "doc_id bigint, text string")).collect()}
+    assert got[1]["kept"] and "Login" not in got[1]["clean_text"] and not got[2]["kept"]
+
+
+def test_packing(spark, odd, none):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer())
+    texts = [*some_texts(60), "it's DON'T 12345 <|endoftext|>x naïve ÀÉÎ İstanbul ΣΑΣ 日本語 \x00 a\x00b ünï 😀😀 é --..!! ŉ 'S x'Re\x1cq \x85z × ÷ ª º", "word " * 5000, "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    out = packing.packed(rows, tokenizer()).collect()
+    pieces = collections.defaultdict(list)
+    for r in out:
+        pieces[r["doc_id"]].append(r)
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        at = 0
+        for r in sorted(pieces[i], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(np.array(ids[at : at + r["length"]], "<u4").tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    sequences = collections.defaultdict(list)
+    for r in out:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for s in sequences.values():
+        s.sort()
+        assert s[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(s, s[1:], strict=False)) and s[-1][0] + s[-1][1] <= 2048
+    assert packing.packed(odd, tokenizer()).select("doc_id").count() >= 12 and packing.packed(none, tokenizer()).count() == 0
+
+
+def test_shortest_pack_first():
+    patterns = packing.shortest_first({5: 3, 3: 4, 2: 1}, 8)
+    assert sum(n for _, n in patterns) == 4 and all(sum(p) <= 8 for p, _ in patterns)
+    counts = collections.Counter()
+    for p, n in patterns:
+        for x in p:
+            counts[x] += n
+    assert counts == {5: 3, 3: 4, 2: 1}
+
+
+def test_licenses(spark):
+    files = [
+        (1, "a/LICENSE", "Released under the MIT License.", True), (2, "a/b/code.py", "x = 1", False), (3, "a/b/c/code.py", "# Licensed under the Apache License, Version 2.0.\nx = 2", False),
+        (4, "z/code.py", None, False), (5, None, "y", False), (6, "a/b/LICENSE", "This work is licensed under the GNU General Public License, version 3.", True), (7, "a/b/c/d/e.py", "", False), (8, "a/top.py", "the license of this is unknown to everybody here and nobody knows", False),
+    ]
+    got = {r["file_id"]: r for r in licenses.license_scan(spark.createDataFrame(files, "file_id bigint, path string, text string, is_license boolean")).collect()}
+    assert {i: (r["license"], r["origin"]) for i, r in got.items()} == {1: ("MIT", "own"), 2: ("GPL-3.0", "inherited"), 3: ("Apache-2.0", "own"), 4: (None, None), 5: (None, None), 6: ("GPL-3.0", "own"), 7: ("GPL-3.0", "inherited"), 8: ("MIT", "inherited")}
+    assert (got[7]["inherited_from"], got[7]["distance"]) == ("a/b", 2)
+
+
+def test_licenses_odd(odd, none):
+    assert licenses.license_scan(licenses.document_files(odd)).count() == 12 and licenses.license_scan(licenses.document_files(none)).count() == 0
