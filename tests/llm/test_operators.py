@@ -349,3 +349,19 @@ def test_licenses(spark):
 
 def test_licenses_odd(odd, none):
     assert licenses.license_scan(licenses.document_files(odd)).count() == 12 and licenses.license_scan(licenses.document_files(none)).count() == 0
+
+
+def test_wide_fingerprints_link_near_copies(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    texts = [" ".join(word() for _ in range(300)) for _ in range(30)]
+    near = []
+    for t in texts[:15]:
+        w = t.split(" ")
+        for _ in range(4):  # five-word Jaccard of about 0.87
+            w[rng.randrange(300)] = word()
+        near.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts + near)), "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs, wide=True).collect()}
+    assert got == {i: i if i < 30 else i - 30 for i in range(45)}
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == list(range(30))
