@@ -39,7 +39,7 @@ from .common import durable, partitions, ship
 ship(__name__)
 
 SHINGLE, RADIUS, HOT, HEAVY = 3, 2, 20_000, 4096
-TABLES, KEY_BITS, WIDE_RADIUS = 48, 24, 38
+TABLES, KEY_BITS, WIDE_RADIUS = 64, 24, 38
 #: Odd multipliers of the three further hashes (fixed values of this module).
 MIXES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 LANES = ("fp", "f1", "f2", "f3")
