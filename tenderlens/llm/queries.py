@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import SPACES, table
 from .exact_dedup import exact_groups
 from .hilbert import sharded
-from .licenses import document_files, license_scan
-from .line_rules import line_rules
+from .licenses import ANCHORS, TEMPLATES, TERM, THRESHOLD, document_files, license_scan
+from .line_rules import BOILERPLATE, ENDING, NAVIGATION, SYMBOLS, line_rules
 from .mixing import mixed
 from .packing import packed
 from .pii import KINDS, find_pii
@@ -95,3 +95,32 @@ def tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
+
+
+_WS = r"[\x20\x09-\x0D]"
+ORACLE["op8_line_rules"] = rf"""
+WITH w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '{SPACES}'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] || ' ' || ws[i + 4] AS g FROM w, unnest(range(1, len(ws) - 3)) u(i) WHERE len(ws) >= 5),
+dup AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+rep AS (SELECT doc_id, sum(n)::BIGINT AS n FROM (SELECT doc_id, least(5, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 5)) AS n FROM dup) GROUP BY 1),
+m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '{SYMBOLS}'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+ len(regexp_replace(array_to_string(list_filter(ls, lambda l: regexp_matches(l, '{ENDING.replace("'", "''")}') AND NOT len(regexp_extract_all(l, '!{_WS}')) * 3 > len(regexp_extract_all(l, '{SPACES}')) + 1 AND NOT len(regexp_extract_all(l, '{SYMBOLS}')) * 10 > len(l) AND NOT regexp_matches(l, '{NAVIGATION}') AND NOT regexp_matches(l, '{BOILERPLATE}')), chr(10)), '{SPACES}', '', 'g'))::BIGINT AS kept_chars FROM w LEFT JOIN rep USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND kept_chars >= 0.5 * word_chars AS kept, kept_chars FROM m
+"""
+_ROWS = ", ".join("({}, '{}', '{}')".format(i, n, x.replace("'", "''")) for i, (n, x) in enumerate(TEMPLATES))
+ORACLE["op1_license_scan"] = rf"""
+WITH files AS (SELECT doc_id AS file_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || coalesce((doc_id // 1000)::VARCHAR, 'none') AS folder, coalesce(doc_id::VARCHAR, 'none') || '.txt' AS name, coalesce(text, '') AS t FROM documents),
+f AS (SELECT *, folder || '/' || name AS path, len(string_split_regex(trim(t), '\s+')) <= 40 AND regexp_matches(t, '{ANCHORS}') AS is_license FROM files),
+found AS (SELECT DISTINCT file_id, path, unnest(list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '{ANCHORS}')) || CASE WHEN is_license THEN [t] ELSE [] END) AS candidate FROM f),
+c AS (SELECT DISTINCT candidate FROM found), n AS (SELECT count(*) AS n FROM c), tpl(template, name, text) AS (VALUES {_ROWS}),
+ct AS (SELECT candidate, term, count(*) AS tf FROM (SELECT candidate, unnest(regexp_extract_all(lower(candidate), '{TERM}')) AS term FROM c) GROUP BY 1, 2), tt AS (SELECT template, term, count(*) AS tf FROM (SELECT template, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM tpl) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM ct GROUP BY 1), cw AS (SELECT candidate, term, tf * (ln((1 + n) / (1 + coalesce(df, 0))) + 1) AS w FROM ct LEFT JOIN df USING (term), n), tw AS (SELECT template, term, tf * (ln((1 + n) / (1 + coalesce(df, 0))) + 1) AS w FROM tt LEFT JOIN df USING (term), n),
+cs AS (SELECT cw.candidate, tw.template, sum(cw.w * tw.w) / (any_value(a.k) * any_value(b.k)) AS score FROM cw JOIN tw USING (term) JOIN (SELECT candidate, sqrt(sum(w * w)) AS k FROM cw GROUP BY 1) a ON a.candidate = cw.candidate JOIN (SELECT template, sqrt(sum(w * w)) AS k FROM tw GROUP BY 1) b ON b.template = tw.template GROUP BY 1, 2),
+best AS (SELECT candidate, template, score FROM cs QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY round(score, 9) DESC, template) = 1),
+own AS (SELECT file_id, path, name AS own_license, round(score, 6) AS own_score FROM found JOIN best USING (candidate) JOIN tpl USING (template) WHERE score >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY file_id, path ORDER BY round(score, 9) DESC, name DESC) = 1),
+r AS (SELECT f.file_id, f.path, f.folder, f.is_license, own_license, own_score FROM f LEFT JOIN own ON own.file_id IS NOT DISTINCT FROM f.file_id AND own.path = f.path),
+given AS (SELECT folder AS above, arg_min(own_license, (-own_score, path)) AS passed FROM r WHERE is_license AND own_license IS NOT NULL GROUP BY 1),
+near AS (SELECT folder, passed, above, len(string_split(folder, '/')) - len(string_split(above, '/')) AS distance FROM (SELECT DISTINCT folder FROM r) JOIN given ON folder = above OR starts_with(folder, above || '/') QUALIFY row_number() OVER (PARTITION BY folder ORDER BY len(above) DESC) = 1)
+SELECT file_id AS doc_id, path, own_license, own_score, coalesce(own_license, passed) AS license, CASE WHEN own_license IS NOT NULL THEN 'own' WHEN passed IS NOT NULL THEN 'inherited' END AS origin,
+ CASE WHEN own_license IS NULL THEN above END AS inherited_from, CASE WHEN own_license IS NULL THEN distance END AS distance FROM r LEFT JOIN near USING (folder)
+"""
