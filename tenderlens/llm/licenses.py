@@ -17,9 +17,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-THRESHOLD = 0.6
+from .common import durable, ship
+
+ship(__name__)
+
+THRESHOLD, HEAVY = 0.6, 4096
 ANCHORS = r"(?i)licen[sc]e|copyright|spdx|public domain|all rights reserved|redistribut"
 #: Names and short notices of common licences (fixed values).
 TEMPLATES = (
@@ -64,8 +67,8 @@ def license_scan(files: DataFrame, threshold: float = THRESHOLD, templates=TEMPL
     texts = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(texts, "\n"), lambda s: s.rlike(ANCHORS))
     whole = F.when(F.col("is_license"), F.array(texts)).otherwise(F.array())
-    found = files.select("file_id", "path", F.explode(F.array_distinct(F.concat(lines, whole))).alias("candidate"))
-    distinct = found.select("candidate").distinct()
+    found = durable(files.select("file_id", "path", F.explode(F.array_distinct(F.concat(lines, whole))).alias("candidate")))
+    distinct = durable(found.groupBy("candidate").agg(F.count(F.lit(1)).alias("copies")))
     n = F.broadcast(distinct.agg(F.count(F.lit(1)).alias("n")))
     split = distinct.select("candidate", F.explode(terms(F.col("candidate"))).alias("term")).groupBy("candidate", "term").agg(F.count(F.lit(1)).alias("tf"))
     frequency = split.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -78,7 +81,12 @@ def license_scan(files: DataFrame, threshold: float = THRESHOLD, templates=TEMPL
     cosine = unit(weigh(split, "candidate"), "candidate").join(known, "term").groupBy("candidate", "template").agg(F.sum(F.col("weight") * F.col("fixed")).alias("score"))
     best = cosine.groupBy("candidate").agg(F.max_by(F.struct("template", "score"), F.struct(F.round("score", 9), -F.col("template"))).alias("b"))
     best = best.filter(F.col("b.score") >= threshold).join(F.broadcast(fixed.select(F.col("template").alias("t"), "name")), F.col("b.template") == F.col("t")).select("candidate", "name", F.col("b.score").alias("score"))
-    hits = found.join(best, "candidate").groupBy("file_id", "path").agg(F.max_by(F.struct("name", "score"), F.struct(F.round("score", 9), F.col("name"))).alias("h"))
+    best = durable(best.join(distinct, "candidate"))
+    # a notice on more than candidates / HEAVY lines is one of fewer than HEAVY: those are broadcast, so that no common notice meets in a task
+    least = (distinct.agg(F.sum("copies").alias("n")).first()["n"] or 0) / HEAVY
+    common = F.broadcast(best.filter(F.col("copies") > least).drop("copies"))
+    rare = found.join(common, "candidate", "left_anti").join(best.filter(F.col("copies") <= least).drop("copies"), "candidate")
+    hits = found.join(common, "candidate").unionByName(rare).groupBy("file_id", "path").agg(F.max_by(F.struct("name", "score"), F.struct(F.round("score", 9), F.col("name"))).alias("h"))
     own = hits.select(F.col("file_id").alias("_f"), F.col("path").alias("_p"), F.col("h.name").alias("own_license"), F.round("h.score", 6).alias("own_score"))
     rows = files.select("file_id", "path", "is_license", directory(F.col("path")).alias("folder"))
     rows = rows.join(own, F.col("file_id").eqNullSafe(F.col("_f")) & F.col("path").eqNullSafe(F.col("_p")), "left").drop("_f", "_p")
