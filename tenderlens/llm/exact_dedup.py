@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .common import durable, ship
@@ -62,12 +63,10 @@ def digests(docs: DataFrame) -> DataFrame:
 def heavy_digests(table: DataFrame, counters: int) -> DataFrame:
     """Digests with more than rows / counters copies, and perhaps some others; at most ``counters``."""
     found = table.select("digest").mapInArrow(summarize(counters), "digest binary, n bigint")
-    merged = found.groupBy("digest").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "digest").limit(counters + 1)
-    top = durable(merged)
-    floor = top.orderBy("n", "digest").limit(1).select(F.when(F.lit(top.count() > counters), F.col("n")).otherwise(0).alias("floor"))
-    # both sides are bounded by the number of counters
-    least = floor.first()
-    return top.filter(F.col("n") > (least["floor"] if least else 0)).select("digest")
+    top = durable(found.groupBy("digest").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "digest").limit(counters + 1))
+    # merging summaries takes the count of the first digest too many from all
+    floor = top.agg(F.min("n")).first()[0] if top.count() > counters else 0
+    return top.filter(F.col("n") > floor).select("digest")
 
 
 def exact_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
@@ -83,22 +82,22 @@ def exact_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     return hot.select(*cold.columns).unionByName(cold).select("doc_id", "digest", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"))
 
 
+def with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the digest of their text appended as ``__xd_digest``."""
+    for batch in batches:
+        yield batch.append_column("__xd_digest", next(digest_batches(iter([batch]))).column("digest"))
+
+
 def drop_exact_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; a row is known by doc_id and digest."""
+    """The rows of ``docs`` that stay, with their columns; a row is known by doc_id and digest.
+
+    One join tells the rows that go, and those that repeat doc_id and text; of the latter one stays.
+    """
     groups = durable(exact_groups(docs, counters))
-    again = groups.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("_rows"), F.max("kept").alias("_kept"))
-    settled = again.filter((F.col("_rows") > 1) | ~F.col("_kept"))
-    lost = settled.filter(~F.col("_kept")).select("doc_id", "digest")
-    repeated = settled.filter("_kept").select("doc_id", "digest")
-    lowered = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    # ids of rows in groups are few beside the texts; Spark broadcasts them where they are small
-    touched = settled.select("doc_id").distinct().withColumnRenamed("doc_id", "__xd_id")
-    plain = docs.join(touched, docs["doc_id"].eqNullSafe(F.col("__xd_id")), "left_anti")
-    some = docs.join(touched, docs["doc_id"].eqNullSafe(F.col("__xd_id")), "left_semi").withColumn("__xd_digest", F.unhex(F.sha2(lowered, 256)))
-    gone = lost.select(F.col("doc_id").alias("__xd_id"), F.col("digest").alias("__xd_d"))
-    some = some.join(gone, some["doc_id"].eqNullSafe(F.col("__xd_id")) & (some["__xd_digest"] == F.col("__xd_d")), "left_anti")
-    twice = repeated.select(F.col("doc_id").alias("__xd_id"), F.col("digest").alias("__xd_d"), F.lit(True).alias("__xd_twice"))
-    some = some.join(twice, some["doc_id"].eqNullSafe(F.col("__xd_id")) & (some["__xd_digest"] == F.col("__xd_d")), "left")
-    once = some.filter(F.col("__xd_twice").isNull()).select(*docs.columns)
-    first = some.filter("__xd_twice").dropDuplicates(["doc_id", "__xd_digest"]).select(*docs.columns)
-    return plain.unionByName(once).unionByName(first)
+    again = groups.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("__xd_rows"), F.max("kept").alias("__xd_kept"))
+    settled = again.filter((F.col("__xd_rows") > 1) | ~F.col("__xd_kept")).withColumnsRenamed({"doc_id": "__xd_id", "digest": "__xd_d"})
+    schema = T.StructType([*docs.schema.fields, T.StructField("__xd_digest", T.BinaryType())])
+    marked = docs.mapInArrow(with_digest, schema)
+    marked = marked.join(settled, marked["doc_id"].eqNullSafe(F.col("__xd_id")) & (F.col("__xd_digest") == F.col("__xd_d")), "left")
+    single = marked.filter("__xd_kept is null").select(*docs.columns)
+    return single.unionByName(marked.filter("__xd_kept").dropDuplicates(["doc_id", "__xd_digest"]).select(*docs.columns))
