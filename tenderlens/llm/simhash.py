@@ -17,7 +17,8 @@ fingerprint of 256 bits (the hashes and three multiplicative mixes of them) puts
 ``tables`` tables by ``key_bits`` of its bits each, and texts that meet in a table link when at
 most ``wide_radius`` of the 256 bits differ, which stands for a similarity of about 0.8 or more
 on five-word shingles.  Distinct fingerprints that share a key are compared in blocks, and
-again only stars leave a task.
+again only stars leave a task.  Such a link is a matter of chance and stands for no exact
+similarity; ``keep_one`` drops rows by five-word similarity, which it searches and verifies exactly.
 
 Null and empty texts have fingerprint zero and link like any other.  component_id is the least
 doc_id reachable; null doc_ids are never an id of a component unless it has no other.
@@ -34,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import durable, partitions, ship
+from .common import durable, partitions, ship, slices
 
 ship(__name__)
 
 SHINGLE, RADIUS, HOT, HEAVY = 3, 2, 20_000, 4096
 TABLES, KEY_BITS, WIDE_RADIUS = 64, 24, 38
+#: Near copies of ``keep_one``: words of a shingle, and the Jaccard index as a fraction.
+NEAR_WORDS, NEAR = 5, (4, 5)
 #: Odd multipliers of the three further hashes (fixed values of this module).
 MIXES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 LANES = ("fp", "f1", "f2", "f3")
@@ -332,8 +335,150 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, hot:
     return hot.unionByName(cold).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, wide: bool = True, **settings) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its component; repeated doc_ids and null ones stay."""
-    groups = near_groups(docs, wide=wide, **settings)
-    lost = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__sh_id")).distinct()
-    return docs.join(lost, docs["doc_id"] == F.col("__sh_id"), "left_anti")
+def word_shingles(text: str | None, size: int = NEAR_WORDS) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the runs of ``size`` words (of all words where there are fewer)."""
+    words = (text or "").encode().translate(LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    k = min(size, len(words))
+    last = len(words) - k + 1
+    made = np.zeros(last, np.uint64)
+    for i in range(k):
+        made = made * np.uint64(MIXES[0]) + each[i : i + last]
+    return np.unique(made ^ made >> np.uint64(29))
+
+
+def name_of(held: np.ndarray) -> int:
+    """The signed 64-bit name of a set of shingles."""
+    return xxhash.xxh64_intdigest(held.tobytes()) - (1 << 63)
+
+
+def sampled_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            sets = [word_shingles(t.as_py()) for t in part.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
+
+
+def common_shingles(docs: DataFrame, sample: int = 16_384, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of shingles found often in about ``sample`` texts; they only order shingles, so a sample loses no pair."""
+    part = 1_000_000 * sample // max(docs.count(), sample)
+    some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < part)
+    often = some.mapInArrow(sampled_shingles, "shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    rows = often.orderBy(F.desc("n"), "shingle").limit(most).toPandas()
+    codes = rows["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(codes)
+    return codes[order], rows["n"].to_numpy(np.int64)[order]
+
+
+def heads(docs: DataFrame, size: int) -> DataFrame:
+    """One row per row: doc_id, tkey (of the text), fp, node (of its set of five-word shingles), n and the set's first shingles.
+
+    Shingles go from those rare in a sample to the common ones, then by hash.  Two sets whose
+    Jaccard index is NEAR or more meet in their first n - ceil(NEAR * n) + 1, whatever the order.
+    """
+    codes, counts = common_shingles(docs)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    up, down = NEAR
+
+    def head(held: np.ndarray) -> np.ndarray:
+        if len(codes) == 0 or len(held) == 0:
+            ordered = held
+        else:
+            at = np.minimum(np.searchsorted(codes, held), len(codes) - 1)
+            ordered = held[np.lexsort((held, np.where(codes[at] == held, counts[at], 0)))]
+        return ordered[: len(held) - (up * len(held) + down - 1) // down + 1].view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = [t.as_py() for t in part.column("text")]
+                sets = [word_shingles(t) for t in texts]
+                cols = [pa.array([fingerprint(t, size)[0] for t in texts], pa.int64()), pa.array([name_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([head(x) for x in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tkey"), *cols], ["doc_id", "tkey", "fp", "node", "n", "head"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(run, f"doc_id {kind}, tkey bigint, fp bigint, node bigint, n bigint, head array<bigint>")
+
+
+def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, x, y) whose texts x and y have a Jaccard index of NEAR or more, as (a, b)."""
+    up, down = NEAR
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            x, y = word_shingles(x.as_py()), word_shingles(y.as_py())
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(down * both >= up * (len(x) + len(y) - both))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df``, a narrow durable table, to be broadcast if it has at most ``most`` rows; else Spark deals both sides of its join."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts' five-word Jaccard index is NEAR or more; only their texts are shuffled."""
+    pairs = durable(pairs.distinct())
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", "tkey")
+    texts = docs.select(F.xxhash64("text").alias("tkey"), "text").join(small(durable(wanted)), "tkey").select("node", "text").dropDuplicates(["node"])
+    full = pairs.join(texts.toDF("b", "y"), "b").join(texts.toDF("a", "x"), "a").select("a", "b", "x", "y")
+    return durable(full.mapInArrow(near_pairs, "a bigint, b bigint"))
+
+
+def near_links(docs: DataFrame, rows: DataFrame, radius: int, hot: int, turns: int = 2, pivots: int = 8) -> DataFrame:
+    """Edges (a, b) between nodes that connect what all pairs with a five-word Jaccard index of NEAR or more would.
+
+    Op10's links and, for every shingle, the pairs with one drawn node are verified first, which
+    joins large groups by stars.  All pairs that meet in a shingle and are still apart follow.
+    """
+    up, down = NEAR
+    nodes = durable(rows.groupBy("node").agg(F.min("tkey").alias("tkey"), F.min("fp").alias("fp")))
+    codes = durable(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    coded = similar_edges(codes.select("fp"), radius, hot)
+    coded = coded.join(codes.toDF("a", "u"), "a").join(codes.toDF("b", "v"), "b").select("u", "v")
+    same = nodes.join(codes, "fp").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    given = coded.unionByName(same).filter("u != v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+
+    own = W.partitionBy("shingle")
+    placed = rows.select("node", "n", F.posexplode("head").alias("place", "shingle"))
+    met = placed.withColumn("lo", F.min("node").over(own)).withColumn("hi", F.max("node").over(own)).filter("lo != hi")
+    left = durable(met.select("shingle", "node", "n", "place", F.col("node").alias("root")).distinct())
+
+    def able(x: str, y: str):
+        """Nodes of different components, whose sizes and places of a shared shingle, if it is their first, allow for NEAR."""
+        (na, at_a, root_a), (nb, at_b, root_b) = ([F.col(f"{side}{c}") for c in ("n", "place", "root")] for side in (x, y))
+        return (root_a != root_b) & (down * F.least(na, nb) >= up * F.greatest(na, nb)) & ((up + down) * F.least(na - at_a, nb - at_b) >= up * (na + nb))
+
+    found = None
+    for turn in range(turns):
+        draw = F.xxhash64("node", F.lit(turn), F.pmod("shingle", F.lit(pivots)))
+        drawn = left.withColumn("pivot", F.min(F.struct(draw.alias("draw"), "node", "n", "place", "root")).over(own))
+        stars = drawn.filter(able("", "pivot.")).select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
+        new = verified(docs, nodes, stars if turn else stars.unionByName(given))
+        found = found.unionByName(new) if turn else new
+        joined = durable(left.drop("root").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")))
+        apart = joined.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("shingle")
+        left = durable(joined.join(apart, "shingle").select(*left.columns))
+    a, b = (left.select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "place", "root")]) for x in "ab")
+    rest = a.join(b, "shingle").filter((F.col("a_node") < F.col("b_node")) & able("a_", "b_"))
+    return found.unionByName(verified(docs, nodes, rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))))
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """The rows of ``docs`` but those whose doc_id is not the least of their component of near copies; null doc_ids stay.
+
+    Near copies are texts whose sets of five-word shingles have a Jaccard index of 0.8 or more:
+    all such pairs link and no others, up to collisions of 64-bit hashes.
+    """
+    rows = durable(heads(docs, size))
+    roots = components(near_links(docs, rows, radius, hot))
+    per_node = durable(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).join(roots, "node", "left"))
+    linked = per_node.filter("root is not null")
+    whole = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = linked.join(whole, "root").select("node", "component_id")
+    alone = per_node.filter("root is null and rows > 1").select("node", F.col("least").alias("component_id"))
+    lost = rows.join(named.unionByName(alone), "node").filter(F.col("doc_id") != F.col("component_id"))
+    lost = small(durable(lost.select(F.col("doc_id").alias("__sh_id"), F.col("tkey").alias("__sh_key")).distinct()))
+    return docs.join(lost, (docs["doc_id"] == F.col("__sh_id")) & (F.xxhash64(docs["text"]) == F.col("__sh_key")), "left_anti")

@@ -367,3 +367,39 @@ def test_wide_fingerprints_link_near_copies(spark):
     assert all(got[i] == i for i in range(30)) and all(got[i] in (i, i - 30) for i in range(30, 45))
     assert sum(got[i] == i - 30 for i in range(30, 45)) >= 14
     assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} >= set(range(30))
+
+
+def test_keep_one_equals_brute_force(spark):
+    """Blocks replaced and passages appended at a five-word Jaccard just over and under 0.8, scattered edits under it, chains, odd rows."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    texts = []
+    for _ in range(30):
+        w = [word() for _ in range(200)]
+        texts += [" ".join(w), " ".join(w[:60] + [word() for _ in range(18)] + w[78:]), " ".join(w + [word() for _ in range(49)])]
+        texts += [" ".join(w[:60] + [word() for _ in range(19)] + w[79:]), " ".join(w + [word() for _ in range(50)])]
+        scattered = list(w)
+        for i in range(20, 200, 26):  # about 0.69
+            scattered[i] = word()
+        texts.append(" ".join(scattered))
+    texts += ["x y", "X  y", "x y z", "", " ", "a b c d e f"]
+    sets = []
+    for t in texts:
+        w = lower(t).split()
+        k = min(5, len(w))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id bigint, text string").repartition(3)
+    got = [r["doc_id"] for r in simhash.keep_one(docs).collect()]
+    assert collections.Counter(got) == collections.Counter([i for i, r in enumerate(root) if i == r] + [None])
+
+
+def test_keep_one_knows_rows_by_their_text(spark):
+    """Of two texts under one id only the near copy goes."""
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five  six"), (2, "another text altogether of some seven words")], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["text"][:3]) for r in simhash.keep_one(docs).collect()) == [(1, "one"), (2, "ano")]
