@@ -47,8 +47,12 @@ SPELLED = re.compile(rf"(?<![a-z])(?:plus[ -]+)?(?:{NAMES}|[0-9]+)(?:(?:[ -]+|[
 TOKEN = re.compile(rf"(?P<plus>plus[ -]+)|(?P<name>{NAMES})|(?P<digits>[0-9]+)|(?P<dot>[ ]+(?:dot|point)[ ]+|[ ]*[.][ ]*)|(?P<gap>[ -]+|[ ]*,[ ]*)", re.I)
 AT = re.compile(r"[ ]*[\[({<][ ]*(?:at|@)[ ]*[\])}>][ ]*|[ ]+at[ ]+|[ ]*_at_[ ]*", re.I)
 DOT = re.compile(r"[ ]*[\[({<][ ]*(?:dot|\.)[ ]*[\])}>][ ]*|[ ]+dot[ ]+|[ ]*_dot_[ ]*", re.I)
+#: DOT within a name; _dot_ without a space is part of a name's label already.
+NAME_DOT = r"[ ]*[\[({<][ ]*(?:dot|\.)[ ]*[\])}>][ ]*|[ ]+dot[ ]+|[ ]+_dot_[ ]*|_dot_[ ]+"
 #: name AT host (DOT label)+, with at least one sign in disguise.
-MASKED = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\.|{DOT.pattern})[A-Za-z0-9_%+-]+){{0,4}}(?:@|{AT.pattern})[A-Za-z0-9-]+(?:(?:\.|{DOT.pattern})[A-Za-z0-9-]+){{1,5}}", re.I)
+MASKED = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\.|{NAME_DOT})[A-Za-z0-9_%+-]+)*(?:@|{AT.pattern})[A-Za-z0-9-]+(?:(?:\.|{DOT.pattern})[A-Za-z0-9-]+)+", re.I)
+#: What SPELLED needs besides digits.
+NAMED = re.compile(NAMES, re.I)
 
 Span = tuple[str, int, int]
 
@@ -130,14 +134,15 @@ def digits_in(run: str) -> str:
 def normalised(text: str) -> Rewriter | None:
     """The transducer's work on ``text``, or None where it has nothing to do."""
     folded = text if text.isascii() or not FOLDED.search(text) else text.translate(FOLD)
-    low = folded.lower() if folded.isascii() else "".join(c.lower() if c.isascii() else c for c in folded) if "dot" in folded or "@" in folded else folded
     edits: list[tuple[int, int, str]] = []
-    if "dot" in low or "[.]" in low or "(.)" in low or ("@" in low and folded is not text) or "(at)" in low or "[at]" in low or "_at_" in low or "{at}" in low or "<at>" in low:
+    # a match that changes holds a disguised sign, and both signs in some form
+    at, dot = AT.search(folded), DOT.search(folded)
+    if (at or (dot and "@" in folded)) and (dot or "." in folded):
         for m in MASKED.finditer(folded):
             new = DOT.sub(".", AT.sub("@", m[0]))
             if new != m[0]:
                 edits += [(m.start() + a, m.start() + b, sign) for a, b, sign in signs(m[0])]
-    if sum(n in low for n in DIGITS) > 1:
+    if NAMED.search(folded):
         edits += [(m.start(), m.end(), new) for m in SPELLED.finditer(folded) if any(n in m[0].lower() for n in DIGITS) and len(new := digits_in(m[0])) > 6]
     if folded is text and not edits:
         return None

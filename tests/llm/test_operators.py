@@ -218,6 +218,32 @@ def test_pii_disguises(text, kind, part):
     assert base == [] and [(k, text[a:b]) for k, a, b in found] == [(kind, part)]
 
 
+@pytest.mark.parametrize("text, kind", [
+    ("jane (@) example.com", "email"), ("jane[@]example.com", "email"), ("jane ( at ) example.com", "email"), ("jane at example.com", "email"), ("jane@example{.}com", "email"), ("jane@example < . > com", "email"),
+    ("JANE [AT] EXAMPLE [DOT] COM", "email"), ("a dot b dot c dot d dot e dot f dot g at h dot i dot j dot k dot l dot m dot n dot com", "email"),
+    ("Plus Four One Five Five Five Five Two Six Seven One", "phone"), ("plus five five five five five five five five five five", "phone"),
+])
+def test_pii_gates_lose_no_disguise(text, kind):
+    for around in ("{}", "\u00e9 {}", "\u201c {}"):
+        t = around.format(text)
+        assert [(k, t[a:b]) for k, a, b in pii.spans(t)[1]] == [(kind, text)], t
+
+
+def test_pii_gated_equals_ungated(monkeypatch):
+    class Always:
+        search = staticmethod(lambda text: True)
+
+    rng = random.Random(4)
+    parts = ["jane", "example", "com", " ", " ", "@", "(@)", "[.]", " AT ", " dot ", "_dot_", "_at_", ".", "{ at }", "five", "Two", "ſix", "7", "-", "plus ", "\u00e9", "а"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(16))) for _ in range(5000)]
+    gated = [pii.spans(t) for t in texts]
+    at, dot = pii.AT, pii.DOT
+    monkeypatch.setattr(pii, "NAMED", Always)
+    monkeypatch.setattr(pii, "AT", type("A", (Always,), {"sub": at.sub, "finditer": at.finditer}))
+    monkeypatch.setattr(pii, "DOT", type("D", (Always,), {"sub": dot.sub, "finditer": dot.finditer}))
+    assert gated == [pii.spans(t) for t in texts]
+
+
 def test_pii_odd(odd, none):
     assert pii.find_pii(odd).count() == 12 and pii.find_pii(none).count() == 0
 
