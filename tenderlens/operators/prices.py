@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.core import ladder, ratio
+from ..functions.storage import durable, partitions
 
 NEVER = 1e300
 
@@ -24,10 +25,8 @@ def gini(df: DataFrame, group: list[str], value: str) -> DataFrame:
 
 def global_gini(df: DataFrame, value: str) -> DataFrame:
     """Gini of all positive values without a one-task sort: equal values are merged, ranks come from ranges' offsets."""
-    spark = df.sparkSession
     per = df.filter(F.col(value) > 0).groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("c"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = per.repartitionByRange(n, "x").withColumn("part", F.spark_partition_id()).persist()
+    placed = durable(per.repartitionByRange(partitions(df), "x").withColumn("part", F.spark_partition_id()))
     offsets = placed.groupBy("part").agg(F.sum("c").alias("rows"))
     offsets = offsets.select("part", F.coalesce(F.sum("rows").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))  # one row per range
     within = F.coalesce(F.sum("c").over(W.partitionBy("part").orderBy("x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.storage import ranked
+
 
 def with_defaults(df: DataFrame, defaults: dict) -> DataFrame:
     """Declared defaults for null values."""
@@ -31,19 +33,10 @@ def delete_where(df: DataFrame, test: Column) -> DataFrame:
 
 
 def assign_numbers(rows: DataFrame, order: Sequence[str], start: int, prefix: str, year: int) -> DataFrame:
-    """Consecutive ids after ``start`` and document numbers, without sorting all rows in one task.
-
-    Rows are range-partitioned by ``order``; each partition's count gives the offset of its ids.
-    """
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).persist()
-    part = F.shiftright("__at", 33)
-    counts = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__rows"), F.min("__at").alias("__first"))
-    before = F.coalesce(F.sum("__rows").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row per partition
-    shift = counts.select("__part", (before - F.col("__first") + start + 1).alias("__shift"))
-    out = placed.withColumn("__part", part).join(F.broadcast(shift), "__part").withColumn("new_id", F.col("__at") + F.col("__shift"))
-    return out.drop("__at", "__part", "__shift").withColumn("number", F.format_string(f"{prefix}/{year}/%04d", "new_id")).withColumn("po_number", F.concat(F.lit("45"), F.col("new_id") + 100000))
+    """Consecutive ids after ``start`` and document numbers, without sorting all rows in one task."""
+    placed, _ = ranked(rows, [], [F.col(c) for c in order], small_keys=True)
+    out = placed.withColumn("new_id", F.col("rank") + start + 1).drop("rank")
+    return out.withColumn("number", F.format_string(f"{prefix}/{year}/%04d", "new_id")).withColumn("po_number", F.concat(F.lit("45"), F.col("new_id") + 100000))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.files import scratch
+from ..functions.storage import scratch
 
 WATERMARK = "10 minutes"
 
