@@ -6,8 +6,14 @@ digits ("four one" to 41, "plus" before them to +) and at/dot disguises ("[at]",
 " dot ") and keeps, for every stretch it rewrites, where it came from.  Matches on the normalised
 text map back to source characters; those that overlap no base span of their kind are added.
 
-Spans are (kind, start, end) in code points, end exclusive.  Null and empty texts have none;
-repeated rows give equal rows.
+Bare words are weak disguises ("look at the dot com"): an address with a bare " at " or " dot "
+counts only if it ends in a known top-level domain and neither side is an everyday word.
+
+All searches take time linear in the text, so one very long word, number or run of spaces is
+read like any other text.  Spans are (kind, start, end) in code points, end exclusive, sorted by
+start and then kind.  Null and empty texts have no spans; null doc_ids pass through; repeated
+rows give equal rows; an empty table gives an empty result; columns besides doc_id and text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,15 +30,15 @@ from .common import ship
 
 ship(__name__)
 
-#: The kinds in the order of the contract, and their patterns (fixed values).
+#: The kinds in the order of the contract, and their patterns (fixed values).  Possessive
+#: repeats and the test before a number only spare vain attempts; they change no match.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: A match of EMAIL lies within one run of these.
-EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]*")
-EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
+NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
+EMAIL_CHARS = NAME_CHARS | {"."}
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
 #: Look-alikes of Latin letters and signs, each for one character (fixed values).
@@ -43,16 +49,18 @@ FOLDED = re.compile("[" + "".join(map(re.escape, map(chr, FOLD))) + "]")
 #: Spelled digits (fixed values).
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 NAMES = "|".join(DIGITS)
-SPELLED = re.compile(rf"(?<![a-z])(?:plus[ -]+)?(?:{NAMES}|[0-9]+)(?:(?:[ -]+|[ ]*[,.][ ]*|[ ]+(?:dot|point)[ ]+)(?:{NAMES}|[0-9]+))+(?![a-z])", re.I)
-TOKEN = re.compile(rf"(?P<plus>plus[ -]+)|(?P<name>{NAMES})|(?P<digits>[0-9]+)|(?P<dot>[ ]+(?:dot|point)[ ]+|[ ]*[.][ ]*)|(?P<gap>[ -]+|[ ]*,[ ]*)", re.I)
-AT = re.compile(r"[ ]*[\[({<][ ]*(?:at|@)[ ]*[\])}>][ ]*|[ ]+at[ ]+|[ ]*_at_[ ]*", re.I)
-DOT = re.compile(r"[ ]*[\[({<][ ]*(?:dot|\.)[ ]*[\])}>][ ]*|[ ]+dot[ ]+|[ ]*_dot_[ ]*", re.I)
-#: DOT within a name; _dot_ without a space is part of a name's label already.
-NAME_DOT = r"[ ]*[\[({<][ ]*(?:dot|\.)[ ]*[\])}>][ ]*|[ ]+dot[ ]+|[ ]+_dot_[ ]*|_dot_[ ]+"
-#: name AT host (DOT label)+, with at least one sign in disguise.
-MASKED = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\.|{NAME_DOT})[A-Za-z0-9_%+-]+)*(?:@|{AT.pattern})[A-Za-z0-9-]+(?:(?:\.|{DOT.pattern})[A-Za-z0-9-]+)+", re.I)
+SPELLED = re.compile(rf"(?<![a-z])(?:plus[ -]++)?(?:{NAMES}|(?<![0-9])[0-9]++)(?:(?:[ -]++|[ ]*+[,.][ ]*+|[ ]++(?:dot|point)[ ]++)(?:{NAMES}|[0-9]++))+(?![a-z])", re.I)
+TOKEN = re.compile(rf"(?P<plus>plus[ -]+)|(?P<name>{NAMES})|(?P<digits>[0-9]+)|(?P<dot>[ ]++(?:dot|point)[ ]+|[ ]*+[.][ ]*)|(?P<gap>[ -]+|[ ]*,[ ]*)", re.I)
 #: What SPELLED needs besides digits.
 NAMED = re.compile(NAMES, re.I)
+#: An at sign, plain or in disguise; the spaces around a disguise belong to it.
+AT = re.compile(r"[\[({<][ ]*+(?:at|@)[ ]*+[\])}>]|(?<= )at(?= )|_at_|@", re.I)
+#: A dot in disguise, with its spaces.
+DOT = re.compile(r"[ ]*+[\[({<][ ]*+(?:dot|\.)[ ]*+[\])}>][ ]*+|[ ]++dot[ ]++|[ ]*+_dot_[ ]*+", re.I)
+MASKED_HOST = re.compile(rf"[A-Za-z0-9-]++(?:(?:\.|{DOT.pattern})[A-Za-z0-9-]++)+", re.I)
+#: Top-level domains that a bare " at " or " dot " may lead to, and everyday words that are no part of an address there (fixed values).
+DOMAINS = frozenset("com org net edu gov mil int info biz name io co ai app dev eu uk de fr es nl pl pt br ru cn jp kr ch se dk fi cz gr ie au nz ca mx za tr".split())
+EVERYDAY = frozenset("a all an and are available based be been best by found go good he her here his hosted i if is it its live lives look looked looking looks me meet my noon not of on one only or our out page she site so that the their them then there they this to us visit was we website were what where which who will with work worked works you your".split())
 
 Span = tuple[str, int, int]
 
@@ -65,17 +73,29 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def plain_spans(text: str) -> list[Span]:
-    """Leftmost non-overlapping matches of each kind that pass its test."""
+def back(text: str, at: int, floor: int, chars: frozenset[str] | str) -> int:
+    """The start of the run of ``chars`` that ends at ``at``."""
+    while at > floor and text[at - 1] in chars:
+        at -= 1
+    return at
+
+
+def addresses(text: str) -> list[Span]:
+    """E-mail addresses: for each at sign in turn, the run of name characters before it and the host after it."""
     found: list[Span] = []
     at, done = text.find("@"), 0
     while at >= 0:
-        start = at
-        while start > done and text[start - 1] in EMAIL_CHARS:
-            start -= 1
-        done = EMAIL_RUN.match(text, at).end()
-        found += [("email", m.start(), m.end()) for m in EMAIL.finditer(text, start, done)]
-        at = text.find("@", done)
+        start = back(text, at, done, EMAIL_CHARS)
+        if start < at and (host := HOST.match(text, at + 1)):
+            done = host.end()
+            found.append(("email", start, done))
+        at = text.find("@", max(at + 1, done))
+    return found
+
+
+def plain_spans(text: str) -> list[Span]:
+    """Leftmost non-overlapping matches of each kind that pass its test."""
+    found = addresses(text)
     for m in CARD.finditer(text):
         if m.end() - m.start() > 11 and 12 <= len(d := NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d):
             found.append(("card", m.start(), m.end()))
@@ -131,19 +151,79 @@ def digits_in(run: str) -> str:
     return "".join(out)
 
 
+def dot_before(text: str, at: int, floor: int) -> int | None:
+    """The start of the dot sign, plain or in disguise, that ends at ``at`` within a name."""
+    if text[at : at + 5].lower() == "_dot_" and text[at + 5 : at + 6] in NAME_CHARS and (start := back(text, at, floor, " ")) < at:
+        return start
+    end = back(text, at, floor, " ")
+    if end == floor:
+        return None
+    if text[end - 1] == "." and end == at:
+        return at - 1
+    if text[end - 1] in "])}>":
+        inner = back(text, end - 1, floor, " ")
+        word = 1 if text[inner - 1 : inner] == "." else 3 if text[max(floor, inner - 3) : inner].lower() == "dot" else 0
+        start = back(text, inner - word, floor, " ")
+        return back(text, start - 1, floor, " ") if word and start > floor and text[start - 1] in "[({<" else None
+    if text[max(floor, end - 5) : end].lower() == "_dot_" and end < at:
+        return back(text, end - 5, floor, " ")
+    if text[max(floor, end - 3) : end].lower() == "dot" and end < at and (start := back(text, end - 3, floor, " ")) < end - 3:
+        return start
+    return None
+
+
+def name_before(text: str, end: int, floor: int) -> int:
+    """The start of the name (words joined by dots) that ends at ``end``; ``end`` itself where there is none."""
+    start = back(text, end, floor, NAME_CHARS)
+    while start < end and (dot := dot_before(text, start, floor)) is not None:
+        word = back(text, dot, floor, NAME_CHARS)
+        if word == dot:
+            break
+        start = word
+    return start
+
+
+def believable(sign: str, dots: list[str], first: str, host: str) -> bool:
+    """A bare " at " or " dot " counts only before a known top-level domain and between words that are not everyday ones."""
+    if sign.lower() != "at" and not any(d.strip(" ").lower() == "dot" for d in dots):
+        return True
+    labels = re.findall(r"[A-Za-z0-9-]+", DOT.sub(".", host))
+    return labels[-1].lower() in DOMAINS and labels[0].lower() not in EVERYDAY and first.lower() not in EVERYDAY
+
+
+def masked_signs(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, sign) of the disguised signs of all addresses; a host is looked at once, a name only before a host."""
+    edits: list[tuple[int, int, str]] = []
+    floor = 0
+    for m in AT.finditer(text):
+        start, end = m.span()
+        if start < floor:
+            continue
+        if m[0] != "@":
+            start = back(text, start, floor, " ")
+            while end < len(text) and text[end] == " ":
+                end += 1
+        host = MASKED_HOST.match(text, end)
+        if host is None:
+            continue
+        name = name_before(text, start, floor)
+        if name == start:
+            continue
+        dots = [*DOT.finditer(text, name, start), *DOT.finditer(text, end, host.end())]
+        if believable(m[0], [d[0] for d in dots], text[name:start], host[0]):
+            edits += [(d.start(), d.end(), ".") for d in dots]
+            if m[0] != "@":
+                edits.append((start, end, "@"))
+            floor = host.end()
+    return edits
+
+
 def normalised(text: str) -> Rewriter | None:
     """The transducer's work on ``text``, or None where it has nothing to do."""
     folded = text if text.isascii() or not FOLDED.search(text) else text.translate(FOLD)
-    edits: list[tuple[int, int, str]] = []
-    # a match that changes holds a disguised sign, and both signs in some form
-    at, dot = AT.search(folded), DOT.search(folded)
-    if (at or (dot and "@" in folded)) and (dot or "." in folded):
-        for m in MASKED.finditer(folded):
-            new = DOT.sub(".", AT.sub("@", m[0]))
-            if new != m[0]:
-                edits += [(m.start() + a, m.start() + b, sign) for a, b, sign in signs(m[0])]
+    edits = masked_signs(folded)
     if NAMED.search(folded):
-        edits += [(m.start(), m.end(), new) for m in SPELLED.finditer(folded) if any(n in m[0].lower() for n in DIGITS) and len(new := digits_in(m[0])) > 6]
+        edits += [(m.start(), m.end(), new) for m in SPELLED.finditer(folded) if NAMED.search(m[0]) and len(new := digits_in(m[0])) > 6]
     if folded is text and not edits:
         return None
     made, end = Rewriter(folded), 0
@@ -158,11 +238,6 @@ def normalised(text: str) -> Rewriter | None:
     return made
 
 
-def signs(masked: str) -> list[tuple[int, int, str]]:
-    at = [(m.start(), m.end(), "@") for m in AT.finditer(masked)]
-    return at + [(m.start(), m.end(), ".") for m in DOT.finditer(masked) if all(m.end() <= a or m.start() >= b for a, b, _ in at)]
-
-
 def words_of(text: str, start: int, stop: int) -> list[tuple[int, int, str]]:
     out = []
     for m in TOKEN.finditer(text, start, stop):
@@ -181,10 +256,13 @@ def spans(text: str) -> tuple[list[Span], list[Span]]:
     made = normalised(text)
     if made is None:
         return base, base
+    ends = {k: [e for kind, _, e in base if kind == k] for k in KINDS}  # spans of a kind don't overlap
+    starts = {k: [s for kind, s, _ in base if kind == k] for k in KINDS}
     more = []
     for kind, start, end in plain_spans(made.text()):
         a, b = made.back(start, end)
-        if all(kind != k or b <= s or a >= e for k, s, e in base):
+        after = bisect_right(ends[kind], a)
+        if after == len(ends[kind]) or starts[kind][after] >= b:
             more.append((kind, a, b))
     return base, sorted(base + more, key=order)
 
