@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .common import SPACES, table
 from .exact_dedup import exact_groups
 from .hilbert import sharded
-from .licenses import ANCHORS, TEMPLATES, TERM, THRESHOLD, document_files, license_scan
+from .licenses import TEMPLATES, TERM, THRESHOLD, document_files, license_scan
 from .line_rules import BOILERPLATE, ENDING, NAVIGATION, SYMBOLS, line_rules
 from .mixing import mixed
 from .packing import packed
@@ -109,18 +109,41 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 """
 _ROWS = ", ".join("({}, '{}', '{}')".format(i, n, x.replace("'", "''")) for i, (n, x) in enumerate(TEMPLATES))
 ORACLE["op1_license_scan"] = rf"""
-WITH files AS (SELECT doc_id AS file_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || coalesce((doc_id // 1000)::VARCHAR, 'none') AS folder, coalesce(doc_id::VARCHAR, 'none') || '.txt' AS name, coalesce(text, '') AS t FROM documents),
-f AS (SELECT *, folder || '/' || name AS path, len(string_split_regex(trim(t), '\s+')) <= 40 AND regexp_matches(t, '{ANCHORS}') AS is_license FROM files),
-found AS (SELECT DISTINCT file_id, path, unnest(list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '{ANCHORS}')) || CASE WHEN is_license THEN [t] ELSE [] END) AS candidate FROM f),
-c AS (SELECT DISTINCT candidate FROM found), n AS (SELECT count(*) AS n FROM c), tpl(template, name, text) AS (VALUES {_ROWS}),
-ct AS (SELECT candidate, term, count(*) AS tf FROM (SELECT candidate, unnest(regexp_extract_all(lower(candidate), '{TERM}')) AS term FROM c) GROUP BY 1, 2), tt AS (SELECT template, term, count(*) AS tf FROM (SELECT template, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM tpl) GROUP BY 1, 2),
-df AS (SELECT term, count(*) AS df FROM ct GROUP BY 1), cw AS (SELECT candidate, term, tf * (ln((1 + n) / (1 + coalesce(df, 0))) + 1) AS w FROM ct LEFT JOIN df USING (term), n), tw AS (SELECT template, term, tf * (ln((1 + n) / (1 + coalesce(df, 0))) + 1) AS w FROM tt LEFT JOIN df USING (term), n),
-cs AS (SELECT cw.candidate, tw.template, sum(cw.w * tw.w) / (any_value(a.k) * any_value(b.k)) AS score FROM cw JOIN tw USING (term) JOIN (SELECT candidate, sqrt(sum(w * w)) AS k FROM cw GROUP BY 1) a ON a.candidate = cw.candidate JOIN (SELECT template, sqrt(sum(w * w)) AS k FROM tw GROUP BY 1) b ON b.template = tw.template GROUP BY 1, 2),
+WITH f AS (
+  SELECT doc_id AS file_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || coalesce(replace(format('{{:,}}', doc_id), ',', '/'), 'none') || '.txt' AS path,
+    coalesce(text, '') AS t FROM documents),
+n AS (SELECT count(*) AS n FROM f),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(t), '{TERM}'))) AS term FROM f) GROUP BY 1),
+parts AS (
+  SELECT file_id, path, true AS whole, t AS candidate FROM f
+  UNION SELECT file_id, path, false, unnest(string_split(t, chr(10))) FROM f
+  UNION SELECT file_id, path, false, unnest(string_split_regex(regexp_replace(t, '(?m)^[^A-Za-z0-9\n]*$', '', 'g'), '\n\n+')) FROM f),
+tpl(template, name, text) AS (VALUES {_ROWS}),
+ct AS (
+  SELECT candidate, term, count(*) AS tf
+  FROM (SELECT candidate, unnest(regexp_extract_all(lower(candidate), '{TERM}')) AS term FROM (SELECT DISTINCT candidate FROM parts)) GROUP BY 1, 2),
+tt AS (SELECT template, term, count(*) AS tf FROM (SELECT template, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM tpl) GROUP BY 1, 2),
+cw AS (SELECT candidate, term, tf * (ln((1.0 + n) / (1 + coalesce(df, 0))) + 1) AS w FROM ct LEFT JOIN df USING (term), n),
+tw AS (SELECT template, term, tf * (ln((1.0 + n) / (1 + coalesce(df, 0))) + 1) AS w FROM tt LEFT JOIN df USING (term), n),
+cn AS (SELECT candidate, sqrt(sum(w * w)) AS k FROM cw GROUP BY 1),
+tn AS (SELECT template, sqrt(sum(w * w)) AS k FROM tw GROUP BY 1),
+dot AS (SELECT candidate, template, sum(cw.w * tw.w) AS p FROM cw JOIN tw USING (term) GROUP BY 1, 2),
+cs AS (SELECT candidate, template, p / (cn.k * tn.k) AS score FROM dot JOIN cn USING (candidate) JOIN tn USING (template)),
 best AS (SELECT candidate, template, score FROM cs QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY round(score, 9) DESC, template) = 1),
-own AS (SELECT file_id, path, name AS own_license, round(score, 6) AS own_score FROM found JOIN best USING (candidate) JOIN tpl USING (template) WHERE score >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY file_id, path ORDER BY round(score, 9) DESC, name DESC) = 1),
-r AS (SELECT f.file_id, f.path, f.folder, f.is_license, own_license, own_score FROM f LEFT JOIN own ON own.file_id IS NOT DISTINCT FROM f.file_id AND own.path = f.path),
+hits AS (SELECT * FROM parts JOIN best USING (candidate) JOIN tpl USING (template) WHERE score >= {THRESHOLD} - 1e-9),
+own AS (
+  SELECT file_id, path, arg_max(name, (round(score, 9), -template)) AS own_license, round(max(score), 6) AS own_score, bool_or(whole) AS whole
+  FROM hits GROUP BY 1, 2),
+r AS (
+  SELECT f.file_id, f.path, regexp_replace(f.path, '/?[^/]*$', '') AS folder, own_license, own_score, coalesce(whole, false) AS is_license
+  FROM f LEFT JOIN own ON own.file_id IS NOT DISTINCT FROM f.file_id AND own.path = f.path),
 given AS (SELECT folder AS above, arg_min(own_license, (-own_score, path)) AS passed FROM r WHERE is_license AND own_license IS NOT NULL GROUP BY 1),
-near AS (SELECT folder, passed, above, len(string_split(folder, '/')) - len(string_split(above, '/')) AS distance FROM (SELECT DISTINCT folder FROM r) JOIN given ON folder = above OR starts_with(folder, above || '/') QUALIFY row_number() OVER (PARTITION BY folder ORDER BY len(above) DESC) = 1)
-SELECT file_id AS doc_id, path, own_license, own_score, coalesce(own_license, passed) AS license, CASE WHEN own_license IS NOT NULL THEN 'own' WHEN passed IS NOT NULL THEN 'inherited' END AS origin,
- CASE WHEN own_license IS NULL THEN above END AS inherited_from, CASE WHEN own_license IS NULL THEN distance END AS distance FROM r LEFT JOIN near USING (folder)
+near AS (
+  SELECT folder, passed, above, len(string_split(folder, '/')) - len(string_split(above, '/')) AS distance
+  FROM (SELECT DISTINCT folder FROM r) JOIN given ON folder = above OR starts_with(folder, above || '/')
+  QUALIFY row_number() OVER (PARTITION BY folder ORDER BY len(above) DESC) = 1)
+SELECT file_id AS doc_id, path, own_license, own_score, coalesce(own_license, passed) AS license,
+  CASE WHEN own_license IS NOT NULL THEN 'own' WHEN passed IS NOT NULL THEN 'inherited' END AS origin,
+  CASE WHEN own_license IS NULL THEN above END AS inherited_from, CASE WHEN own_license IS NULL THEN distance END AS distance
+FROM r LEFT JOIN near USING (folder)
 """
