@@ -2,12 +2,18 @@
 
 A text is counted as pairs of neighbouring character classes over the whole text (each letter,
 digits, capitals, each sign, white space, high bytes), with two more terms for the shares of
-words equal to the word before and of lines equal to an earlier line.  A bounded sample of labelled documents (the ``sample``
-training rows of least hash) gives the inverse document frequencies and, by a truncated SVD of
-its TF-IDF matrix, a latent space of ``dims`` dimensions.  The labelled vectors (sample x dims
-floats, 1 MB at the defaults) go to every task, which takes exact cosine products of its
-documents with all of them, block by block; the ``neighbours`` most similar vote with their
-similarity.  Null and empty texts have no terms and get the share of label 1 in the sample.
+words equal to the word before and of lines equal to an earlier line.  A bounded sample of
+labelled documents (the ``sample`` training rows of least hash) gives the inverse document
+frequencies and, by a truncated SVD of its TF-IDF matrix, a latent space of ``dims`` dimensions.
+The labelled vectors (sample x dims floats, 1 MB at the defaults) go to every task, which takes
+exact cosine products of its documents with all of them, block by block; the ``neighbours`` most
+similar vote with their similarity, and so do all that tie with the last of these.
+
+Null and empty texts have no terms and get the share of label 1 in the sample (0 without
+labelled rows), as do texts without a similar neighbour.  Very long texts are counted whole.
+Null doc_ids are scored and count as held out by the checksum of the empty text; repeated rows get
+equal scores; an empty table gives an empty result; columns besides doc_id and text are ignored,
+whatever their names.  Labels that are null or have no doc_id are not used.
 """
 
 from __future__ import annotations
@@ -88,13 +94,13 @@ def space(x: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def vote(vectors: np.ndarray, known: np.ndarray, label: np.ndarray, neighbours: int, base: float) -> np.ndarray:
-    """Similarity-weighted share of label 1 among the nearest; exact products of blocks."""
+    """Similarity-weighted share of label 1 among the nearest, with all ties of the last; exact products of blocks."""
     k = min(neighbours, len(known))
     near = vectors @ known.T
-    at = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(near, at, axis=1), 0) ** 4
+    last = np.partition(near, len(known) - k, axis=1)[:, len(known) - k, None]
+    weight = np.where(near >= last, np.maximum(near, 0), 0)
     total = weight.sum(axis=1)
-    return np.where(total > 1e-9, (weight * label[at]).sum(axis=1) / np.maximum(total, 1e-9), base)
+    return np.where(total > 1e-9, weight @ label / np.maximum(total, 1e-9), base)
 
 
 def score_batches(idf: np.ndarray, basis: np.ndarray, known: np.ndarray, label: np.ndarray, neighbours: int, base: float):
