@@ -3,9 +3,9 @@
 A bounded sample of labelled documents (the ``sample`` training rows of least hash) is cut in
 words on the executors.  A document's features are its words, and for each beginning of three
 or five letters whether at least one word, 0.5 % or 2 % of its words begin so (inflected and
-compound insults share a beginning).  Features that at least ``least`` sampled documents hold
-and that tell the labels apart (a two-proportion z of ``z_least``), and all identity terms, are
-the vocabulary.
+compound insults share a beginning).  The model's size is bounded as its sample is: of the
+features that at least ``least`` sampled documents hold and that tell the labels apart (a
+two-proportion z of ``z_least``), the ``vocabulary`` of greatest z are used, and all identity terms.
 Every sampled document that names a group also yields its counterfactual, with each identity
 term swapped for another of its family.  A logistic regression on feature presence is fitted with
 an L2 penalty and ``swap_weight`` times the squared change of the linear score under the swap,
@@ -13,7 +13,10 @@ so that naming a group cannot by itself move the score.  The documents are score
 from the distinct words of each batch, with weights of bounded size.
 
 Null and empty texts get the score of a document without any known word.  Without training
-rows of both labels every score is the base rate (0 without rows).
+rows of both labels every score is the base rate (0 without rows).  Very long texts are scored
+whole; ties of z go to the first feature by name; null doc_ids are scored; repeated rows get equal
+scores; an empty table gives an empty result.  ``toxicity`` reads doc_id and text only, and
+``drop_toxic`` keeps all columns of the rows it keeps, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,16 +34,25 @@ from .common import durable, id_text, ship, slices
 
 ship(__name__)
 
-SAMPLE, LEAST, Z_LEAST, VOCABULARY = 16_384, 8, 4.0, 4096
+SAMPLE, LEAST, Z_LEAST, VOCABULARY = 16_384, 8, 4.0, 512
 SPLIT = r"[^\p{L}\p{N}]+"
-#: Identity terms by family; a counterfactual swaps a term for the next of its family (fixed values).
+#: Identity terms by family, in English, German, French and Spanish; a counterfactual swaps a term for the next of its family (fixed values).
 IDENTITIES = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("female", "male"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics"),
     ("black", "white", "asian", "latino", "african", "european", "arab"), ("gay", "straight", "lesbian", "bisexual", "heterosexual", "transgender"),
     ("immigrants", "locals", "refugees", "citizens"), ("disabled", "deaf", "blind", "autistic"), ("old", "young", "elderly"),
+    ("frauen", "männer"), ("mädchen", "jungen"), ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten", "katholiken"), ("schwule", "lesben", "heterosexuelle"),
+    ("ausländer", "einheimische", "flüchtlinge", "bürger"), ("behinderte", "gehörlose", "autisten"),
+    ("femmes", "hommes"), ("filles", "garçons"), ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques"), ("noirs", "blancs", "asiatiques", "africains", "arabes"),
+    ("immigrés", "réfugiés", "citoyens"), ("handicapés", "sourds", "aveugles", "autistes"),
+    ("mujeres", "hombres"), ("niñas", "niños"), ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos"), ("negros", "blancos", "asiáticos", "africanos", "árabes"),
+    ("inmigrantes", "refugiados", "ciudadanos"), ("discapacitados", "sordos", "ciegos", "autistas"),
 )
-SWAP = {w: family[(i + 1) % len(family)] for family in IDENTITIES for i, w in enumerate(family)}
+SWAP: dict[str, str] = {}
+for family in IDENTITIES:
+    for word, other in zip(family, family[1:] + family[:1], strict=True):
+        SWAP.setdefault(word, other)
 
 
 def word_lists(texts: pa.Array) -> pa.ListArray:
@@ -100,7 +112,7 @@ def fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, swap_weight: float, ri
     return w
 
 
-def model(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, sample: int = SAMPLE, least: int = LEAST, z_least: float = Z_LEAST, swap_weight: float = 10.0, ridge: float = 0.005) -> tuple[dict[str, float], float]:
+def model(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, sample: int = SAMPLE, least: int = LEAST, z_least: float = Z_LEAST, vocabulary: int = VOCABULARY, swap_weight: float = 10.0, ridge: float = 0.005) -> tuple[dict[str, float], float]:
     """(weight of each word, intercept)."""
     rows = training_rows(docs, labels, label, folds, held, sample)
     kind = rows.schema["row"].dataType.simpleString()
@@ -114,15 +126,15 @@ def model(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     counted = words.groupBy("word").agg(F.sum(F.col("label").cast("bigint")).alias("a"), F.sum(1 - F.col("label")).alias("b"))
     rate = (F.col("a") + F.col("b")) / F.lit(n0 + n1)
     z = (F.col("a") / F.lit(n1) - F.col("b") / F.lit(n0)) / F.sqrt(rate * (1 - rate) * F.lit(1 / n0 + 1 / n1) + 1e-12)
-    told = counted.filter((F.col("a") + F.col("b") >= least) & (F.abs(z) >= z_least)).orderBy(F.abs(z).desc(), "word").limit(VOCABULARY // 8)
+    told = counted.filter((F.col("a") + F.col("b") >= least) & (F.abs(z) >= z_least)).orderBy(F.abs(z).desc(), "word").limit(vocabulary)
     group_starts = {f"{n}{mark}^{w[:n]}" for w in SWAP for n in (3, 5) for mark in ("", "%", "%%")}  # a swap must change nothing but its terms
-    vocabulary = sorted({r["word"] for r in told.select("word").collect()} - group_starts | set(SWAP))  # bounded by VOCABULARY / 8 and the terms
-    index = {w: i for i, w in enumerate(vocabulary)}
+    names = sorted({r["word"] for r in told.select("word").collect()} - group_starts | set(SWAP))  # at most ``vocabulary`` and the terms
+    index = {w: i for i, w in enumerate(names)}
     spark = docs.sparkSession
-    known = F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "word string"))
+    known = F.broadcast(spark.createDataFrame([(w,) for w in names], "word string"))
     sets = words.join(known, "word").groupBy("row", "label").agg(F.collect_set("word").alias("words")).select("label", "words").collect()  # at most ``sample`` rows
     shown = {1: 0, 0: 0}
-    x = np.zeros((len(sets), len(vocabulary)))
+    x = np.zeros((len(sets), len(names)))
     y = np.zeros(len(sets))
     change = []
     for i, r in enumerate(sets):
@@ -130,12 +142,12 @@ def model(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
         y[i] = r["label"]
         x[i, [index[w] for w in r["words"]]] = 1
         if any(w in SWAP for w in r["words"]):
-            swapped = np.zeros(len(vocabulary))
+            swapped = np.zeros(len(names))
             swapped[[index[SWAP.get(w, w)] for w in r["words"]]] = 1
             change.append(swapped - x[i])
     bare = [k for k in (0, 1) for _ in range(n[k] - shown[k])]  # documents without any word of the vocabulary
     x, y = np.vstack([x, np.zeros((len(bare), x.shape[1]))]), np.append(y, bare)
-    w = fit(x, y, np.array(change).reshape(-1, len(vocabulary)), swap_weight, ridge)
+    w = fit(x, y, np.array(change).reshape(-1, len(names)), swap_weight, ridge)
     return {v: float(w[i]) for v, i in index.items() if abs(w[i]) > 1e-6}, float(w[-1])
 
 
@@ -165,7 +177,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **settings) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, scored in passing, without a join."""
+    """The rows of ``docs`` that score below ``threshold``, with their columns, scored in passing, without a join."""
     weights, intercept = model(docs, labels, **settings)
     score = scores(weights, intercept)
 
