@@ -7,7 +7,10 @@ aggregation and broadcast (at most ``counters`` rows), so that hot digests never
 key; the remaining digests, each with at most rows / counters rows, take an ordinary shuffle.
 
 Null text counts as the empty text and all empty texts are equal.  Of equal texts the row with
-the largest doc_id stays (null doc_ids come last); among rows that repeat text and doc_id one stays.
+the largest doc_id stays (null doc_ids come last); among rows that repeat text and doc_id one
+stays, the least by its other columns as JSON (in ``exact_groups``, any).  Very long texts are hashed whole; an empty table gives an empty
+result; ``drop_exact_copies`` keeps all columns, whatever their names, and ``exact_groups`` reads
+doc_id and text only.
 """
 
 from __future__ import annotations
@@ -17,12 +20,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import durable, ship
+from .common import durable, ship, small
 
 ship(__name__)
 
@@ -30,11 +32,11 @@ COUNTERS = 4096
 
 
 def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, digest): SHA-256 of the text with A-Z lowered."""
+    """(doc_id, tkey, text) to (doc_id, tkey, digest): SHA-256 of the text with A-Z lowered."""
     for batch in batches:
         texts = pc.ascii_lower(pc.fill_null(batch.column("text"), ""))
         digests = [hashlib.sha256(t.as_buffer()).digest() for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary())], ["doc_id", "digest"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), pa.array(digests, pa.binary())], ["doc_id", "tkey", "digest"])
 
 
 def summarize(counters: int):
@@ -53,10 +55,15 @@ def summarize(counters: int):
     return run
 
 
+def text_key() -> Column:
+    """Tells texts of one doc_id apart when rows are looked up again."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, uid) of all rows; uid tells repeated rows apart."""
+    """(doc_id, tkey, digest, uid) of all rows; uid tells repeated rows apart."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.select("doc_id", "text").mapInArrow(digest_batches, f"doc_id {kind}, digest binary")
+    made = docs.select("doc_id", text_key().alias("tkey"), "text").mapInArrow(digest_batches, f"doc_id {kind}, tkey bigint, digest binary")
     return durable(made.withColumn("uid", F.monotonically_increasing_id()))
 
 
@@ -70,7 +77,7 @@ def heavy_digests(table: DataFrame, counters: int) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """One row per input row: doc_id, digest, keep_id, group_size, kept."""
+    """One row per input row: doc_id, tkey, digest, keep_id, group_size, kept."""
     table = digests(docs)
     best = F.max(F.struct("doc_id", "uid"))
     heavy = F.broadcast(heavy_digests(table, counters))
@@ -79,25 +86,24 @@ def exact_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     hot = table.join(F.broadcast(winners), "digest")
     same = W.partitionBy("digest")
     cold = table.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select("*", best.over(same).alias("best"), F.count(F.lit(1)).over(same).alias("group_size"))
-    return hot.select(*cold.columns).unionByName(cold).select("doc_id", "digest", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"))
-
-
-def with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the digest of their text appended as ``__xd_digest``."""
-    for batch in batches:
-        yield batch.append_column("__xd_digest", next(digest_batches(iter([batch]))).column("digest"))
+    return hot.select(*cold.columns).unionByName(cold).select("doc_id", "tkey", "digest", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"))
 
 
 def drop_exact_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; a row is known by doc_id and digest.
+    """The rows of ``docs`` that stay, with their columns; a row is known by doc_id and text.
 
-    One join tells the rows that go, and those that repeat doc_id and text; of the latter one stays.
+    The rows that go leave by one anti-join on narrow keys, which is broadcast while those are
+    few, so that texts are not shuffled then.  Only rows that repeat doc_id and text, where one
+    of several must stay, are looked up a second time.
     """
     groups = durable(exact_groups(docs, counters))
-    again = groups.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("__xd_rows"), F.max("kept").alias("__xd_kept"))
-    settled = again.filter((F.col("__xd_rows") > 1) | ~F.col("__xd_kept")).withColumnsRenamed({"doc_id": "__xd_id", "digest": "__xd_d"})
-    schema = T.StructType([*docs.schema.fields, T.StructField("__xd_digest", T.BinaryType())])
-    marked = docs.mapInArrow(with_digest, schema)
-    marked = marked.join(settled, marked["doc_id"].eqNullSafe(F.col("__xd_id")) & (F.col("__xd_digest") == F.col("__xd_d")), "left")
-    single = marked.filter("__xd_kept is null").select(*docs.columns)
-    return single.unionByName(marked.filter("__xd_kept").dropDuplicates(["doc_id", "__xd_digest"]).select(*docs.columns))
+    rows = groups.groupBy(F.col("doc_id").alias("__xd_id"), F.col("tkey").alias("__xd_key")).agg(F.count(F.lit(1)).alias("__xd_rows"), F.max("kept").alias("__xd_kept"))
+    rows = durable(rows.filter((F.col("__xd_rows") > 1) | ~F.col("__xd_kept")))
+    same = docs["doc_id"].eqNullSafe(F.col("__xd_id")) & (text_key() == F.col("__xd_key"))
+    single = docs.join(small(rows.select("__xd_id", "__xd_key")), same, "left_anti")
+    again = rows.filter(F.col("__xd_kept"))
+    if again.isEmpty():
+        return single
+    turn = F.row_number().over(W.partitionBy("__xd_id", "__xd_key").orderBy(F.to_json(F.struct(*docs.columns))))  # rows of one doc_id and text
+    more = docs.join(small(again), same).withColumn("__xd_turn", turn).filter("__xd_turn = 1").select(*docs.columns)
+    return single.unionByName(more)
