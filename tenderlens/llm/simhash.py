@@ -12,16 +12,14 @@ those masked bits on its way down and drops whole nodes beyond the radius.  What
 is one row per linked fingerprint, pointing to the least of its local group, never all pairs.
 Those stars are joined into components by large-star / small-star rounds.
 
-Two bits of 64 find texts that differ in a word or so.  ``wide`` adds links of near copies: a
-fingerprint of 256 bits (the hashes and three multiplicative mixes of them) puts a text in
-``tables`` tables by ``key_bits`` of its bits each, and texts that meet in a table link when at
-most ``wide_radius`` of the 256 bits differ, which stands for a similarity of about 0.8 or more
-on five-word shingles.  Distinct fingerprints that share a key are compared in blocks, and
-again only stars leave a task.  Such a link is a matter of chance and stands for no exact
-similarity; ``keep_one`` drops rows by five-word similarity, which it searches and verifies exactly.
-
-Null and empty texts have fingerprint zero and link like any other.  component_id is the least
-doc_id reachable; null doc_ids are never an id of a component unless it has no other.
+Two bits of 64 find texts that differ in a word or so.  ``keep_one`` drops rows by five-word
+similarity instead: op10's links are verified first, and exact prefix filtering finds the rest.
+
+Null and empty texts have fingerprint zero and link like any other; very long texts are hashed
+whole.  component_id is the least doc_id reachable, so ties and repeated rows meet in one component;
+null doc_ids are never an id of a component unless it has no other.  ``keep_one`` keeps rows without a
+doc_id and repeats of the row that stays.  An empty table gives an empty result.  ``near_groups`` reads
+doc_id and text only, and ``keep_one`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,17 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import durable, partitions, ship, slices
+from .common import durable, partitions, ship, slices, small
 
 ship(__name__)
 
 SHINGLE, RADIUS, HOT, HEAVY = 3, 2, 20_000, 4096
-TABLES, KEY_BITS, WIDE_RADIUS = 64, 24, 38
 #: Near copies of ``keep_one``: words of a shingle, and the Jaccard index as a fraction.
 NEAR_WORDS, NEAR = 5, (4, 5)
-#: Odd multipliers of the three further hashes (fixed values of this module).
-MIXES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-LANES = ("fp", "f1", "f2", "f3")
+#: Odd multiplier that joins the hashes of words (fixed value of this module).
+MIX = 0x9E3779B97F4A7C15
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Sizes of index nodes, from the top.
 FANS = (4096, 512, 64, 8, 1)
@@ -59,36 +55,29 @@ def signs(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
 
 
-def fingerprint(text: str | None, size: int, wide: bool = False) -> tuple[int, ...]:
-    """The fingerprint, followed by the three further ones if ``wide``."""
+def fingerprint(text: str | None, size: int) -> int:
     words = (text or "").encode().translate(LOWER).split()
     if not words:
-        return (0,) * (len(LANES) if wide else 1)
+        return 0
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(size, len(words))
     last = len(words) - k + 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:last].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, last)
-    if not wide:
-        return (signs(hashes),)
-    folded = hashes ^ hashes >> np.uint64(29)
-    mixed = (folded * np.uint64(m) for m in MIXES)
-    return (signs(hashes), *(signs(m ^ m >> np.uint64(32)) for m in mixed))
+    return signs(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:last].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, last))
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE, wide: bool = False) -> DataFrame:
-    """(doc_id, fp) of all rows, fp as a signed 64-bit integer; with f1, f2 and f3 if ``wide``."""
-    lanes = LANES if wide else LANES[:1]
+def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp) of all rows, fp as a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint(t.as_py(), size, wide) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([m[i] for m in made], pa.int64()) for i in range(len(lanes)))], ["doc_id", *lanes])
+            made = [fingerprint(t.as_py(), size) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.int64())], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{x} bigint" for x in lanes))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -210,90 +199,18 @@ def similar_edges(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) ->
     n = partitions(distinct)
     blocks = cuts(list(range(64)), radius + 1)
     dealt = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(mask_of(b))) for b in blocks])).alias("block", "value"))
-    sized = dealt.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("block", "value")))
+    full = dealt.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("block", "value", F.lit(True).alias("full"))
+    sized = dealt.join(small(durable(full)), ["block", "value"], "left")  # one row of ``full`` for each ``hot`` fingerprints at most
     rest = [[b for b in range(64) if b not in block] for block in blocks]
     again = F.lit(None)
     for i, bits in enumerate(rest):
         again = F.when(F.col("block") == i, F.array(*[F.col("fp").bitwiseAND(F.lit(mask_of(c))) for c in cuts(bits, radius + 1)])).otherwise(again)
-    keys = F.when(F.col("n") > hot, again).otherwise(F.array(F.lit(0).cast("bigint")))
-    many = sized.filter("n > 1").select("fp", "block", "value", F.posexplode(keys).alias("part", "key"))
+    keys = F.when(F.col("full"), again).otherwise(F.array(F.lit(0).cast("bigint")))
+    many = sized.select("fp", "block", "value", F.posexplode(keys).alias("part", "key"))
     group = ["block", "value", "part", "key"]
     return many.repartition(n, *group).sortWithinPartitions(*group).mapInArrow(search(radius), "a bigint, b bigint")
 
 
-def table_keys(tables: int, key_bits: int):
-    """(fp, f1, f2, f3) to rows (key, node): the table's number and the chosen bits, and the position-free node id."""
-    rng = np.random.default_rng(2024)
-    chosen = [np.sort(rng.permutation(64 * len(LANES))[:key_bits]) for _ in range(tables)]
-    powers = 1 << np.arange(key_bits, dtype=np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                lanes = np.stack([part.column(x).to_numpy() for x in LANES], axis=1)
-                bits = np.unpackbits(lanes.astype(">i8").view(np.uint8), axis=1)
-                keys = np.concatenate([bits[:, c] @ powers | np.int64(i) << np.int64(key_bits) for i, c in enumerate(chosen)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(part.column("node").to_numpy(), tables))], ["key", "node"])
-
-    return run
-
-
-def wide_search(radius: int, most: int = 2_000_000):
-    """Rows (key, fp, f1, f2, f3) sorted by key to edges (a, b) of first lanes that connect what lies within ``radius`` of 256 bits."""
-
-    def edges(held: pa.Table) -> pa.RecordBatch:
-        keys = held.column("key").to_numpy()
-        lanes = [held.column(x).to_numpy().view(np.uint64) for x in LANES]
-        n = len(keys)
-        stop = np.searchsorted(keys, keys, "right")
-        others = stop - np.arange(n) - 1
-        label = np.arange(n)
-        at = 0
-        sums = np.cumsum(others)
-        while at < n:  # about ``most`` comparisons at a time
-            to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + most, "right")))
-            rows = np.arange(at, to)
-            left, right = np.repeat(rows, others[at:to]), spread(rows + 1, others[at:to])
-            fresh = label[left] != label[right]  # already joined pairs need no comparison
-            left, right = left[fresh], right[fresh]
-            apart = sum(np.bitwise_count(x[left] ^ x[right]).astype(np.int64) for x in lanes)
-            near = apart <= radius
-            if near.any():
-                label = least_linked(n, np.concatenate((np.arange(n), left[near])), np.concatenate((label, right[near])))
-            at = to
-        moved = np.flatnonzero(label != np.arange(n))
-        code = held.column("fp").to_numpy()
-        return pa.RecordBatch.from_arrays([pa.array(code[moved]), pa.array(code[label[moved]])], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            more = pa.Table.from_batches([batch])
-            held = more if held is None else pa.concat_tables([held, more]).combine_chunks()
-            keys = held.column("key").to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1], "left"))  # the last group may go on in the next batch
-            if cut:
-                yield edges(held.slice(0, cut).combine_chunks())
-                held = held.slice(cut).combine_chunks()
-        if held is not None:
-            yield edges(held)
-
-    return run
-
-
-def wide_edges(lanes: DataFrame, radius: int = WIDE_RADIUS, tables: int = TABLES, key_bits: int = KEY_BITS) -> DataFrame:
-    """Edges (a, b) between first lanes of the distinct (fp, f1, f2, f3) that meet in a table and lie within ``radius`` bits."""
-    n = partitions(lanes)
-    nodes = lanes.select(*LANES, F.xxhash64(*LANES).alias("node"))
-    keyed = nodes.mapInArrow(table_keys(tables, key_bits), "key bigint, node bigint")
-    met = keyed.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("n > 1").select("key", "node")
-    full = met.join(nodes, "node").select("key", *LANES)
-    return full.repartition(n, "key").sortWithinPartitions("key").mapInArrow(wide_search(radius), "a bigint, b bigint")
-
-
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root): for each node of the edges (a, b) the least node connected to it, by large-star and small-star rounds."""
     pairs = durable(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -315,13 +232,11 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return roots.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_groups(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, hot: int = HOT, wide: bool = False, wide_radius: int = WIDE_RADIUS) -> DataFrame:
+def near_groups(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """One row per input row: doc_id, fingerprint, component_id."""
-    rows = durable(fingerprints(docs, size, wide))
+    rows = durable(fingerprints(docs, size))
     distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     edges = similar_edges(distinct, radius, hot)
-    if wide:
-        edges = edges.unionByName(wide_edges(durable(rows.select(*LANES).distinct()), wide_radius))
     roots = durable(components(edges))
     named = distinct.join(roots, distinct["fp"] == roots["node"])
     whole = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -345,7 +260,7 @@ def word_shingles(text: str | None, size: int = NEAR_WORDS) -> np.ndarray:
     last = len(words) - k + 1
     made = np.zeros(last, np.uint64)
     for i in range(k):
-        made = made * np.uint64(MIXES[0]) + each[i : i + last]
+        made = made * np.uint64(MIX) + each[i : i + last]
     return np.unique(made ^ made >> np.uint64(29))
 
 
@@ -395,7 +310,7 @@ def heads(docs: DataFrame, size: int) -> DataFrame:
             for part in slices(batch, "text"):
                 texts = [t.as_py() for t in part.column("text")]
                 sets = [word_shingles(t) for t in texts]
-                cols = [pa.array([fingerprint(t, size)[0] for t in texts], pa.int64()), pa.array([name_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([head(x) for x in sets], pa.list_(pa.int64()))]
+                cols = [pa.array([fingerprint(t, size) for t in texts], pa.int64()), pa.array([name_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([head(x) for x in sets], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tkey"), *cols], ["doc_id", "tkey", "fp", "node", "n", "head"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(run, f"doc_id {kind}, tkey bigint, fp bigint, node bigint, n bigint, head array<bigint>")
@@ -413,11 +328,6 @@ def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """``df``, a narrow durable table, to be broadcast if it has at most ``most`` rows; else Spark deals both sides of its join."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose texts' five-word Jaccard index is NEAR or more; only their texts are shuffled."""
     pairs = durable(pairs.distinct())
