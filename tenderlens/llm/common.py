@@ -1,9 +1,8 @@
-"""Shared helpers: reading tables, durable cuts of lineage, and global ranks without one-task windows."""
+"""Shared helpers of the training-data operators."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,10 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from ..functions.storage import durable, partitions, ranked, small
+
+__all__ = ["SPACES", "WORD", "durable", "id_text", "let", "partitions", "ranked", "ship", "slices", "small", "table"]
 
 #: Whitespace of every contract here: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,23 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, with its lineage cut.
-
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where
-    the session has none (tests on one machine).
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
-def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def slices(batch: pa.RecordBatch, column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about ``size`` bytes of ``column`` each, and one row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
@@ -66,25 +51,3 @@ def let(value: Column, body) -> Column:
 
 def id_text(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
-
-
-def ranked(df: DataFrame, keys: list[str], order: list, small_keys: bool) -> tuple[DataFrame, DataFrame]:
-    """Adds ``rank``, 0-based among the rows of equal ``keys`` by ``order``, without gathering a key in one task.
-
-    Rows are range-partitioned by keys and order, so a hot key spreads over many tasks; each
-    partition's count of each key gives the offset of its rows.  ``small_keys`` says that the
-    number of distinct keys is bounded, so that keys + partitions rows may be broadcast.
-    Keys must not be null.  Returns the ranked rows and (keys, n), the count of each key.
-    """
-    n = partitions(df)
-    cols = [F.col(k) for k in keys]
-    rows = df.repartitionByRange(n, *cols, *order).sortWithinPartitions(*cols, *order)
-    rows = durable(rows.withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33).alias("_part")
-    runs = rows.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    runs = durable(runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))))
-    counts = runs.groupBy(*keys).agg(F.sum("_n").alias("n"))
-    side = runs.select(*keys, "_part", (F.col("_before") - F.col("_first")).alias("_shift"))
-    out = rows.withColumn("_part", part).join(F.broadcast(side) if small_keys else side, [*keys, "_part"])
-    return out.withColumn("rank", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift"), counts

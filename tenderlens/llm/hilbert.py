@@ -6,8 +6,10 @@ order is kept).  Rows are range-partitioned and sorted by curve index, and the g
 cut into runs whose counts differ by at most one (law ``rows``).  Nearby metadata thus falls in
 the same files, and file statistics prune on every dimension at once.
 
-Null metadata takes the lowest cell, null text has size 1 and checksum 0; equal rows may
-exchange places.  An empty table gives an empty result.
+Null metadata takes the lowest cell, null and empty texts have size 1 and checksum 0, very long
+texts are measured whole.  Ties on the curve go by doc_id, checksum and size, null doc_ids first;
+repeated rows take places of their own and may exchange them.  An empty table gives an empty
+result; columns besides doc_id, text and the chosen dimensions are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,8 +5,10 @@ Every line with a word is judged alone: it must hold the end of a sentence and n
 (boilerplate).  Failed lines go; a document that keeps too small a part of its word
 characters is rejected, and so is one that fails the base rules.
 
-Null text has no words and fails.  Repeated rows give equal rows.  Windows of five words are
-compared by a 64-bit hash.
+Null and empty texts have no words and fail; very long texts are read whole.  Null doc_ids pass
+through; repeated rows give equal rows; of equal lines or windows all but the first line count as
+copies, and all windows.  An empty table gives an empty result; columns besides doc_id and text
+are ignored, whatever their names.  Windows of five words are compared by a 64-bit hash.
 """
 
 from __future__ import annotations

@@ -7,9 +7,16 @@ documents of each exact length is chosen: a proportional share of every length,
 longest that fit, and a bounded-knapsack dynamic program over the last ``grid`` words, which
 finds the fullest reachable sum.  The documents of a length are then taken in seeded order.
 
-Work per source is bounded by its distinct lengths; documents get their seeded rank without
-gathering a source or a length in one task.  Null text has no words and takes nothing; repeated
-rows count as rows; reruns agree because the order depends on doc_id, text and seed only.
+Work per source is bounded by its distinct lengths, and the targets' windows hold one row per
+source; documents get their seeded rank without gathering a source or a length in one task.
+
+Null and empty texts have no words and take nothing; very long texts are counted whole and are
+chosen like others, so a source of few long texts may stay below its target by less than its
+shortest one.  Ties of the seed go by doc_id and checksum, null doc_ids first.  Repeated rows count
+as rows: they share what is taken of them equally, what is left going to the first by their other
+columns.  Reruns agree because the order depends on doc_id, text and seed only.  An empty table gives an
+empty result; ``mixed`` ignores columns besides doc_id, text and source, and ``take_mix`` keeps them
+all, whatever their names.
 """
 
 from __future__ import annotations
@@ -127,7 +134,7 @@ def take_mix(docs: DataFrame, **settings) -> DataFrame:
     # repeated rows share one plan row; each takes an equal part, the first ones what is left
     whole = F.floor(F.col("__mx_n") / F.col("__mx_rows")).cast("int")
     alone = rows.filter("__mx_rows = 1").withColumn("__mx_take", F.col("__mx_n"))
-    turn = F.row_number().over(W.partitionBy("__mx_id", "__mx_check").orderBy(F.lit(0)))
+    turn = F.row_number().over(W.partitionBy("__mx_id", "__mx_check").orderBy(F.to_json(F.struct(*docs.columns))))
     shared = rows.filter("__mx_rows > 1").withColumn("__mx_turn", turn).withColumn("__mx_take", whole + F.when(F.col("__mx_turn") <= F.col("__mx_n") % F.col("__mx_rows"), 1).otherwise(0)).drop("__mx_turn")
     both = alone.unionByName(shared).filter("__mx_take > 0")
     return both.withColumn("__mx_copy", F.explode(F.sequence(F.lit(1), F.col("__mx_take")))).select(*docs.columns)

@@ -8,7 +8,10 @@ go longest first into the pack with the most room, counting packs of equal patte
 Pieces get a rank among those of their length, and the patterns' rank intervals give each
 piece its sequence and offset, in batches, against a bounded table.
 
-Null and empty texts are one piece of one token.  Repeated rows are packed once per row.
+Null and empty texts are one piece of one token; very long texts become as many full pieces as
+they need.  Repeated rows are packed once per row, and equal ones may exchange places; ties of a
+length go by doc_id, start and checksum, null doc_ids among them.  An empty table gives an empty
+result; columns besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
