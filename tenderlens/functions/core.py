@@ -73,6 +73,11 @@ def word_list(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; two empty sets are equal."""
     both = F.size(F.array_union(a, b))

@@ -69,8 +69,9 @@ def leave_one_out(df: DataFrame, group: str, value: str, key: str) -> DataFrame:
 
 
 def canonical(cols: list[str]) -> Column:
-    """The text that an audit entry is sealed by: columns in the given order, nulls as empty."""
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    """The text that an audit entry is sealed by: columns in the given order, joined by bars; bars and backslashes within are escaped, null is \\N."""
+    escaped = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    return F.concat_ws("|", *[F.coalesce(escaped(c), F.lit("\\N")) for c in cols])
 
 
 def seal(df: DataFrame, key: str, order: str, cols: list[str]) -> DataFrame:

@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.core import WORDS, word_list
+from ..functions.storage import durable
 
 #: Redaction steps in order (fixed values).
 REDACTIONS = (
-    (r"[A-Z]{5}[0-9]{4}[A-Z]", "[PAN]"), (r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", "[ID]"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"), (r"(\+91[ -]?)?[6-9][0-9]{9}", "[PHONE]"), (r"[0-9]{9,18}", "[ACCOUNT]"),
-)
+    (r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", "[REDACTED PAN]"),
+    (r"\b[0-9]{4}\s?[0-9]{4}\s?[0-9]{4}\b", "[REDACTED AADHAAR]"),
+    (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{2,}\b", "[REDACTED EMAIL]"),
+    (r"\b(?:\+91|91)?\s?[6-9][0-9]{9}\b", "[REDACTED PHONE]"),
+    (r"\b[0-9]{9,18}\b", "[REDACTED BANK/ID]"),
+)
 
 
 def redact(text: Column) -> Column:
@@ -45,12 +49,120 @@ def stylometry(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return d.select(key, "ttr", "mean_sentence", F.when(F.col("k") > 1, square / F.when(F.col("k") > 1, F.col("k") - 1)).otherwise(0.0).alias("var_sentence"), *[rate(c).alias(n) for n, c in (("commas", ","), ("periods", "."), ("semicolons", ";"), ("colons", ":"), ("exclamations", "!"))])
 
 
-def keyword_hits(docs: DataFrame, keywords: DataFrame, key: str = "doc_id", cap: int = 3) -> DataFrame:
-    """(key, keyword, weight, hits) for a small keyword table; one expression per document and keyword, no shuffle."""
-    text = F.lower(F.col("text"))
-    rows = docs.select(key, text.alias("t")).crossJoin(F.broadcast(keywords))  # a fixed table of rules
-    hits = (F.char_length("t") - F.char_length(F.replace("t", F.col("keyword"), F.lit("")))) / F.char_length("keyword")
-    return rows.select(key, "keyword", "weight", F.least(F.lit(cap), hits.cast("bigint")).alias("hits")).filter("hits > 0")
+#: Risk words and their weights (fixed values).
+RISK_WORDS = {
+    "fraud": 40, "forged": 40, "fake": 40, "blacklisted": 35, "debarred": 35, "bankrupt": 30, "insolvent": 30, "insolvency": 30, "liquidated": 30,
+    "litigation": 25, "lawsuit": 25, "termination": 20, "breach": 20, "penalty": 15, "default": 15, "suspended": 10, "delay": 10,
+}
+
+
+def keyword_score(text: Column, words: dict[str, float] = RISK_WORDS, each: int = 3, most: float = 100.0) -> tuple[Column, Column]:
+    """(score, found words): weights times counts of at most ``each``, ``most`` in all; one expression, no join."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    score = F.least(F.lit(float(most)), sum((F.least(F.lit(each), count_of(low, w)) * float(k) for w, k in words.items()), F.lit(0.0)))
+    return score, F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), w) for w in words]))
+
+
+#: Groups of sustainability terms: most points, and (term, what it shows, points) (fixed values).
+ESG = (
+    (30, (("iso 14001", "ISO 14001", 15), ("iso 50001", "ISO 50001", 10), ("leed", "green building", 5), ("gri index", "GRI reporting", 5))),
+    (30, (("carbon footprint", "carbon footprint", 10), ("carbon offset", "carbon offset", 10), ("net zero", "net zero", 5), ("greenhouse gas", "GHG reporting", 5), ("ghg protocol", "GHG protocol", 5))),
+    (20, (("renewable energy", "renewable energy", 5), ("solar power", "renewable energy", 5), ("recycl", "recycling", 5), ("diversity", "diversity", 5), ("human rights", "human rights", 5))),
+    (20, (("anti-corruption", "anti-corruption", 5), ("anti-bribery", "anti-bribery", 5), ("whistleblower", "whistleblower", 5), ("iso 37001", "ISO 37001", 5), ("board diversity", "board diversity", 5))),
+)
+
+
+def esg_points(text: Column, groups=ESG, baseline: int = 15) -> Column:
+    """Points for sustainability; terms that show the same thing count once, a text without any gets the baseline, one under 10 characters nothing."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    total = F.lit(0)
+    for most, terms in groups:
+        shown = {what: (points, [t for t, w, _ in terms if w == what]) for _, what, points in terms}
+        total = total + F.least(F.lit(most), sum((F.when(flag(low, *ts), points).otherwise(0) for points, ts in shown.values()), F.lit(0)))
+    return F.when(F.char_length(F.trim(low)) < 10, 0).when(total == 0, baseline).otherwise(total).cast("int")
+
+
+#: Mandatory clauses and the words that show them (fixed values).
+CLAUSES = (
+    ("EMD / Bid Security", ("earnest money deposit", "bid security", "emd", "bid guarantee")),
+    ("Liquidated Damages Clause", ("liquidated damages", "ld clause", "penalty for delay", "delay damages")),
+    ("Integrity Pact / Anti-Corruption", ("integrity pact", "anti-corruption", "no bribery", "conflict of interest")),
+    ("Warranty / AMC Clause", ("warranty", "guarantee", "amc", "maintenance contract", "defect liability")),
+    ("MSME Preference Clause", ("msme", "micro small medium", "startup", "udyam", "msme preference")),
+    ("Make in India Preference", ("make in india", "local content", "mii preference", "domestic manufacturer")),
+    ("GST Compliance Requirement", ("gst", "goods and services tax", "gstin", "tax registration")),
+    ("Debarment / Blacklist Check", ("debarred", "blacklisted", "suspended vendor", "banned supplier", "negative list")),
+)
+
+
+def clause_compliance(text: Column, msme: Column, turnover: Column) -> Column:
+    """Mandatory clauses of a text as (met, pct, status, missing, flags, waivers); waivers are those of a small enterprise with that turnover in crore."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    met = sum((flag(low, *ws).cast("int") for _, ws in CLAUSES), F.lit(0))
+    pct = F.round(100.0 * met / len(CLAUSES), 1)
+    has = lambda *ws: flag(low, *ws)
+    flags = [
+        F.when(has("single bid", "single vendor"), "SINGLE-BID WARNING"),
+        F.when(has("nomination") & ~has("proprietary"), "NOMINATION BASIS"),
+        F.when(has("advance payment") & ~has("bank guarantee"), "ADVANCE PAYMENT WITHOUT BG"),
+    ]
+    waivers = [F.when(msme, "experience"), F.when(msme & (turnover != 0) & (turnover < 500), "turnover"), F.when(msme, "EMD")]
+    status = F.when(pct >= 90, "FULLY COMPLIANT").when(pct >= 70, "MOSTLY COMPLIANT").when(pct >= 50, "PARTIALLY COMPLIANT").otherwise("NON-COMPLIANT")
+    return F.struct(
+        met.alias("met"), pct.alias("pct"), status.alias("status"), F.array_compact(F.array(*[F.when(~flag(low, *ws), n) for n, ws in CLAUSES])).alias("missing"),
+        F.array_compact(F.array(*flags)).alias("flags"), F.array_compact(F.array(*waivers)).alias("waivers"),
+    )
+
+
+#: Document classes in order of precedence, with what a file name and what a text of the class holds (fixed values).
+DOCUMENT_CLASSES = (
+    ("Manufacturer Authorization Form (MAF)", ("MAF", "MANUFACTURER AUTHORIZATION", "AUTHORIZATION", "OEM AUTHORI"), ("WE HEREBY AUTHORIZE", "AUTHORIZED RESELLER", "MANUFACTURER AUTHORIZATION")),
+    ("CA Financial Net Worth Details", ("FINANCIAL", "BALANCE", "TURNOVER", "NETWORTH", "CA ", "AUDIT"), ("TURNOVER", "BALANCE SHEET", "NET WORTH", "CA CERTIFICATE", "UDIN")),
+    ("ISO & Quality Certifications", ("ISO", "CERT", "QUALITY", "BIS"), ("ISO 9001", "QUALITY MANAGEMENT SYSTEM", "BIS REGISTRATION")),
+    ("Past Work Experience Credentials", ("CREDENTIAL", "CREDENTIALS", " - PO", "PURCHASE ORDER", "WORK ORDER", "COMPLETION CERTIFICATE", "CONTRACT", "GEMC-"), ("PURCHASE ORDER", "WORK ORDER", "SUPPLY ORDER", "EXPERIENCE CERTIFICATE", "COMPLETION CERTIFICATE")),
+)
+OTHER_CLASS = "Annexure Compliance & Self Declarations"
+#: The flags of a document, one by one: what a file name and what a text holds (fixed values).
+DOCUMENT_FLAGS = {
+    "maf": (("MAF", "MANUFACTURER AUTHORIZATION", "AUTHORIZATION", "OEM AUTHORI", "OEM_AUTH"), ("MANUFACTURER AUTHORIZATION", "OEM AUTHORIZATION", "AUTHORIZATION LETTER", "WE HEREBY AUTHORIZE", "AUTHORIZED RESELLER", "AUTHORISED RESELLER", "MANUFACTURER'S AUTHORIZATION", "WE AUTHORIZE", "AUTHORISATION CERTIFICATE", "AUTHORIZATION CERTIFICATE")),
+    "credentials": (("CREDENTIAL", " - PO", "PURCHASE ORDER", "WORK ORDER", "COMPLETION CERTIFICATE", "CONTRACT", "GEMC-", "GEM CONTRACT"), ("PURCHASE ORDER", "WORK ORDER", "SUPPLY ORDER", "CONTRACT AGREEMENT", "EXPERIENCE CERTIFICATE", "CLIENT CERTIFICATE", "ENQUIRY CUM OFFER", "CONTRACT NO", "GEMC-", "GEM CONTRACT", "CONTRACTDETAILS", "ORDER VALUE", "SUPPLY OF", "EXECUTION CERTIFICATE", "COMPLETION CERTIFICATE", "PERFORMANCE CERTIFICATE", "CREDENTIAL")),
+    "annexure": (("ANNEX", "ATC", "COMPLIANCE", "DECLARATION"), ("ANNEXURE", "ATC COMPLIANCE", "TECHNICAL COMPLIANCE", "DEVIATION SHEET", "UNDERTAKING", "MAKE IN INDIA", "DECLARATION")),
+    "financials": (("FINANCIAL", "BALANCE", "TURNOVER", "NETWORTH", "CA ", "AUDIT", "ITR", "PROFIT", "LOSS"), ("TURNOVER", "BALANCE SHEET", "NET WORTH", "PROFIT & LOSS", "CHARTERED ACCOUNTANT", "AUDITED", "INCOME TAX", "TAX DETAILS", "ITR-V", "UDIN", "CA CERTIFICATE", "NETWORTH", "AUDITOR")),
+    "certificate": (("ISO", "CERT", "QUALITY", "BIS"), ("ISO 9001", "ISO CERTIFICATE", "QUALITY MANAGEMENT SYSTEM", "BIS REGISTRATION", "ROHS COMPLIANCE")),
+    "bid_bond": (("EMD", "BID BOND", "EARNEST", " BG "), ("EARNEST MONEY", "EMD", "BID BOND", "BANK GUARANTEE")),
+}
+#: Coarse classes by file name alone (fixed values).
+COARSE = (
+    ("compliance", ("MAF", "MANUFACTURER AUTHORIZATION", "AUTHORIZATION", "OEM AUTHORI", "OEM_AUTH")), ("contract", ("CREDENTIAL", " - PO", "PURCHASE ORDER", "WORK ORDER", "COMPLETION", "CONTRACT")),
+    ("technical", ("ANNEX", "ATC", "COMPLIANCE", "DECLARATION", "UNDERTAKING")), ("financial", ("FINANCIAL", "BALANCE", "TURNOVER", "NETWORTH", "CA ", "AUDIT", "ITR", "PROFIT", "LOSS")), ("compliance", ("ISO", "CERT", "QUALITY", "BIS")),
+)
+
+
+def document_class(name: Column, text: Column) -> Column:
+    """The class that a file name or, failing that, a text shows; the first in order of precedence."""
+    n, t = (F.upper(F.coalesce(c, F.lit(""))) for c in (name, text))
+    out = F
+    for label, names, words in DOCUMENT_CLASSES:
+        out = out.when(flag(n, *names) | flag(t, *words), label)
+    return out.otherwise(OTHER_CLASS)
+
+
+def document_flags(name: Column, text: Column) -> Column:
+    """Six independent flags; an order's words count as credentials only if the name says so or nothing else is shown."""
+    n, t = (F.upper(F.coalesce(c, F.lit(""))) for c in (name, text))
+    seen = {k: flag(n, *names) | flag(t, *words) for k, (names, words) in DOCUMENT_FLAGS.items()}
+    named = flag(n, *DOCUMENT_FLAGS["credentials"][0])
+    order = flag(t, "GEMC-", "GEM CONTRACT", "CONTRACT DETAILS", "CONTRACTDETAILS", "WORK ORDER NO", "PURCHASE ORDER NO", "SUPPLY ORDER NO", "AGREEMENT NO")
+    seen["credentials"] = named | order | (seen["credentials"] & ~seen["financials"] & ~seen["annexure"])
+    return F.struct(*[c.alias(k) for k, c in seen.items()])
+
+
+def coarse_class(name: Column) -> Column:
+    n = F.upper(F.coalesce(name, F.lit("")))
+    out = F
+    for label, names in COARSE:
+        out = out.when(flag(n, *names), label)
+    return out.otherwise("general")
 
 
 def shingles(docs: DataFrame, key: str, keep: Sequence[str] = (), size: int = 3) -> DataFrame:
@@ -64,23 +176,91 @@ def shingles(docs: DataFrame, key: str, keep: Sequence[str] = (), size: int = 3)
 def shingle_jaccard(docs: DataFrame, key: str, block: str, least: float, size: int = 3) -> DataFrame:
     """Pairs of one block whose shingle sets have a Jaccard index above ``least``, none lost.
 
-    Each document's shingles are ordered from the rarest; two sets with an index above ``least``
-    must meet in their first n - ceil(least * n) + 1 shingles, so common shingles hardly ever
-    pair anything.  Candidates are then counted exactly over all shingles.  Pass distinct texts:
-    copies of a text would only repeat its pairs.
+    Each document's shingles are ordered from the rarest.  The larger set of a pair with such an
+    index meets the smaller one among its first n - ceil(least * n) + 1 shingles and the smaller
+    one's first n - ceil(2 * least / (1 + least) * n) + 1, so common shingles hardly ever pair
+    anything; pairs whose sizes, or places of a shared shingle, rule the index out are left out,
+    and the others are counted over all shingles.  Pass distinct texts: copies of a text would only
+    repeat its pairs.
     """
-    s = shingles(docs, key, [block], size)
+    s = durable(shingles(docs, key, [block], size))
     frequency = s.groupBy(block, "shingle").agg(F.count(F.lit(1)).alias("df"))
     own = W.partitionBy(key)
     ranked = s.join(frequency, [block, "shingle"]).withColumn("n", F.count(F.lit(1)).over(own)).withColumn("place", F.row_number().over(own.orderBy("df", "shingle")))
-    prefix = ranked.filter((F.col("place") <= F.col("n") - F.ceil(least * F.col("n")) + 1) & (F.col("df") > 1))
-    a = prefix.select(block, "shingle", F.col(key).alias("a"), F.col("n").alias("na"))
-    b = a.withColumnRenamed("a", "b").withColumnRenamed("na", "nb")
-    near = F.least("na", "nb") >= least * F.greatest("na", "nb")
-    pairs = a.join(b, [block, "shingle"]).filter((F.col("a") < F.col("b")) & near).select("a", "na", "b", "nb").distinct()
+    head = lambda share: (F.col("place") <= F.col("n") - F.ceil(F.round(share * F.col("n"), 9)) + 1) & (F.col("df") > 1)
+    prefix = durable(ranked.filter(head(least)).withColumn("short", head(2 * least / (1 + least))))
+    side = lambda x: [block, "shingle", *[F.col(c).alias(f"{x}_{c}") for c in (key, "n", "place")]]
+    small_, large = prefix.filter("short").select(*side("s")), prefix.select(*side("l"))
+    ns, nl = F.col("s_n"), F.col("l_n")
+    ordered = (ns < nl) | ((ns == nl) & (F.col(f"s_{key}") < F.col(f"l_{key}")))
+    most = F.least(F.col("s_place"), F.col("l_place")) + F.least(ns - F.col("s_place"), nl - F.col("l_place"))
+    able = ordered & (ns >= least * nl) & ((1 + least) * most >= least * (ns + nl))
+    pairs = small_.join(large, [block, "shingle"]).filter(able)
+    ends = [F.least(f"s_{key}", f"l_{key}").alias("a"), F.greatest(f"s_{key}", f"l_{key}").alias("b"), (ns + nl).alias("both")]
+    pairs = durable(pairs.select(*ends).distinct())
     left = pairs.join(s.select(F.col(key).alias("a"), "shingle"), "a")
-    shared = left.join(s.select(F.col(key).alias("b"), "shingle"), ["b", "shingle"]).groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).filter(F.col("jaccard") > least)
+    shared = left.join(s.select(F.col(key).alias("b"), "shingle"), ["b", "shingle"]).groupBy("a", "b", "both").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.withColumn("jaccard", F.col("shared") / (F.col("both") - F.col("shared"))).filter(F.col("jaccard") > least).drop("both")
+
+
+def text_classes(docs: DataFrame, key: str, block: str, owner: str) -> DataFrame:
+    """(key, block, owner, class_id): equal texts of a block form a class, named by its least key."""
+    named = docs.select(key, block, owner, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("__h"))
+    least = named.groupBy(block, "__h").agg(F.min(key).alias("class_id"))
+    return named.join(least, [block, "__h"]).drop("__h")
+
+
+def plagiarism(docs: DataFrame, key: str, block: str, owner: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members) of texts that several owners share or nearly share within a block.
+
+    ``pairs``: (a, b, jaccard) of class representatives whose texts have an index above
+    ``least``, unless both classes belong to one and the same owner; a class that several owners
+    hold is a pair of its own (a = b, jaccard 1).  ``members``: one row per document with its
+    class and the class's number of such links.
+    """
+    classes = durable(text_classes(docs, key, block, owner))
+    owners = durable(classes.groupBy("class_id").agg(F.min(owner).alias("lo"), F.max(owner).alias("hi"), F.count(F.lit(1)).alias("copies")))
+    first = docs.join(owners.select(F.col("class_id").alias(key)), key, "left_semi")
+    p = shingle_jaccard(first, key, block, least)
+    p = p.join(owners.toDF("a", "alo", "ahi", "na"), "a").join(owners.toDF("b", "blo", "bhi", "nb"), "b")
+    one_owner = (F.col("alo") == F.col("ahi")) & (F.col("blo") == F.col("bhi")) & (F.col("alo") == F.col("blo"))
+    p = p.filter(~F.coalesce(one_owner, F.lit(False))).select("a", "b", "jaccard", "na", "nb")
+    own = owners.filter("lo != hi").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"), F.lit(1.0).alias("jaccard"), F.col("copies").alias("na"), F.col("copies").alias("nb"))
+    pairs = durable(p.unionByName(own))
+    links = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.filter("a != b").select(F.col("b").alias("class_id"))).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+    return pairs, classes.join(links, "class_id", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+
+
+def word_overlap(queries: DataFrame, rows: DataFrame, key: str, other: str) -> DataFrame:
+    """(key, other, jaccard) of the distinct words of each query's and each row's text, for those that share a word."""
+    words = lambda df, k: df.select(k, F.explode(F.array_distinct(word_list(F.col("text")))).alias("w"))
+    q, r = words(queries, key), words(rows, other)
+    size = lambda df, k, n: df.groupBy(k).agg(F.count(F.lit(1)).alias(n))
+    shared = q.join(r, "w").groupBy(key, other).agg(F.count(F.lit(1)).alias("shared"))
+    out = shared.join(size(q, key, "nq"), key).join(size(r, other, "nr"), other)
+    return out.select(key, other, (F.col("shared") / (F.col("nq") + F.col("nr") - F.col("shared"))).alias("jaccard"))
+
+
+#: Words of company names that don't tell companies apart, and single words that don't either (fixed values).
+LEGAL_WORDS = ("PRIVATE", "LIMITED", "LTD", "PVT", "TECHNOLOGY", "TECHNOLOGIES", "SERVICES", "SYSTEMS", "COMPUTERS", "ENTERPRISES", "LLP", "AND", "CO", "COMPANY")
+COMMON_NAMES = ("UNIQUE", "GLOBAL", "INDIA", "SMART", "BEST", "UNIVERSAL", "NEW", "ADVANCED")
+
+
+def name_key(name: Column) -> Column:
+    """What a mention of a company is known by: its first two telling words, or a single one of four letters and more; null without any."""
+    words = F.filter(F.transform(word_list(name), lambda w: F.upper(w)), lambda w: ~w.isin(*LEGAL_WORDS))
+    first = F.get(words, F.lit(0))
+    alone = F.when((F.char_length(first) >= 4) & ~first.isin(*COMMON_NAMES), first)
+    return F.when(F.size(words) >= 2, F.array_join(F.slice(words, 1, 2), " ")).when(F.size(words) == 1, alone)
+
+
+def mentions(docs: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
+    """(name's key, key) of the documents that mention a name: an equi-join on single words and neighbouring pairs of words."""
+    wanted = names.select(name, name_key(F.col("text")).alias("k")).filter("k is not null")
+    words = F.transform(word_list(F.col("text")), lambda w: F.upper(w))
+    pairs = F.when(F.size("ws") > 1, F.zip_with(F.slice("ws", F.lit(1), F.size("ws") - 1), F.slice("ws", F.lit(2), F.size("ws") - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    said = docs.select(key, words.alias("ws")).select(key, F.explode(F.array_distinct(F.concat("ws", F.coalesce(pairs, F.array().cast("array<string>"))))).alias("k"))
+    return said.join(wanted, "k").select(name, key)
 
 
 def bow_search(docs: DataFrame, query: str, key: str = "doc_id", least: float = 0.02, top: int = 10, boost: float = 0.5) -> DataFrame:
@@ -156,78 +336,8 @@ def flag(text: Column, *parts: str) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def first_match(text: Column, pattern: str, group: int = 1) -> Column:
-    """The group of the first match, or null."""
-    found = F.regexp_extract(text, pattern, group)
-    return F.when(found != "", found)
-
-
-def vendor_profile(text: Column) -> Column:
-    """Identity numbers, size class, certificates and finances named in a text."""
-    low = F.lower(text)
-    turnover = F.try_to_number(F.replace(first_match(low, r"turnover[^0-9]{0,40}([0-9][0-9,]*)"), F.lit(","), F.lit("")), F.lit("999999999999"))
-    unit = first_match(low, r"turnover[^0-9]{0,40}[0-9][0-9,]*(?:\.[0-9]+)?\s*(crore|lakh|million)")
-    crore = turnover.cast("double") * F.when(unit == "lakh", 0.01).when(unit == "million", 0.1).otherwise(1.0)
-    certificates = {"iso 9001": "ISO 9001", "iso 14001": "ISO 14001", "iso 27001": "ISO 27001", "ohsas": "OHSAS", "bis": "BIS", "ce mark": "CE", "rohs": "RoHS", "nabl": "NABL"}
-    return F.struct(
-        first_match(text, r"\b([0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z])\b").alias("gstin"), first_match(text, r"\b([A-Z]{5}[0-9]{4}[A-Z])\b").alias("pan"), first_match(text, r"(GEM/[0-9]{4}/[A-Z]/[0-9]+)").alias("gem_number"),
-        flag(low, "msme", "udyam", "micro and small").alias("msme"), F.when(flag(low, "micro"), "Micro").when(flag(low, "small"), "Small").when(flag(low, "medium"), "Medium").alias("msme_category"), flag(low, "make in india").alias("make_in_india"),
-        F.array_compact(F.array(*[F.when(flag(low, k), v) for k, v in certificates.items()])).alias("certifications"), crore.alias("turnover_crore"),
-        F.when(crore > 10, "Good").when(crore > 2, "Moderate").when(crore.isNotNull(), "Poor").alias("health"),
-    )
-
-
-def tender_rules(text: Column) -> Column:
-    """Requirements named in a tender as an array of (kind, value)."""
-    low = F.lower(text)
-    rule = lambda kind, value: F.when(value.isNotNull(), F.struct(F.lit(kind).alias("kind"), value.alias("value")))
-    years = first_match(low, r"([0-9]+)\+?\s*years?\s+(?:of\s+)?experience")
-    turnover = first_match(low, r"(?:minimum|annual)\s+turnover[^0-9]{0,40}([0-9]+(?:\.[0-9]+)?)")
-    certs = [rule("certification", F.when(flag(low, c), F.lit(c.upper()))) for c in ("iso 9001", "iso 14001", "iso 27001", "bis", "ce mark")]
-    return F.array_compact(F.array(rule("experience_years", years), rule("turnover", turnover), *certs))
-
-
-def thresholds(text: Column) -> Column:
-    """Experience tiers, turnover, relaxation and bid ids of a qualification text."""
-    low = F.lower(text)
-    share = lambda n: first_match(low, rf"{n}\s+(?:similar\s+)?(?:work\s+)?orders?[^0-9%]{{0,60}}([0-9]+)\s*%").cast("int")
-    return F.struct(
-        share("one").alias("one_order_pct"), share("two").alias("two_order_pct"), share("three").alias("three_order_pct"),
-        first_match(low, r"turnover[^0-9]{0,40}([0-9]+(?:\.[0-9]+)?)").cast("double").alias("turnover"), first_match(low, r"relaxation[^0-9%]{0,40}([0-9]+)\s*%").cast("int").alias("relaxation_pct"),
-        F.array_distinct(F.regexp_extract_all(text, F.lit(r"GEM/[0-9]{4}/[A-Z]/[0-9]+"), F.lit(0))).alias("bid_ids"),
-    )
-
-
-#: Lines that hold one of these are boilerplate for money (fixed values).
-MONEY_NOISE = ("page", "phone", "fax", "pin code", "gstin", "invoice no", "bank account", "ifsc")
-
-
-def monetary_values(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Amounts in lakhs from lines of text, near-equal ones (within 0.5) merged per document."""
-    number = r"([0-9][0-9,]*(?:\.[0-9]+)?)"
-    forms = ((rf"(?i)(?:rs\.?|inr|₹)\s*{number}\s*(?:crore|cr)\b", 100.0), (rf"(?i)(?:rs\.?|inr|₹)?\s*{number}\s*(?:lakh|lac)s?\b", 1.0), (rf"(?i)(?:rs\.?|inr|₹)\s*{number}(?!\s*(?:crore|cr|lakh|lac))", 0.00001), (rf"(?i){number}\s*(?:million|mn)\b", 10.0))
-    lines = docs.select(key, F.posexplode(F.split("text", "\n")).alias("line", "t")).filter(~flag(F.lower("t"), *MONEY_NOISE))
-    found = lines.select(key, "line", F.explode(F.concat(*[amounts(F.col("t"), p, k) for p, k in forms])).alias("lakhs"))
-    prev = F.lag("lakhs").over(W.partitionBy(key).orderBy("lakhs", "line"))
-    return found.withColumn("near", F.coalesce(F.col("lakhs") - prev <= 0.5, F.lit(False))).filter("not near").select(key, "line", "lakhs")
-
-
-def amounts(text: Column, pattern: str, scale: float) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v: F.replace(v, F.lit(","), F.lit("")).cast("double") * scale)
-
-
-def evidence(docs: DataFrame, keyword: str, key: str = "doc_id", around: int = 2, most: int = 400) -> DataFrame:
-    """The first line with the keyword, with its neighbours; confidence is high if an amount stands near."""
-    low = F.transform(F.split("text", "\n"), lambda s: F.lower(s))
-    d = docs.select(key, F.split("text", "\n").alias("ls"), F.array_position(F.transform(low, lambda s: F.contains(s, F.lit(keyword))), True).alias("at")).filter("at > 0")
-    first = F.greatest(F.lit(1), F.col("at") - around).cast("int")
-    snippet = F.substring(F.array_join(F.slice("ls", first, (F.col("at") + around - first + 1).cast("int")), "\n"), 1, most)
-    money = snippet.rlike(rf"(?is)({keyword}.{{0,50}}(rs|inr|₹|lakh|crore)|(rs|inr|₹|lakh|crore).{{0,50}}{keyword})")
-    return d.select(key, (F.col("at") - 1).cast("int").alias("line"), snippet.alias("snippet"), F.when(money, "high").otherwise("medium").alias("confidence"))
-
-
 def locate(quotes: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Document, page, line and heading of each quote (id, quote): the line that holds the quote's first words, else the best token overlap (three tokens and 40 %).
+    """Document, page, line and heading of each quote (id, quote): the line that holds the whole quote, else the best token overlap (three tokens and 40 %).
 
     Candidate lines come from an equi-join on words, never from all pairs.
     """
@@ -242,7 +352,7 @@ def locate(quotes: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame
     hit = lines.select(key, "line", F.explode(F.array_distinct(word_list(F.col("t")))).alias("w")).join(words.select("id", "w"), "w")
     overlap = hit.groupBy("id", key, "line").agg(F.count(F.lit(1)).alias("shared")).join(sizes, "id")
     good = overlap.filter((F.col("shared") >= F.least(F.lit(3), F.col("n"))) & (F.col("shared") >= 0.4 * F.col("n")))
-    full = good.join(lines, [key, "line"]).join(quotes, "id").withColumn("exact", F.contains(F.lower("t"), F.substring(F.lower("quote"), 1, 60)))
+    full = good.join(lines, [key, "line"]).join(quotes, "id").withColumn("exact", F.contains(F.lower("t"), F.lower("quote")))
     best = F.row_number().over(W.partitionBy("id").orderBy(F.desc("exact"), (F.col("shared") / F.col("n")).desc(), key, "line"))
     return full.withColumn("n_", best).filter("n_ = 1").select("id", key, "page", "line", "section", "exact", (F.col("shared") / F.col("n")).alias("overlap"))
 
@@ -260,23 +370,52 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+#: Quotes that claim nothing, policies that may be cited without a source, and what such a citation names (fixed values).
+PLACEHOLDERS = ("", "no evidence found", "no direct evidence found", "no evidence", "none", "null", "no citation", "unspecified", "not specified")
+POLICIES = ("gfr", "general financial rules", "cvc", "central vigilance commission", "gem", "government e-marketplace", "msme", "micro small", "udyam", "dpiit", "make in india", "mii", "indian contract act", "oisd")
+POLICY_PARTS = ("rule", "circular", "order", "act", "section", "sec", "clause", "2017", "2023", "2024", "2012")
+
+
 def citation_guard(quotes: DataFrame, docs: DataFrame, key: str = "doc_id", grams: int = 3) -> DataFrame:
-    """VERIFIED where a document holds the normalised quote; candidates share the quote's first words as one gram."""
-    q = quotes.select("id", normal(F.col("quote")).alias("q")).withColumn("gram", F.array_join(F.slice(F.split("q", " "), 1, grams), " "))
-    wanted = q.select("gram").distinct()
-    d = docs.select(key, normal(F.col("text")).alias("t")).withColumn("ws", F.split("t", " "))
-    g = d.select(key, "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - grams + 1, F.lit(1))), lambda i: F.array_join(F.slice("ws", i, grams), " ")))).alias("gram"))
-    hits = g.join(wanted, "gram").join(q, "gram").filter(F.contains("t", F.col("q"))).groupBy("id").agg(F.min(key).alias("found_in"))
-    return quotes.select("id").join(hits, "id", "left").select("id", F.when(F.col("found_in").isNull(), "HALLUCINATION_DETECTED").otherwise("VERIFIED").alias("verdict"), "found_in")
+    """(id, verdict, match, found_in): VERIFIED where a document holds the normalised quote, where it claims nothing, or where it names a known policy.
+
+    Candidates share the quote's first words (three, or all of a shorter quote); only then are
+    texts looked at, each once for each quote that it may hold.
+    """
+    q = quotes.select("id", F.coalesce(normal(F.col("quote")), F.lit("")).alias("q"), F.lower(F.trim(F.coalesce("quote", F.lit("")))).alias("low"))
+    asked = durable(q.filter("q != ''").select("id", "q", F.slice(F.split("q", " "), 1, grams).alias("ws")).select("id", "q", F.array_join("ws", " ").alias("gram"), F.size("ws").alias("size")))
+    sizes = [r["size"] for r in asked.select("size").distinct().collect()]  # at most ``grams`` numbers
+    d = docs.select(key, normal(F.col("text")).alias("t"))
+    words = F.split("t", " ")
+    last = lambda n: F.greatest(F.size("ws") - n + 1, F.lit(0))
+    of_size = lambda n: F.when(last(n) > 0, F.transform(F.sequence(F.lit(1), F.greatest(last(n), F.lit(1))), lambda i: F.array_join(F.slice("ws", i, n), " "))).otherwise(F.array().cast("array<string>"))
+    said = d.select(key, words.alias("ws")).select(key, F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *[of_size(n) for n in sizes]))).alias("gram"))
+    maybe = durable(said.join(asked, "gram").select(key, "id", "q").distinct())
+    hits = maybe.join(d, key).filter(F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.concat(F.lit(" "), "q", F.lit(" "))))
+    found = hits.groupBy("id").agg(F.min(key).alias("found_in"))
+    named = flag(F.col("low"), *POLICIES) & flag(F.col("low"), *POLICY_PARTS)
+    match = F.when(F.col("low").isin(*PLACEHOLDERS), "placeholder").when(F.col("found_in").isNotNull(), "verbatim").when(named, "policy")
+    out = q.join(found, "id", "left").select("id", match.alias("match"), "found_in")
+    return out.select("id", F.when(F.col("match").isNull(), "HALLUCINATION_DETECTED").otherwise("VERIFIED").alias("verdict"), "match", "found_in")
+
+
+#: Runs that scanned text shows where it was misread (fixed values).
+GARBAGE = ("|||", "|||", "...", "___", "===", "###", "***", "lll", "III", "111", "]]", "[[", "{{", "}}")
 
 
 def text_quality(text: Column) -> Column:
-    """0.3 alphanumeric share + 0.2 word length + 0.2 distinct words + 0.3 length, less garbage, between 0 and 1."""
-    n = F.char_length(text)
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    k = F.size(words)
-    letters = F.char_length(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
-    mean = letters / F.when(k > 0, k)
-    garbage = F.char_length(text) - F.char_length(F.regexp_replace(text, r"[#*$%&|<>]", ""))
-    score = 0.3 * letters / F.when(n > 0, n) + 0.2 * F.when(mean.between(3, 10), 1.0).otherwise(0.5) + 0.2 * F.size(F.array_distinct(words)) / F.when(k > 0, k) + 0.3 * F.least(F.lit(1.0), n / 1000) - garbage / F.when(n > 0, n)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), F.lit(0.0))
+    """0.3 share of letters, digits and spaces + 0.2 word length + 0.2 distinct words + 0.3 length (full at 500), less garbage, between 0 and 1.
+
+    Texts under 10 characters get 0.05, empty ones 0.
+    """
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    n = F.char_length(t).cast("double")
+    words = F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != "")
+    k = F.greatest(F.size(words), F.lit(1))
+    plain = F.char_length(F.regexp_replace(t, r"[^\p{L}\p{N}\s]", ""))
+    runs = sum((count_of(t, g) for g in GARBAGE), F.lit(0))
+    foreign = F.char_length(F.regexp_replace(t, r"[\x00-\x7F]", ""))
+    devanagari = F.char_length(F.regexp_replace(t, r"[^\x{0900}-\x{097F}]", ""))
+    penalty = F.when(runs > 5, F.least(0.02 * runs, F.lit(0.3))).otherwise(0.0) + F.when((foreign > 0.3 * n) & (devanagari < 0.5 * foreign), 0.15).otherwise(0.0)
+    score = 0.3 * plain / n + 0.2 * F.when((n / k).between(3, 12), 1.0).otherwise(0.5) + 0.2 * F.size(F.array_distinct(words)) / k + 0.3 * F.least(n / 500, F.lit(1.0)) - penalty
+    return F.when(n == 0, 0.0).when(n < 10, 0.05).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))

@@ -12,20 +12,13 @@ from ..operators import prices as P
 from ..operators import relational as R
 from .registry import query
 from .relational import GRUBBS, GRUBBS_SQL
+from .shared import exact
 
 
 def r(c, n=6):
     return F.round(c, n)
 
 
-#: Quotients of cents by quantities often end in 5 just beyond the last kept digit, where engines round apart; this moves them off.
-OFF = 0.000000314159
-
-
-def ro(c):
-    return F.round(F.col(c) + OFF, 6)
-
-
 @query("SELECT status, coalesce(avg(human), 0.0) AS avg_score, count(human) AS n FROM (SELECT human_action AS status, human_score AS human FROM decisions) GROUP BY 1")
 def agg_avg_count(t):
     return t.decisions().groupBy(F.col("human_action").alias("status")).agg(avg0(F.col("human_score")).alias("avg_score"), F.count("human_score").alias("n"))
@@ -137,11 +130,11 @@ classed AS (SELECT bid_id, tender_id, total_amount, n, q1, q2, q3, CASE WHEN n <
 """
 
 
-@query(f"WITH {FENCES} SELECT bid_id, tender_id, round(q1 + {OFF:.12f}, 6) AS q1, round(q2 + {OFF:.12f}, 6) AS q2, round(q3 + {OFF:.12f}, 6) AS q3, fence FROM classed")
+@query(f"WITH {FENCES} SELECT bid_id, tender_id, round((q1)::DECIMAL(38,12), 6)::DOUBLE AS q1, round((q2)::DECIMAL(38,12), 6)::DOUBLE AS q2, round((q3)::DECIMAL(38,12), 6)::DOUBLE AS q3, fence FROM classed")
 def tukey_fences(t):
     f = P.fences(t.bids(), "tender_id", "total_amount")
     out = t.bids().select("bid_id", "tender_id", "total_amount").join(f, "tender_id")
-    return out.select("bid_id", "tender_id", ro("q1").alias("q1"), ro("q2").alias("q2"), ro("q3").alias("q3"), P.fence_class(F.col("total_amount")).alias("fence"))
+    return out.select("bid_id", "tender_id", exact("q1").alias("q1"), exact("q2").alias("q2"), exact("q3").alias("q3"), P.fence_class(F.col("total_amount")).alias("fence"))
 
 
 GRUBBS_TEST = f"""
@@ -215,19 +208,22 @@ def cross_tender_cv(t):
     return v.select("vendor_id", "n", r("cv").alias("cv"), ladder(F.col("cv"), [(0.02, "CRITICAL"), (0.05, "HIGH"), (0.10, "MODERATE")], "LOW").alias("risk"))
 
 
-@query("SELECT tender_id, n, round(cv * 100, 6) AS cv_pct FROM (SELECT tender_id, count(*) AS n, stddev_samp(total_amount) / avg(total_amount) AS cv FROM bids WHERE total_amount > 0 AND delivery_period > 45 GROUP BY 1) WHERE n >= 3 AND cv > 0 AND cv < 0.1")
-def low_variance_tenders(t, most=0.1):
-    v = P.variation(t.bids().filter("delivery_period > 45"), ["tender_id"], "total_amount")
-    return v.filter((F.col("n") >= 3) & (F.col("cv") > 0) & (F.col("cv") < most)).select("tender_id", "n", r(F.col("cv") * 100).alias("cv_pct"))
+@query("""
+WITH v AS (SELECT tender_id, count(*) AS n, stddev_samp(total_amount) / avg(total_amount) AS cv FROM bids WHERE total_amount > 0 GROUP BY 1)
+SELECT tender_id, n, round(cv * 100, 6) AS cv_pct, cv > 0 AND cv < 0.01 AS low_variance FROM v WHERE n >= 3""")
+def low_variance_tenders(t, most=0.01):
+    """Tenders of three bids and more, with those whose bids vary by less than 1 % marked."""
+    v = P.variation(t.bids(), ["tender_id"], "total_amount").filter("n >= 3")
+    return v.select("tender_id", "n", r(F.col("cv") * 100).alias("cv_pct"), ((F.col("cv") > 0) & (F.col("cv") < most)).alias("low_variance"))
 
 
 @query(f"""
-SELECT tender_id, count(*) AS n, round(avg(total_amount), 6) AS mean, round(median(total_amount) + {OFF:.12f}, 6) AS median, round(coalesce(stddev_samp(total_amount), 0), 6) AS std, round(coalesce(stddev_samp(total_amount), 0) / avg(total_amount) * 100, 6) AS cv_pct, min(total_amount) AS low, max(total_amount) AS high,
- round(max(total_amount) - min(total_amount) + {OFF:.12f}, 6) AS spread, CASE WHEN count(*) > 10 THEN 'High' WHEN count(*) > 5 THEN 'Moderate' ELSE 'Low' END AS competition FROM bids WHERE NOT is_disqualified GROUP BY 1""")
+SELECT tender_id, count(*) AS n, round(avg(total_amount), 6) AS mean, round((median(total_amount))::DECIMAL(38,12), 6)::DOUBLE AS median, round(coalesce(stddev_samp(total_amount), 0), 6) AS std, round(coalesce(stddev_samp(total_amount), 0) / avg(total_amount) * 100, 6) AS cv_pct, min(total_amount) AS low, max(total_amount) AS high,
+ round((max(total_amount) - min(total_amount))::DECIMAL(38,12), 6)::DOUBLE AS spread, CASE WHEN count(*) > 10 THEN 'High' WHEN count(*) > 5 THEN 'Moderate' ELSE 'Low' END AS competition FROM bids WHERE NOT is_disqualified GROUP BY 1""")
 def tender_price_stats(t):
     x = F.col("total_amount")
     a = t.bids().filter("not is_disqualified").groupBy("tender_id").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.expr("percentile(total_amount, 0.5)").alias("median"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"))
-    return a.select("tender_id", "n", r("mean").alias("mean"), ro("median").alias("median"), r("std").alias("std"), r(F.col("std") / F.col("mean") * 100).alias("cv_pct"), "low", "high", F.round(F.col("high") - F.col("low") + OFF, 6).alias("spread"), above(F.col("n"), [(11, "High"), (6, "Moderate")], "Low").alias("competition"))
+    return a.select("tender_id", "n", r("mean").alias("mean"), exact("median").alias("median"), r("std").alias("std"), r(F.col("std") / F.col("mean") * 100).alias("cv_pct"), "low", "high", exact(F.col("high") - F.col("low")).alias("spread"), above(F.col("n"), [(11, "High"), (6, "Moderate")], "Low").alias("competition"))
 
 
 @query(f"""

@@ -12,6 +12,7 @@ from ..operators import prices as P
 from . import sequences as S
 from .aggregates import r
 from .registry import query
+from .shared import exact
 
 FEATURES = ["amount", "ratio", "period", "gap", "score", "trust"]
 MATRIX = """
@@ -27,9 +28,9 @@ def matrix(t):
     return L.impute(raw, FEATURES)
 
 
-@query(f"WITH {MATRIX} SELECT bid_id, round(ratio, 6) AS ratio, period, round(gap, 5) AS gap, round(score + 0.000000314159, 6) AS score FROM matrix")
+@query(f"WITH {MATRIX} SELECT bid_id, round(ratio, 6) AS ratio, period, round(gap, 5) AS gap, round((score)::DECIMAL(38,12), 6)::DOUBLE AS score FROM matrix")
 def bid_feature_matrix(t):
-    return matrix(t).select("bid_id", r("ratio").alias("ratio"), "period", r("gap", 5).alias("gap"), r(F.col("score") + 0.000000314159).alias("score"))
+    return matrix(t).select("bid_id", r("ratio").alias("ratio"), "period", r("gap", 5).alias("gap"), exact(F.col("score")).alias("score"))
 
 
 @query(f"""

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.core import compare, different, holds, jaccard, positive, same, word_list
+from ..functions.core import compare, different, holds, positive, same
 from ..operators import relational as R
+from ..operators import text as X
 from .registry import query
+from .shared import QCBS
 
 
 @query("SELECT doc_id, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source, coalesce(n_chars, 0) AS n_chars FROM documents")
@@ -142,17 +144,19 @@ def missing_documents(t):
     return R.missing_labels(t.documents(), required, "vendor_id", "doc_type")
 
 
-@query("""
-WITH words AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS w FROM documents), item AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS ws FROM benchmark)
-SELECT item_id, count(DISTINCT a.doc_id) AS mentions FROM item JOIN words a ON a.w = ws[1] JOIN words b ON b.w = ws[2] AND a.doc_id = b.doc_id GROUP BY 1""")
+_LEGAL = ", ".join(f"'{w}'" for w in X.LEGAL_WORDS)
+_COMMON = ", ".join(f"'{w}'" for w in X.COMMON_NAMES)
+
+
+@query(f"""
+WITH item AS (SELECT item_id, list_filter(regexp_extract_all(upper(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: w NOT IN ({_LEGAL})) AS ws FROM benchmark),
+k AS (SELECT item_id, CASE WHEN len(ws) >= 2 THEN ws[1] || ' ' || ws[2] WHEN len(ws[1]) >= 4 AND ws[1] NOT IN ({_COMMON}) THEN ws[1] END AS k FROM item),
+d AS (SELECT doc_id, regexp_extract_all(upper(text), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM documents),
+said AS (SELECT DISTINCT doc_id, unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS k FROM d)
+SELECT item_id, count(*) AS mentions FROM k JOIN said USING (k) GROUP BY 1""")
 def entity_mention_join(t):
-    words = t.documents().select("doc_id", F.explode(F.array_distinct(word_list(F.col("text")))).alias("w"))
-    item = t.raw("benchmark").select("item_id", word_list(F.col("text")).alias("ws")).select("item_id", F.get("ws", F.lit(0)).alias("w1"), F.get("ws", F.lit(1)).alias("w2"))
-    wanted = item.select(F.explode(F.array("w1", "w2")).alias("w")).distinct()
-    hits = words.join(F.broadcast(wanted), "w")  # two words of each item
-    first = hits.join(F.broadcast(item), hits["w"] == item["w1"]).select("doc_id", "item_id")
-    second = hits.join(F.broadcast(item), hits["w"] == item["w2"]).select("doc_id", "item_id")
-    return first.join(second, ["doc_id", "item_id"]).groupBy("item_id").agg(F.count_distinct("doc_id").alias("mentions"))
+    """Documents that mention a name (here: the items' texts as names), which is known by its first two telling words."""
+    return X.mentions(t.documents(), t.raw("benchmark"), "doc_id", "item_id").groupBy("item_id").agg(F.count(F.lit(1)).alias("mentions"))
 
 
 GRUBBS = [(3, 1.153), (4, 1.463), (5, 1.672), (6, 1.822), (7, 1.938), (8, 2.032), (9, 2.110), (10, 2.176), (12, 2.285), (15, 2.409), (20, 2.557), (25, 2.663), (30, 2.745), (40, 2.866), (50, 2.956), (100, 3.207)]
@@ -258,23 +262,31 @@ def insight_feed(t, as_of="1998-09-01", days=3):
 
 
 @query("""
-WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS s FROM benchmark)
-SELECT a.item_id AS a, b.item_id AS b, round(CASE WHEN len(list_distinct(a.s || b.s)) = 0 THEN 1.0 ELSE len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)) END, 6) AS jaccard FROM w a JOIN w b ON b.item_id = a.item_id + 1""")
+WITH w AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM w GROUP BY 1),
+s AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS k FROM w a JOIN w b USING (w) WHERE a.item_id % 100 = 0 AND a.item_id <> b.item_id GROUP BY 1, 2)
+SELECT a, b, round(k / (x.n + y.n - k), 6) AS jaccard FROM s JOIN n x ON x.item_id = a JOIN n y ON y.item_id = b""")
 def set_similarity(t):
-    w = t.raw("benchmark").select("item_id", F.array_distinct(word_list(F.col("text"))).alias("s"))
-    b = w.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("b"), F.col("s").alias("s2"))
-    return w.join(b, "item_id").select(F.col("item_id").alias("a"), "b", F.round(jaccard(F.col("s"), F.col("s2")), 6).alias("jaccard"))
-
-
-@query("""
-WITH c AS (SELECT bid_id, tender_id, vendor_name, total_amount, is_disqualified, msme, row_number() OVER (PARTITION BY tender_id ORDER BY is_disqualified, total_amount, bid_id) AS r FROM bid_fact)
-SELECT tender_id, CASE WHEN is_disqualified THEN 'DQ' ELSE r::VARCHAR END AS rank, bid_id, vendor_name, total_amount, CASE WHEN msme THEN 'Yes' ELSE 'No' END AS msme, CASE WHEN is_disqualified THEN 'Yes' ELSE 'No' END AS disqualified FROM c""")
+    """Every hundredth item as a query against all items, by the words they share."""
+    items = t.raw("benchmark").select("item_id", "text")
+    queries = items.filter("item_id % 100 = 0").withColumnRenamed("item_id", "a")
+    return X.word_overlap(queries, items.withColumnRenamed("item_id", "b"), "a", "b").filter("a != b").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query(f"""
+WITH {QCBS.strip()}, y AS (SELECT * FROM ranked JOIN vendors USING (vendor_id))
+SELECT tender_id, bid_id, CASE WHEN is_disqualified THEN 'DQ' WHEN rank IS NULL THEN '-' ELSE rank::VARCHAR END AS "Rank", vendor_name AS "Vendor Name", 'GEM-' || vendor_id::VARCHAR AS "GEM Reg No",
+  CASE WHEN msme THEN 'Yes' ELSE 'No' END AS "MSME", CASE WHEN make_in_india THEN 'Yes' ELSE 'No' END AS "Make in India", round((total_amount / 1.18)::DECIMAL(38,12), 4)::DOUBLE AS "Bid Amount",
+  round((total_amount - total_amount / 1.18)::DECIMAL(38,12), 4)::DOUBLE AS "Taxes", round((total_amount)::DECIMAL(38,12), 4)::DOUBLE AS "Total Amount", round((technical)::DECIMAL(38,12), 4)::DOUBLE AS "Technical Score", round((financial)::DECIMAL(38,12), 4)::DOUBLE AS "Financial Score",
+  round((composite)::DECIMAL(38,12), 4)::DOUBLE AS "Composite Score", status AS "Status", CASE WHEN is_disqualified THEN 'Disqualified' WHEN rank IS NULL THEN 'Below threshold' END AS "Disqualification Reason" FROM y""")
 def export_comparative_csv(t):
-    """The comparative sheet, written as CSV and read back."""
+    """The comparative sheet of 13 columns (after the tender's and the bid's id), written as CSV and read back."""
+    from ..operators.sequences import qcbs
     from ..sources.files import comparative_sheet, csv_round_trip
 
-    sheet = comparative_sheet(t.bid_fact())
-    return csv_round_trip(sheet)
+    rows = qcbs(t.bids(), t.bid_scores(), t.criteria()).join(t.vendors(), "vendor_id").withColumn("gem_reg_no", F.concat(F.lit("GEM-"), "vendor_id"))
+    rows = rows.withColumn("bid_amount", F.col("total_amount") / 1.18).withColumn("taxes", F.col("total_amount") - F.col("total_amount") / 1.18)
+    reason = F.when(F.col("is_disqualified"), "Disqualified").when(F.col("rank").isNull(), "Below threshold")
+    return csv_round_trip(comparative_sheet(rows.withColumn("disqualification_reason", reason)))
 
 
 @query()

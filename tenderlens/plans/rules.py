@@ -6,9 +6,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.core import above, count_if, ladder
+from ..functions.storage import ranked
+from ..operators import extraction as E
+from ..operators import rules as R
 from ..operators import text as X
-from .aggregates import OFF, r
+from .aggregates import r
 from .registry import query
+from .shared import exact
+from .text import CITED, MONEY, quoted, quotes, sql_any, sql_contains, sql_number
 
 OK = "ok AS (SELECT tender_id, avg(total_amount) AS mu, coalesce(stddev_samp(total_amount), 0) AS sd FROM bids WHERE NOT is_disqualified GROUP BY 1)"
 RISK = """
@@ -119,85 +124,115 @@ def profile_quick_score(t):
     return profiles(t).select("vendor_id", r(F.when(F.col("is_msme"), 0.7 * F.col("performance_score") + 0.3 * quick).otherwise(0.4 * F.col("performance_score") + 0.6 * quick)).alias("blended"))
 
 
-#: Procurement rules: id, evaluator, bound (fixed values).
-TENDER_RULES = [("R1", "min_bids", 3.0), ("R2", "price_deviation", 20.0), ("R3", "bid_gap", 0.5), ("R4", "msme_pct", 25.0), ("R5", "blacklist", 0.0), ("R6", "alb", 70.0), ("R7", "advisory", 0.0)]
-RULES_SQL = "trules(rule_id, kind, bound) AS (VALUES " + ", ".join(f"('{a}', '{b}', {c}::DOUBLE)" for a, b, c in TENDER_RULES) + ")"
+LAKH = 50.0  # the given tables' amounts are small: fifty stands for a lakh, so that every bound can be reached
+_CASES = {
+    "min_bids": f"CASE WHEN estimate >= {R.COMPETITION_FROM} AND n_bids < bound THEN 'VIOLATION' ELSE 'COMPLIANT' END",
+    "price_deviation_pct": f"CASE WHEN NOT (estimate > 0 AND l1 > 0) THEN 'NOT_EVALUATED' WHEN (l1 - estimate) / estimate * 100 > bound THEN 'VIOLATION' WHEN (l1 - estimate) / estimate * 100 < {R.LOW_PRICE_PCT} THEN 'WARNING' ELSE 'COMPLIANT' END",
+    "bid_gap_pct": "CASE WHEN n_paid < 2 THEN 'NOT_EVALUATED' WHEN min_gap < bound THEN 'VIOLATION' ELSE 'COMPLIANT' END",
+    "msme_pct": "CASE WHEN msme_pct < bound THEN 'WARNING' ELSE 'COMPLIANT' END",
+    "blacklist_check": "CASE WHEN blacklisted > 0 THEN 'VIOLATION' ELSE 'COMPLIANT' END",
+    "alb_pct": "CASE WHEN NOT (estimate > 0 AND l1 > 0) THEN 'NOT_EVALUATED' WHEN l1 / estimate * 100 < bound THEN 'VIOLATION' ELSE 'COMPLIANT' END",
+}
+_TABLE = ", ".join(f"('{i}', '{k}', {'NULL' if b is None else b}::DOUBLE, '{v}')" for i, _, k, b, v, _ in R.PROCUREMENT_RULES)
+_STATUS = "CASE kind " + " ".join(f"WHEN '{k}' THEN {c}" for k, c in _CASES.items()) + " ELSE 'ADVISORY' END"
 
 
 @query(f"""
-WITH {RULES_SQL}, g AS (SELECT *, (total_amount - lag(total_amount) OVER (PARTITION BY tender_id ORDER BY total_amount, bid_id)) / total_amount * 100 AS gap FROM bid_fact),
-c AS (SELECT tender_id, count(*)::DOUBLE AS min_bids, coalesce(stddev_samp(total_amount) / avg(total_amount) * 100, 0) AS price_deviation, coalesce(min(gap), 100) AS bid_gap, 100.0 * count(*) FILTER (msme) / count(*) AS msme_pct, count(*) FILTER (is_blacklisted)::DOUBLE AS blacklist, 100 * min(total_amount) / any_value(estimated_value) AS alb FROM g GROUP BY 1),
-v AS (SELECT tender_id, rule_id, CASE kind WHEN 'min_bids' THEN min_bids >= bound WHEN 'price_deviation' THEN price_deviation <= bound WHEN 'bid_gap' THEN bid_gap >= bound WHEN 'msme_pct' THEN msme_pct >= bound WHEN 'blacklist' THEN blacklist <= bound WHEN 'alb' THEN alb >= bound END AS ok FROM c, trules)
-SELECT tender_id, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (ok IS NULL) AS advisory, CASE WHEN count(*) FILTER (NOT ok) = 0 THEN 'COMPLIANT' WHEN count(*) FILTER (NOT ok) <= 2 THEN 'REVIEW' ELSE 'NON_COMPLIANT' END AS status FROM v GROUP BY 1""")
+WITH trules(rule_id, kind, bound, severity) AS (VALUES {_TABLE}),
+g AS (SELECT *, (total_amount - lag(total_amount) OVER w) / lag(total_amount) OVER w * 100 AS gap FROM bid_fact WINDOW w AS (PARTITION BY tender_id ORDER BY total_amount, bid_id)),
+c AS (SELECT tender_id, count(*) AS n_bids, count(*) FILTER (total_amount > 0) AS n_paid, round(any_value(estimated_value) / {LAKH}, 2) AS estimate, round(coalesce(min(total_amount) FILTER (NOT is_disqualified), 0) / {LAKH}, 2) AS l1,
+  round(100.0 * count(*) FILTER (msme) / count(*), 2) AS msme_pct, max(is_blacklisted::INT) AS blacklisted, coalesce(min(gap), 100) AS min_gap FROM g GROUP BY 1),
+v AS (SELECT tender_id, severity, {_STATUS} AS status FROM c, trules)
+SELECT tender_id, {", ".join(f"count(*) FILTER (status = '{n}') AS {n.lower()}" for n in ("VIOLATION", "WARNING", "ADVISORY", "COMPLIANT", "NOT_EVALUATED"))},
+  CASE WHEN count(*) FILTER (status = 'VIOLATION' AND severity IN ('CRITICAL', 'HIGH')) > 0 THEN 'NON-COMPLIANT' WHEN count(*) FILTER (status IN ('WARNING', 'ADVISORY')) > 0 THEN 'PARTIAL COMPLIANCE' ELSE 'COMPLIANT' END AS overall_status FROM v GROUP BY 1""")
 def procurement_rule_check(t):
-    v = rule_results(t)
-    a = v.groupBy("tender_id").agg(count_if(F.col("ok")).alias("passed"), count_if(~F.col("ok")).alias("failed"), count_if(F.col("ok").isNull()).alias("advisory"))
-    return a.withColumn("status", F.when(F.col("failed") == 0, "COMPLIANT").when(F.col("failed") <= 2, "REVIEW").otherwise("NON_COMPLIANT"))
-
-
-def rule_results(t):
-    prev = F.lag("total_amount").over(W.partitionBy("tender_id").orderBy("total_amount", "bid_id"))
-    g = t.bid_fact().withColumn("gap", (F.col("total_amount") - prev) / F.col("total_amount") * 100)
-    n = F.count(F.lit(1))
-    c = g.groupBy("tender_id").agg(
-        n.cast("double").alias("min_bids"), F.coalesce(F.stddev_samp("total_amount") / F.avg("total_amount") * 100, F.lit(0.0)).alias("price_deviation"), F.coalesce(F.min("gap"), F.lit(100.0)).alias("bid_gap"),
-        (100.0 * count_if(F.col("msme")) / n).alias("msme_pct"), count_if(F.col("is_blacklisted")).cast("double").alias("blacklist"), (100 * F.min("total_amount") / F.first("estimated_value")).alias("alb"),
-    )
-    rules = t.spark.createDataFrame(TENDER_RULES, "rule_id string, kind string, bound double")
-    ok, k = None, F.col("kind")
-    for kind, test in (("min_bids", "ge"), ("price_deviation", "le"), ("bid_gap", "ge"), ("msme_pct", "ge"), ("blacklist", "le"), ("alb", "ge")):
-        value = F.col(kind) >= F.col("bound") if test == "ge" else F.col(kind) <= F.col("bound")
-        ok = F.when(k == kind, value) if ok is None else ok.when(k == kind, value)
-    return c.crossJoin(F.broadcast(rules)).select("tender_id", "rule_id", "kind", ok.alias("ok"))  # seven rules
+    """All fifteen rules over every tender."""
+    return R.rule_summary(R.procurement_rules(R.tender_context(t.bid_fact(), LAKH)))
+
 
+#: What one, two or three orders must reach, and the turnover, in lakhs.
+NEEDED = {"one": 80.0, "two": 50.0, "three": 40.0, "turnover": 10.0}
+AUDIT = f"""
+{MONEY.strip()},
+text_ AS (SELECT doc_id, vendor_id, coalesce(text, '') AS t, upper(coalesce(text, '')) AS u, count(*) OVER (PARTITION BY vendor_id) AS files FROM bid_documents),
+audit_ AS (SELECT x.*, coalesce(a.vs, []) AS amounts, coalesce(o.vs, []) AS orders FROM text_ x LEFT JOIN money a ON a.doc_id = x.doc_id AND NOT a.near LEFT JOIN money o ON o.doc_id = x.doc_id AND o.near),
+elig AS (SELECT *, CASE WHEN len(list_filter(orders, lambda v: v >= {NEEDED["one"]})) >= 1 THEN 1 WHEN len(list_filter(orders, lambda v: v >= {NEEDED["two"]})) >= 2 THEN 2 WHEN len(list_filter(orders, lambda v: v >= {NEEDED["three"]})) >= 3 THEN 3 END AS option,
+  list_filter(amounts, lambda v: v >= {NEEDED["turnover"]} AND v < 50000) AS reached FROM audit_),
+eligible AS (SELECT *, CASE WHEN option IS NULL THEN 'FAIL' ELSE 'PASS' END AS experience, reached[1] AS max_turnover, CASE WHEN len(reached) > 0 THEN 'PASS' WHEN {sql_any(E.FILINGS)} THEN 'PASS (With Risk)' ELSE 'FAIL' END AS turnover,
+  CASE WHEN {sql_any(E.NET_WORTH)} AND {sql_any(E.NEGATIVE)} THEN 'FAIL' WHEN {sql_any(E.NET_WORTH)} THEN 'PASS' ELSE 'PASS (With Risk)' END AS net_worth,
+  CASE WHEN {sql_any(E.AUTHORIZATION)} THEN 'PASS' ELSE 'FAIL' END AS maf, CASE WHEN {sql_any(E.QUALITY)} THEN 'PASS' ELSE 'FAIL' END AS iso FROM elig)"""
 
-@query()
+
+@query(f"WITH {AUDIT.strip()} SELECT doc_id, experience, option AS experience_option, max_turnover, turnover, net_worth, maf, iso FROM eligible")
 def eligibility_audit(t):
-    """One-, two- and three-order options, turnover and certificates of each document from its amounts and words."""
-    m = X.monetary_values(t.documents()).groupBy("doc_id").agg(F.array_sort(F.collect_list("lakhs")).alias("v"), F.max("lakhs").alias("max_turnover"))
-    low = F.lower("text")
-    d = t.documents().select("doc_id", X.flag(low, "iso").alias("iso"), X.flag(low, "authorization", "maf").alias("maf"), X.flag(low, "net worth").alias("net_worth"))
-    at = lambda n: F.size(F.filter("v", lambda x: x >= n))
-    return d.join(m, "doc_id", "left").select("doc_id", "iso", "maf", "net_worth", "max_turnover", F.coalesce((at(80) >= 1) | (at(50) >= 2) | (at(40) >= 3), F.lit(False)).alias("experience"))
+    e = E.eligibility(F.col("text"), *map(F.lit, NEEDED.values()))
+    return t.documents().select("doc_id", e.alias("e")).select("doc_id", "e.*")
+
 
+def sql_spec(column: str) -> list[str]:
+    """A null for each shown parameter, else its name."""
+    ratio = lambda n: f" OR len(list_filter(regexp_extract_all({column}, '{E.CONTRAST}', 1), lambda v: {sql_number('v')} >= {E.CONTRASTS[n]})) > 0" if n in E.CONTRASTS else ""
+    return [f"CASE WHEN NOT (regexp_matches({column}, '{quoted(p)}'){ratio(n)}) THEN '{quoted(n)}' END" for n, p in E.SPECIFICATION]
 
-#: Parameters of a specification and the patterns that show them (fixed values).
-SPEC = [("version", r"version [0-9]"), ("address", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), ("contact", r"@[a-z]"), ("licence", r"(?i)licens"), ("phone", r"\+[0-9]{2}")]
 
+def missing_sql(column: str) -> str:
+    return "list_filter([" + ", ".join(sql_spec(column)) + "], lambda x: x IS NOT NULL)"
 
-@query("SELECT doc_id, list_aggregate(list_filter([" + ", ".join(f"CASE WHEN NOT regexp_matches(text, '{p}') THEN '{n}' END" for n, p in SPEC) + "], lambda x: x IS NOT NULL), 'string_agg', ',') AS missing FROM documents")
+
+@query(f"SELECT doc_id, array_to_string(m, '; ') AS missing, len(m) AS lacking FROM (SELECT doc_id, {missing_sql('t')} AS m FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))")
 def spec_checklist(t):
-    missing = F.array_compact(F.array(*[F.when(~F.col("text").rlike(p), n) for n, p in SPEC]))
-    return t.documents().select("doc_id", F.when(F.size(missing) > 0, F.array_join(missing, ",")).alias("missing"))
+    m = t.documents().select("doc_id", E.missing_parameters(F.col("text")).alias("m"))
+    return m.select("doc_id", F.array_join("m", "; ").alias("missing"), F.size("m").cast("bigint").alias("lacking"))
 
 
-#: Qualification rules and their weights (fixed values).
-PQC_RULES = [("experience", 25), ("turnover", 20), ("maf", 15), ("iso", 15), ("spec", 10), ("net_worth", 10), ("contact", 3), ("size", 2)]
+_WEIGHTS = {r: w for r, _, w in E.PQC_RULES}
+_SMALL = f"regexp_matches(u, '{quoted(E.SMALL_ENTERPRISE)}')"
+_STARTUP = f"(contains(u, '{E.STARTUP}') OR contains(u, 'CERTIFICATE OF RECOGNITION') AND contains(u, 'DEPARTMENT FOR PROMOTION'))"
+_VERDICTS = {
+    "R1": f"CASE WHEN {_SMALL} OR {_STARTUP} THEN 'PASS (Waiver)' ELSE experience END", "R2": f"CASE WHEN {_SMALL} OR {_STARTUP} THEN 'PASS (Waiver)' ELSE turnover END", "R3": "net_worth", "R4": "maf", "R5": "iso",
+    "R6": f"CASE WHEN len(u) > 100 AND len({missing_sql('u')}) = 0 THEN 'PASS' ELSE 'FAIL' END", "R7": "CASE WHEN files >= 3 THEN 'PASS' ELSE 'ADVISORY' END",
+    "R8": f"CASE WHEN {sql_any(E.DEPOSIT_PROOF)} OR {_SMALL} OR {_STARTUP} THEN 'PASS' ELSE 'FAIL' END",
+}
+_SCORE = "CASE WHEN contains(status, 'Risk') THEN CASE rule WHEN 'R2' THEN 15 WHEN 'R3' THEN 10 ELSE weight END WHEN starts_with(status, 'PASS') THEN weight WHEN status = 'ADVISORY' THEN 2 ELSE 0 END"
+#: (doc_id, rule, weight, status, score) of every document.
+PQC = f"""{AUDIT.strip()},
+verdicts AS ({" UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule, {_WEIGHTS[r]} AS weight, {v} AS status FROM eligible" for r, v in _VERDICTS.items())}),
+pqc AS (SELECT *, {_SCORE} AS score FROM verdicts)"""
 
 
-@query()
-def pqc_evaluate(t):
-    return pqc(t).select("doc_id", "rule", "weight", "status")
+def submissions(t):
+    """Documents with the number of their vendor's documents."""
+    return t.documents().withColumn("files", F.count(F.lit(1)).over(W.partitionBy("vendor_id")))
 
 
 def pqc(t):
-    """One row per document and qualification rule; a small vendor's turnover and experience are waived."""
-    e, s = eligibility_audit(t), spec_checklist(t)
-    d = t.documents().join(t.vendors().select("vendor_id", "msme", "startup"), "vendor_id").join(e, "doc_id").join(s, "doc_id")
-    waived = F.col("msme") | F.col("startup")
-    checks = {"experience": F.col("experience"), "turnover": F.coalesce(F.col("max_turnover") > 10, F.lit(False)), "maf": F.col("maf"), "iso": F.col("iso"), "spec": F.col("missing").isNull(), "net_worth": F.col("net_worth"), "contact": F.contains("text", F.lit("@")), "size": F.char_length("text") >= 300}
-    status = {k: F.when(c, "PASS").when(waived & F.lit(k in ("experience", "turnover")), "WAIVED").otherwise("FAIL") for k, c in checks.items()}
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(w).alias("weight"), status[k].alias("status")) for k, w in PQC_RULES])).alias("x")
-    return d.select("doc_id", "vendor_id", rows).select("doc_id", "vendor_id", "x.rule", "x.weight", "x.status")
+    return R.qualify(submissions(t), "doc_id", *NEEDED.values())
 
 
-@query("""
-WITH d AS (SELECT doc_id, vendor_id, 100.0 - doc_id % 50 AS compliance, CASE WHEN len(text) < 300 THEN 60 ELSE 95 END AS forensic FROM bid_documents), x AS (SELECT doc_id, 0.30 * compliance + 0.25 * forensic + 0.25 * performance_score + 0.20 * (CASE WHEN msme THEN 80 ELSE 70 END) AS score FROM d JOIN vendors USING (vendor_id))
-SELECT doc_id, round(score, 6) AS score, CASE WHEN score >= 85 THEN 'LOW' WHEN score >= 65 THEN 'MEDIUM' WHEN score >= 40 THEN 'HIGH' ELSE 'CRITICAL' END AS level, round(0.7 * score + 0.3 * forensic, 6) AS confidence FROM x JOIN d USING (doc_id)""")
+@query(f"WITH {PQC} SELECT doc_id, rule, weight, status, score FROM pqc")
+def pqc_evaluate(t):
+    return pqc(t).select("doc_id", "rule", "weight", "status", "score")
+
+
+_ANOMALIES = "((len(t) < 300)::INT + contains(lower(t), 'draft')::INT)"
+
+
+@query(f"""
+WITH {PQC}, p AS (SELECT doc_id, sum(score) AS points, sum(weight) AS most, {", ".join(f"max(status) FILTER (rule = '{r}') AS {r}" for r in _WEIGHTS)} FROM pqc GROUP BY 1),
+f AS (SELECT p.*, files, {_ANOMALIES} AS anomalies, 95 AS auth, least(1.0, len(t) / 2000) AS quality FROM p JOIN text_ USING (doc_id)),
+a AS (SELECT *, round(100 * points / most)::INT AS compliance, greatest(10, least(100, auth - 10 * anomalies - CASE WHEN files < 3 THEN 15 ELSE 0 END)) AS forensic,
+  CASE WHEN R2 = 'FAIL' OR R3 = 'FAIL' THEN 25 WHEN contains(R3, 'Risk') THEN 70 ELSE 95 END AS financial,
+  greatest(10, 100 - CASE WHEN R6 = 'FAIL' THEN 45 ELSE 0 END - CASE WHEN R4 = 'FAIL' THEN 35 ELSE 0 END - CASE WHEN R5 <> 'PASS' THEN 10 ELSE 0 END) AS technical,
+  CASE WHEN 'FAIL' IN (R2, R3, R4, R6, R8) THEN 'Rejected' WHEN R1 = 'FAIL' THEN 'Experience not substantiated' ELSE 'Accepted' END AS verdict FROM f),
+o AS (SELECT *, round((30 * compliance + 25 * forensic + 25 * financial + 20 * technical) / 100)::INT AS overall FROM a)
+SELECT doc_id, compliance, forensic, financial, technical, greatest(10, 98 - 15 * anomalies - CASE WHEN verdict = 'Rejected' THEN 25 ELSE 0 END - CASE WHEN files < 3 THEN 10 ELSE 0 END) AS collusion_safe,
+  overall, CASE WHEN overall >= 85 THEN 'LOW' WHEN overall >= 65 THEN 'MEDIUM' WHEN overall >= 40 THEN 'HIGH' ELSE 'CRITICAL' END AS level, verdict, greatest(10, least(100, round(0.7 * overall + 30 * round(quality, 3))))::INT AS confidence FROM o""")
 def pqc_risk_profile(t):
-    d = t.documents().join(t.vendors(), "vendor_id").select("doc_id", (100.0 - F.col("doc_id") % 50).alias("c"), F.when(F.char_length("text") < 300, 60).otherwise(95).alias("f"), "performance_score", "msme")
-    x = d.withColumn("s", 0.30 * F.col("c") + 0.25 * F.col("f") + 0.25 * F.col("performance_score") + 0.20 * F.when(F.col("msme"), 80).otherwise(70))
-    return x.select("doc_id", r("s").alias("score"), above(F.col("s"), [(85, "LOW"), (65, "MEDIUM"), (40, "HIGH")], "CRITICAL").alias("level"), r(0.7 * F.col("s") + 0.3 * F.col("f")).alias("confidence"))
+    """Risk profile of each document as a submission: its qualification, short and draft texts as anomalies, and its length as reading quality."""
+    text = F.coalesce("text", F.lit(""))
+    anomalies = (F.char_length(text) < 300).cast("int") + X.flag(F.lower(text), "draft").cast("int")
+    forensic = submissions(t).select("doc_id", "files", anomalies.alias("anomalies"), F.lit(95).alias("authenticity"), F.least(F.lit(1.0), F.char_length(text) / 2000).alias("quality"))
+    return R.risk_profile(pqc(t).join(forensic, "doc_id"), "doc_id")
 
 
 @query("""
@@ -224,16 +259,13 @@ def three_way_match(t):
 
 
 @query("""
-WITH f AS (SELECT po_id, count(*) AS failed FROM deliveries WHERE inspection = 'Failed' GROUP BY 1), x AS (SELECT po_id, vendor_id, po_value, failed, CASE WHEN po_id % 3 = 0 THEN 0.75 ELSE 0.5 END AS pct FROM purchase_orders JOIN f USING (po_id))
-SELECT vendor_id, sum(failed)::BIGINT AS failed, round(sum(po_value * pct / 100) + 0.0000314159, 4) AS penalty, round(any_value(performance_score) - 10 * sum(failed), 4) AS score, any_value(performance_score) - 10 * sum(failed) < 40 AS blacklist FROM x JOIN vendors USING (vendor_id) GROUP BY 1""")
+WITH f AS (SELECT po_id, count(*) AS failed FROM deliveries WHERE inspection = 'Failed' GROUP BY 1), x AS (SELECT vendor_id, failed, po_value * coalesce(TRY_CAST(nullif(regexp_extract(priority, '([0-9]+(?:\\.[0-9]+)?)\\s*%', 1), '') AS DOUBLE), 0.5) / 100 AS penalty FROM purchase_orders JOIN f USING (po_id))
+SELECT vendor_id, sum(failed)::BIGINT AS failed, round((sum(penalty))::DECIMAL(38,12), 4)::DOUBLE AS penalty, round(any_value(performance_score) - 10 * sum(failed), 4) AS score, any_value(performance_score) - 10 * sum(failed) < 40 AS blacklist FROM x JOIN vendors USING (vendor_id) GROUP BY 1""")
 def ld_penalty(t):
-    clause = F.when(F.col("po_id") % 3 == 0, F.lit("damages of 0.75% per week")).otherwise(F.lit("liquidated damages apply"))
-    pct = F.coalesce(F.try_to_number(X.first_match(clause, r"([0-9]+\.[0-9]+)\s*%"), F.lit("9.99")).cast("double"), F.lit(0.5))
-    f = t.deliveries().filter("inspection = 'Failed'").groupBy("po_id").agg(F.count(F.lit(1)).alias("failed"))
-    x = t.purchase_orders().join(f, "po_id").withColumn("penalty", F.col("po_value") * pct / 100)
-    a = x.groupBy("vendor_id").agg(F.sum("failed").alias("failed"), F.sum("penalty").alias("penalty")).join(t.vendors().select("vendor_id", "performance_score"), "vendor_id")
-    score = F.col("performance_score") - 10 * F.col("failed")
-    return a.select("vendor_id", "failed", r(F.col("penalty") + 0.0000314159, 4).alias("penalty"), r(score, 4).alias("score"), (score < 40).alias("blacklist"))
+    """Damages of orders with failed deliveries; the given orders name no clause (the priority stands for it), so the default rate holds."""
+    failed = t.deliveries().filter("inspection = 'Failed'").groupBy("po_id").agg(F.count(F.lit(1)).alias("failed"))
+    d = R.damages(t.purchase_orders(), failed, t.vendors(), clause="priority")
+    return d.select("vendor_id", "failed", exact("penalty", 4).alias("penalty"), r("score", 4).alias("score"), "blacklist")
 
 
 @query("SELECT event_id, CASE WHEN regexp_matches(lower(details), '[05]') THEN 75 ELSE 0 END AS refund_pct, round(value * CASE WHEN regexp_matches(lower(details), '[05]') THEN 0.75 ELSE 0 END, 4) AS refund FROM audit WHERE action = 'purchase'")
@@ -262,11 +294,11 @@ def vendor_esg_scorecard(t):
 
 
 @query("""
-SELECT tender_id, count(*) AS bids, round((any_value(estimated_value) - min(total_amount)) / any_value(estimated_value) * 100, 6) AS savings_pct, round(avg(performance_score) + 0.000000314159, 6) AS trust, round(100.0 * count(DISTINCT country) / count(*), 6) AS geo_spread, round(avg(score_1) + 0.000000314159, 6) AS technical, count(*) FILTER (total_amount > 1.3 * estimated_value OR total_amount < 0.7 * estimated_value) AS anomalies FROM bid_fact GROUP BY 1""")
+SELECT tender_id, count(*) AS bids, round((any_value(estimated_value) - min(total_amount)) / any_value(estimated_value) * 100, 6) AS savings_pct, round((avg(performance_score))::DECIMAL(38,12), 6)::DOUBLE AS trust, round(100.0 * count(DISTINCT country) / count(*), 6) AS geo_spread, round((avg(score_1))::DECIMAL(38,12), 6)::DOUBLE AS technical, count(*) FILTER (total_amount > 1.3 * estimated_value OR total_amount < 0.7 * estimated_value) AS anomalies FROM bid_fact GROUP BY 1""")
 def tender_dossier(t):
     odd = (F.col("total_amount") > 1.3 * F.col("estimated_value")) | (F.col("total_amount") < 0.7 * F.col("estimated_value"))
     n, est = F.count(F.lit(1)), F.first("estimated_value")
-    return t.bid_fact().groupBy("tender_id").agg(n.alias("bids"), r((est - F.min("total_amount")) / est * 100).alias("savings_pct"), r(F.avg("performance_score") + OFF).alias("trust"), r(100.0 * F.count_distinct("country") / n).alias("geo_spread"), r(F.avg("score_1") + OFF).alias("technical"), count_if(odd).alias("anomalies"))
+    return t.bid_fact().groupBy("tender_id").agg(n.alias("bids"), r((est - F.min("total_amount")) / est * 100).alias("savings_pct"), exact(F.avg("performance_score")).alias("trust"), r(100.0 * F.count_distinct("country") / n).alias("geo_spread"), exact(F.avg("score_1")).alias("technical"), count_if(odd).alias("anomalies"))
 
 
 @query("SELECT bid_id, delivery_period, CASE WHEN delivery_period <= 10 THEN 'LOW' WHEN delivery_period <= 25 THEN 'MODERATE' WHEN delivery_period <= 40 THEN 'HIGH' ELSE 'CRITICAL' END AS risk FROM bids")
@@ -276,14 +308,16 @@ def delivery_risk(t, steps=(10, 25, 40)):
 
 
 @query("""
-WITH e AS (SELECT event_id, value, event_id % 120 + 1 AS fps, (event_id * 31) % 400 AS age, event_id % 17 = 0 AS virtual FROM audit), m AS (SELECT *, CASE WHEN virtual THEN 0 ELSE greatest(0, 100 - 50 * (fps < 8)::INT - 40 * (age > 300)::INT) END AS integrity, least(100, value) AS live FROM e)
-SELECT event_id, round(0.6 * live + 0.4 * integrity, 6) AS score, 0.6 * live + 0.4 * integrity < 85 AS failed FROM m""")
+WITH e AS (SELECT event_id, least(100, value) AS live, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS age, action = 'error' AS virtual FROM audit),
+s AS (SELECT event_id, 0.6 * live + 0.4 * CASE WHEN virtual THEN 0 ELSE 100 - CASE WHEN floor(age) > 300 THEN 40 ELSE 0 END END AS score FROM e)
+SELECT event_id, round(score, 6) AS score, score < 85 AS failed FROM s""")
 def identity_check_score(t):
-    """Liveness and metadata integrity of check requests (here: one per event)."""
-    e = t.audit().select("event_id", F.least(F.lit(100.0), F.col("value")).alias("live"), (F.col("event_id") % 120 + 1).alias("fps"), (F.col("event_id") * 31 % 400).alias("age"), (F.col("event_id") % 17 == 0).alias("virtual"))
-    integrity = F.when(F.col("virtual"), 0).otherwise(F.greatest(F.lit(0), 100 - F.when(F.col("fps") < 8, 50).otherwise(0) - F.when(F.col("age") > 300, 40).otherwise(0)))
-    score = 0.6 * F.col("live") + 0.4 * integrity
-    return e.select("event_id", r(score).alias("score"), (score < 85).alias("failed"))
+    """Requests (here: events) by their value as liveness, seconds since the user's last one as age, and failed actions as virtual devices."""
+    before = F.lag(F.unix_micros("ts")).over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    e = t.audit().withColumn("age", F.floor((F.unix_micros("ts") - before) / 1_000_000))
+    none = F.lit(None).cast("int")
+    score, failed = R.identity_check(F.least(F.lit(100.0), F.col("value")), none, none, none, F.col("age"), F.col("action") == "error", F.lit(False))
+    return e.select("event_id", r(score).alias("score"), failed.alias("failed"))
 
 
 INDENT_CRITERIA = [("Technical", 40), ("Experience", 20), ("Delivery", 15), ("Compliance", 15), ("Sustainability", 10)]
@@ -295,22 +329,39 @@ def indent_to_tender(t):
     return t.tenders().filter("tender_status = 'Draft'").crossJoin(F.broadcast(rows)).select("tender_id", r(0.02 * F.col("estimated_value")).alias("emd"), "criteria", "weight")  # five rows
 
 
-@query()
+def sql_evidence(words) -> str:
+    """A structure (line, snippet, confidence) of the column t."""
+    word = r"\b(?:" + "|".join(words) + r")\b"
+    at = f"list_position(list_transform(string_split(t, chr(10)), lambda x: regexp_matches(x, '(?i){word}')), true)"
+    return f"(SELECT {{'pos': pos, 's': regexp_replace(array_to_string(string_split(t, chr(10))[greatest(1, pos - 2):pos + 2], chr(10)), '^\\s+|\\s+$', '', 'g')}} FROM (SELECT {at} AS pos))"
+
+
+def sql_evidence_columns(words, e: str = "e") -> str:
+    word = r"\b(?:" + "|".join(words) + r")\b"
+    near = rf"(?i){word}[\s\S]{{0,50}}{R.MONEY}|{R.MONEY}[\s\S]{{0,50}}{word}"
+    short = f"CASE WHEN len({e}.s) > 400 THEN substr({e}.s, 1, 397) || '...' ELSE {e}.s END"
+    return f"CASE WHEN {e}.pos > 0 THEN {e}.pos - 1 END AS line, CASE WHEN {e}.pos > 0 THEN {short} END AS snippet, CASE WHEN coalesce({e}.pos, 0) = 0 THEN 'low' WHEN regexp_matches({e}.s, '{near}') THEN 'high' ELSE 'medium' END AS confidence"
+
+
+_PROOF = " UNION ALL ".join(f"SELECT doc_id, '{rule}' AS rule, '{need}' AS need, '{grave}' AS grave, {sql_evidence_columns(words)} FROM (SELECT doc_id, {sql_evidence(words)} AS e FROM text_)" for rule, need, words, grave in R.NEEDS)
+
+
+@query(f"""
+WITH {PQC}, proof AS ({_PROOF})
+SELECT doc_id, rule, need, status, CASE WHEN status = 'FAIL' THEN 'missing: ' || need ELSE 'met' END AS gap,
+  CASE WHEN status = 'FAIL' THEN grave WHEN contains(status, 'Risk') THEN 'warning' WHEN status = 'ADVISORY' THEN 'info' ELSE 'success' END AS severity, line, confidence FROM pqc JOIN proof USING (doc_id, rule)""")
 def gap_analysis(t):
-    """One row per document and qualification rule with need, what was found, severity and the evidence line."""
-    need = t.spark.createDataFrame([("experience", "orders of the required value", "error"), ("turnover", "annual turnover", "error"), ("maf", "authorization letter", "error"), ("iso", "quality certificate", "warning"), ("spec", "all parameters of the specification", "warning"), ("net_worth", "net worth statement", "warning"), ("contact", "contact address", "info"), ("size", "a complete document", "info")], "rule string, need string, severity string")
-    ev = X.evidence(t.documents(), "license").select("doc_id", "line", "confidence")
-    return pqc(t).join(F.broadcast(need), "rule").join(ev, "doc_id", "left").select("doc_id", "rule", "need", F.when(F.col("status") == "FAIL", F.concat(F.lit("missing: "), "need")).otherwise("met").alias("gap"), F.when(F.col("status") == "PASS", "success").when(F.col("status") == "WAIVED", "info").otherwise(F.col("severity")).alias("severity"), F.col("line").alias("evidence_line"))
+    """One row per document and qualification rule: need, gap, severity and the line that shows it."""
+    return R.gap_analysis(pqc(t), t.documents(), "doc_id").drop("snippet")
 
 
-@query("""
-WITH f AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 20) ELSE 'not in the text at all' END AS quote, text, doc_id % 7 AS extracted, doc_id % 5 AS baseline FROM documents), v AS (SELECT *, contains(lower(text), lower(quote)) AS ok FROM f)
-SELECT doc_id, CASE WHEN ok THEN extracted ELSE baseline END AS value, CASE WHEN ok THEN 'citation verified' ELSE 'citation not found' END AS reason FROM v""")
+@query(f"""
+WITH {CITED.strip()} SELECT id, CASE WHEN match IS NOT NULL THEN size ELSE 0 END AS value, CASE WHEN match IS NOT NULL THEN 'citation verified' ELSE 'citation not verified' END AS reason FROM cited""")
 def citation_gated_merge(t):
-    d = t.documents()
-    q = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 20)).otherwise("not in the text at all")
-    ok = F.contains(F.lower("text"), F.lower(q))
-    return d.select("doc_id", F.when(ok, F.col("doc_id") % 7).otherwise(F.col("doc_id") % 5).alias("value"), F.when(ok, "citation verified").otherwise("citation not found").alias("reason"))
+    """Each item's length as the extracted value, with its whole text as the citation that must be verified; the baseline is 0."""
+    q = quotes(t)
+    fields = q.select("id", F.char_length(F.trim("quote")).cast("bigint").alias("extracted"), F.lit(0).cast("bigint").alias("baseline"))
+    return R.citation_gated(fields, X.citation_guard(q, t.documents()))
 
 
 @query(f"""
@@ -329,25 +380,32 @@ def feedback_resolution(t):
     return d.select("decision_id", F.when(~F.col("human_action").isin("accepted", "modified"), "unknown action").when(~F.col("rating").between(1, 4), "rating out of range").alias("rejected"), r(F.abs(F.col("ai_score") - F.col("human_score"))).alias("deviation"))
 
 
-#: Rule families and their synonyms (fixed values).
-ONTOLOGY = [("authorization", "authoriz"), ("authorization", "maf"), ("credentials", "licens"), ("credentials", "certif"), ("annexure", "annex"), ("annexure", "table"), ("finance", "turnover"), ("finance", "token")]
+#: Rules of a tender: name and description.
+ASKED = [("Technical specification", ""), ("Past performance", ""), ("Delivery period", ""), ("Quality system", ""), ("Financial standing", ""), ("License notice", "licensed version")]
+_HITS = [f"max(({sql_any(R.rule_words(*rule), 't')})::INT)" for rule in ASKED]
+_PROOFS = {k: f"max(({' OR '.join(sql_contains(w, c) for w, c in zip(X.DOCUMENT_FLAGS[k], 'nu', strict=True))})::INT)" for k in ("maf", "annexure")}
 
 
-@query("""
-WITH o(rule, word) AS (VALUES """ + ", ".join(f"('{a}', '{b}')" for a, b in ONTOLOGY) + """), h AS (SELECT DISTINCT vendor_id, rule FROM (SELECT vendor_id, lower(text) AS t FROM bid_documents), o WHERE contains(t, word))
-SELECT v.vendor_id, count(h.rule) AS hits, (50 + 15 * count(h.rule) - 5 * (4 - count(h.rule)))::BIGINT AS confidence FROM (SELECT DISTINCT vendor_id FROM bid_documents) v LEFT JOIN h USING (vendor_id) GROUP BY 1""")
+@query(f"""
+WITH d AS (SELECT vendor_id, lower(coalesce(text, '')) AS t, upper(coalesce(text, '')) AS u, upper(source) AS n FROM bid_documents),
+a AS (SELECT vendor_id, count(*) AS files, {", ".join(f"{h} AS h{i}" for i, h in enumerate(_HITS))}, {_PROOFS["maf"]} AS maf, {_PROOFS["annexure"]} AS annexure FROM d GROUP BY 1),
+c AS (SELECT *, h0 + h1 + h2 + h3 + h4 + h5 AS hits, least(100, greatest(0, 20 + 15 * maf + 10 * annexure + 15 * (h0 + h1 + h2 + h3 + h4 + h5) - 5 * (6 - (h0 + h1 + h2 + h3 + h4 + h5))))::INT AS confidence FROM a)
+SELECT vendor_id, files, hits::BIGINT AS hits, confidence, least(100, 25 * (h0 + h1) + 8 * files + confidence // 3)::INT AS technical, CASE WHEN h4 > 0 THEN 100 ELSE 20 END::INT AS financial,
+  least(100, 40 * maf + 20 * annexure + 40 + confidence // 4)::INT AS compliance, least(100.0, greatest(5.0, 100 + 15 * (6 - hits) - floor(confidence / 1.5)))::DOUBLE AS risk, 'Rejected' AS status FROM c""")
 def ontology_rule_check(t):
-    low = F.lower("text")
-    families = sorted({a for a, _ in ONTOLOGY})
-    seen = [F.max(X.flag(low, *[w for a, w in ONTOLOGY if a == f]).cast("int")).alias(f) for f in families]
-    a = t.documents().groupBy("vendor_id").agg(*seen)
-    hits = sum((F.col(f) for f in families), F.lit(0)).cast("bigint")
-    return a.select("vendor_id", hits.alias("hits"), (50 + 15 * hits - 5 * (len(families) - hits)).alias("confidence"))
+    """Rules by synonym over each vendor's documents; the given documents have no file type for credentials, so none is accepted."""
+    flags = X.document_flags(F.col("source"), F.col("text"))
+    return R.ontology_check(t.documents(), "vendor_id", ASKED, flags["maf"], F.lit(False), flags["annexure"])
 
 
 @query("""
-SELECT vendor_id, count(*) AS files, count(*) FILTER (human_action = 'accepted') AS accepted, count(*) FILTER (human_action = 'rejected') AS rejected, count(*) FILTER (human_action = 'modified') AS pending, count(*) FILTER (confidence < 0.2) AS anomalies, row_number() OVER (ORDER BY count(*) FILTER (human_action = 'rejected'), round(-avg(confidence), 9), vendor_id) AS place FROM decisions GROUP BY 1""")
+SELECT vendor_id, count(*) AS files, count(*) FILTER (human_action = 'accepted') AS accepted, count(*) FILTER (human_action = 'rejected') AS rejected, count(*) FILTER (human_action = 'modified') AS pending, count(*) FILTER (confidence < 0.2) AS anomalies,
+  row_number() OVER (ORDER BY count(*) FILTER (human_action = 'rejected'), round(-avg(confidence), 9), vendor_id) AS place FROM decisions GROUP BY 1""")
 def pqc_status_summary(t):
     act = F.col("human_action")
-    a = t.decisions().groupBy("vendor_id").agg(F.count(F.lit(1)).alias("files"), count_if(act == "accepted").alias("accepted"), count_if(act == "rejected").alias("rejected"), count_if(act == "modified").alias("pending"), count_if(F.col("confidence") < 0.2).alias("anomalies"), F.avg("confidence").alias("c"))
-    return a.withColumn("place", F.row_number().over(W.orderBy("rejected", F.round(-F.col("c"), 9), "vendor_id"))).drop("c")  # one row per vendor
+    a = t.decisions().groupBy("vendor_id").agg(
+        F.count(F.lit(1)).alias("files"), *[count_if(act == k).alias(n) for k, n in (("accepted", "accepted"), ("rejected", "rejected"), ("modified", "pending"))],
+        count_if(F.col("confidence") < 0.2).alias("anomalies"), F.round(-F.avg("confidence"), 9).alias("c"),
+    )
+    placed, _ = ranked(a, [], [F.col("rejected"), F.col("c"), F.col("vendor_id")], small_keys=True)
+    return placed.withColumn("place", F.col("rank") + 1).drop("c", "rank")

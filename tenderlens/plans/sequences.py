@@ -7,21 +7,14 @@ from pyspark.sql import Window as W
 
 from ..functions.core import above, count_if, ladder
 from ..operators import sequences as S
-from .aggregates import OFF, r, ro
+from .aggregates import r
 from .registry import query
+from .shared import QCBS, exact
 
-QCBS = """
-sc AS (SELECT bid_id, sum(score / max_score * 100 * weight) / sum(weight) AS technical, min((score / max_score * 100 >= threshold)::INT) = 1 AS qualified FROM bid_scores JOIN criteria USING (criteria_id) GROUP BY 1),
-comp AS (SELECT *, min(total_amount) OVER (PARTITION BY tender_id) / total_amount * 100 AS financial FROM bids JOIN sc USING (bid_id)),
-qcbs AS (SELECT *, technical * 0.7 + financial * 0.3 AS composite FROM comp),
-ranked AS (SELECT *, CASE WHEN qualified THEN row_number() OVER (PARTITION BY tender_id, qualified ORDER BY round(composite, 9) DESC, bid_id) END AS rank FROM qcbs)
-"""
-
-
-@query(f"WITH {QCBS} SELECT bid_id, tender_id, vendor_id, round(technical + 0.000000314159, 6) AS technical, round(financial, 6) AS financial, round(composite + 0.000000314159, 6) AS composite, qualified, rank FROM ranked")
+@query(f"WITH {QCBS} SELECT bid_id, tender_id, vendor_id, round((technical)::DECIMAL(38,12), 6)::DOUBLE AS technical, round(financial, 6) AS financial, round((composite)::DECIMAL(38,12), 6)::DOUBLE AS composite, qualified, rank FROM ranked")
 def qcbs_rank(t):
     q = S.qcbs(t.bids(), t.bid_scores(), t.criteria())
-    return q.select("bid_id", "tender_id", "vendor_id", ro("technical").alias("technical"), r("financial").alias("financial"), ro("composite").alias("composite"), "qualified", "rank")
+    return q.select("bid_id", "tender_id", "vendor_id", exact("technical").alias("technical"), r("financial").alias("financial"), exact("composite").alias("composite"), "qualified", "rank")
 
 
 @query("""
@@ -33,12 +26,12 @@ def criteria_breakdown(t):
 
 
 @query(f"""
-WITH {QCBS} SELECT tender_id, bid_id, vendor_name, round(composite + 0.000000314159, 6) AS composite, coalesce(rank::VARCHAR, 'DQ') AS place, round((total_amount - min(total_amount) OVER (PARTITION BY tender_id)) / total_amount * 100, 6) AS above_l1_pct,
+WITH {QCBS} SELECT tender_id, bid_id, vendor_name, round((composite)::DECIMAL(38,12), 6)::DOUBLE AS composite, coalesce(rank::VARCHAR, 'DQ') AS place, round((total_amount - min(total_amount) OVER (PARTITION BY tender_id)) / total_amount * 100, 6) AS above_l1_pct,
  row_number() OVER (PARTITION BY tender_id ORDER BY NOT qualified, rank, vendor_name, bid_id) AS line FROM ranked JOIN vendors USING (vendor_id)""")
 def comparative_statement(t):
     q = S.qcbs(t.bids(), t.bid_scores(), t.criteria()).join(t.vendors().select("vendor_id", "vendor_name"), "vendor_id")
     tender = W.partitionBy("tender_id")
-    return q.select("tender_id", "bid_id", "vendor_name", ro("composite").alias("composite"), F.coalesce(F.col("rank").cast("string"), F.lit("DQ")).alias("place"), r((F.col("total_amount") - F.min("total_amount").over(tender)) / F.col("total_amount") * 100).alias("above_l1_pct"), F.row_number().over(tender.orderBy(~F.col("qualified"), "rank", "vendor_name", "bid_id")).alias("line"))
+    return q.select("tender_id", "bid_id", "vendor_name", exact("composite").alias("composite"), F.coalesce(F.col("rank").cast("string"), F.lit("DQ")).alias("place"), r((F.col("total_amount") - F.min("total_amount").over(tender)) / F.col("total_amount") * 100).alias("above_l1_pct"), F.row_number().over(tender.orderBy(~F.col("qualified"), "rank", "vendor_name", "bid_id")).alias("line"))
 
 
 @query("""
@@ -140,10 +133,11 @@ def linear_bid_forecast(t, step=1.0):
 
 
 @query("""
-WITH m AS (SELECT category, month(submitted_at) AS month, avg(total_amount) / 10 AS v FROM bid_fact WHERE month(submitted_at) NOT IN (3, 7) GROUP BY 1, 2), f AS (SELECT category, regr_slope(v, month) AS s, regr_intercept(v, month) AS i FROM m GROUP BY 1)
+WITH m AS (SELECT category, month(submitted_at) AS month, avg(total_amount) / 10 AS v FROM bid_fact GROUP BY 1, 2), f AS (SELECT category, regr_slope(v, month) AS s, regr_intercept(v, month) AS i FROM m GROUP BY 1)
 SELECT f.category, k.month, round(coalesce(v, greatest(50, least(300, i + s * k.month))), 5) AS price_index, v IS NULL AS filled FROM f CROSS JOIN (SELECT unnest(range(1, 13))::BIGINT AS month) k LEFT JOIN m ON m.category = f.category AND m.month = k.month""")
-def price_index_gapfill(t, scale=10.0, skipped=(3, 7)):
-    m = t.bid_fact().withColumn("month", F.month("submitted_at").cast("bigint")).filter(~F.col("month").isin(*skipped)).groupBy("category", "month").agg((F.avg("total_amount") / scale).alias("v"))
+def price_index_gapfill(t, scale=10.0):
+    """Twelve months of each category; months without bids take the fitted line within [50, 300]."""
+    m = t.bid_fact().withColumn("month", F.month("submitted_at").cast("bigint")).groupBy("category", "month").agg((F.avg("total_amount") / scale).alias("v"))
     f = m.groupBy("category").agg(F.regr_slope("v", "month").alias("s"), F.regr_intercept("v", "month").alias("i"))
     spine = f.withColumn("month", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(12).cast("bigint"))))
     fit = F.greatest(F.lit(50.0), F.least(F.lit(300.0), F.col("i") + F.col("s") * F.col("month")))
@@ -163,14 +157,14 @@ def half_split_trend(t):
 
 
 WINNERS = """
-win AS (SELECT tender_id, category, arg_min(vendor_id, total_amount + vendor_id / 1e9) AS winner, any_value(closing_at) AS closed FROM bid_fact WHERE status = 'Awarded' GROUP BY 1, 2),
+win AS (SELECT tender_id, category, arg_min(vendor_id, (total_amount, vendor_id)) AS winner, any_value(closing_at) AS closed FROM bid_fact WHERE status = 'Awarded' GROUP BY 1, 2),
 trans AS (SELECT category, winner AS from_item, nxt AS to_item, count(*) AS n FROM (SELECT *, lead(winner) OVER (PARTITION BY category ORDER BY closed, tender_id) AS nxt FROM win) WHERE nxt IS NOT NULL GROUP BY ALL)
 """
 
 
 def winners(t):
     f = t.bid_fact().filter("status = 'Awarded'")
-    return f.groupBy("tender_id", "category").agg(F.min_by("vendor_id", F.col("total_amount") + F.col("vendor_id") / 1e9).alias("winner"), F.first("closing_at").alias("at"))
+    return f.groupBy("tender_id", "category").agg(F.min_by("vendor_id", F.struct("total_amount", "vendor_id")).alias("winner"), F.first("closing_at").alias("at"))
 
 
 @query(f"WITH {WINNERS} SELECT * FROM trans")
@@ -209,12 +203,12 @@ others AS (SELECT *, CASE WHEN bid_id = l1_bid THEN min(total_amount) FILTER (bi
 """
 
 
-@query("WITH" + OTHERS + "SELECT bid_id, round(0.99 * others + 0.000000314159, 6) AS optimum, round(d, 5) AS deviation, CASE WHEN d > 3 THEN 'PASSIVE' WHEN d < -3 THEN 'AGGRESSIVE' ELSE 'OPTIMAL' END AS strategy FROM (SELECT *, (total_amount - 0.99 * others) / (0.99 * others) * 100 AS d FROM others WHERE others IS NOT NULL)")
+@query("WITH" + OTHERS + "SELECT bid_id, round((0.99 * others)::DECIMAL(38,12), 6)::DOUBLE AS optimum, round(d, 5) AS deviation, CASE WHEN d > 3 THEN 'PASSIVE' WHEN d < -3 THEN 'AGGRESSIVE' ELSE 'OPTIMAL' END AS strategy FROM (SELECT *, (total_amount - 0.99 * others) / (0.99 * others) * 100 AS d FROM others WHERE others IS NOT NULL)")
 def leave_one_out_min(t):
     o = S.leave_one_out(t.bids(), "tender_id", "total_amount", "bid_id").filter("others is not null")
     best = 0.99 * F.col("others")
     d = (F.col("total_amount") - best) / best * 100
-    return o.select("bid_id", F.round(best + OFF, 6).alias("optimum"), r(d, 5).alias("deviation"), F.when(d > 3, "PASSIVE").when(d < -3, "AGGRESSIVE").otherwise("OPTIMAL").alias("strategy"))
+    return o.select("bid_id", exact(best).alias("optimum"), r(d, 5).alias("deviation"), F.when(d > 3, "PASSIVE").when(d < -3, "AGGRESSIVE").otherwise("OPTIMAL").alias("strategy"))
 
 
 @query("WITH" + OTHERS + "SELECT vendor_id, count(*) AS tenders, round(sum(greatest(0, others - total_amount)), 4) AS impact, CASE WHEN sum(greatest(0, others - total_amount)) > 5000 THEN 'CRITICAL' WHEN sum(greatest(0, others - total_amount)) > 1000 THEN 'HIGH' ELSE 'LOW' END AS criticality FROM others WHERE others IS NOT NULL GROUP BY 1")
@@ -245,22 +239,32 @@ def audit_chain_verify(t):
     return S.verify(tampered(t), "user_id", "event_id", COLS).select("event_id", "user_id", "fault")
 
 
-@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS block, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS newest FROM audit QUALIFY newest <= 5")
-def ledger_blocks(t):
+CHAIN = r"""
+e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k,
+  array_to_string(list_transform([event_id::VARCHAR, user_id::VARCHAR, action, details], lambda v: coalesce(replace(replace(v, '\', '\\'), '|', '\|'), '\N')), '|') AS content FROM audit),
+c(user_id, event_id, k, prev_hash, hash) AS (
+  SELECT user_id, event_id, k, repeat('0', 64), sha256(repeat('0', 64) || '|' || content) FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.k, c.hash, sha256(c.hash || '|' || e.content) FROM c JOIN e ON e.user_id = c.user_id AND e.k = c.k + 1)"""
+
+
+@query(f"WITH {CHAIN.strip()} SELECT user_id, event_id, k AS block, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS newest, prev_hash, hash FROM c", recursive=True)
+def ledger_blocks(t, most=None):
+    """Blocks of each user's chain, newest first, with their hashes; ``most`` keeps that many a user."""
     w = W.partitionBy("user_id")
-    a = t.audit().select("user_id", "event_id", F.row_number().over(w.orderBy("event_id")).alias("block"), F.row_number().over(w.orderBy(F.desc("event_id"))).alias("newest"))
-    return a.filter("newest <= 5")
+    a = S.seal(t.audit().select(*COLS), "user_id", "event_id", COLS)
+    a = a.select("user_id", "event_id", F.row_number().over(w.orderBy("event_id")).alias("block"), F.row_number().over(w.orderBy(F.desc("event_id"))).alias("newest"), "prev_hash", "hash")
+    return a.filter(F.col("newest") <= most) if most else a
 
 
 @query("""
 WITH m AS (SELECT category, date_trunc('month', submitted_at) AS m, avg(total_amount) AS p FROM bid_fact GROUP BY 1, 2)
-SELECT category, strftime(m, '%Y-%m') AS month, row_number() OVER w AS idx, round(sin(2 * pi() * month(m) / 12) + 0.0000003, 6) AS sin_month, round(cos(2 * pi() * month(m) / 12) + 0.0000003, 6) AS cos_month, round(coalesce(p - lag(p) OVER w, 0), 5) AS momentum,
+SELECT category, strftime(m, '%Y-%m') AS month, row_number() OVER w AS idx, round((sin(2 * pi() * month(m) / 12))::DECIMAL(38,12), 6)::DOUBLE AS sin_month, round((cos(2 * pi() * month(m) / 12))::DECIMAL(38,12), 6)::DOUBLE AS cos_month, round(coalesce(p - lag(p) OVER w, 0), 5) AS momentum,
  round(avg(p) OVER (w ROWS 2 PRECEDING), 5) AS sma3, round(stddev_pop(p) OVER (w ROWS 2 PRECEDING), 5) AS std3 FROM m WINDOW w AS (PARTITION BY category ORDER BY m)""")
 def seasonal_price_features(t):
     m = t.bid_fact().groupBy("category", F.date_trunc("month", "submitted_at").alias("m")).agg(F.avg("total_amount").alias("p"))
     w = W.partitionBy("category").orderBy("m")
     w3, angle = w.rowsBetween(-2, 0), 2 * F.pi() * F.month("m") / 12
-    return m.select("category", F.date_format("m", "yyyy-MM").alias("month"), F.row_number().over(w).alias("idx"), r(F.sin(angle) + 0.0000003).alias("sin_month"), r(F.cos(angle) + 0.0000003).alias("cos_month"), r(F.coalesce(F.col("p") - F.lag("p").over(w), F.lit(0.0)), 5).alias("momentum"), r(F.avg("p").over(w3), 5).alias("sma3"), r(F.stddev_pop("p").over(w3), 5).alias("std3"))
+    return m.select("category", F.date_format("m", "yyyy-MM").alias("month"), F.row_number().over(w).alias("idx"), exact(F.sin(angle)).alias("sin_month"), exact(F.cos(angle)).alias("cos_month"), r(F.coalesce(F.col("p") - F.lag("p").over(w), F.lit(0.0)), 5).alias("momentum"), r(F.avg("p").over(w3), 5).alias("sma3"), r(F.stddev_pop("p").over(w3), 5).alias("std3"))
 
 
 STAGES = [(1, "browse", ["view", "search"]), (2, "select", ["click", "add_to_cart", "cart"]), (3, "buy", ["purchase", "checkout"]), (4, "after", ["refund", "logout", "error", "signup", "login"])]
@@ -275,7 +279,7 @@ def lifecycle_timeline(t):
     return j.groupBy("user_id", "stage", "name").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.min(F.unix_micros("ts")).alias("at"))
 
 
-@query()
+@query(f"WITH {CHAIN.strip()} SELECT event_id, user_id, prev_hash, hash FROM c", recursive=True)
 def audit_chain_seal(t):
     return S.seal(t.audit().select(*COLS), "user_id", "event_id", COLS).select("event_id", "user_id", "prev_hash", "hash")
 

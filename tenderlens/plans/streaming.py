@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.text import chunks
 from ..streaming import feeds as S
 from .registry import query
+from .sequences import CHAIN
 
 
 def events(t):
@@ -40,7 +41,7 @@ def rate_violation_stream(t):
     return S.replay(S.rate_violations(events(t)))
 
 
-@query()
+@query(f"WITH {CHAIN.strip()} SELECT event_id, user_id, prev_hash, hash FROM c", recursive=True)
 def audit_seal_stream(t):
     return S.replay(S.seal_stream(events(t)))
 

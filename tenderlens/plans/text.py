@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.core import jaccard, share, word_list
+from ..functions.core import share, word_list
+from ..operators import extraction as E
+from ..operators import rules as RULES
 from ..operators import text as X
 from .aggregates import r
 from .registry import query
@@ -13,12 +15,33 @@ from .registry import query
 WS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
 
 
-def table_of(t, rows, schema):
-    return t.spark.createDataFrame(rows, schema)
+def quoted(text: str) -> str:
+    return text.replace("'", "''")
 
 
-@query("""
-SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Z]{5}[0-9]{4}[A-Z]', '[PAN]', 'g'), '[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}', '[ID]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '(\\+91[ -]?)?[6-9][0-9]{9}', '[PHONE]', 'g'), '[0-9]{9,18}', '[ACCOUNT]', 'g')) AS redacted_hash FROM documents""")
+def sql_first(pattern: str, column: str = "t", group: int = 1) -> str:
+    """The group of the first match, or null."""
+    return f"nullif(regexp_extract({column}, '{quoted(pattern)}', {group}), '')"
+
+
+def sql_number(expr: str) -> str:
+    return f"TRY_CAST(replace({expr}, ',', '') AS DOUBLE)"
+
+
+def sql_any(words, column: str = "u") -> str:
+    return f"regexp_matches({column}, '{quoted(E.any_of(words))}')"
+
+
+def sql_contains(words, column: str = "t") -> str:
+    return "(" + " OR ".join(f"contains({column}, '{quoted(w)}')" for w in words) + ")"
+
+
+REDACTED = "text"
+for _pattern, _mark in X.REDACTIONS:
+    REDACTED = f"regexp_replace({REDACTED}, '{quoted(_pattern)}', '{_mark}', 'g')"
+
+
+@query(f"SELECT doc_id, sha256({REDACTED}) AS redacted_hash FROM documents")
 def redact_pii(t):
     return t.documents().select("doc_id", F.sha2(X.redact(F.col("text")), 256).alias("redacted_hash"))
 
@@ -31,78 +54,158 @@ def stylometric_fingerprint(t):
     return s.select("doc_id", r("ttr").alias("ttr"), r("mean_sentence").alias("mean_sentence"), r("var_sentence", 5).alias("var_sentence"), r("commas").alias("commas"), r("periods").alias("periods"))
 
 
-@query()
+_NAMED = f"regexp_matches(t, '(?i){quoted(E.TURNOVER)}')"
+_VALUE = f"CASE WHEN {_NAMED} THEN {sql_number(sql_first('(?i)' + E.TURNOVER))} ELSE {sql_number(sql_first('(?i)' + E.TURNOVER_WITH_UNIT))} END"
+_AROUND = " ".join([
+    f"lower(CASE WHEN {_NAMED} THEN regexp_extract(t, '(?i)[\\s\\S]{{0,10}}{quoted(E.TURNOVER)}[\\s\\S]{{0,20}}', 0)",
+    f"ELSE regexp_extract(t, '(?i)[\\s\\S]{{0,10}}{quoted(E.TURNOVER_WITH_UNIT)}[\\s\\S]{{0,20}}', 0) END)",
+])
+_CERTIFICATES = ", ".join(f"CASE WHEN contains(u, '{c}') THEN '{c}' END" for c in E.PROFILE_CERTIFICATES)
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, text AS t, upper(text) AS u FROM documents),
+v AS (SELECT *, {_VALUE} AS value, {_AROUND} AS around FROM d),
+c AS (SELECT *, round(CASE WHEN contains(around, 'lakh') THEN value / 100 WHEN contains(around, 'million') THEN value / 10 ELSE value END, 2) AS turnover_crore FROM v)
+SELECT doc_id, {sql_first(E.GSTIN)} AS gstin, {sql_first(E.PAN)} AS pan, {sql_first(E.GEM_NUMBER)} AS gem_number,
+  {sql_any(("MSME", "UDYAM"))} AS msme,
+  CASE WHEN {sql_any(("MSME", "UDYAM"))} THEN CASE WHEN contains(u, 'MICRO') THEN 'Micro' WHEN contains(u, 'SMALL') THEN 'Small' WHEN contains(u, 'MEDIUM') THEN 'Medium' END END AS msme_category,
+  {sql_any(("MAKE IN INDIA", "MAKE-IN-INDIA"))} AS make_in_india,
+  array_to_string(list_filter([{_CERTIFICATES}], lambda x: x IS NOT NULL), ',') AS certifications, turnover_crore,
+  CASE WHEN turnover_crore > 10 THEN 'Good' WHEN turnover_crore > 2 THEN 'Moderate' WHEN turnover_crore IS NOT NULL THEN 'Poor' END AS health FROM c""")
 def vendor_profile_extract(t):
-    return t.documents().select("doc_id", X.vendor_profile(F.col("text")).alias("p")).select("doc_id", "p.gstin", "p.pan", "p.msme", "p.make_in_india", F.array_join("p.certifications", ",").alias("certifications"), "p.turnover_crore", "p.health")
+    p = t.documents().select("doc_id", E.vendor_profile(F.col("text")).alias("p"))
+    return p.select("doc_id", "p.gstin", "p.pan", "p.gem_number", "p.msme", "p.msme_category", "p.make_in_india", F.array_join("p.certifications", ",").alias("certifications"), "p.turnover_crore", "p.health")
 
 
-@query()
+_RULES = " UNION ALL ".join([
+    f"SELECT doc_id, 'Minimum Experience' AS criteria_name, 'Experience' AS criterion_type, true AS is_mandatory, TRY_CAST({sql_first(E.EXPERIENCE_RULE)} AS INT) AS years, NULL AS turnover_cr FROM d WHERE regexp_matches(t, '{quoted(E.EXPERIENCE_RULE)}')",
+    f"SELECT doc_id, 'Minimum Annual Turnover', 'Financial', true, NULL, TRY_CAST({sql_first(E.TURNOVER_RULE)} AS DOUBLE) FROM d WHERE regexp_matches(t, '{quoted(E.TURNOVER_RULE)}')",
+    *[f"SELECT doc_id, '{c} Certification', 'Certification', regexp_matches(u, 'MANDATORY|ESSENTIAL'), NULL, NULL FROM d WHERE contains(u, '{c}')" for c in E.RULE_CERTIFICATES],
+])
+
+
+@query(f"WITH d AS (SELECT doc_id, text AS t, upper(text) AS u FROM documents) {_RULES}")
 def tender_rule_extract(t):
-    return t.documents().select("doc_id", F.explode(X.tender_rules(F.col("text"))).alias("rule")).select("doc_id", "rule.kind", "rule.value")
+    rules = t.documents().select("doc_id", F.explode(E.tender_rules(F.col("text"))).alias("r"))
+    return rules.select("doc_id", "r.criteria_name", "r.criterion_type", "r.is_mandatory", F.col("r.min_years_experience").alias("years"), F.col("r.min_turnover_cr").alias("turnover_cr"))
 
 
-@query()
+def sql_typed(pattern: str, kind: str, column: str = "t") -> str:
+    found = sql_first(pattern, column)
+    if kind == "string":
+        return f"coalesce(trim({found}), '')"
+    return f"coalesce({sql_number(found)}, 0)" if kind == "double" else f"coalesce(TRY_CAST({found} AS INT), 0)"
+
+
+_FIELDS = ", ".join([
+    *[f"{sql_typed(p, k)} AS {n}" for n, p, k in E.THRESHOLDS if n != "turnover_lakhs"],
+    *[f"{sql_typed(p, k, 'b')} AS {n}" for n, p, k in E.THRESHOLDS_B],
+    f"CASE WHEN regexp_matches(t, '{quoted(E.NOT_APPLICABLE)}') THEN 0 ELSE {next(sql_typed(p, k) for n, p, k in E.THRESHOLDS if n == 'turnover_lakhs')} END AS turnover_lakhs",
+    f"NOT regexp_matches(t, '{quoted(E.NO_RELAXATION)}') AS relaxation_applicable",
+    f"coalesce({sql_first(E.TENDER_REFERENCE)}, '') AS tender_ref_no",
+    *[f"len(list_filter(list_transform(string_split_regex(coalesce({sql_first(E.SYSTEMS, c)}, ''), '[/,]'), lambda x: trim(x)), lambda x: x <> '')) AS {n}" for c, n in (("t", "a_os_options"), ("b", "b_os_options"))],
+])
+
+
+@query(f"WITH d AS (SELECT doc_id, text AS t, regexp_extract(text, '{quoted(E.SECTION_B)}', 1) AS b FROM documents) SELECT doc_id, {_FIELDS} FROM d")
 def threshold_parse(t):
-    return t.documents().select("doc_id", X.thresholds(F.col("text")).alias("x")).select("doc_id", "x.one_order_pct", "x.two_order_pct", "x.three_order_pct", "x.turnover", "x.relaxation_pct", F.size("x.bid_ids").alias("bid_ids"))
+    x = t.documents().select("doc_id", E.thresholds(F.col("text")).alias("x"))
+    plain = [f"x.{n}" for n, *_ in (*E.THRESHOLDS, *E.THRESHOLDS_B)]
+    return x.select("doc_id", *plain, "x.relaxation_applicable", "x.tender_ref_no", *[F.size(f"x.{c}").cast("bigint").alias(c) for c in ("a_os_options", "b_os_options")])
+
+
+_PLAIN = lambda pattern, low, high, extra="": f"SELECT doc_id, i, near, round(v / 100000.0, 2) AS v FROM (SELECT doc_id, i, near, {sql_number('n')} AS v FROM (SELECT doc_id, i, near, unnest(regexp_extract_all(t, '{quoted(pattern)}', 1)) AS n FROM good {extra})) WHERE v BETWEEN {low} AND {high}"
+#: (doc_id, i, near, v): amounts of each line in lakhs, and whether an order is near.
+MONEY = f"""
+lines AS (SELECT doc_id, i, ls[i] AS t, upper(ls[i]) AS u, array_to_string(ls[i:i + 2], chr(10)) AS nx, len(list_filter(ls[greatest(i - 2, 1):i + 2], lambda x: {sql_any(E.ORDER_MARKS, 'upper(x)')})) > 0 AS near
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) x(i)),
+good AS (SELECT * FROM lines WHERE NOT {sql_any(E.BOILERPLATE)}),
+units AS (SELECT doc_id, i, near, unnest(regexp_extract_all(t, '{E.UNIT_AMOUNT}', 1)) AS n, unnest(regexp_extract_all(t, '{E.UNIT_AMOUNT}', 2)) AS k FROM good),
+totals AS (SELECT doc_id, i, near, {sql_number(sql_first(E.TOTAL_AMOUNT, 'nx'))} AS v FROM good),
+vals AS (
+  SELECT doc_id, i, near, round(v, 2) AS v FROM (SELECT doc_id, i, near, {sql_number('n')} * CASE WHEN starts_with(lower(k), 'cr') THEN 100.0 ELSE 1.0 END AS v FROM units) WHERE v BETWEEN 0.5 AND 500
+  UNION ALL {_PLAIN(E.PREFIX_AMOUNT, 50_000, 50_000_000, f"WHERE NOT {sql_any(E.DEPOSITS)}")}
+  UNION ALL {_PLAIN(E.SUFFIX_AMOUNT, 100_000, 50_000_000)}
+  UNION ALL SELECT doc_id, i, near, round(CASE WHEN v >= 100000 THEN v / 100000.0 WHEN v BETWEEN 1 AND 500 THEN v END, 2) FROM totals WHERE v >= 100000 OR v BETWEEN 1 AND 500),
+steps AS (SELECT doc_id, near, list_transform(list_reverse_sort(list_distinct(list(v))), lambda x: [x]) AS vs FROM (SELECT doc_id, false AS near, v FROM vals UNION ALL SELECT doc_id, true, v FROM vals WHERE near) GROUP BY 1, 2),
+money AS (SELECT doc_id, near, list_reduce(vs, lambda a, x: CASE WHEN a[-1] - x[1] > 0.5 THEN list_concat(a, x) ELSE a END) AS vs FROM steps)"""
 
 
-@query()
+@query(f"""
+WITH {MONEY.strip()} SELECT d.doc_id, coalesce(len(a.vs), 0) AS amounts, coalesce(list_sum(a.vs), 0) AS lakhs, coalesce(len(o.vs), 0) AS order_amounts
+FROM documents d LEFT JOIN money a ON a.doc_id = d.doc_id AND NOT a.near LEFT JOIN money o ON o.doc_id = d.doc_id AND o.near""")
 def monetary_values(t):
-    return X.monetary_values(t.documents())
+    m = t.documents().select("doc_id", E.monetary_values(F.col("text")).alias("a"), E.monetary_values(F.col("text"), True).alias("o"))
+    total = F.aggregate("a", F.lit(0.0), lambda x, y: x + y)
+    return m.select("doc_id", F.size("a").cast("bigint").alias("amounts"), total.alias("lakhs"), F.size("o").cast("bigint").alias("order_amounts"))
 
 
-#: Weighted risk words (fixed values).
-RISK_WORDS = [("idiot", 8.0), ("trash", 6.0), ("moron", 8.0), ("licens", 4.0), ("token", 7.0), ("password", 9.0), ("scum", 5.0), ("fraud", 10.0), ("penalty", 6.0), ("terminat", 7.0)]
-RISK_SQL = "risk_words(keyword, weight) AS (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in RISK_WORDS) + ")"
+_RISK = " + ".join(f"{k} * least(3, (len(t) - len(replace(t, '{w}', ''))) // {len(w)})" for w, k in X.RISK_WORDS.items())
 
 
-@query(f"WITH {RISK_SQL} SELECT doc_id, round(least(100, sum(weight * least(3, (len(t) - len(replace(t, keyword, ''))) // len(keyword)))), 6) AS risk, count(*) AS keywords FROM (SELECT doc_id, lower(text) AS t FROM documents) JOIN risk_words ON contains(t, keyword) GROUP BY 1")
+@query(f"WITH d AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, least(100, {_RISK})::DOUBLE AS risk, ({' + '.join(f'contains(t, {chr(39)}{w}{chr(39)})::INT' for w in X.RISK_WORDS)})::BIGINT AS keywords FROM d")
 def risk_keywords(t):
-    h = X.keyword_hits(t.documents(), table_of(t, RISK_WORDS, "keyword string, weight double"))
-    return h.groupBy("doc_id").agg(r(F.least(F.lit(100.0), F.sum(F.col("weight") * F.col("hits")))).alias("risk"), F.count(F.lit(1)).alias("keywords"))
+    score, found = X.keyword_score(F.col("text"))
+    return t.documents().select("doc_id", score.alias("risk"), F.size(found).cast("bigint").alias("keywords"))
 
 
-#: Groups of words for sustainability: cap, points for each, words (fixed values).
-ESG = {"environment": (30, 10, ["environ", "energy", "water", "green"]), "social": (30, 10, ["social", "safety", "women", "labour"]), "governance": (20, 10, ["licens", "ethic", "audit"]), "certified": (20, 10, ["iso", "certif"])}
+def sql_esg() -> str:
+    groups = []
+    for most, terms in X.ESG:
+        shown = {what: (points, [x for x, w, _ in terms if w == what]) for _, what, points in terms}
+        groups.append(f"least({most}, " + " + ".join(f"{points} * {sql_contains(words)}::INT" for points, words in shown.values()) + ")")
+    total = " + ".join(groups)
+    return f"CASE WHEN len(trim(t)) < 10 THEN 0 WHEN {total} = 0 THEN 15 ELSE {total} END::INT"
 
 
-@query("SELECT doc_id, greatest(15, " + " + ".join(f"least({cap}, {pts} * ({' + '.join(f'contains(t, {chr(39)}{w}{chr(39)})::INT' for w in words)}))" for cap, pts, words in ESG.values()) + ")::INT AS esg FROM (SELECT doc_id, lower(text) AS t FROM documents)")
+@query(f"SELECT doc_id, {sql_esg()} AS esg FROM (SELECT doc_id, lower(text) AS t FROM documents)")
 def esg_score(t):
-    return t.documents().select("doc_id", esg(F.lower("text")).alias("esg"))
-
+    return t.documents().select("doc_id", X.esg_points(F.col("text")).alias("esg"))
 
-def esg(low):
-    group = lambda cap, pts, words: F.least(F.lit(cap), pts * sum((X.flag(low, w).cast("int") for w in words), F.lit(0)))
-    return F.greatest(F.lit(15), sum((group(*g) for g in ESG.values()), F.lit(0))).cast("int")
 
-
-@query("WITH e AS (SELECT doc_id, vendor_id, greatest(15, " + " + ".join(f"least({cap}, {pts} * ({' + '.join(f'contains(t, {chr(39)}{w}{chr(39)})::INT' for w in words)}))" for cap, pts, words in ESG.values()) + ")::INT AS esg FROM (SELECT *, lower(text) AS t FROM bid_documents)) SELECT vendor_id, round(avg(esg), 6) AS esg FROM e GROUP BY 1")
+@query(f"WITH e AS (SELECT vendor_id, {sql_esg()} AS esg FROM (SELECT vendor_id, lower(text) AS t FROM bid_documents)) SELECT vendor_id, round(avg(esg), 6) AS esg FROM e GROUP BY 1")
 def composite_esg(t):
-    return t.documents().groupBy("vendor_id").agg(r(F.avg(esg(F.lower("text")))).alias("esg"))
+    return t.documents().groupBy("vendor_id").agg(r(F.avg(X.esg_points(F.col("text")))).alias("esg"))
 
 
-#: Mandatory clauses and the words that show them (fixed values).
-CLAUSES = [("licence", "licens"), ("version", "version"), ("public", "public"), ("release", "released"), ("work", "work is"), ("contact", "@"), ("token", "token"), ("notice", "the ")]
+_MET = " + ".join(f"{sql_contains(ws)}::INT" for _, ws in X.CLAUSES)
+_FLAGS = f"{sql_contains(('single bid', 'single vendor'))}::INT + ({sql_contains(('nomination',))} AND NOT {sql_contains(('proprietary',))})::INT + ({sql_contains(('advance payment',))} AND NOT {sql_contains(('bank guarantee',))})::INT"
 
 
-@query("SELECT doc_id, met, round(100.0 * met / 8, 6) AS pct, CASE WHEN met * 100 >= 720 THEN 'COMPLIANT' WHEN met * 100 >= 560 THEN 'SUBSTANTIAL' WHEN met * 100 >= 400 THEN 'PARTIAL' ELSE 'NON-COMPLIANT' END AS status FROM (SELECT doc_id, (" + " + ".join(f"contains(lower(text), '{w}')::INT" for _, w in CLAUSES) + ")::INT AS met FROM documents)")
+@query(f"""
+WITH d AS (SELECT doc_id, lower(text) AS t, coalesce(msme, false) AS msme FROM bid_documents LEFT JOIN vendors USING (vendor_id)),
+m AS (SELECT doc_id, msme, {_MET} AS met, {_FLAGS} AS flags FROM d), p AS (SELECT *, round(100.0 * met / 8, 1) AS pct FROM m)
+SELECT doc_id, met, pct, CASE WHEN pct >= 90 THEN 'FULLY COMPLIANT' WHEN pct >= 70 THEN 'MOSTLY COMPLIANT' WHEN pct >= 50 THEN 'PARTIALLY COMPLIANT' ELSE 'NON-COMPLIANT' END AS status,
+  8 - met AS missing, flags, CASE WHEN msme THEN 2 ELSE 0 END AS waivers FROM p""")
 def clause_compliance(t):
-    met = sum((X.flag(F.lower("text"), w).cast("int") for _, w in CLAUSES), F.lit(0))
-    m = t.documents().select("doc_id", met.alias("met"))
-    pct = 100.0 * F.col("met") / len(CLAUSES)
-    return m.select("doc_id", "met", r(pct).alias("pct"), F.when(pct >= 90, "COMPLIANT").when(pct >= 70, "SUBSTANTIAL").when(pct >= 50, "PARTIAL").otherwise("NON-COMPLIANT").alias("status"))
+    """Clauses of each document; the vendors of the given tables have no turnover, so that waiver is not given."""
+    d = t.documents().join(t.vendors().select("vendor_id", "msme"), "vendor_id", "left")
+    c = d.select("doc_id", X.clause_compliance(F.col("text"), F.coalesce("msme", F.lit(False)), F.lit(0.0)).alias("c"))
+    return c.select("doc_id", "c.met", "c.pct", "c.status", *[F.size(f"c.{x}").alias(x) for x in ("missing", "flags", "waivers")])
+
+
+_CLASS = "CASE " + " ".join(f"WHEN {sql_contains(names, 'n')} OR {sql_contains(words, 'u')} THEN '{label}'" for label, names, words in X.DOCUMENT_CLASSES) + f" ELSE '{X.OTHER_CLASS}' END"
+_COARSE = "CASE " + " ".join(f"WHEN {sql_contains(names, 'n')} THEN '{label}'" for label, names in X.COARSE) + " ELSE 'general' END"
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(t, 'licens') THEN 'License' WHEN regexp_matches(t, '[0-9]{12}') THEN 'Financials' WHEN regexp_matches(t, '@') THEN 'Credentials' WHEN regexp_matches(t, '\\|') THEN 'Annexure' ELSE 'Other' END AS kind FROM (SELECT doc_id, lower(text) AS t FROM documents)")
+@query(f"SELECT doc_id, {_CLASS} AS kind, {_COARSE} AS coarse, {' OR '.join(sql_contains(x, c) for x, c in zip(X.DOCUMENT_FLAGS['bid_bond'], 'nu', strict=True))} AS bid_bond FROM (SELECT doc_id, upper(source) AS n, upper(text) AS u FROM documents)")
 def document_classify(t):
-    low = F.lower("text")
-    ladder = F.when(low.rlike("licens"), "License").when(low.rlike("[0-9]{12}"), "Financials").when(low.rlike("@"), "Credentials").when(low.rlike(r"\|"), "Annexure").otherwise("Other")
-    return t.documents().select("doc_id", ladder.alias("kind"))
+    """Classes by file name (here: the source), then by text."""
+    name, text = F.col("source"), F.col("text")
+    return t.documents().select("doc_id", X.document_class(name, text).alias("kind"), X.coarse_class(name).alias("coarse"), X.document_flags(name, text)["bid_bond"].alias("bid_bond"))
 
 
-@query("""
-WITH w AS (SELECT doc_id, text, len(text) AS n, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws, len(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS letters, len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS garbage FROM documents)
-SELECT doc_id, round(coalesce(greatest(0, least(1, 0.3 * letters / nullif(n, 0) + 0.2 * CASE WHEN letters / nullif(len(ws), 0) BETWEEN 3 AND 10 THEN 1.0 ELSE 0.5 END + 0.2 * len(list_distinct(ws)) / nullif(len(ws), 0) + 0.3 * least(1.0, n / 1000) - garbage / nullif(n, 0))), 0), 6) AS quality FROM w""")
+_RUNS = " + ".join(f"(len(t) - len(replace(t, '{g}', ''))) // {len(g)}" for g in X.GARBAGE)
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM documents),
+w AS (SELECT doc_id, t, len(t)::DOUBLE AS n, list_filter(string_split_regex(lower(t), '\\s+'), lambda x: x <> '') AS ws, len(regexp_replace(t, '[^\\p{{L}}\\p{{N}}\\s]', '', 'g')) AS plain,
+  {_RUNS} AS runs, len(regexp_replace(t, '[\\x00-\\x7F]', '', 'g')) AS alien, len(regexp_replace(t, '[^\\x{{0900}}-\\x{{097F}}]', '', 'g')) AS deva FROM d),
+s AS (SELECT *, greatest(len(ws), 1) AS k, CASE WHEN runs > 5 THEN least(0.02 * runs, 0.3) ELSE 0 END + CASE WHEN alien > 0.3 * n AND deva < 0.5 * alien THEN 0.15 ELSE 0 END AS penalty FROM w)
+SELECT doc_id, round(CASE WHEN n = 0 THEN 0 WHEN n < 10 THEN 0.05
+  ELSE greatest(0, least(1, 0.3 * plain / n + 0.2 * CASE WHEN n / k BETWEEN 3 AND 12 THEN 1.0 ELSE 0.5 END + 0.2 * len(list_distinct(ws)) / k + 0.3 * least(n / 500, 1.0) - penalty)) END, 6) AS quality FROM s""")
 def text_quality(t):
     return t.documents().select("doc_id", r(X.text_quality(F.col("text"))).alias("quality"))
 
@@ -123,23 +226,38 @@ def bow_cosine_search(t):
     return X.bow_search(t.documents(), QUERY).select("doc_id", r("score").alias("score"))
 
 
+#: Classes of equal texts of a type, and the index of all pairs of classes that share a shingle.
 SHINGLES = f"""
-ws AS (SELECT doc_id, doc_type, vendor_id, {WS} AS w FROM bid_documents SEMI JOIN (SELECT min(doc_id) AS doc_id FROM documents GROUP BY lang, text) USING (doc_id)), sh AS (SELECT DISTINCT doc_id, doc_type, vendor_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM ws, unnest(range(1, len(w) - 1)) u(i) WHERE len(w) >= 3), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
-pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM sh a JOIN sh b ON a.s = b.s AND a.doc_type = b.doc_type AND a.doc_id < b.doc_id GROUP BY 1, 2)
-"""
+cls AS (SELECT doc_id, doc_type, vendor_id, min(doc_id) OVER (PARTITION BY doc_type, sha256(coalesce(text, ''))) AS class_id FROM bid_documents),
+own AS (SELECT class_id, min(vendor_id) AS lo, max(vendor_id) AS hi, count(*) AS copies FROM cls GROUP BY 1),
+ws AS (SELECT doc_id, doc_type, {WS} AS w FROM bid_documents SEMI JOIN own ON doc_id = class_id),
+sh AS (SELECT DISTINCT doc_id, doc_type, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM ws, unnest(range(1, len(w) - 1)) u(i) WHERE len(w) >= 3),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM sh a JOIN sh b ON a.s = b.s AND a.doc_type = b.doc_type AND a.doc_id < b.doc_id GROUP BY 1, 2),
+near AS (SELECT a, b, shared / (x.n + y.n - shared) AS jaccard, p.copies AS a_copies, q.copies AS b_copies
+  FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b JOIN own p ON p.class_id = a JOIN own q ON q.class_id = b
+  WHERE shared / (x.n + y.n - shared) > 0.35 AND NOT (p.lo = p.hi AND q.lo = q.hi AND p.lo = q.lo)),
+links AS (SELECT * FROM near UNION ALL SELECT class_id, class_id, 1.0, copies, copies FROM own WHERE lo <> hi)"""
 
 
-@query(f"""
-WITH {SHINGLES} SELECT a, b, round(shared / (na.n + nb.n - shared), 6) AS jaccard, CASE WHEN shared / (na.n + nb.n - shared) > 0.7 THEN 'COPY' ELSE 'SUSPICIOUS' END AS verdict FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b JOIN bid_documents da ON da.doc_id = a JOIN bid_documents db ON db.doc_id = b
-WHERE shared / (na.n + nb.n - shared) > 0.35 AND da.vendor_id <> db.vendor_id""")
+def copied(t):
+    return X.plagiarism(t.documents(), "doc_id", "doc_type", "vendor_id", 0.35)
+
+
+@query(f"WITH {SHINGLES.strip()} SELECT a, b, round(jaccard, 6) AS jaccard, CASE WHEN jaccard > 0.7 THEN 'COPY' ELSE 'SUSPICIOUS' END AS verdict, a_copies, b_copies FROM links")
 def plagiarism_pairs(t):
-    """Pairs between different texts of a type; equal texts are represented by their least id (content_hash_dedup tells the members)."""
-    d = t.documents()
-    first = d.groupBy("doc_type", F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    p = X.shingle_jaccard(d.join(first, "doc_id"), "doc_id", "doc_type", 0.35)
-    v = t.documents().select("doc_id", "vendor_id")
-    p = p.join(v.toDF("a", "va"), "a").join(v.toDF("b", "vb"), "b").filter("va != vb")
-    return p.select("a", "b", r("jaccard").alias("jaccard"), F.when(F.col("jaccard") > 0.7, "COPY").otherwise("SUSPICIOUS").alias("verdict"))
+    """Pairs of text classes of a type that different vendors hold (a = b: one text held by several); plagiarism_members names the documents of a class."""
+    pairs, _ = copied(t)
+    verdict = F.when(F.col("jaccard") > 0.7, "COPY").otherwise("SUSPICIOUS").alias("verdict")
+    return pairs.select("a", "b", r("jaccard").alias("jaccard"), verdict, F.col("na").alias("a_copies"), F.col("nb").alias("b_copies"))
+
+
+@query(f"""
+WITH {SHINGLES.strip()}, ends AS (SELECT a AS class_id FROM links UNION ALL SELECT b FROM links WHERE a <> b)
+SELECT doc_id, vendor_id, class_id, (SELECT count(*) FROM ends e WHERE e.class_id = cls.class_id) AS links FROM cls""")
+def plagiarism_members(t):
+    _, members = copied(t)
+    return members.select("doc_id", "vendor_id", "class_id", "links")
 
 
 @query()
@@ -185,13 +303,23 @@ def sow_clause_coverage(t):
     return a.select("item_id", "vendor_id", "clauses", "covered", "partial", r("m").alias("mean_pct"), F.when(F.col("m") >= 85, "COMPLIANT").when(F.col("m") >= 60, "PARTIAL").otherwise("GAPS").alias("status"))
 
 
-@query()
+PROOF_WORDS = ("license", "licensed", "version")
+_WORD = r"\b(?:license|licensed|version)\b"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+a AS (SELECT *, list_position(list_transform(ls, lambda x: regexp_matches(x, '(?i){_WORD}')), true) AS pos FROM d),
+s AS (SELECT doc_id, pos, regexp_replace(array_to_string(ls[greatest(1, pos - 2):pos + 2], chr(10)), '^\s+|\s+$', '', 'g') AS s FROM a)
+SELECT doc_id, CASE WHEN pos > 0 THEN pos - 1 END AS line, CASE WHEN pos > 0 THEN CASE WHEN len(s) > 400 THEN substr(s, 1, 397) || '...' ELSE s END END AS snippet,
+  CASE WHEN coalesce(pos, 0) = 0 THEN 'low' WHEN regexp_matches(s, '(?i){_WORD}[\s\S]{{0,50}}{RULES.MONEY}|{RULES.MONEY}[\s\S]{{0,50}}{_WORD}') THEN 'high' ELSE 'medium' END AS confidence FROM s""")
 def evidence_snippet(t):
-    return X.evidence(t.documents(), "license")
+    e = RULES.evidence_of(F.col("text"), PROOF_WORDS)
+    return t.documents().select("doc_id", e.alias("e")).select("doc_id", "e.*")
 
 
 def quotes(t):
-    return t.raw("benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 60).alias("quote"))
+    return t.raw("benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("quote"))
 
 
 @query()
@@ -206,9 +334,18 @@ def clause_search(t):
     return X.clause_search(t.documents(), QUERY)
 
 
-@query("""
-WITH q AS (SELECT item_id AS id, trim(regexp_replace(lower(substr(text, 1, 60)), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS q FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS t FROM documents)
-SELECT id, CASE WHEN min(doc_id) IS NULL THEN 'HALLUCINATION_DETECTED' ELSE 'VERIFIED' END AS verdict, min(doc_id) AS found_in FROM q LEFT JOIN d ON contains(' ' || t, ' ' || q) GROUP BY 1""")
+def sql_normal(column: str) -> str:
+    return f"trim(regexp_replace(lower({column}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+CITED = f"""
+q AS (SELECT item_id AS id, {sql_normal("text")} AS q, lower(trim(text)) AS low FROM benchmark), d AS (SELECT doc_id, {sql_normal("text")} AS t FROM documents),
+hit AS (SELECT id, min(doc_id) AS found_in FROM q JOIN d ON q <> '' AND contains(' ' || t || ' ', ' ' || q || ' ') GROUP BY 1),
+cited AS (SELECT id, found_in, length(low) AS size, CASE WHEN low IN ({", ".join(f"'{x}'" for x in X.PLACEHOLDERS)}) THEN 'placeholder' WHEN found_in IS NOT NULL THEN 'verbatim'
+  WHEN {sql_contains(X.POLICIES, "low")} AND {sql_contains(X.POLICY_PARTS, "low")} THEN 'policy' END AS match FROM q LEFT JOIN hit USING (id))"""
+
+
+@query(f"WITH {CITED.strip()} SELECT id, CASE WHEN match IS NULL THEN 'HALLUCINATION_DETECTED' ELSE 'VERIFIED' END AS verdict, match, found_in FROM cited")
 def citation_guard(t):
     return X.citation_guard(quotes(t), t.documents())
 
@@ -239,10 +376,11 @@ def contact_keys(t, public=("gmail.com", "yahoo.com", "outlook.com")):
     return e.select("doc_id", F.lit("domain").alias("kind"), "key").unionByName(i.select("doc_id", F.lit("subnet").alias("kind"), "key"))
 
 
-@query("""
-SELECT d.doc_id, b.item_id, round(len(list_intersect(x, y)) / len(list_distinct(x || y)), 6) AS jaccard FROM (SELECT doc_id, list_distinct(string_split_regex(lower(text), '\\s+')) AS x FROM documents) d JOIN (SELECT item_id, list_distinct(string_split_regex(lower(text), '\\s+')) AS y FROM benchmark) b ON d.doc_id % 40 = b.item_id""")
+@query(f"""
+WITH q AS (SELECT DISTINCT item_id, unnest({WS}) AS w FROM benchmark WHERE item_id % 100 = 0), d AS (SELECT DISTINCT doc_id, unnest({WS}) AS w FROM documents),
+nq AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1), nd AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1), s AS (SELECT item_id, doc_id, count(*) AS k FROM q JOIN d USING (w) GROUP BY 1, 2)
+SELECT doc_id, item_id, round(k / (nq.n + nd.n - k), 6) AS jaccard FROM s JOIN nq USING (item_id) JOIN nd USING (doc_id)""")
 def word_jaccard(t):
-    split = lambda c: F.array_distinct(F.split(F.lower(c), r"\s+"))
-    b = t.raw("benchmark").select("item_id", split("text").alias("y"))
-    d = t.documents().select("doc_id", (F.col("doc_id") % 40).alias("item_id"), split("text").alias("x"))
-    return d.join(b, "item_id").select("doc_id", "item_id", r(jaccard(F.col("x"), F.col("y"))).alias("jaccard"))
+    """Every hundredth item as a query against all documents, by the words they share."""
+    queries = t.raw("benchmark").filter("item_id % 100 = 0").select("item_id", "text")
+    return X.word_overlap(queries, t.documents(), "item_id", "doc_id").select("doc_id", "item_id", r("jaccard").alias("jaccard"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.storage import scratch
 
@@ -27,10 +26,16 @@ def file_listing(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"))
 
 
-def comparative_sheet(fact: DataFrame) -> DataFrame:
+def comparative_sheet(rows: DataFrame) -> DataFrame:
+    """The 13 columns of a comparative sheet, after tender_id and bid_id; rank is DQ for disqualified bids and - for unranked ones."""
     yes = lambda c: F.when(F.col(c), "Yes").otherwise("No")
-    place = F.row_number().over(W.partitionBy("tender_id").orderBy("is_disqualified", "total_amount", "bid_id"))
-    return fact.select("tender_id", F.when(F.col("is_disqualified"), "DQ").otherwise(place.cast("string")).alias("rank"), "bid_id", "vendor_name", "total_amount", yes("msme").alias("msme"), yes("is_disqualified").alias("disqualified"))
+    money = lambda c: F.round(F.col(c).cast("decimal(38,12)"), 4).cast("double")
+    return rows.select(
+        "tender_id", "bid_id", F.when(F.col("is_disqualified"), "DQ").otherwise(F.coalesce(F.col("rank").cast("string"), F.lit("-"))).alias("Rank"),
+        F.col("vendor_name").alias("Vendor Name"), F.col("gem_reg_no").alias("GEM Reg No"), yes("msme").alias("MSME"), yes("make_in_india").alias("Make in India"),
+        money("bid_amount").alias("Bid Amount"), money("taxes").alias("Taxes"), money("total_amount").alias("Total Amount"), money("technical").alias("Technical Score"),
+        money("financial").alias("Financial Score"), money("composite").alias("Composite Score"), F.col("status").alias("Status"), F.col("disqualification_reason").alias("Disqualification Reason"),
+    )
 
 
 def csv_round_trip(df: DataFrame) -> DataFrame:

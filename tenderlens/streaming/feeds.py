@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.storage import scratch
+from ..operators.sequences import canonical
 
 WATERMARK = "10 minutes"
 
@@ -134,7 +135,7 @@ def seal_stream(events: DataFrame) -> DataFrame:
         state.update((prev,))
         yield pd.DataFrame(out, columns=["event_id", "user_id", "prev_hash", "hash"])
 
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("event_id", "user_id", "action", "details")])
+    text = canonical(["event_id", "user_id", "action", "details"])
     return events.select("event_id", "user_id", text.alias("content")).groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint, prev_hash string, hash string", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -145,9 +146,7 @@ def windowed_counts(events: DataFrame, width: str = "1 hour") -> DataFrame:
 
 def ingest_documents(docs: DataFrame) -> DataFrame:
     """Redacted text, sustainability points and content hash of each new text; equal texts pass once."""
-    from ..operators.text import flag, redact
+    from ..operators.text import esg_points, redact
 
-    low = F.lower("text")
-    esg = F.greatest(F.lit(15), 10 * sum((flag(low, w).cast("int") for w in ("environ", "energy", "social", "safety", "licens", "audit")), F.lit(0)))
-    rows = docs.select("doc_id", redact(F.col("text")).alias("text"), esg.cast("int").alias("esg"), F.sha2("text", 256).alias("content_hash"))
+    rows = docs.select("doc_id", redact(F.col("text")).alias("text"), esg_points(F.col("text")).alias("esg"), F.sha2("text", 256).alias("content_hash"))
     return rows.dropDuplicates(["content_hash"])
