@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.storage import durable, partitions
+from ..functions.storage import durable
 
 
 def co_bids(bids: DataFrame) -> DataFrame:
@@ -73,53 +70,36 @@ def label_propagation(edges: DataFrame, rounds: int = 10, every: int = 3) -> Dat
     return labels
 
 
-def brandes(adjacency: dict, source) -> dict:
-    """Dependencies of one source on all nodes (unweighted shortest paths)."""
-    order, parents, paths, level, frontier = [], {source: []}, {source: 1.0}, {source: 0}, [source]
-    while frontier:
-        nxt = []
-        for v in frontier:
-            order.append(v)
-            for w in adjacency[v]:
-                if w not in level:
-                    level[w], paths[w], parents[w] = level[v] + 1, 0.0, []
-                    nxt.append(w)
-                if level[w] == level[v] + 1:
-                    paths[w] += paths[v]
-                    parents[w].append(v)
-        frontier = nxt
-    load = dict.fromkeys(order, 0.0)
-    for w in reversed(order):
-        for v in parents[w]:
-            load[v] += paths[v] / paths[w] * (1 + load[w])
-    load[source] = 0.0
-    return load
-
-
-def betweenness(edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
-    """(node, betweenness), exact: sources are dealt to tasks, each with the adjacency (refused above ``most_edges``)."""
-    pairs = edges.select("a", "b").limit(most_edges + 1).collect()
-    if len(pairs) > most_edges:
-        raise ValueError(f"the graph has more than {most_edges} edges; cut it with strong_edges first")
-    adjacency: dict = {}
-    for a, b in sorted(pairs):
-        adjacency.setdefault(a, []).append(b)
-        adjacency.setdefault(b, []).append(a)
-    n = len(adjacency)
-    spark = edges.sparkSession
-    shared = spark.sparkContext.broadcast(adjacency)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            total: dict = {}
-            for s in pdf["node"]:
-                for v, x in brandes(shared.value, s).items():
-                    total[v] = total.get(v, 0.0) + x
-            yield pd.DataFrame({"node": list(total), "load": list(total.values())})
-
-    nodes = both_ways(edges).select("node").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node")
+def betweenness(edges: DataFrame, block: int = 1024) -> DataFrame:
+    """(node, betweenness), exact, over unweighted shortest paths, in blocks of about ``block`` sources.
+
+    A block's breadth-first levels (source, node, paths) are joins with the edges, each level
+    cut to the shared folder; dependencies then flow back level by level.  Neither the graph
+    nor a source's tree has to fit in a task.
+    """
+    e = durable(both_ways(edges).distinct())
+    nodes = durable(e.select("node").distinct())
+    n = nodes.count()
+    blocks = max(1, -(-n // block))
+    loads = nodes.select("node", F.lit(0.0).alias("load"))
+    for k in range(blocks):
+        start = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == k)
+        levels = [durable(start.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))]
+        seen = levels[0].select("source", "node")
+        while not levels[-1].isEmpty():
+            step = levels[-1].join(e, "node").groupBy("source", F.col("other").alias("node")).agg(F.sum("paths").alias("paths"))
+            levels.append(durable(step.join(seen, ["source", "node"], "left_anti")))
+            seen = seen.unionByName(levels[-1].select("source", "node"))
+        back = None
+        for upper, lower in zip(levels[-3::-1], levels[-2:0:-1], strict=False):
+            known = lower.withColumn("load", F.lit(0.0)) if back is None else lower.join(back, ["source", "node"], "left").withColumn("load", F.coalesce("load", F.lit(0.0)))
+            loads = loads.unionByName(known.select("node", "load"))
+            down = known.select("source", F.col("node").alias("other"), ((1 + F.col("load")) / F.col("paths")).alias("share"))
+            parts = down.join(e, "other").join(upper, ["source", "node"])
+            back = durable(parts.groupBy("source", "node").agg(F.sum(F.col("paths") * F.col("share")).alias("load")))
+        loads = durable(loads.groupBy("node").agg(F.sum("load").alias("load")))
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0  # each unordered pair is seen from both ends
-    return nodes.mapInPandas(run, "node bigint, load double").groupBy("node").agg((F.sum("load") * scale).alias("betweenness"))
+    return loads.select("node", (F.col("load") * scale).alias("betweenness"))
 
 
 def grid_edges(points: DataFrame, key: str, x: str, y: str, eps: float) -> DataFrame:

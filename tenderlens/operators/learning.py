@@ -9,15 +9,33 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..functions.storage import durable, partitions
 
 TREES, SAMPLE = 64, 256
 
 
+def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    """The exact median of each column's values, 0 without any: equal values are merged and the middle ranks found by ranges' offsets, so no task holds a column."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in cols])).alias("v")).select("v.c", "v.x").filter("x is not null")
+    per = long.groupBy("c", "x").agg(F.count(F.lit(1)).alias("k"))
+    placed = durable(durable(per).repartitionByRange(partitions(df), "c", "x").withColumn("part", F.spark_partition_id()))
+    runs = placed.groupBy("c", "part").agg(F.sum("k").alias("rows"))
+    before = W.partitionBy("c").orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per column and range
+    whole = W.partitionBy("c")
+    runs = runs.select("c", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"), F.sum("rows").over(whole).alias("n"))
+    within = F.sum("k").over(W.partitionBy("c", "part").orderBy("x").rowsBetween(W.unboundedPreceding, 0))
+    ranked = placed.withColumn("last", within).join(F.broadcast(runs), ["c", "part"]).withColumn("last", F.col("last") + F.col("offset"))
+    middle = lambda at: F.min(F.when(F.col("last") >= at, F.col("x")))
+    found = ranked.groupBy("c").agg(((middle(F.floor((F.col("n") + 1) / 2)) + middle(F.floor(F.col("n") / 2) + 1)) / 2).alias("m"))
+    return {c: 0.0 for c in cols} | {r["c"]: r["m"] for r in found.collect()}  # one row per column
+
+
 def impute(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Nulls replaced by the column's exact median."""
-    medians = df.agg(*[F.expr(f"percentile({c}, 0.5)").alias(f"__{c}") for c in cols])
-    out = df.crossJoin(F.broadcast(medians))  # one row
-    return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__{c}"), F.lit(0.0)) for c in cols}).drop(*[f"__{c}" for c in cols])
+    middle = medians(df, cols)
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(middle[c]))) for c in cols})
 
 
 def standardise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -65,23 +83,21 @@ def depths(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def isolation_forest(df: DataFrame, key: str, cols: Sequence[str], contamination: float = 0.1, trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
-    """(key, score, is_anomaly, top_feature): one tree per group on a hashed sample of at most about ``sample`` rows, scored in batches.
+    """(key, score, is_anomaly, top_feature): one tree per group on a hashed sample of about ``sample`` rows, scored in batches.
 
-    The forest (trees x twice the sample in nodes) is bounded and sent to all tasks.
+    The forest (trees x about twice the sample in nodes) is bounded and sent to all tasks.
+    Members are drawn alike at every size: each row belongs to a tree with the same chance.
     """
-    z = standardise(df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]), cols).persist()
+    z = durable(standardise(df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]), cols))
     n = z.count()
-    rate = min(1.0, sample / max(n, 1))
-    picked = z.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))) if n < 50_000 else None
-    if picked is None:  # draw sparse members first, so that rows are not multiplied
-        chance = min(1.0, 1.5 * rate * trees)
-        picked = z.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < chance * 1_000_000).withColumn("tree", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.lit(trees)).cast("int"))
-    else:
-        picked = picked.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("tree")), F.lit(1_000_000)) < rate * 1_000_000)
+    # a row's number of trees follows from one hash; most rows of a large table are in none and are not multiplied
+    chance = min(1.0, sample / max(n, 1))
+    drawn = lambda t: F.pmod(F.xxhash64(F.lit(seed), F.col(key), t), F.lit(1_000_000_000)) < int(chance * 1_000_000_000)
+    picked = z.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), drawn)))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        rows = pdf.sort_values(key)[list(cols)].to_numpy(float)[: 2 * sample]
+        rows = pdf.sort_values(key)[list(cols)].to_numpy(float)
         nodes = grow(rows, np.random.default_rng(seed * 1000 + tree), max(1, math.ceil(math.log2(max(2, len(rows))))))
         return pd.DataFrame({"tree": [tree], "size": [len(rows)], "nodes": [np.asarray(nodes, float).ravel().tolist()]})
 

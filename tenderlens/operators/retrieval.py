@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.core import word_list
+from ..functions.storage import durable
 
 
 def blocks(vectors: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
@@ -60,8 +61,9 @@ def rerank(found: DataFrame, vectors: DataFrame, key: str = "vec_id", vector: st
 
 def tfidf(found: DataFrame, docs: DataFrame, key: str = "vec_id") -> DataFrame:
     """Cosine of TF-IDF rows (smooth idf over the query's candidates and itself) of each candidate with the query's text."""
-    text = docs.select(F.col("doc_id").alias(key), F.explode(word_list(F.col("text"))).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("tf"))
-    members = found.select("query", key).unionByName(found.select("query", F.col("query").alias(key))).distinct()
+    members = durable(found.select("query", key).unionByName(found.select("query", F.col("query").alias(key))).distinct())
+    wanted = docs.withColumnRenamed("doc_id", key).join(members.select(key).distinct(), key, "left_semi")  # only the candidates' texts are cut in words
+    text = wanted.select(key, F.explode(word_list(F.col("text"))).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("tf"))
     rows = members.join(text, key)
     n = members.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
     df = rows.groupBy("query", "w").agg(F.count(F.lit(1)).alias("df"))
