@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -102,6 +104,31 @@ def betweenness(edges: DataFrame, block: int = 1024) -> DataFrame:
     return loads.select("node", (F.col("load") * scale).alias("betweenness"))
 
 
+def shared_attributes(rows: DataFrame, key: str, points: dict[str, int], critical: int, warning: int) -> DataFrame:
+    """Per key: links (other keys that share an attribute), how many of these reach ``critical`` and ``warning`` points, the most points, and the verdict.
+
+    Keys that agree on each set of attributes are counted, one row per key and set; how many
+    share exactly a set follows by inclusion and exclusion.  Pairs are never written, so an
+    attribute that very many keys share costs no more than others.
+    """
+    kinds = list(points)
+    sets = range(1, 1 << len(kinds))
+    inside = lambda m: [k for i, k in enumerate(kinds) if m >> i & 1]
+    known = lambda m: reduce(lambda a, c: a & c, [F.col(k).isNotNull() for k in inside(m)])
+    keyed = F.array_compact(F.array(*[F.when(known(m), F.struct(F.lit(m).alias("m"), F.xxhash64(F.lit(m), *inside(m)).alias("v"))) for m in sets]))
+    long = rows.select(key, F.explode(keyed).alias("x")).select(key, "x.m", "x.v")
+    sized = long.join(long.groupBy("m", "v").agg((F.count(F.lit(1)) - 1).alias("n")), ["m", "v"])
+    wide = sized.groupBy(key).agg(*[F.coalesce(F.sum(F.when(F.col("m") == m, F.col("n"))), F.lit(0)).alias(f"n{m}") for m in sets])
+    exactly = {m: sum(((-1) ** ((t ^ m).bit_count()) * F.col(f"n{t}") for t in sets if t & m == m), F.lit(0)) for m in sets}
+    worth = {m: sum(points[k] for k in inside(m)) for m in sets}
+    total = lambda test: F.coalesce(sum((exactly[m] for m in sets if test(worth[m])), F.lit(0)), F.lit(0)).cast("bigint")
+    strongest = F.coalesce(F.greatest(F.lit(0), *[F.when(exactly[m] > 0, worth[m]).otherwise(0) for m in sets]), F.lit(0)).cast("bigint")
+    out = rows.select(key).join(wide, key, "left").select(
+        key, total(lambda w: w > 0).alias("links"), total(lambda w: w >= critical).alias("critical"), total(lambda w: warning <= w < critical).alias("warning"), strongest.alias("strongest"),
+    )
+    return out.withColumn("verdict", F.when(F.col("strongest") >= critical, "CRITICAL").when(F.col("strongest") >= warning, "WARNING").otherwise("CLEAR"))
+
+
 def grid_edges(points: DataFrame, key: str, x: str, y: str, eps: float) -> DataFrame:
     """Edges (a, b) that connect points as all pairs within ``eps`` would, from cells of side eps / sqrt 2.
 

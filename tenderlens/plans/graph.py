@@ -44,7 +44,14 @@ def degree_centrality(t, high=0.1, moderate=0.05):
     return out.select("node", r(c).alias("centrality"), r("w").alias("avg_weight"), F.when((c > high) & (F.col("w") > 2), "HIGH").when(c > moderate, "MODERATE").otherwise("LOW").alias("risk"))
 
 
-@query()
+BOTH = "both_ AS (SELECT a AS u, b AS v, shared FROM edges UNION ALL SELECT b, a, shared FROM edges)"
+_POWER = ", ".join(
+    [f"x0 AS (SELECT DISTINCT u AS node, 1.0::DOUBLE AS x FROM both_)"]
+    + [f"x{i} AS MATERIALIZED (SELECT node, x / sqrt(sum(x * x) OVER ()) AS x FROM (SELECT u AS node, sum(shared * x) AS x FROM both_ JOIN x{i - 1} ON node = v GROUP BY 1))" for i in range(1, 31)]
+)
+
+
+@query(f"WITH {PAIRS}, {BOTH}, {_POWER} SELECT node, round(x, 6) AS centrality FROM x30")
 def eigenvector_centrality(t):
     return G.eigenvector(G.strong_edges(G.co_bids(t.bids()))).select("node", r("centrality").alias("centrality"))
 
@@ -54,7 +61,16 @@ def betweenness_centrality(t):
     return G.betweenness(G.strong_edges(G.co_bids(t.bids()))).select("node", r("betweenness").alias("betweenness"))
 
 
-@query()
+_LABELS = ", ".join(
+    ["l0 AS (SELECT DISTINCT u AS node, u AS community FROM both_)"]
+    + [
+        f"l{i} AS MATERIALIZED (SELECT node, arg_max(community, (w, -community)) AS community FROM (SELECT node, community, sum(w) AS w FROM (SELECT u AS node, community, shared AS w FROM both_ JOIN l{i - 1} ON node = v UNION ALL SELECT node, community, 1 FROM l{i - 1}) GROUP BY 1, 2) GROUP BY 1)"
+        for i in range(1, 11)
+    ]
+)
+
+
+@query(f"WITH {PAIRS}, {BOTH}, {_LABELS} SELECT node, community FROM l10")
 def communities(t):
     return G.label_propagation(G.strong_edges(G.co_bids(t.bids())))
 
@@ -74,30 +90,36 @@ sig AS (SELECT a, b, sum(pts)::BIGINT AS score, string_agg(sig, ',' ORDER BY sig
 """
 
 
-def attributes(t):
-    """Contact attributes of vendors as (vendor_id, kind, value, points); given columns, never made up per pair."""
-    s = t.raw("supplier")
-    kinds = [("subnet", F.col("s_nationkey").cast("bigint"), 3), ("address", F.round(F.col("s_acctbal") / 50).cast("bigint"), 4), ("device", F.col("s_suppkey") % 17, 2), ("domain", F.col("s_nationkey") * 100 + F.col("s_suppkey") % 3, 3)]
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("bigint").alias("value"), F.lit(p).alias("pts")) for k, v, p in kinds])).alias("x")
-    return s.select(F.col("s_suppkey").alias("vendor_id"), rows).select("vendor_id", "x.kind", "x.value", "x.pts")
+#: Kinds of contact attributes and their points (fixed values).
+SIGNALS = {"address": 4, "device": 2, "domain": 3, "subnet": 3}
 
 
-def shared_signals(t):
-    """Pairs that share an attribute value: blocked equi-joins, then one row per pair."""
-    a = attributes(t)
-    p = a.select("kind", "value", "pts", F.col("vendor_id").alias("a")).join(a.select("kind", "value", F.col("vendor_id").alias("b")), ["kind", "value"]).filter("a < b")
-    return p.groupBy("a", "b").agg(F.sum("pts").alias("score"), F.array_join(F.array_sort(F.collect_list("kind")), ",").alias("signals"))
+def attributes(t):
+    """Contact attributes of vendors, one column a kind."""
+    s = t.raw("supplier")
+    values = {"address": F.round(F.col("s_acctbal") / 50), "device": F.col("s_suppkey") % 17, "domain": F.col("s_nationkey") * 100 + F.col("s_suppkey") % 3, "subnet": F.col("s_nationkey")}
+    return s.select(F.col("s_suppkey").alias("vendor_id"), *[v.cast("bigint").alias(k) for k, v in values.items()])
 
 
 @query(f"WITH {PAIRS}, {SIGNALS_SQL.strip()} SELECT a, b, shared, score, signals, CASE WHEN score >= 5 THEN 'high' WHEN score >= 2 THEN 'medium' ELSE 'low' END AS level FROM pairs JOIN sig USING (a, b)")
 def collusion_edges(t):
-    p = G.co_bids(t.bids()).join(shared_signals(t), ["a", "b"])
-    return p.select("a", "b", "shared", "score", "signals", above(F.col("score"), [(5, "high"), (2, "medium")], "low").alias("level"))
+    """Vendors that bid together and share an attribute: the attributes are looked up for pairs that exist already."""
+    own = lambda x: attributes(t).select(F.col("vendor_id").alias(x), F.struct(*SIGNALS).alias(f"{x}_own"))
+    p = G.co_bids(t.bids()).join(own("a"), "a").join(own("b"), "b")
+    same = {k: F.coalesce(F.col(f"a_own.{k}") == F.col(f"b_own.{k}"), F.lit(False)) for k in SIGNALS}
+    score = sum((F.when(c, SIGNALS[k]).otherwise(0) for k, c in same.items()), F.lit(0)).cast("bigint")
+    signals = F.array_join(F.array_compact(F.array(*[F.when(c, k) for k, c in same.items()])), ",")
+    p = p.select("a", "b", "shared", score.alias("score"), signals.alias("signals")).filter("score > 0")
+    return p.withColumn("level", above(F.col("score"), [(5, "high"), (2, "medium")], "low"))
 
 
-@query(f"WITH {SIGNALS_SQL} SELECT a, b, score, CASE WHEN score >= 7 THEN 'CRITICAL' WHEN score >= 3 THEN 'WARNING' ELSE 'CLEAR' END AS verdict FROM sig")
+@query(f"""
+WITH {SIGNALS_SQL.strip()}, ends AS (SELECT a AS vendor_id, score FROM sig UNION ALL SELECT b, score FROM sig)
+SELECT s_suppkey AS vendor_id, count(score) AS links, count(*) FILTER (score >= 7) AS critical, count(*) FILTER (score >= 3 AND score < 7) AS warning, coalesce(max(score), 0) AS strongest,
+  CASE WHEN max(score) >= 7 THEN 'CRITICAL' WHEN max(score) >= 3 THEN 'WARNING' ELSE 'CLEAR' END AS verdict FROM supplier LEFT JOIN ends ON vendor_id = s_suppkey GROUP BY 1""")
 def conflict_of_interest(t):
-    return shared_signals(t).select("a", "b", "score", above(F.col("score"), [(7, "CRITICAL"), (3, "WARNING")], "CLEAR").alias("verdict"))
+    """One row per vendor: how many others share contact attributes with it, by the points of what they share, without writing pairs."""
+    return G.shared_attributes(attributes(t), "vendor_id", SIGNALS, critical=7, warning=3)
 
 
 FEATS = """
@@ -163,7 +185,11 @@ def fingerprint_similarity(t, clone=0.72):
     return dna(t).select("a", "b", r("sim").alias("similarity"), (F.col("sim") > clone).alias("clone"))
 
 
-@query()
+@query(f"""
+WITH {PAIRS}, {DNA.strip()}, near AS (SELECT a, b, sim FROM dna WHERE 1 - sim <= 0.28), ways AS (SELECT a AS u, b AS v FROM near UNION ALL SELECT b, a FROM near),
+reach(u, v) AS (SELECT u, u FROM ways UNION SELECT r.u, w.v FROM reach r JOIN ways w ON w.u = r.v), c AS (SELECT u AS node, min(v) AS cluster FROM reach GROUP BY 1),
+m AS (SELECT cluster, avg(sim) AS mean FROM near JOIN c ON node = a GROUP BY 1)
+SELECT cluster, count(*) AS members, string_agg(node::VARCHAR, ',' ORDER BY node) AS vendors, round(any_value(mean), 6) AS mean_similarity FROM c JOIN m USING (cluster) GROUP BY 1""", recursive=True)
 def shell_clusters(t, distance=0.28):
     d = dna(t).filter(1 - F.col("sim") <= distance)
     c = G.components(d)

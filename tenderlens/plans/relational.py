@@ -289,7 +289,7 @@ def export_comparative_csv(t):
     return csv_round_trip(comparative_sheet(rows.withColumn("disqualification_reason", reason)))
 
 
-@query()
+@query("SELECT text, source || '/' || doc_id AS file_path, 'OCR Engine Cascade' AS engine_used, 0.85::DOUBLE AS confidence FROM documents")
 def scan_json_documents(t):
     from ..sources.files import json_documents, write_json_documents
 

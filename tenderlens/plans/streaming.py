@@ -19,12 +19,26 @@ def audit_tail(t):
     return S.replay(S.audit_tail(events(t), 1000))
 
 
-@query()
+IN_ORDER = "e AS (SELECT user_id, event_id, value AS v, floor(epoch(ts))::BIGINT AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM audit)"
+_M = "2 / 11.0::DOUBLE * e.v + (1 - 2 / 11.0::DOUBLE) * c.m"
+
+
+@query(f"""
+WITH {IN_ORDER}, c(user_id, event_id, k, m, mean, square, alert) AS (
+  SELECT user_id, event_id, k, v, 0.0::DOUBLE, 0.0::DOUBLE, false FROM e WHERE k = 1
+  UNION ALL SELECT user_id, event_id, k, m, mean + (res - mean) / k, square + (res - mean) * (res - (mean + (res - mean) / k)), k > 3 AND res > mean + 2 * sqrt(square / (k - 1))
+  FROM (SELECT e.user_id, e.event_id, e.k, {_M} AS m, abs(e.v - ({_M})) AS res, c.mean, c.square FROM c JOIN e ON e.user_id = c.user_id AND e.k = c.k + 1))
+SELECT event_id, user_id, round(m, 6) AS ewma, alert FROM c""", recursive=True)
 def ewma_stream(t):
-    return S.replay(S.ewma_stream(events(t)))
+    return S.replay(S.ewma_stream(events(t))).withColumn("ewma", F.round("ewma", 6))
 
 
-@query()
+@query(f"""
+WITH {IN_ORDER}, c(user_id, event_id, k, verdict, best, e_) AS (
+  SELECT user_id, event_id, k, 'accepted', v, a + 86400 FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN e.a > c.e_ THEN 'closed' WHEN e.v < c.best THEN 'accepted' ELSE 'not lower' END, CASE WHEN e.a <= c.e_ AND e.v < c.best THEN e.v ELSE c.best END,
+    CASE WHEN e.a <= c.e_ AND e.v < c.best AND c.e_ - e.a < 120 THEN c.e_ + 120 ELSE c.e_ END FROM c JOIN e ON e.user_id = c.user_id AND e.k = c.k + 1)
+SELECT event_id, user_id, verdict, best, e_ AS "end" FROM c""", recursive=True)
 def auction_stream(t):
     return S.replay(S.auction_stream(events(t)))
 

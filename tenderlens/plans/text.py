@@ -210,7 +210,15 @@ def text_quality(t):
     return t.documents().select("doc_id", r(X.text_quality(F.col("text"))).alias("quality"))
 
 
-@query()
+SENTENCES = r"""
+parts AS (SELECT {key}, pos - 1 AS pos, trim(p[pos]) AS s FROM (SELECT {key}, string_split_regex(text, '[.!?\n]+') AS p FROM {table}), unnest(range(1, len(p) + 1)) u(pos)),
+sentences AS (SELECT * FROM parts WHERE s <> '')"""
+
+
+@query(f"""
+WITH {SENTENCES.strip().format(key="doc_id", table="documents")}, w AS (SELECT doc_id, pos, unnest({WS.replace("text", "s")}) AS w FROM sentences), tf AS (SELECT doc_id, w, count(*) AS tf FROM w GROUP BY 1, 2),
+best AS (SELECT doc_id, pos, avg(tf) AS score FROM w JOIN tf USING (doc_id, w) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY avg(tf) DESC, pos) <= 3)
+SELECT doc_id, string_agg(s, '. ' ORDER BY pos) AS summary FROM best JOIN sentences USING (doc_id, pos) GROUP BY 1""")
 def extractive_summary(t):
     return X.summarize(t.documents())
 
@@ -260,7 +268,14 @@ def plagiarism_members(t):
     return members.select("doc_id", "vendor_id", "class_id", "links")
 
 
-@query()
+_GRAMS = "SELECT DISTINCT {key}, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM ({rows}), unnest(range(1, len(w) - 1)) u(i) WHERE len(w) >= 3"
+
+
+@query(f"""
+WITH {SENTENCES.strip().format(key="item_id", table="benchmark")},
+q AS ({_GRAMS.format(key="item_id, pos", rows=f"SELECT item_id, pos, {WS.replace('text', 's')} AS w FROM sentences WHERE len(s) >= 20")}), d AS ({_GRAMS.format(key="doc_id", rows=f"SELECT doc_id, {WS} AS w FROM documents")}),
+n AS (SELECT item_id, pos, count(*) AS n FROM q GROUP BY 1, 2), hits AS (SELECT item_id, pos, doc_id AS other, count(*) AS k FROM q JOIN d USING (g) GROUP BY 1, 2, 3)
+SELECT item_id, other, pos, round(k / n, 6) AS share FROM hits JOIN n USING (item_id, pos) WHERE k >= 0.4 * n QUALIFY row_number() OVER (PARTITION BY item_id, other ORDER BY pos) <= 5""")
 def matching_phrases(t):
     """Sentences of a benchmark item's text of which another document holds at least 40 % of the trigrams; first five of each pair."""
     s = X.sentences(t.raw("benchmark").select(F.col("item_id").alias("doc_id"), "text")).filter(F.char_length("sentence") >= 20)
@@ -290,16 +305,19 @@ def criterion_score(t, words=("licensed", "license", "version", "work")):
 @query(f"""
 WITH cl AS (SELECT item_id, trim(unnest(string_split_regex(text, '[;.\\n]'))) AS clause FROM benchmark), k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY clause) AS n, list_distinct(list_filter(regexp_extract_all(lower(clause), '[\\p{{L}}\\p{{N}}_]+'), lambda x: len(x) >= 4)) AS need FROM (SELECT DISTINCT item_id, clause FROM cl WHERE len(clause) > 15)),
 v AS (SELECT vendor_id, list_distinct(flatten(list({WS}))) AS have FROM bid_documents GROUP BY 1), x AS (SELECT item_id, n, vendor_id, 100.0 * len(list_intersect(need, have)) / len(need) AS pct FROM k, v WHERE len(need) > 0)
-SELECT item_id, vendor_id, count(*) AS clauses, count(*) FILTER (pct >= 70) AS covered, count(*) FILTER (pct >= 40 AND pct < 70) AS partial, round(avg(pct), 6) AS mean_pct, CASE WHEN avg(pct) >= 85 THEN 'COMPLIANT' WHEN avg(pct) >= 60 THEN 'PARTIAL' ELSE 'GAPS' END AS status FROM x GROUP BY 1, 2""")
+SELECT item_id, vendor_id, count(*) AS clauses, count(*) FILTER (pct >= 70) AS covered, count(*) FILTER (pct >= 40 AND pct < 70) AS partial, round(avg(pct), 6) AS mean_pct,
+  CASE WHEN avg(pct) >= 85 THEN 'COMPLIANT' WHEN avg(pct) >= 60 THEN 'PARTIAL' ELSE 'GAPS' END AS status FROM x GROUP BY 1, 2 HAVING sum(pct) > 0""")
 def sow_clause_coverage(t):
+    """Items and vendors that share a word of four letters and more; other pairs cover nothing."""
     cl = t.raw("benchmark").select("item_id", F.explode(F.split("text", r"[;.\n]")).alias("c")).select("item_id", F.trim("c").alias("clause")).filter(F.char_length("clause") > 15).distinct()
     need = cl.select("item_id", "clause", F.explode(F.array_distinct(F.filter(word_list(F.col("clause")), lambda w: F.char_length(w) >= 4))).alias("w"))
     sizes = need.groupBy("item_id", "clause").agg(F.count(F.lit(1)).alias("n"))
     have = t.documents().select("vendor_id", F.explode(F.array_distinct(word_list(F.col("text")))).alias("w")).distinct()
     hits = need.join(have, "w").groupBy("item_id", "clause", "vendor_id").agg(F.count(F.lit(1)).alias("k"))
-    per = sizes.crossJoin(t.documents().select("vendor_id").distinct()).join(hits, ["item_id", "clause", "vendor_id"], "left")  # clauses by vendors is the result's own grain
-    per = per.withColumn("pct", share(F.coalesce("k", F.lit(0)), F.col("n")))
-    a = per.groupBy("item_id", "vendor_id").agg(F.count(F.lit(1)).alias("clauses"), F.count_if(F.col("pct") >= 70).alias("covered"), F.count_if((F.col("pct") >= 40) & (F.col("pct") < 70)).alias("partial"), F.avg("pct").alias("m"))
+    per = hits.join(sizes, ["item_id", "clause"]).withColumn("pct", share(F.col("k"), F.col("n")))
+    whole = sizes.groupBy("item_id").agg(F.count(F.lit(1)).alias("clauses"))  # clauses without a hit count by their number
+    a = per.groupBy("item_id", "vendor_id").agg(F.count_if(F.col("pct") >= 70).alias("covered"), F.count_if((F.col("pct") >= 40) & (F.col("pct") < 70)).alias("partial"), F.sum("pct").alias("s"))
+    a = a.join(whole, "item_id").withColumn("m", F.col("s") / F.col("clauses"))
     return a.select("item_id", "vendor_id", "clauses", "covered", "partial", r("m").alias("mean_pct"), F.when(F.col("m") >= 85, "COMPLIANT").when(F.col("m") >= 60, "PARTIAL").otherwise("GAPS").alias("status"))
 
 

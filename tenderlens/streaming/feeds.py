@@ -2,7 +2,9 @@
 
 Builders take a streaming (or, where no state is kept by hand, a batch) DataFrame and return one;
 ``replay`` runs a bounded stream to its end through a durable sink and returns what it wrote.
-State is kept per key; rows later than the watermark are dropped by the windowed feeds.
+State is kept per key.  Rows later than the watermark are dropped by the windowed feeds and by
+those whose state expires: a key that has been silent for ``ttl`` of event time starts anew.  A
+chain's last hash never expires.
 """
 
 from __future__ import annotations
@@ -47,6 +49,11 @@ def replay(stream: DataFrame, mode: str = "append") -> DataFrame:
     return written.select(*stream.columns)
 
 
+def keep_until(state: GroupState, last: pd.Timestamp, ttl: int) -> None:
+    """Lets the state expire ``ttl`` seconds of event time after the key's last row."""
+    state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs()) + 1000 * ttl)
+
+
 def audit_tail(events: DataFrame, high_water: int) -> DataFrame:
     """Rows past a high-water id; the source's checkpoint keeps the offset."""
     return events.filter(F.col("event_id") > high_water).select("event_id", "user_id", "action")
@@ -56,14 +63,18 @@ def rows_in_order(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
 
 
-def ewma_stream(events: DataFrame, span: int = 10) -> DataFrame:
+def ewma_stream(events: DataFrame, span: int = 10, ttl: int = 30 * 86_400) -> DataFrame:
     """Per user: EWMA of value and an alert where the residual exceeds the mean + 2 sd of the residuals before it (causal)."""
     alpha = 2.0 / (span + 1)
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = rows_in_order(pdfs)
         m, n, mean, square = state.get if state.exists else (0.0, 0, 0.0, 0.0)
         out = []
-        for r in rows_in_order(pdfs).itertuples():
+        for r in rows.itertuples():
             m = r.value if n == 0 else alpha * r.value + (1 - alpha) * m
             residual = abs(r.value - m)
             bar = mean + 2 * (square / n) ** 0.5 if n else 0.0
@@ -73,18 +84,23 @@ def ewma_stream(events: DataFrame, span: int = 10) -> DataFrame:
             mean += d / n
             square += d * (residual - mean)
         state.update((m, n, mean, square))
+        keep_until(state, rows["ts"].max(), ttl)
         yield pd.DataFrame(out, columns=["event_id", "user_id", "ewma", "alert"])
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint, ewma double, alert boolean", "m double, n bigint, mean double, square double", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", WATERMARK).groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint, ewma double, alert boolean", "m double, n bigint, mean double, square double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def auction_stream(events: DataFrame, seconds: int = 86_400, extension: int = 120) -> DataFrame:
+def auction_stream(events: DataFrame, seconds: int = 86_400, extension: int = 120, ttl: int = 7 * 86_400) -> DataFrame:
     """A reverse auction per user id: a bid counts only strictly below the current best and before the end, which moves by ``extension`` when a bid comes in its last moments."""
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = rows_in_order(pdfs)
         best, end = state.get if state.exists else (float("inf"), 0)
         out = []
-        for r in rows_in_order(pdfs).itertuples():
+        for r in rows.itertuples():
             at = int(r.ts.timestamp())
             end = end or at + seconds
             verdict = "closed" if at > end else "accepted" if r.value < best else "not lower"
@@ -94,9 +110,10 @@ def auction_stream(events: DataFrame, seconds: int = 86_400, extension: int = 12
                     end += extension
             out.append((r.event_id, key[0], verdict, best, end))
         state.update((best, end))
+        keep_until(state, rows["ts"].max(), ttl)
         yield pd.DataFrame(out, columns=["event_id", "user_id", "verdict", "best", "end"])
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint, verdict string, best double, end bigint", "best double, end bigint", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", WATERMARK).groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint, verdict string, best double, end bigint", "best double, end bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def burst_sessions(events: DataFrame, gap: str = "300 seconds", least: int = 2) -> DataFrame:
@@ -109,17 +126,22 @@ def rate_violations(events: DataFrame, seconds: int = 3600, limit: int = 2) -> D
     """Events at which a user has more than ``limit`` in the trailing window; the state holds that window only."""
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = rows_in_order(pdfs)
         recent = list(state.get[0]) if state.exists else []
         out = []
-        for r in rows_in_order(pdfs).itertuples():
+        for r in rows.itertuples():
             at = r.ts.value // 1000
             recent = [x for x in recent if x > at - seconds * 1_000_000] + [at]
             if len(recent) > limit:
                 out.append((r.event_id, key[0], len(recent)))
         state.update((recent,))
+        keep_until(state, rows["ts"].max(), seconds)
         yield pd.DataFrame(out, columns=["event_id", "user_id", "n"])
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint, n bigint", "recent array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", WATERMARK).groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint, n bigint", "recent array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def seal_stream(events: DataFrame) -> DataFrame:
