@@ -187,12 +187,14 @@ def monetary_values(text: Column, order_context: bool = False) -> Column:
     An amount with a unit, after or before a currency sign, or after a total of orders counts,
     within the bounds of each form; lines of boilerplate don't.
     """
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    rows = F.transform(lines, lambda x, i: F.struct(x.alias("t"), F.upper(x).alias("u"), F.concat_ws("\n", F.slice(lines, i + 1, 3)).alias("next"), i.alias("i")))
-    usable = F.filter(rows, lambda r: ~holds(r["u"], BOILERPLATE))
-    if order_context:
-        shown = F.transform(lines, lambda x: holds(F.upper(x), ORDER_MARKS))
-        usable = F.filter(usable, lambda r: F.exists(F.slice(shown, F.greatest(r["i"] - 1, F.lit(1)), F.least(r["i"] + 3, F.lit(5))), lambda b: b))
+    shown = lambda ls: F.transform(ls, lambda x: holds(F.upper(x), ORDER_MARKS)) if order_context else F.array()
+    lines = let(F.split(F.coalesce(text, F.lit("")), "\n"), lambda ls: F.struct(ls.alias("ls"), shown(ls).alias("shown")))
+
+    def usable(both: Column) -> Column:
+        """Lines without boilerplate, each with its upper case and the lines it begins."""
+        near = lambda i: F.exists(F.slice(both["shown"], F.greatest(i - 1, F.lit(1)), F.least(i + 3, F.lit(5))), lambda b: b) if order_context else F.lit(True)
+        rows = F.transform(both["ls"], lambda x, i: F.struct(x.alias("t"), F.upper(x).alias("u"), F.concat_ws("\n", F.slice(both["ls"], i + 1, 3)).alias("next"), near(i).alias("near")))
+        return F.filter(rows, lambda r: r["near"] & ~holds(r["u"], BOILERPLATE))
 
     def every(s: Column, pattern: str, scale, low: float, high: float) -> Column:
         """Values of a pattern's first group on one line, within bounds before scaling."""
@@ -209,7 +211,7 @@ def monetary_values(text: Column, order_context: bool = False) -> Column:
         total = F.round(F.when(total >= 100_000, total / 100_000.0).when(total.between(1.0, 500.0), total), 2)
         return F.concat(named, after_sign, every(r["t"], SUFFIX_AMOUNT, 100_000.0, 100_000, 50_000_000), F.array_compact(F.array(total)))
 
-    found = F.reverse(F.array_sort(F.array_distinct(F.flatten(F.transform(usable, of_line)))))
+    found = F.reverse(F.array_sort(F.array_distinct(F.flatten(F.transform(let(lines, usable), of_line)))))
     apart = lambda kept, v: F.when((F.size(kept) == 0) | (F.element_at(kept, -1) - v > 0.5), F.concat(kept, F.array(v))).otherwise(kept)
     return F.aggregate(found, F.array().cast("array<double>"), lambda kept, v: apart(kept, v))
 

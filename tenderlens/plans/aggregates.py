@@ -130,7 +130,7 @@ classed AS (SELECT bid_id, tender_id, total_amount, n, q1, q2, q3, CASE WHEN n <
 """
 
 
-@query(f"WITH {FENCES} SELECT bid_id, tender_id, round((q1)::DECIMAL(38,12), 6)::DOUBLE AS q1, round((q2)::DECIMAL(38,12), 6)::DOUBLE AS q2, round((q3)::DECIMAL(38,12), 6)::DOUBLE AS q3, fence FROM classed")
+@query(f"WITH {FENCES} SELECT bid_id, tender_id, round((q1)::DECIMAL(38,9), 6)::DOUBLE AS q1, round((q2)::DECIMAL(38,9), 6)::DOUBLE AS q2, round((q3)::DECIMAL(38,9), 6)::DOUBLE AS q3, fence FROM classed")
 def tukey_fences(t):
     f = P.fences(t.bids(), "tender_id", "total_amount")
     out = t.bids().select("bid_id", "tender_id", "total_amount").join(f, "tender_id")
@@ -218,8 +218,8 @@ def low_variance_tenders(t, most=0.01):
 
 
 @query(f"""
-SELECT tender_id, count(*) AS n, round(avg(total_amount), 6) AS mean, round((median(total_amount))::DECIMAL(38,12), 6)::DOUBLE AS median, round(coalesce(stddev_samp(total_amount), 0), 6) AS std, round(coalesce(stddev_samp(total_amount), 0) / avg(total_amount) * 100, 6) AS cv_pct, min(total_amount) AS low, max(total_amount) AS high,
- round((max(total_amount) - min(total_amount))::DECIMAL(38,12), 6)::DOUBLE AS spread, CASE WHEN count(*) > 10 THEN 'High' WHEN count(*) > 5 THEN 'Moderate' ELSE 'Low' END AS competition FROM bids WHERE NOT is_disqualified GROUP BY 1""")
+SELECT tender_id, count(*) AS n, round(avg(total_amount), 6) AS mean, round((median(total_amount))::DECIMAL(38,9), 6)::DOUBLE AS median, round(coalesce(stddev_samp(total_amount), 0), 6) AS std, round(coalesce(stddev_samp(total_amount), 0) / avg(total_amount) * 100, 6) AS cv_pct, min(total_amount) AS low, max(total_amount) AS high,
+ round((max(total_amount) - min(total_amount))::DECIMAL(38,9), 6)::DOUBLE AS spread, CASE WHEN count(*) > 10 THEN 'High' WHEN count(*) > 5 THEN 'Moderate' ELSE 'Low' END AS competition FROM bids WHERE NOT is_disqualified GROUP BY 1""")
 def tender_price_stats(t):
     x = F.col("total_amount")
     a = t.bids().filter("not is_disqualified").groupBy("tender_id").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.expr("percentile(total_amount, 0.5)").alias("median"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"))

@@ -28,7 +28,7 @@ def matrix(t):
     return L.impute(raw, FEATURES)
 
 
-@query(f"WITH {MATRIX} SELECT bid_id, round(ratio, 6) AS ratio, period, round(gap, 5) AS gap, round((score)::DECIMAL(38,12), 6)::DOUBLE AS score FROM matrix")
+@query(f"WITH {MATRIX} SELECT bid_id, round(ratio, 6) AS ratio, period, round(gap, 5) AS gap, round((score)::DECIMAL(38,9), 6)::DOUBLE AS score FROM matrix")
 def bid_feature_matrix(t):
     return matrix(t).select("bid_id", r("ratio").alias("ratio"), "period", r("gap", 5).alias("gap"), exact(F.col("score")).alias("score"))
 

@@ -275,9 +275,9 @@ def set_similarity(t):
 @query(f"""
 WITH {QCBS.strip()}, y AS (SELECT * FROM ranked JOIN vendors USING (vendor_id))
 SELECT tender_id, bid_id, CASE WHEN is_disqualified THEN 'DQ' WHEN rank IS NULL THEN '-' ELSE rank::VARCHAR END AS "Rank", vendor_name AS "Vendor Name", 'GEM-' || vendor_id::VARCHAR AS "GEM Reg No",
-  CASE WHEN msme THEN 'Yes' ELSE 'No' END AS "MSME", CASE WHEN make_in_india THEN 'Yes' ELSE 'No' END AS "Make in India", round((total_amount / 1.18)::DECIMAL(38,12), 4)::DOUBLE AS "Bid Amount",
-  round((total_amount - total_amount / 1.18)::DECIMAL(38,12), 4)::DOUBLE AS "Taxes", round((total_amount)::DECIMAL(38,12), 4)::DOUBLE AS "Total Amount", round((technical)::DECIMAL(38,12), 4)::DOUBLE AS "Technical Score", round((financial)::DECIMAL(38,12), 4)::DOUBLE AS "Financial Score",
-  round((composite)::DECIMAL(38,12), 4)::DOUBLE AS "Composite Score", status AS "Status", CASE WHEN is_disqualified THEN 'Disqualified' WHEN rank IS NULL THEN 'Below threshold' END AS "Disqualification Reason" FROM y""")
+  CASE WHEN msme THEN 'Yes' ELSE 'No' END AS "MSME", CASE WHEN make_in_india THEN 'Yes' ELSE 'No' END AS "Make in India", round((total_amount / 1.18)::DECIMAL(38,9), 4)::DOUBLE AS "Bid Amount",
+  round((total_amount - total_amount / 1.18)::DECIMAL(38,9), 4)::DOUBLE AS "Taxes", round((total_amount)::DECIMAL(38,9), 4)::DOUBLE AS "Total Amount", round((technical)::DECIMAL(38,9), 4)::DOUBLE AS "Technical Score", round((financial)::DECIMAL(38,9), 4)::DOUBLE AS "Financial Score",
+  round((composite)::DECIMAL(38,9), 4)::DOUBLE AS "Composite Score", status AS "Status", CASE WHEN is_disqualified THEN 'Disqualified' WHEN rank IS NULL THEN 'Below threshold' END AS "Disqualification Reason" FROM y""")
 def export_comparative_csv(t):
     """The comparative sheet of 13 columns (after the tender's and the bid's id), written as CSV and read back."""
     from ..operators.sequences import qcbs

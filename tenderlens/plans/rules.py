@@ -260,7 +260,7 @@ def three_way_match(t):
 
 @query("""
 WITH f AS (SELECT po_id, count(*) AS failed FROM deliveries WHERE inspection = 'Failed' GROUP BY 1), x AS (SELECT vendor_id, failed, po_value * coalesce(TRY_CAST(nullif(regexp_extract(priority, '([0-9]+(?:\\.[0-9]+)?)\\s*%', 1), '') AS DOUBLE), 0.5) / 100 AS penalty FROM purchase_orders JOIN f USING (po_id))
-SELECT vendor_id, sum(failed)::BIGINT AS failed, round((sum(penalty))::DECIMAL(38,12), 4)::DOUBLE AS penalty, round(any_value(performance_score) - 10 * sum(failed), 4) AS score, any_value(performance_score) - 10 * sum(failed) < 40 AS blacklist FROM x JOIN vendors USING (vendor_id) GROUP BY 1""")
+SELECT vendor_id, sum(failed)::BIGINT AS failed, round((sum(penalty))::DECIMAL(38,9), 4)::DOUBLE AS penalty, round(any_value(performance_score) - 10 * sum(failed), 4) AS score, any_value(performance_score) - 10 * sum(failed) < 40 AS blacklist FROM x JOIN vendors USING (vendor_id) GROUP BY 1""")
 def ld_penalty(t):
     """Damages of orders with failed deliveries; the given orders name no clause (the priority stands for it), so the default rate holds."""
     failed = t.deliveries().filter("inspection = 'Failed'").groupBy("po_id").agg(F.count(F.lit(1)).alias("failed"))
@@ -294,7 +294,7 @@ def vendor_esg_scorecard(t):
 
 
 @query("""
-SELECT tender_id, count(*) AS bids, round((any_value(estimated_value) - min(total_amount)) / any_value(estimated_value) * 100, 6) AS savings_pct, round((avg(performance_score))::DECIMAL(38,12), 6)::DOUBLE AS trust, round(100.0 * count(DISTINCT country) / count(*), 6) AS geo_spread, round((avg(score_1))::DECIMAL(38,12), 6)::DOUBLE AS technical, count(*) FILTER (total_amount > 1.3 * estimated_value OR total_amount < 0.7 * estimated_value) AS anomalies FROM bid_fact GROUP BY 1""")
+SELECT tender_id, count(*) AS bids, round((any_value(estimated_value) - min(total_amount)) / any_value(estimated_value) * 100, 6) AS savings_pct, round((avg(performance_score))::DECIMAL(38,9), 6)::DOUBLE AS trust, round(100.0 * count(DISTINCT country) / count(*), 6) AS geo_spread, round((avg(score_1))::DECIMAL(38,9), 6)::DOUBLE AS technical, count(*) FILTER (total_amount > 1.3 * estimated_value OR total_amount < 0.7 * estimated_value) AS anomalies FROM bid_fact GROUP BY 1""")
 def tender_dossier(t):
     odd = (F.col("total_amount") > 1.3 * F.col("estimated_value")) | (F.col("total_amount") < 0.7 * F.col("estimated_value"))
     n, est = F.count(F.lit(1)), F.first("estimated_value")

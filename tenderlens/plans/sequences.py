@@ -11,7 +11,7 @@ from .aggregates import r
 from .registry import query
 from .shared import QCBS, exact
 
-@query(f"WITH {QCBS} SELECT bid_id, tender_id, vendor_id, round((technical)::DECIMAL(38,12), 6)::DOUBLE AS technical, round(financial, 6) AS financial, round((composite)::DECIMAL(38,12), 6)::DOUBLE AS composite, qualified, rank FROM ranked")
+@query(f"WITH {QCBS} SELECT bid_id, tender_id, vendor_id, round((technical)::DECIMAL(38,9), 6)::DOUBLE AS technical, round(financial, 6) AS financial, round((composite)::DECIMAL(38,9), 6)::DOUBLE AS composite, qualified, rank FROM ranked")
 def qcbs_rank(t):
     q = S.qcbs(t.bids(), t.bid_scores(), t.criteria())
     return q.select("bid_id", "tender_id", "vendor_id", exact("technical").alias("technical"), r("financial").alias("financial"), exact("composite").alias("composite"), "qualified", "rank")
@@ -26,7 +26,7 @@ def criteria_breakdown(t):
 
 
 @query(f"""
-WITH {QCBS} SELECT tender_id, bid_id, vendor_name, round((composite)::DECIMAL(38,12), 6)::DOUBLE AS composite, coalesce(rank::VARCHAR, 'DQ') AS place, round((total_amount - min(total_amount) OVER (PARTITION BY tender_id)) / total_amount * 100, 6) AS above_l1_pct,
+WITH {QCBS} SELECT tender_id, bid_id, vendor_name, round((composite)::DECIMAL(38,9), 6)::DOUBLE AS composite, coalesce(rank::VARCHAR, 'DQ') AS place, round((total_amount - min(total_amount) OVER (PARTITION BY tender_id)) / total_amount * 100, 6) AS above_l1_pct,
  row_number() OVER (PARTITION BY tender_id ORDER BY NOT qualified, rank, vendor_name, bid_id) AS line FROM ranked JOIN vendors USING (vendor_id)""")
 def comparative_statement(t):
     q = S.qcbs(t.bids(), t.bid_scores(), t.criteria()).join(t.vendors().select("vendor_id", "vendor_name"), "vendor_id")
@@ -203,7 +203,7 @@ others AS (SELECT *, CASE WHEN bid_id = l1_bid THEN min(total_amount) FILTER (bi
 """
 
 
-@query("WITH" + OTHERS + "SELECT bid_id, round((0.99 * others)::DECIMAL(38,12), 6)::DOUBLE AS optimum, round(d, 5) AS deviation, CASE WHEN d > 3 THEN 'PASSIVE' WHEN d < -3 THEN 'AGGRESSIVE' ELSE 'OPTIMAL' END AS strategy FROM (SELECT *, (total_amount - 0.99 * others) / (0.99 * others) * 100 AS d FROM others WHERE others IS NOT NULL)")
+@query("WITH" + OTHERS + "SELECT bid_id, round((0.99 * others)::DECIMAL(38,9), 6)::DOUBLE AS optimum, round(d, 5) AS deviation, CASE WHEN d > 3 THEN 'PASSIVE' WHEN d < -3 THEN 'AGGRESSIVE' ELSE 'OPTIMAL' END AS strategy FROM (SELECT *, (total_amount - 0.99 * others) / (0.99 * others) * 100 AS d FROM others WHERE others IS NOT NULL)")
 def leave_one_out_min(t):
     o = S.leave_one_out(t.bids(), "tender_id", "total_amount", "bid_id").filter("others is not null")
     best = 0.99 * F.col("others")
@@ -258,7 +258,7 @@ def ledger_blocks(t, most=None):
 
 @query("""
 WITH m AS (SELECT category, date_trunc('month', submitted_at) AS m, avg(total_amount) AS p FROM bid_fact GROUP BY 1, 2)
-SELECT category, strftime(m, '%Y-%m') AS month, row_number() OVER w AS idx, round((sin(2 * pi() * month(m) / 12))::DECIMAL(38,12), 6)::DOUBLE AS sin_month, round((cos(2 * pi() * month(m) / 12))::DECIMAL(38,12), 6)::DOUBLE AS cos_month, round(coalesce(p - lag(p) OVER w, 0), 5) AS momentum,
+SELECT category, strftime(m, '%Y-%m') AS month, row_number() OVER w AS idx, round((sin(2 * pi() * month(m) / 12))::DECIMAL(38,9), 6)::DOUBLE AS sin_month, round((cos(2 * pi() * month(m) / 12))::DECIMAL(38,9), 6)::DOUBLE AS cos_month, round(coalesce(p - lag(p) OVER w, 0), 5) AS momentum,
  round(avg(p) OVER (w ROWS 2 PRECEDING), 5) AS sma3, round(stddev_pop(p) OVER (w ROWS 2 PRECEDING), 5) AS std3 FROM m WINDOW w AS (PARTITION BY category ORDER BY m)""")
 def seasonal_price_features(t):
     m = t.bid_fact().groupBy("category", F.date_trunc("month", "submitted_at").alias("m")).agg(F.avg("total_amount").alias("p"))

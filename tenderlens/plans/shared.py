@@ -14,6 +14,6 @@ ranked AS (SELECT *, CASE WHEN qualified THEN row_number() OVER (PARTITION BY te
 
 
 def exact(c: Column | str, n: int = 6) -> Column:
-    """Rounded as a decimal of twelve places, so that halves round up whatever the noise of binary fractions."""
+    """Rounded as a decimal of nine places, so that halves round up whatever the noise of binary fractions."""
     value = F.col(c) if isinstance(c, str) else c
-    return F.round(value.cast("decimal(38,12)"), n).cast("double")
+    return F.round(value.cast("decimal(38,9)"), n).cast("double")

@@ -29,7 +29,7 @@ def file_listing(spark: SparkSession, path: str) -> DataFrame:
 def comparative_sheet(rows: DataFrame) -> DataFrame:
     """The 13 columns of a comparative sheet, after tender_id and bid_id; rank is DQ for disqualified bids and - for unranked ones."""
     yes = lambda c: F.when(F.col(c), "Yes").otherwise("No")
-    money = lambda c: F.round(F.col(c).cast("decimal(38,12)"), 4).cast("double")
+    money = lambda c: F.round(F.col(c).cast("decimal(38,9)"), 4).cast("double")
     return rows.select(
         "tender_id", "bid_id", F.when(F.col("is_disqualified"), "DQ").otherwise(F.coalesce(F.col("rank").cast("string"), F.lit("-"))).alias("Rank"),
         F.col("vendor_name").alias("Vendor Name"), F.col("gem_reg_no").alias("GEM Reg No"), yes("msme").alias("MSME"), yes("make_in_india").alias("Make in India"),
