@@ -12,11 +12,17 @@ from ..functions.storage import durable
 
 
 def co_bids(bids: DataFrame) -> DataFrame:
-    """(a, b, shared) for vendors a < b that bid on the same tenders."""
+    """(a, b, shared) for vendors a < b that bid on the same tenders; quadratic in the bidders of a tender, which ``pair_load`` reports."""
     d = bids.select("tender_id", "vendor_id").distinct()
     return d.select("tender_id", F.col("vendor_id").alias("a")).join(d.select("tender_id", F.col("vendor_id").alias("b")), "tender_id").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def pair_load(bids: DataFrame, top: int = 10) -> DataFrame:
+    """The tenders with the most bidders, and how many pairs of bidders each makes."""
+    n = bids.groupBy("tender_id").agg(F.count_distinct("vendor_id").alias("bidders"))
+    return n.withColumn("pairs", (F.col("bidders") * (F.col("bidders") - 1) / 2).cast("bigint")).orderBy(F.desc("bidders"), "tender_id").limit(top)
+
+
 def strong_edges(pairs: DataFrame, deviations: float = 1.5) -> DataFrame:
     """Edges whose count is above mean + ``deviations`` standard deviations."""
     bar = pairs.agg((F.avg("shared") + deviations * F.stddev_pop("shared")).alias("bar"))

@@ -44,7 +44,8 @@ def bursts(df: DataFrame, key: str, at: str, gap: int, least: int = 2) -> DataFr
 def ewma(df: DataFrame, key: str, order: list[str], value: str, span: int = 10) -> DataFrame:
     """Exponentially weighted mean of each series in order: key, the order columns, value, ewma, residual.
 
-    The recursion runs once per key over its sorted rows (an Arrow group), so time is linear in a series.
+    The recursion runs once per key over its sorted rows (an Arrow group), so time is linear in a
+    series; keys run in parallel, and one series must fit in a task's memory.
     """
     alpha = 2.0 / (span + 1)
     types = dict(df.dtypes)
@@ -75,7 +76,7 @@ def canonical(cols: list[str]) -> Column:
 
 
 def seal(df: DataFrame, key: str, order: str, cols: list[str]) -> DataFrame:
-    """Appends prev_hash and hash to each chain in order; sequential within a key, parallel across keys."""
+    """Appends prev_hash and hash to each chain in order; sequential within a key (a chain must fit in a task), parallel across keys."""
     types = dict(df.dtypes)
     fields = ", ".join([*(f"{c} {types[c]}" for c in df.columns), "content string", "prev_hash string", "hash string"])
 

@@ -27,6 +27,12 @@ def co_bid_matrix(t):
     return m.select("a", "b", "shared", r(rate).alias("rate"), r(s, 5).alias("suspicion"), above(s, [(70, "CRITICAL"), (45, "HIGH"), (20, "MODERATE")], "LOW").alias("level"))
 
 
+@query("SELECT tender_id, count(DISTINCT vendor_id) AS bidders, (count(DISTINCT vendor_id) * (count(DISTINCT vendor_id) - 1) // 2)::BIGINT AS pairs FROM bids GROUP BY 1 ORDER BY bidders DESC, tender_id LIMIT 10")
+def largest_tenders(t):
+    """The ten tenders that make the most pairs of bidders."""
+    return G.pair_load(t.bids())
+
+
 @query(f"WITH {PAIRS} SELECT a, b, shared, CASE WHEN shared / least(x.n, y.n) > 0.3 THEN 'HIGH' ELSE 'MODERATE' END AS level FROM pairs JOIN per x ON x.vendor_id = a JOIN per y ON y.vendor_id = b WHERE shared >= 2")
 def frequent_pairs(t, high=0.3):
     per = t.bids().groupBy("vendor_id").agg(F.count_distinct("tender_id").alias("n"))
