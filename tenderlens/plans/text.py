@@ -287,7 +287,20 @@ def matching_phrases(t):
     return good.withColumn("turn", first).filter("turn <= 5").select(F.col("k.doc_id").alias("item_id"), "other", F.col("k.pos").alias("pos"), F.round(F.col("shared") / F.col("n"), 6).alias("share"))
 
 
-@query()
+def sql_chunk_end(size: int = 500) -> str:
+    """The end of the chunk that begins at ``pos``: after the strongest separator of its second half, if there is one."""
+    first, last = f"pos + {size // 2}", f"least(n, pos + {size})"
+    half = f"substr(t, {first} + 1, {last} - ({first}))"
+    seps = ["chr(10) || chr(10)", "chr(10)", "'. '", "' '"]
+    found = " ".join(f"WHEN contains({half}, {x}) THEN {first} + len({half}) - position(reverse({x}) IN reverse({half})) + 1" for x in seps)
+    return f"CASE WHEN {last} = n THEN n {found} ELSE {last} END"
+
+
+@query(f"""
+WITH c(doc_id, t, n, k, a, b) AS (
+  SELECT doc_id, t, n, 0, 0, {sql_chunk_end()} FROM (SELECT doc_id, text AS t, len(text) AS n, 0 AS pos FROM documents WHERE len(text) > 0)
+  UNION ALL SELECT doc_id, t, n, k + 1, pos, {sql_chunk_end()} FROM (SELECT doc_id, t, n, k, greatest(b - 50, a + 1) AS pos FROM c WHERE b < n))
+SELECT doc_id, k AS chunk_index, max(k) OVER (PARTITION BY doc_id) + 1 AS total, a AS start, sha256(substr(t, a + 1, b - a)) AS content_hash FROM c""", recursive=True)
 def chunk_text(t):
     return X.chunks(t.documents()).select("doc_id", "chunk_index", "total", "start", "content_hash")
 
@@ -340,9 +353,20 @@ def quotes(t):
     return t.raw("benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("quote"))
 
 
-@query()
+_LINE_WORDS = WS.replace("text", "t")
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, i - 1 AS line, ls[i] AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) u(i)),
+m AS (SELECT *, coalesce(last_value(nullif(regexp_extract(t, '--- Page ([0-9]+) ---', 1), '')::INT IGNORE NULLS) OVER w, 1) AS page,
+  last_value(CASE WHEN regexp_matches(t, '^([0-9]+(\.[0-9]+)*\.?\s+\S|[A-Z][A-Z ]{{5,}}$)') THEN t END IGNORE NULLS) OVER w AS section
+  FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+q AS (SELECT item_id AS id, text AS quote, unnest(list_distinct({WS})) AS w FROM benchmark), n AS (SELECT id, quote, count(*) AS n FROM q GROUP BY 1, 2),
+lw AS (SELECT DISTINCT doc_id, line, unnest({_LINE_WORDS}) AS w FROM l), o AS (SELECT id, doc_id, line, count(*) AS shared FROM q JOIN lw USING (w) GROUP BY 1, 2, 3)
+SELECT id, doc_id, page, line, section, contains(lower(t), lower(quote)) AS exact, round(shared / n, 6) AS overlap FROM o JOIN n USING (id) JOIN m USING (doc_id, line) WHERE shared >= least(3, n) AND shared >= 0.4 * n
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY contains(lower(t), lower(quote)) DESC, shared / n DESC, doc_id, line) = 1""")
 def evidence_locator(t):
-    return X.locate(quotes(t), t.documents())
+    return X.locate(quotes(t), t.documents()).withColumn("overlap", F.round("overlap", 6))
 
 
 @query("""
