@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.storage import durable
+from .retrieval import blocks
 
 
 def co_bids(bids: DataFrame) -> DataFrame:
@@ -165,6 +169,22 @@ def grid_edges(points: DataFrame, key: str, x: str, y: str, eps: float) -> DataF
     return within.unionByName(joined).unionByName(full.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
 
 
+def neighbour_counts(queries: DataFrame, points: DataFrame, key: str, x: str, y: str, eps: float, query_block: int = 1024, block: int = 4096) -> DataFrame:
+    """(key, links): how many other points lie within ``eps`` of each query, exactly; blocks of queries meet blocks of points and pass on counts only."""
+    vector = lambda df: df.select(key, F.array(x, y).alias("v"))
+    met = blocks(vector(points), key, "v", block, "d").crossJoin(blocks(vector(queries), key, "v", query_block, "q"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for d_ids, d_points, q_ids, q_points in zip(pdf["d_ids"], pdf["d_vectors"], pdf["q_ids"], pdf["q_vectors"], strict=True):
+                d, q = np.stack(list(d_points)), np.stack(list(q_points))
+                apart = sum((q[:, None, i] - d[None, :, i]) ** 2 for i in range(2))
+                near = (apart <= eps * eps) & (np.asarray(q_ids)[:, None] != np.asarray(d_ids)[None])
+                yield pd.DataFrame({key: np.asarray(q_ids), "links": near.sum(axis=1)})
+
+    return met.mapInPandas(run, f"{key} {dict(queries.dtypes)[key]}, links bigint").groupBy(key).agg(F.sum("links").alias("links"))
+
+
 def fingerprints(fact: DataFrame) -> DataFrame:
     """Per vendor: histogram of price to estimate (5 buckets), of submission months (12), and a digest."""
     per = F.col("total_amount") / F.col("estimated_value")

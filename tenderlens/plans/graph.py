@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.core import above, count_if
+from ..functions.storage import durable
 from ..operators import graph as G
 from .aggregates import r
 from .registry import query
@@ -129,15 +130,15 @@ def conflict_of_interest(t):
 
 
 FEATS = """
-z AS (SELECT bid_id, tender_id, CASE WHEN stddev_pop(total_amount) OVER w > 0 THEN (total_amount - avg(total_amount) OVER w) / stddev_pop(total_amount) OVER w ELSE 0 END AS za, count(*) OVER (PARTITION BY vendor_id)::DOUBLE AS co FROM bids WHERE tender_id < 40 WINDOW w AS (PARTITION BY tender_id)),
+z AS (SELECT bid_id, tender_id, CASE WHEN stddev_pop(total_amount) OVER w > 0 THEN (total_amount - avg(total_amount) OVER w) / stddev_pop(total_amount) OVER w ELSE 0 END AS za, count(*) OVER (PARTITION BY vendor_id)::DOUBLE AS co FROM bids WINDOW w AS (PARTITION BY tender_id)),
 p AS (SELECT bid_id, za / (SELECT stddev_pop(za) FROM z) AS x, co / (SELECT stddev_pop(co) FROM z) AS y FROM z)
 """
 
 
-def bid_points(t, tenders=None):
+def bid_points(t):
     from pyspark.sql import Window as W
 
-    b = t.bids() if tenders is None else t.bids().filter(F.col("tender_id") < tenders)
+    b = t.bids()
     w = W.partitionBy("tender_id")
     sd = F.stddev_pop("total_amount").over(w)
     z = b.select("bid_id", F.when(sd > 0, (F.col("total_amount") - F.avg("total_amount").over(w)) / F.when(sd > 0, sd)).otherwise(0.0).alias("za"), F.count(F.lit(1)).over(W.partitionBy("vendor_id")).cast("double").alias("co"))
@@ -145,10 +146,12 @@ def bid_points(t, tenders=None):
     return z.crossJoin(F.broadcast(s)).select("bid_id", (F.col("za") / F.col("sa")).alias("x"), (F.col("co") / F.col("sc")).alias("y"))  # one row
 
 
-@query()
-def epsilon_neighbour_join(t, eps=0.05):
-    """Connecting edges of all bids within eps in scaled feature space."""
-    return G.grid_edges(bid_points(t), "bid_id", "x", "y", eps)
+@query(f"""
+WITH {FEATS.strip()} SELECT q.bid_id, count(d.bid_id) AS links FROM p q LEFT JOIN p d ON d.bid_id <> q.bid_id AND (q.x - d.x) ** 2 + (q.y - d.y) ** 2 <= 0.8 ** 2 WHERE q.bid_id % 100 = 0 GROUP BY 1""")
+def epsilon_neighbour_join(t, eps=0.8):
+    """Every hundredth bid as a query against all bids: how many lie within eps in scaled feature space; bid_clusters_dbscan names each bid's class."""
+    points = durable(bid_points(t))
+    return G.neighbour_counts(points.filter("bid_id % 100 = 0"), points, "bid_id", "x", "y", eps)
 
 
 @query()

@@ -53,6 +53,24 @@ def test_grid_components_equal_brute_force(spark):
     assert all(got.get(i, i) == label[i] for i in range(len(pts)))
 
 
+def test_neighbour_counts_equal_brute_force(spark):
+    pts = np.random.default_rng(6).normal(0, 1, (200, 2))
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)], "k bigint, x double, y double")
+    got = {r["k"]: r["links"] for r in G.neighbour_counts(df.filter("k % 10 = 0"), df, "k", "x", "y", 0.5, 7, 32).collect()}
+    assert got == {i: int((((pts - pts[i]) ** 2).sum(1) <= 0.25).sum()) - 1 for i in range(0, 200, 10)}
+
+
+def test_shared_attributes_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, *[None if v == 0 else int(v) for v in rng.integers(0, 5, 3)]) for i in range(60)]
+    points = {"a": 4, "b": 2, "c": 3}
+    got = {r["k"]: (r["links"], r["critical"], r["warning"], r["strongest"]) for r in G.shared_attributes(spark.createDataFrame(rows, "k int, a int, b int, c int"), "k", points, 6, 3).collect()}
+    for k, *own in rows:
+        scores = [sum(p for p, x, y in zip(points.values(), own, other, strict=True) if x is not None and x == y) for j, *other in rows if j != k]
+        scores = [s for s in scores if s]
+        assert got[k] == (len(scores), sum(s >= 6 for s in scores), sum(3 <= s < 6 for s in scores), max(scores, default=0))
+
+
 def test_medians_equal_numpy(spark):
     rng = np.random.default_rng(4)
     rows = [(float(a), None if b < 0.3 else float(round(b, 1)), None) for a, b in rng.random((501, 2))]
