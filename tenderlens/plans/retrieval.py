@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.storage import durable, small
 from ..operators import retrieval as V
 from .aggregates import r
 from .registry import query
@@ -52,7 +53,7 @@ def tfidf_scores(t):
 
 
 def fused(t, k):
-    f = found(t).persist()
+    f = durable(found(t))
     return V.fuse(V.rerank(f, t.raw("embeddings")), V.tfidf(f, t.raw("documents")), k)
 
 
@@ -77,7 +78,7 @@ SELECT source, round(greatest(0, least(100, (sum(best / (1 + 0.3 * k)) / sum(1 /
 def concept_risk(t):
     e = t.raw("embeddings")
     bank = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c"))  # one vector per label
-    s = e.join(t.raw("documents").select(F.col("doc_id").alias("vec_id"), "source"), "vec_id").select("source", "embedding").crossJoin(F.broadcast(bank))
+    s = e.join(t.raw("documents").select(F.col("doc_id").alias("vec_id"), "source"), "vec_id").select("source", "embedding").crossJoin(small(durable(bank), 1000))  # one vector per label
     best = s.groupBy("source", "label").agg(F.max(V.cosine_of(F.col("embedding"), F.col("c"))).alias("best"))
     k = best.withColumn("k", F.row_number().over(W.partitionBy("source").orderBy(F.desc("best"), "label")) - 1).filter("k < 10").withColumn("w", 1 / (1 + 0.3 * F.col("k")))
     risk = (F.sum(F.col("best") * F.col("w")) / F.sum("w") - 0.15) * 150
