@@ -1,12 +1,15 @@
-"""The thin contract queries of the ten operators and their SQL."""
+"""The thin contract queries of the numbered operators and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .centroids import clusters
 from .common import SPACES, table
 from .exact_dedup import exact_groups
+from .hard_negatives import hard_negatives
 from .hilbert import sharded
+from .jaccard_join import jaccard_join
 from .licenses import TEMPLATES, TERM, THRESHOLD, document_files, license_scan
 from .line_rules import BOILERPLATE, ENDING, NAVIGATION, SYMBOLS, line_rules
 from .mixing import mixed
@@ -90,6 +93,21 @@ def op9_packing(spark, sf_dir):
     return packed(table(spark, sf_dir, "documents"), tokenizer())
 
 
+@query
+def op11_centroids(spark, sf_dir):
+    return clusters(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_jaccard_join(spark, sf_dir):
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer() -> str:
     """The place of the vocabulary file; a parameter of the operator."""
     import public_tokenizers
@@ -147,3 +165,42 @@ SELECT file_id AS doc_id, path, own_license, own_score, coalesce(own_license, pa
   CASE WHEN own_license IS NULL THEN above END AS inherited_from, CASE WHEN own_license IS NULL THEN distance END AS distance
 FROM r LEFT JOIN near USING (folder)
 """
+
+
+def _round(i: int) -> str:
+    """One round of SQL k-means: assignment to the centroids ``c{i}``, then the centroids ``c{i + 1}``."""
+    return f"""
+a{i} AS MATERIALIZED (
+  SELECT vec_id, x, c, d FROM (SELECT v.vec_id, v.x, c.c, (list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, c.x) + list_inner_product(c.x, c.x))::BIGINT AS d FROM v, c{i} c)
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1),
+m{i} AS (SELECT c, list(m ORDER BY k) AS x FROM (SELECT c, k, floor(sum(x[k]) / count(*)) AS m FROM a{i}, range(1, 65) r(k) GROUP BY c, k) GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN m{i} USING (c)),"""
+
+
+_FINITE = "len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0"
+ORACLE["op11_centroids"] = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)) AS x FROM embeddings WHERE len(embedding) = 64 AND {_FINITE}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, x FROM (SELECT sha256('1:' || vec_id) AS h, x FROM v ORDER BY h LIMIT 16)),{"".join(_round(i) for i in range(4))}
+s AS (SELECT c, sha256(array_to_string(list_transform(x, lambda e: e::BIGINT), ',')) AS sha FROM c3)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha AS centroid_sha256 FROM a3 JOIN s USING (c)
+"""
+ORACLE["op12_jaccard_join"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SPACES}'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) END)) AS g FROM w),
+d AS MATERIALIZED (SELECT doc_id, g, len(g) AS n, md5(array_to_string(g, chr(10))) AS k FROM g),
+c AS MATERIALIZED (SELECT k, any_value(g) AS g, any_value(n) AS n, count(*) AS copies, min(doc_id) AS least FROM d WHERE n > 0 GROUP BY k),
+t AS (SELECT k, n, unnest(g) AS sh FROM c),
+p AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON a.sh = b.sh AND a.k < b.k AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(a, b) AS (SELECT k, k FROM c UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+f AS (SELECT r.a AS k, min(c.least) AS least FROM r JOIN c ON c.k = r.b GROUP BY 1),
+l AS (SELECT e.a AS k, sum(c.copies)::BIGINT AS links FROM e JOIN c ON c.k = e.b GROUP BY 1)
+SELECT d.doc_id, d.n AS n_shingles, coalesce(f.least, d.doc_id) AS component_id, coalesce(l.links, 0) + coalesce(c.copies, 1) - 1 AS n_links FROM d LEFT JOIN c USING (k) LEFT JOIN f USING (k) LEFT JOIN l USING (k)
+"""
+ORACLE["op13_hard_negatives"] = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND {_FINITE}),
+s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, (row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b))::INTEGER AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score QUALIFY rank <= 3
+"""
