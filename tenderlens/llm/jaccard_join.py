@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import durable, partitions, ship, slices, small
 from .simhash import HEAVY, components, least_linked, name_of, spread, word_shingles
@@ -43,15 +44,17 @@ ship(__name__)
 WORDS, NEAR = 4, (85, 100)
 #: Members of a tile of bitmaps, and shingles of a block of sets, beyond which they are cut in bands and blocks.
 MEMBERS, LOAD = 4096, 1 << 19
+#: A bitmap that is shuffled has a bit for so many shingles or fewer.
+SHIPPED = 2
 #: Pairs that are tested at once, and words of bitmaps.
 PAIRS, BITMAP_WORDS = 1 << 18, 1 << 21
 #: Blocks of a band, at most; the band is the upper part of a block's number.
 BLOCKS = 1 << 20
 
 
-def bitmap(held: np.ndarray) -> np.ndarray:
-    """The parities of a set's shingles by their lowest bits: as many bits as the next power of two of its size, 64 at least."""
-    size = max(64, 1 << max(0, len(held) - 1).bit_length())
+def bitmap(held: np.ndarray, share: int = 1) -> np.ndarray:
+    """The parities of a set's shingles by their lowest bits: as many bits as the next power of two of its size / ``share``, 64 at least."""
+    size = max(64, 1 << max(0, (len(held) - 1) // share).bit_length())
     odd = np.bincount((held & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -72,7 +75,7 @@ def signed(docs: DataFrame, words: int, near: tuple[int, int]) -> DataFrame:
                 first = [x[: prefix(len(x), near)].view(np.int64) if len(x) else x.view(np.int64) for x in sets]
                 cols = [
                     pa.array([name_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array(first, pa.list_(pa.int64())), pa.array([bitmap(x).tobytes() for x in sets], pa.binary()),
+                    pa.array(first, pa.list_(pa.int64())), pa.array([bitmap(x, SHIPPED).tobytes() for x in sets], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tkey"), *cols], ["doc_id", "tkey", "node", "size", "prefix", "bits"])
 
@@ -235,6 +238,10 @@ def groups(nodes: DataFrame, members: int, near: tuple[int, int]) -> DataFrame:
     met = durable(met.filter("n > 1").groupBy("n", "u", "v").agg(F.min("key").alias("key")).select("key", "n"))
     rows = first.join(small(met), "key")
     dealt = tiles(rows, "key", F.col("n"), F.lit(1), members, near).select("key", "x", "y", "own", "node", "size")
+    # who finds no size in its tile that it can link with needs no bitmap; a tile has 2 x members rows or so
+    by_size = W.partitionBy("key", "x", "y").orderBy("size", "node")
+    before, after = near[1] * F.lag("size").over(by_size) >= near[0] * F.col("size"), near[0] * F.lead("size").over(by_size) <= near[1] * F.col("size")
+    dealt = dealt.withColumn("met", F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))).filter("met").drop("met")
     with_bits = tiled(dealt.join(nodes.select("node", "bits"), "node"))
     return components(with_bits.mapInArrow(joined(near), "a bigint, b bigint"))
 
