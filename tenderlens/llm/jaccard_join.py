@@ -128,7 +128,8 @@ def passing(tile: np.ndarray, x: np.ndarray, y: np.ndarray, own: np.ndarray, siz
                     other = bits[right] ^ bits[right + w] if fold else bits[right]
                     apart = np.bitwise_count(bits[left] ^ other).sum(axis=1, dtype=np.int64)
                     fine[some] = apart * (up + down) <= (down - up) * (size[i[some]] + size[j[some]])
-        yield i[fine], j[fine]
+        if fine.any():
+            yield i[fine], j[fine]
 
 
 def by_tile(work):
