@@ -95,8 +95,13 @@ def tiles(rows: DataFrame, group: str, total: Column, load: Column, most: int, n
     near_bands = [loads.select(group, (F.col("band") + s).alias("band"), F.col("k").alias(name)) for s, name in ((1, "below"), (-1, "above"))]
     loads = durable(loads.join(near_bands[0], [group, "band"], "left").join(near_bands[1], [group, "band"], "left"))  # rows / most x bands of a group
     cut = big.join(small(loads), [group, "band"]).withColumn("own", F.col("band") * BLOCKS + F.pmod(F.xxhash64("node"), F.col("k")))
-    blocks = [F.when(F.col(k).isNotNull(), F.transform(F.sequence(F.lit(0).cast("bigint"), F.col(k) - 1), lambda b, s=s: (F.col("band") + s) * BLOCKS + b)).otherwise(F.array().cast("array<bigint>")) for k, s in (("k", 0), ("below", -1), ("above", 1))]
-    cut = cut.withColumn("with", F.explode(F.concat(*blocks)))
+
+    def blocks(k: str, step: int) -> Column:
+        """The blocks of the band that lies ``step`` further."""
+        first = (F.col("band") + step) * BLOCKS
+        return F.when(F.col(k).isNotNull(), F.sequence(first, first + F.col(k) - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    cut = cut.withColumn("with", F.explode(F.concat(blocks("k", 0), blocks("below", -1), blocks("above", 1))))
     cut = cut.select(*rows.columns, "own", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"))
     zero = F.lit(0).cast("bigint")
     return rows.filter(total <= most).select("*", zero.alias("own"), zero.alias("x"), zero.alias("y")).unionByName(cut)
