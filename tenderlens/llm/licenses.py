@@ -41,10 +41,12 @@ ship(__name__)
 THRESHOLD, SALTS = 0.6, 16
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 FIND = re.compile(TERM)
+#: The same for Java, whose matcher else recurses once per part of a chained word: parts are disjoint, so nothing is ever given back.
+TERM_NOW = r"[a-z0-9]++(?:[.-][a-z0-9]++)*+"
 
 
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM_NOW), F.lit(0))
 
 
 def directory(path: Column) -> Column:
@@ -163,14 +165,16 @@ def license_scan(files: DataFrame, threshold: float = THRESHOLD, templates=TEMPL
     bounds = Bounds([tuple(r) for r in known.select("template", "term", "weight", "idf").collect()], threshold)  # the templates' terms
 
     kind = files.schema["file_id"].dataType.simpleString()
-    found = durable(files.select("file_id", "path", "text").mapInArrow(candidates(bounds), f"file_id {kind}, path string, whole boolean, candidate string"))
-    weights = weighed(counted(found.select("candidate").distinct(), "candidate", "candidate"), frequency, number, "candidate")
-    cosine = weights.join(F.broadcast(known.select("template", "term", F.col("weight").alias("fixed"))), "term").groupBy("candidate", "template").agg(F.sum(F.col("weight") * F.col("fixed")).alias("score"))
-    best = cosine.groupBy("candidate").agg(F.max_by(F.struct("template", "score"), F.struct(F.round("score", 9), -F.col("template"))).alias("b")).filter(F.col("b.score") >= threshold - 1e-9)
-    best = best.join(F.broadcast(fixed.select(F.col("template").alias("t"), "name")), F.col("b.template") == F.col("t")).select("candidate", "name", F.col("b.score").alias("score"), "t")
+    found = files.select("file_id", "path", "text").mapInArrow(candidates(bounds), f"file_id {kind}, path string, whole boolean, candidate string")
+    found = durable(found.withColumn("named", F.unhex(F.md5("candidate"))))  # joins and groups know a candidate by its digest
+    distinct = found.select("named", "candidate").dropDuplicates(["named"])
+    weights = weighed(counted(distinct, "named", "candidate"), frequency, number, "named")
+    cosine = weights.join(F.broadcast(known.select("template", "term", F.col("weight").alias("fixed"))), "term").groupBy("named", "template").agg(F.sum(F.col("weight") * F.col("fixed")).alias("score"))
+    best = cosine.groupBy("named").agg(F.max_by(F.struct("template", "score"), F.struct(F.round("score", 9), -F.col("template"))).alias("b")).filter(F.col("b.score") >= threshold - 1e-9)
+    best = best.join(F.broadcast(fixed.select(F.col("template").alias("t"), "name")), F.col("b.template") == F.col("t")).select("named", "name", F.col("b.score").alias("score"), "t")
 
     # distinct notices are few beside their copies: while they are, they are broadcast, so that no common notice meets in a task
-    hits = found.join(small(durable(best)), "candidate")
+    hits = found.drop("candidate").join(small(durable(best)), "named")
     top = F.max_by(F.struct("name", "score"), F.struct(F.round("score", 9), -F.col("t")))
     own = hits.groupBy(F.col("file_id").alias("_f"), F.col("path").alias("_p")).agg(top.alias("h"), F.max("whole").alias("_whole"))
     own = own.select("_f", "_p", "_whole", F.col("h.name").alias("own_license"), F.round("h.score", 6).alias("own_score"))

@@ -5,7 +5,7 @@ Every line with a word is judged alone: it must hold the end of a sentence and n
 (boilerplate).  Failed lines go; a document that keeps too small a part of its word
 characters is rejected, and so is one that fails the base rules.
 
-Null and empty texts have no words and fail; very long texts are read whole.  Null doc_ids pass
+Null and empty texts have no words and fail; very long texts and lines are read whole.  Null doc_ids pass
 through; repeated rows give equal rows; of equal lines or windows all but the first line count as
 copies, and all windows.  An empty table gives an empty result; columns besides doc_id and text
 are ignored, whatever their names.  Windows of five words are compared by a 64-bit hash.
@@ -23,6 +23,8 @@ SYMBOLS = r"[#*$%&|<>]"
 #: Notices that fail a line (fixed values).
 BOILERPLATE = r"(?i)lorem ipsum|cookie policy|accept (all )?cookies|privacy policy|terms of (use|service)|all rights reserved|enable javascript|click here|subscribe to our|sign up for our|skip to (main )?content|read more$"
 NAVIGATION = r"^[^|»›>]{0,60}([|»›>][^|»›>]{0,60}){3,}$"
+#: The same for Java, whose matcher else recurses once per cell: parts are disjoint, so nothing is ever given back.
+NAVIGATION_NOW = r"^[^|»›>]{0,60}+(?:[|»›>][^|»›>]{0,60}+){3,}+$"
 ENDING = r"[.!?:;…。！？][\"'”’»)\]]*(?:[\x20\x09-\x0D]|$)"
 
 
@@ -55,7 +57,7 @@ def repeated_words(words: Column, size: int = WINDOW) -> Column:
 def line_kept(line: Column) -> Column:
     shouted = F.regexp_count(line, F.lit(r"![\x20\x09-\x0D]")) * 3 > F.regexp_count(line, F.lit(SPACES)) + 1
     symbols = F.regexp_count(line, F.lit(SYMBOLS)) * 10 > F.char_length(line)
-    return line.rlike(ENDING) & ~shouted & ~symbols & ~line.rlike(NAVIGATION) & ~line.rlike(BOILERPLATE)
+    return line.rlike(ENDING) & ~shouted & ~symbols & ~line.rlike(NAVIGATION_NOW) & ~line.rlike(BOILERPLATE)
 
 
 def size_of(text: Column) -> Column:
