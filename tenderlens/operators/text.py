@@ -17,15 +17,18 @@ from ..functions.storage import durable
 REDACTIONS = (
     (r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", "[REDACTED PAN]"),
     (r"\b[0-9]{4}\s?[0-9]{4}\s?[0-9]{4}\b", "[REDACTED AADHAAR]"),
-    (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{2,}\b", "[REDACTED EMAIL]"),
+    (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "[REDACTED EMAIL]"),
     (r"\b(?:\+91|91)?\s?[6-9][0-9]{9}\b", "[REDACTED PHONE]"),
     (r"\b[0-9]{9,18}\b", "[REDACTED BANK/ID]"),
 )
+#: The address pattern as it is searched: a name begins at the first word boundary of its run of characters, or where the last
+#: match ended, and never gives a character back.  It finds the same and reads each run once, not once from each of its words.
+ADDRESS_NOW = r"(?:\G|(?<![A-Za-z0-9._%+-]))(?>([A-Za-z0-9._%+-]*?)\b)[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 
 
 def redact(text: Column) -> Column:
     for pattern, mark in REDACTIONS:
-        text = F.regexp_replace(text, pattern, mark)
+        text = F.regexp_replace(text, ADDRESS_NOW, "$1" + mark) if "@" in pattern else F.regexp_replace(text, pattern, mark)
     return text
 
 
@@ -339,19 +342,25 @@ def flag(text: Column, *parts: str) -> Column:
 def locate(quotes: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Document, page, line and heading of each quote (id, quote): the line that holds the whole quote, else the best token overlap (three tokens and 40 %).
 
-    Candidate lines come from an equi-join on words, never from all pairs.
+    A line that holds r of a quote's n words holds one of its n - r + 1 rarest.  Only those are
+    joined; common words are counted on the candidate lines themselves.
     """
     lines = docs.select(key, F.posexplode(F.split("text", "\n")).alias("line", "t"))
     carried = W.partitionBy(key).orderBy("line").rowsBetween(W.unboundedPreceding, 0)
     page = F.regexp_extract("t", r"--- Page ([0-9]+) ---", 1)
-    heading = F.when(F.col("t").rlike(r"^([0-9]+(\.[0-9]+)*\.?\s+\S|[A-Z][A-Z ]{5,}$)"), F.col("t"))
+    heading = F.when(F.col("t").rlike(r"^([0-9]++(?:\.[0-9]++)*+\.?\s+\S|[A-Z][A-Z ]{5,}+$)"), F.col("t"))
     lines = lines.select(key, "line", "t", F.coalesce(F.last(F.when(page != "", page.cast("int")), True).over(carried), F.lit(1)).alias("page"), F.last(heading, True).over(carried).alias("section"))
-    # the rarest words of a quote find its candidate lines
-    words = quotes.select("id", "quote", F.explode(F.array_distinct(word_list(F.col("quote")))).alias("w"))
-    sizes = words.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    hit = lines.select(key, "line", F.explode(F.array_distinct(word_list(F.col("t")))).alias("w")).join(words.select("id", "w"), "w")
-    overlap = hit.groupBy("id", key, "line").agg(F.count(F.lit(1)).alias("shared")).join(sizes, "id")
-    good = overlap.filter((F.col("shared") >= F.least(F.lit(3), F.col("n"))) & (F.col("shared") >= 0.4 * F.col("n")))
+    held = F.array_distinct(word_list(F.col("t")))
+    asked = quotes.select("id", "quote", F.array_distinct(word_list(F.col("quote"))).alias("ws")).withColumn("n", F.size("ws")).filter("n > 0")
+    words = asked.select("id", "n", F.explode("ws").alias("w"))
+    in_lines = lines.select(key, "line", F.explode(held).alias("w"))
+    often = in_lines.join(words.select("w").distinct(), "w").groupBy("w").agg(F.count(F.lit(1)).alias("often"))
+    least = F.greatest(F.least(F.lit(3), F.col("n")), F.ceil(0.4 * F.col("n") - 1e-9))
+    turn = F.row_number().over(W.partitionBy("id").orderBy("often", "w"))  # the words of one quote
+    rare = words.join(often, "w").withColumn("turn", turn).withColumn("known", F.count(F.lit(1)).over(W.partitionBy("id"))).filter(F.col("turn") <= F.col("known") - least + 1)
+    near = in_lines.join(rare.select("id", "w"), "w").select("id", key, "line").distinct()
+    shared = F.size(F.array_intersect(F.col("ws"), held))
+    good = near.join(lines.select(key, "line", "t"), [key, "line"]).join(asked.drop("quote"), "id").select("id", key, "line", "n", shared.alias("shared")).filter(F.col("shared") >= least)
     full = good.join(lines, [key, "line"]).join(quotes, "id").withColumn("exact", F.contains(F.lower("t"), F.lower("quote")))
     best = F.row_number().over(W.partitionBy("id").orderBy(F.desc("exact"), (F.col("shared") / F.col("n")).desc(), key, "line"))
     return full.withColumn("n_", best).filter("n_ = 1").select("id", key, "page", "line", "section", "exact", (F.col("shared") / F.col("n")).alias("overlap"))
