@@ -1,24 +1,21 @@
 """Live feeds as Structured Streaming jobs over an event stream (event_id, ts, user_id, action, details, value).
 
-Builders take a streaming (or, where no state is kept by hand, a batch) DataFrame and return one;
-``replay`` runs a bounded stream to its end through a durable sink and returns what it wrote.
-State is kept per key.  Rows later than the watermark are dropped by the windowed feeds and by
-those whose state expires: a key that has been silent for ``ttl`` of event time starts anew.  A
-chain's last hash never expires.
+Builders take a streaming DataFrame and return one; ``replay`` runs a bounded stream to its end
+through a durable sink and returns what it wrote.  State is kept per key and leaves: windows and
+sessions when the watermark passes them, the processors' state by timers, known texts by their
+age; only a chain's last hash and an owner's two sums stay.  Rows behind the watermark are dropped
+by feeds with a watermark; ``late_rows`` counts them.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.storage import scratch
 from ..operators.sequences import canonical
+from ..operators.text import esg_points, redact
+from . import processors as P
 
 WATERMARK = "10 minutes"
 
@@ -35,23 +32,37 @@ def document_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
 
 
-def replay(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs the stream over all there is; ``complete`` returns the last result, other modes all that was written."""
-    spark = stream.sparkSession
-    base = scratch(spark, "stream")
+def arrivals(rows: DataFrame, order: str, parts: int = 3, cuts: list | None = None) -> DataFrame:
+    """The rows of a table as a stream of files, one micro-batch each: cut after the values ``cuts`` of ``order``, or at even ranks in ``parts``."""
+    spark = rows.sparkSession
+    base = scratch(spark, "arrivals")
+    if cuts is None:
+        cuts = rows.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
+    number = sum((F.coalesce(F.col(order) > F.lit(c), F.lit(False)).cast("int") for c in cuts or []), F.lit(0))
+    for i in range(len(cuts or []) + 1):  # one after another: a file source takes files by their age
+        rows.filter(number == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
 
-    def write(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{base}/out/" + ("last" if mode == "complete" else f"batch={batch}"))  # a batch that runs again replaces itself
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
-    q.awaitTermination()
-    written = spark.read.schema(stream.schema).parquet(f"{base}/out/last" if mode == "complete" else f"{base}/out")
-    return written.select(*stream.columns)
+def run(writer, base: str) -> None:
+    writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
-def keep_until(state: GroupState, last: pd.Timestamp, ttl: int) -> None:
-    """Lets the state expire ``ttl`` seconds of event time after the key's last row."""
-    state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs()) + 1000 * ttl)
+def replay(stream: DataFrame, base: str | None = None) -> DataFrame:
+    """Runs the stream, in append mode, over all there is, and returns all that was written.
+
+    ``base`` is the folder of results and checkpoint; a later replay with the same one goes on
+    where that one ended.  What a window or timer holds back until the watermark passes is not
+    written yet.
+    """
+    spark = stream.sparkSession
+    base = base or scratch(spark, "stream")
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{base}/out/batch={batch}")  # a batch that runs again replaces itself
+
+    run(stream.writeStream.foreachBatch(write), base)
+    return spark.read.schema(stream.schema).parquet(f"{base}/out").select(*stream.columns)
 
 
 def audit_tail(events: DataFrame, high_water: int) -> DataFrame:
@@ -59,61 +70,14 @@ def audit_tail(events: DataFrame, high_water: int) -> DataFrame:
     return events.filter(F.col("event_id") > high_water).select("event_id", "user_id", "action")
 
 
-def rows_in_order(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-
-
 def ewma_stream(events: DataFrame, span: int = 10, ttl: int = 30 * 86_400) -> DataFrame:
     """Per user: EWMA of value and an alert where the residual exceeds the mean + 2 sd of the residuals before it (causal)."""
-    alpha = 2.0 / (span + 1)
-
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = rows_in_order(pdfs)
-        m, n, mean, square = state.get if state.exists else (0.0, 0, 0.0, 0.0)
-        out = []
-        for r in rows.itertuples():
-            m = r.value if n == 0 else alpha * r.value + (1 - alpha) * m
-            residual = abs(r.value - m)
-            bar = mean + 2 * (square / n) ** 0.5 if n else 0.0
-            out.append((r.event_id, key[0], m, bool(n > 2 and residual > bar)))
-            n += 1
-            d = residual - mean
-            mean += d / n
-            square += d * (residual - mean)
-        state.update((m, n, mean, square))
-        keep_until(state, rows["ts"].max(), ttl)
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "ewma", "alert"])
-
-    return events.withWatermark("ts", WATERMARK).groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint, ewma double, alert boolean", "m double, n bigint, mean double, square double", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def auction_stream(events: DataFrame, seconds: int = 86_400, extension: int = 120, ttl: int = 7 * 86_400) -> DataFrame:
-    """A reverse auction per user id: a bid counts only strictly below the current best and before the end, which moves by ``extension`` when a bid comes in its last moments."""
-
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = rows_in_order(pdfs)
-        best, end = state.get if state.exists else (float("inf"), 0)
-        out = []
-        for r in rows.itertuples():
-            at = int(r.ts.timestamp())
-            end = end or at + seconds
-            verdict = "closed" if at > end else "accepted" if r.value < best else "not lower"
-            if verdict == "accepted":
-                best = r.value
-                if end - at < extension:
-                    end += extension
-            out.append((r.event_id, key[0], verdict, best, end))
-        state.update((best, end))
-        keep_until(state, rows["ts"].max(), ttl)
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "verdict", "best", "end"])
-
-    return events.withWatermark("ts", WATERMARK).groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint, verdict string, best double, end bigint", "best double, end bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return P.stateful(events.withWatermark("ts", WATERMARK), "user_id", P.Ewma(span, ttl), P.Ewma.SCHEMA)
+
+
+def auction_stream(events: DataFrame, seconds: int = 86_400, extension: int = 120, pause: int = 7 * 86_400) -> DataFrame:
+    """A reverse auction per user id; a row per bid, and one ("awarded", with the best bid's id) when an auction has ended."""
+    return P.stateful(events.withWatermark("ts", WATERMARK), "user_id", P.Auction(seconds, extension, pause), P.Auction.SCHEMA)
 
 
 def burst_sessions(events: DataFrame, gap: str = "300 seconds", least: int = 2) -> DataFrame:
@@ -124,41 +88,16 @@ def burst_sessions(events: DataFrame, gap: str = "300 seconds", least: int = 2)
 
 def rate_violations(events: DataFrame, seconds: int = 3600, limit: int = 2) -> DataFrame:
     """Events at which a user has more than ``limit`` in the trailing window; the state holds that window only."""
+    return P.stateful(events.withWatermark("ts", WATERMARK), "user_id", P.Rate(seconds, limit), P.Rate.SCHEMA)
+
+
+def seal_stream(events: DataFrame, chains: DataFrame | None = None) -> DataFrame:
+    """Hash chain per user with the last hash in state; equals the batch seal of the same rows in event order.
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = rows_in_order(pdfs)
-        recent = list(state.get[0]) if state.exists else []
-        out = []
-        for r in rows.itertuples():
-            at = r.ts.value // 1000
-            recent = [x for x in recent if x > at - seconds * 1_000_000] + [at]
-            if len(recent) > limit:
-                out.append((r.event_id, key[0], len(recent)))
-        state.update((recent,))
-        keep_until(state, rows["ts"].max(), seconds)
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "n"])
-
-    return events.withWatermark("ts", WATERMARK).groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint, n bigint", "recent array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def seal_stream(events: DataFrame) -> DataFrame:
-    """Hash chain per user with the last hash in state; equals the batch seal of the same rows in event order."""
-
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        prev = state.get[0] if state.exists else "0" * 64
-        out = []
-        for r in pd.concat(list(pdfs)).sort_values("event_id").itertuples():
-            before = prev
-            prev = hashlib.sha256(f"{before}|{r.content}".encode()).hexdigest()
-            out.append((r.event_id, key[0], before, prev))
-        state.update((prev,))
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "prev_hash", "hash"])
-
-    text = canonical(["event_id", "user_id", "action", "details"])
-    return events.select("event_id", "user_id", text.alias("content")).groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint, prev_hash string, hash string", "last string", "append", GroupStateTimeout.NoTimeout)
+    ``chains`` (user_id, last) are chains that were sealed before and go on.
+    """
+    rows = events.select("event_id", "user_id", canonical(["event_id", "user_id", "action", "details"]).alias("content"))
+    return P.stateful(rows, "user_id", P.Seal(), P.Seal.SCHEMA, timers=False, initial=chains)
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour") -> DataFrame:
@@ -166,9 +105,38 @@ def windowed_counts(events: DataFrame, width: str = "1 hour") -> DataFrame:
     return c.select(F.unix_timestamp(F.col("window.start")).alias("start"), "action", "n")
 
 
-def ingest_documents(docs: DataFrame) -> DataFrame:
-    """Redacted text, sustainability points and content hash of each new text; equal texts pass once."""
-    from ..operators.text import esg_points, redact
+def ingest_documents(docs: DataFrame, owner: str = "source", keep: str = "30 days") -> DataFrame:
+    """Redacted text, sustainability points and content hash of each new text of an owner.
+
+    Equal texts of an owner pass once within ``keep`` of arrival (the time of their file), so the
+    state of known texts is bounded.
+    """
+    rows = docs.select("doc_id", owner, redact(F.col("text")).alias("text"), esg_points(F.col("text")).alias("esg"), F.sha2("text", 256).alias("content_hash"), F.col("_metadata.file_modification_time").alias("arrived"))
+    return rows.withWatermark("arrived", keep).dropDuplicatesWithinWatermark([owner, "content_hash"])
+
+
+def running_esg(docs: DataFrame, owner: str = "source", keep: str = "30 days") -> DataFrame:
+    """Number and mean sustainability points of an owner's texts so far, after each micro-batch with new ones."""
+    new = ingest_documents(docs, owner, keep).select(F.coalesce(owner, F.lit("")).alias(owner), "esg")
+    return P.stateful(new, owner, P.RunningMean(owner), f"{owner} string, n bigint, mean_esg double", timers=False)
+
+
+def late_rows(events: DataFrame, watermark_s: int = 600, time: str = "ts") -> DataFrame:
+    """Per micro-batch: rows, and those at or behind the watermark (the latest time of the batches before less ``watermark_s``).
+
+    A feed with a watermark drops such rows from the next batch on; in the batch that moves the
+    watermark they may still meet a window that it closes.  Each batch writes its row and the latest time so far; a batch that runs again replaces it.
+    """
+    spark = events.sparkSession
+    base = scratch(spark, "late")
+    schema = "batch bigint, n bigint, late bigint, high timestamp"
+
+    def count(df: DataFrame, batch: int) -> None:
+        before = spark.read.schema(schema).parquet(f"{base}/out").filter(F.col("batch") < batch).agg(F.max("high")).first()[0] if batch else None
+        edge = F.lit(before).cast("timestamp") - F.make_interval(secs=F.lit(watermark_s))
+        late = F.sum(F.coalesce(F.col(time) <= edge, F.lit(False)).cast("bigint"))
+        row = df.agg(F.lit(batch).cast("bigint").alias("batch"), F.count(F.lit(1)).alias("n"), F.coalesce(late, F.lit(0)).alias("late"), F.greatest(F.max(time), F.lit(before).cast("timestamp")).alias("high"))
+        row.coalesce(1).write.mode("overwrite").parquet(f"{base}/out/part={batch}")
 
-    rows = docs.select("doc_id", redact(F.col("text")).alias("text"), esg_points(F.col("text")).alias("esg"), F.sha2("text", 256).alias("content_hash"))
-    return rows.dropDuplicates(["content_hash"])
+    run(events.writeStream.foreachBatch(count), base)
+    return spark.read.schema(schema).parquet(f"{base}/out").select("batch", "n", "late")
