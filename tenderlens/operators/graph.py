@@ -169,20 +169,79 @@ def grid_edges(points: DataFrame, key: str, x: str, y: str, eps: float) -> DataF
     return within.unionByName(joined).unionByName(full.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
 
 
-def neighbour_counts(queries: DataFrame, points: DataFrame, key: str, x: str, y: str, eps: float, query_block: int = 1024, block: int = 4096) -> DataFrame:
-    """(key, links): how many other points lie within ``eps`` of each query, exactly; blocks of queries meet blocks of points and pass on counts only."""
-    vector = lambda df: df.select(key, F.array(x, y).alias("v"))
-    met = blocks(vector(points), key, "v", block, "d").crossJoin(blocks(vector(queries), key, "v", query_block, "q"))
+#: Cells along a radius, and points of a block, of ``neighbour_counts``.
+CELLS, BLOCK = 16, 8192
+
+
+def near_in_blocks(qx: np.ndarray, qy: np.ndarray, dx: np.ndarray, dy: np.ndarray, eps: float, m: int) -> np.ndarray:
+    """For each point q the number of points d within ``eps``.
+
+    Cells have the side eps / m.  Cells that lie in reach whole are added up by prefix sums along
+    their rows; only the points of cells that the circle can cut are compared.
+    """
+    side = eps / m
+    left, low = int(np.floor(dx.min() / side)), int(np.floor(dy.min() / side))
+    cx, cy = np.floor(dx / side).astype(np.int64) - left, np.floor(dy / side).astype(np.int64) - low
+    wide, high = int(cx.max()) + 1, int(cy.max()) + 1
+    order = np.argsort(cy * wide + cx, kind="stable")
+    dx, dy = dx[order], dy[order]
+    start = np.concatenate(([0], np.cumsum(np.bincount(cy * wide + cx, minlength=wide * high))))  # of each cell in the sorted points
+    steps = np.arange(-m - 1, m + 2)
+    room = lambda n: np.sqrt(np.maximum(m * m - n * n, 0)).astype(np.int64)
+    # a little less than what must lie in reach, and a little more than what may
+    whole = np.where(np.abs(steps) + 1 < m, room(np.abs(steps) + 1) - 2, -1)
+    part = room(np.maximum(np.abs(steps) - 1, 0)) + 2
+    out = np.zeros(len(qx), np.int64)
+    ux, uy = np.floor(qx / side).astype(np.int64) - left, np.floor(qy / side).astype(np.int64) - low
+    by_cell = np.lexsort((ux, uy))
+    change = np.flatnonzero((np.diff(ux[by_cell]) != 0) | (np.diff(uy[by_cell]) != 0)) + 1
+    for some in np.split(by_cell, change):
+        x, y = int(ux[some[0]]), int(uy[some[0]])
+        ok = (y + steps >= 0) & (y + steps < high)
+        row, inner, outer = (y + steps[ok]) * wide, whole[ok], part[ok]
+        at = lambda v: start[row + np.clip(v, 0, wide)]  # noqa: B023, E731  the first point of a row from column v on
+        has = inner >= 0
+        i0, i1 = np.where(has, x - inner, x), np.where(has, x + inner + 1, x)
+        out[some] += (at(i1) - at(i0)).sum()
+        begin, end = np.concatenate([at(x - outer), at(i1)]), np.concatenate([at(i0), at(x + outer + 1)])
+        count = np.maximum(end - begin, 0)
+        total = int(count.sum())
+        if total:
+            ends = np.cumsum(count)
+            near = np.repeat(begin - ends + count, count) + np.arange(total)
+            for i in range(0, len(some), step := max(1, (1 << 21) // total)):
+                q = some[i : i + step]
+                apart = (qx[q][:, None] - dx[near][None]) ** 2 + (qy[q][:, None] - dy[near][None]) ** 2
+                out[q] += (apart <= eps * eps).sum(axis=1)
+    return out
+
+
+def neighbour_counts(points: DataFrame, key: str, x: str, y: str, eps: float, m: int = CELLS, block: int = BLOCK) -> DataFrame:
+    """(key, links): how many other points lie within ``eps`` of each point, exactly.
+
+    Points are dealt to tiles a little wider than ``eps``, in blocks of about ``block`` points, so
+    that a dense tile spreads over many tasks; a block meets the blocks of its tile and of the eight
+    around it.  A pair of blocks is counted by cells (``near_in_blocks``), and no pair of points
+    becomes a row.  Points without coordinates have no links.
+    """
+    side = eps / m * (m + 1)
+    kind = dict(points.dtypes)[key]
+    rows = points.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    placed = rows.filter("x is not null and y is not null and not isnan(x) and not isnan(y)").withColumn("tx", F.floor(F.col("x") / side)).withColumn("ty", F.floor(F.col("y") / side))
+    tiles = placed.groupBy("tx", "ty").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    made = placed.join(tiles, ["tx", "ty"]).withColumn("b", F.pmod(F.xxhash64("k"), F.col("blocks"))).groupBy("tx", "ty", "b").agg(F.collect_list("k").alias("ks"), F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
+    made = durable(made)  # one row of ``block`` points or so
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("n")
+    asking = made.select("*", around).select((F.col("tx") + F.col("n.i")).alias("tx"), (F.col("ty") + F.col("n.j")).alias("ty"), F.col("ks").alias("qs"), F.col("xs").alias("qx"), F.col("ys").alias("qy"))
+    met = asking.join(made.drop("ks", "b"), ["tx", "ty"]).select("qs", "qx", "qy", "xs", "ys")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for d_ids, d_points, q_ids, q_points in zip(pdf["d_ids"], pdf["d_vectors"], pdf["q_ids"], pdf["q_vectors"], strict=True):
-                d, q = np.stack(list(d_points)), np.stack(list(q_points))
-                apart = sum((q[:, None, i] - d[None, :, i]) ** 2 for i in range(2))
-                near = (apart <= eps * eps) & (np.asarray(q_ids)[:, None] != np.asarray(d_ids)[None])
-                yield pd.DataFrame({key: np.asarray(q_ids), "links": near.sum(axis=1)})
+            for ks, *arrays in pdf.itertuples(index=False):
+                yield pd.DataFrame({"k": ks, "links": near_in_blocks(*[np.asarray(a, float) for a in arrays], eps, m)})
 
-    return met.mapInPandas(run, f"{key} {dict(queries.dtypes)[key]}, links bigint").groupBy(key).agg(F.sum("links").alias("links"))
+    found = met.mapInPandas(run, f"k {kind}, links bigint").groupBy("k").agg((F.sum("links") - 1).alias("links"))  # itself is not counted
+    return rows.join(found, "k", "left").select(F.col("k").alias(key), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def fingerprints(fact: DataFrame) -> DataFrame:

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.storage import durable, partitions, small
+
 
 def qcbs(bids: DataFrame, scores: DataFrame, criteria: DataFrame, technical: float = 0.7, financial: float = 0.3, legacy_threshold: bool = False) -> DataFrame:
     """Quality- and cost-based ranking: technical, financial and composite score, qualification and rank of each bid.
@@ -44,20 +49,52 @@ def bursts(df: DataFrame, key: str, at: str, gap: int, least: int = 2) -> DataFr
 def ewma(df: DataFrame, key: str, order: list[str], value: str, span: int = 10) -> DataFrame:
     """Exponentially weighted mean of each series in order: key, the order columns, value, ewma, residual.
 
-    The recursion runs once per key over its sorted rows (an Arrow group), so time is linear in a
-    series; keys run in parallel, and one series must fit in a task's memory.
+    A step of the recursion is affine in the mean before it, and so is any run of steps.  Rows are
+    range-partitioned by key and order, so that one series may span many tasks; each task runs its
+    part of a series from zero and keeps the power that the mean before it is to be multiplied
+    with.  The parts' last steps, one row for each part of a series, give the means before all
+    parts.  Null values leave the mean as it was; a series' first value starts it
+    (rows before that one show it already).
     """
     alpha = 2.0 / (span + 1)
     types = dict(df.dtypes)
-    fields = ", ".join([f"{key} {types[key]}", *(f"{c} {types[c]}" for c in order), f"{value} double", "ewma double"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order).reset_index(drop=True)
-        pdf[value] = pdf[value].astype(float)
-        return pdf.assign(ewma=pdf[value].ewm(alpha=alpha, adjust=False).mean())[[key, *order, value, "ewma"]]
-
-    out = df.select(key, *order, F.col(value).cast("double").alias(value)).groupBy(key).applyInPandas(run, fields)
-    return out.withColumn("residual", F.abs(F.col(value) - F.col("ewma")))
+    fields = ", ".join([f"{key} {types[key]}", *(f"{c} {types[c]}" for c in order), f"{value} double", "__local double", "__power double", "__at bigint"])
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, mean, steps, at = None, 0.0, 0, 0  # of the series that may go on in the next batch
+        for pdf in pdfs:
+            out = []
+            for k, part in pdf.groupby(key, sort=False, dropna=False):
+                if last is None or not (k == last[0] or (pd.isna(k) and pd.isna(last[0]))):
+                    last, mean, steps, at = (k,), 0.0, 0, 0
+                known = part[value].astype(float)
+                local = pd.concat([pd.Series([mean]), known.dropna()], ignore_index=True).ewm(alpha=alpha, adjust=False).mean()
+                done = known.notna().cumsum().to_numpy()
+                made = local.to_numpy()[done]
+                out.append(part.assign(__local=made, __power=(1 - alpha) ** (steps + done), __at=np.arange(at, at + len(part))))
+                mean, steps, at = made[-1], steps + int(done[-1]), at + len(part)
+            if out:
+                yield pd.concat(out)
+
+    rows = df.select(key, *order, F.col(value).cast("double").alias(value))
+    rows = rows.repartitionByRange(partitions(df), key, *order).sortWithinPartitions(key, *order).mapInPandas(run, fields)
+    rows = durable(rows.withColumn("__part", F.spark_partition_id()))
+    ends = rows.groupBy(key, "__part").agg(F.max_by(F.struct("__local", "__power"), "__at").alias("end"), F.min_by(value, F.when(F.col(value).isNotNull(), F.col("__at"))).alias("first"))
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__part")
+        known = pdf["first"].dropna()
+        mean, before = (known.iloc[0] if len(known) else float("nan")), []
+        for local, power in zip(pdf["local"], pdf["power"], strict=True):
+            before.append(mean)
+            mean = local + power * mean
+        return pdf[[key, "__part"]].assign(__before=before)
+
+    starts = ends.select(key, "__part", "first", F.col("end.__local").alias("local"), F.col("end.__power").alias("power")).groupBy(key).applyInPandas(carry, f"{key} {types[key]}, __part int, __before double")
+    named = small(durable(starts.select(F.col(key).alias("__key"), F.col("__part").alias("__p"), "__before")))  # one row for each part of a series
+    met = rows.join(named, rows[key].eqNullSafe(named["__key"]) & (rows["__part"] == named["__p"]))
+    mean = F.col("__local") + F.col("__power") * F.col("__before")
+    return met.select(key, *order, value, mean.alias("ewma")).withColumn("residual", F.abs(F.col(value) - F.col("ewma")))
 
 
 def leave_one_out(df: DataFrame, group: str, value: str, key: str) -> DataFrame:

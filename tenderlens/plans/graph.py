@@ -147,11 +147,12 @@ def bid_points(t):
 
 
 @query(f"""
-WITH {FEATS.strip()} SELECT q.bid_id, count(d.bid_id) AS links FROM p q LEFT JOIN p d ON d.bid_id <> q.bid_id AND (q.x - d.x) ** 2 + (q.y - d.y) ** 2 <= 0.8 ** 2 WHERE q.bid_id % 100 = 0 GROUP BY 1""")
+WITH {FEATS.strip()}, c AS (SELECT *, floor(x / 0.81) AS cx, floor(y / 0.81) AS cy FROM p),
+d AS (SELECT c.*, cx + i AS nx, cy + j AS ny FROM c, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j))
+SELECT q.bid_id, count(*) FILTER (d.bid_id <> q.bid_id AND (q.x - d.x) ** 2 + (q.y - d.y) ** 2 <= 0.8 ** 2) AS links FROM c q JOIN d ON d.nx = q.cx AND d.ny = q.cy GROUP BY 1""")
 def epsilon_neighbour_join(t, eps=0.8):
-    """Every hundredth bid as a query against all bids: how many lie within eps in scaled feature space; bid_clusters_dbscan names each bid's class."""
-    points = durable(bid_points(t))
-    return G.neighbour_counts(points.filter("bid_id % 100 = 0"), points, "bid_id", "x", "y", eps)
+    """Every bid: how many other bids lie within eps in scaled feature space; bid_clusters_dbscan names each bid's class."""
+    return G.neighbour_counts(durable(bid_points(t)), "bid_id", "x", "y", eps)
 
 
 @query()
