@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.core import WORDS, word_list
-from ..functions.storage import durable
+from ..functions.storage import durable, small
 
 #: Redaction steps in order (fixed values).
 REDACTIONS = (
@@ -339,28 +339,34 @@ def flag(text: Column, *parts: str) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def locate(quotes: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def locate(quotes: DataFrame, docs: DataFrame, key: str = "doc_id", common: int = 50) -> DataFrame:
     """Document, page, line and heading of each quote (id, quote): the line that holds the whole quote, else the best token overlap (three tokens and 40 %).
 
-    A line that holds r of a quote's n words holds one of its n - r + 1 rarest.  Only those are
-    joined; common words are counted on the candidate lines themselves.
+    A line must share r of a quote's n words.  Of those, up to r - 1 that stand in more than a
+    ``common``-th part of all lines are not joined at all: a line that reaches r shares r less their
+    number of the other words.  What these leave is counted exactly on the candidate lines.
     """
     lines = docs.select(key, F.posexplode(F.split("text", "\n")).alias("line", "t"))
     carried = W.partitionBy(key).orderBy("line").rowsBetween(W.unboundedPreceding, 0)
     page = F.regexp_extract("t", r"--- Page ([0-9]+) ---", 1)
     heading = F.when(F.col("t").rlike(r"^([0-9]++(?:\.[0-9]++)*+\.?\s+\S|[A-Z][A-Z ]{5,}+$)"), F.col("t"))
     lines = lines.select(key, "line", "t", F.coalesce(F.last(F.when(page != "", page.cast("int")), True).over(carried), F.lit(1)).alias("page"), F.last(heading, True).over(carried).alias("section"))
-    held = F.array_distinct(word_list(F.col("t")))
-    asked = quotes.select("id", "quote", F.array_distinct(word_list(F.col("quote"))).alias("ws")).withColumn("n", F.size("ws")).filter("n > 0")
+    asked = durable(quotes.select("id", F.array_distinct(word_list(F.col("quote"))).alias("ws")).withColumn("n", F.size("ws")).filter("n > 0"))
     words = asked.select("id", "n", F.explode("ws").alias("w"))
-    in_lines = lines.select(key, "line", F.explode(held).alias("w"))
-    often = in_lines.join(words.select("w").distinct(), "w").groupBy("w").agg(F.count(F.lit(1)).alias("often"))
+    known = small(durable(words.select("w").distinct()))
+    texts = docs.select(key, F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    in_lines = durable(texts.select(key, "line", F.explode(F.array_distinct(word_list(F.col("t")))).alias("w")).join(known, "w"))  # the quotes' words only
+    often = durable(in_lines.groupBy("w").agg(F.count(F.lit(1)).alias("often")))
+    bar = texts.count() / common
     least = F.greatest(F.least(F.lit(3), F.col("n")), F.ceil(0.4 * F.col("n") - 1e-9))
-    turn = F.row_number().over(W.partitionBy("id").orderBy("often", "w"))  # the words of one quote
-    rare = words.join(often, "w").withColumn("turn", turn).withColumn("known", F.count(F.lit(1)).over(W.partitionBy("id"))).filter(F.col("turn") <= F.col("known") - least + 1)
-    near = in_lines.join(rare.select("id", "w"), "w").select("id", key, "line").distinct()
-    shared = F.size(F.array_intersect(F.col("ws"), held))
-    good = near.join(lines.select(key, "line", "t"), [key, "line"]).join(asked.drop("quote"), "id").select("id", key, "line", "n", shared.alias("shared")).filter(F.col("shared") >= least)
+    by_quote = W.partitionBy("id")  # the words of one quote
+    turned = words.join(often, "w").withColumn("least", least).withColumn("turn", F.row_number().over(by_quote.orderBy(F.desc("often"), "w")))
+    left_out = F.least(F.col("least") - 1, F.sum((F.col("often") > bar).cast("int")).over(by_quote))
+    rare = turned.withColumn("out", left_out).filter("turn > out").select("id", "w", "n", "least", "out")
+    counted = in_lines.join(small(durable(rare)), "w").groupBy("id", "n", "least", "out", key, "line").agg(F.count(F.lit(1)).alias("some"))
+    near = durable(counted.filter(F.col("some") >= F.col("least") - F.col("out")))
+    shared = F.size(F.array_intersect(F.col("ws"), F.array_distinct(word_list(F.col("t")))))
+    good = near.join(lines.select(key, "line", "t"), [key, "line"]).join(asked.select("id", "ws"), "id").select("id", key, "line", "n", "least", shared.alias("shared")).filter("shared >= least")
     full = good.join(lines, [key, "line"]).join(quotes, "id").withColumn("exact", F.contains(F.lower("t"), F.lower("quote")))
     best = F.row_number().over(W.partitionBy("id").orderBy(F.desc("exact"), (F.col("shared") / F.col("n")).desc(), key, "line"))
     return full.withColumn("n_", best).filter("n_ = 1").select("id", key, "page", "line", "section", "exact", (F.col("shared") / F.col("n")).alias("overlap"))
