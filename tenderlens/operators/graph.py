@@ -15,10 +15,18 @@ from ..functions.storage import durable
 from .retrieval import blocks
 
 
-def co_bids(bids: DataFrame) -> DataFrame:
-    """(a, b, shared) for vendors a < b that bid on the same tenders; quadratic in the bidders of a tender, which ``pair_load`` reports."""
+def co_bids(bids: DataFrame, tenders: int = 0) -> DataFrame:
+    """(a, b, shared) for vendors a < b that bid on the same tenders; with the least ``tenders`` of these, if that many are asked for.
+
+    Quadratic in the bidders of a tender, which ``pair_load`` reports.
+    """
     d = bids.select("tender_id", "vendor_id").distinct()
-    return d.select("tender_id", F.col("vendor_id").alias("a")).join(d.select("tender_id", F.col("vendor_id").alias("b")), "tender_id").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    met = d.select("tender_id", F.col("vendor_id").alias("a")).join(d.select("tender_id", F.col("vendor_id").alias("b")), "tender_id").filter("a < b")
+    if not tenders:
+        return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    turn = W.partitionBy("a", "b").orderBy("tender_id")
+    placed = met.withColumn("turn", F.row_number().over(turn))
+    return placed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.array_sort(F.collect_list(F.when(F.col("turn") <= tenders, F.col("tender_id")))).alias("tenders"))
 
 
 def pair_load(bids: DataFrame, top: int = 10) -> DataFrame:
@@ -244,15 +252,27 @@ def neighbour_counts(points: DataFrame, key: str, x: str, y: str, eps: float, m:
     return rows.join(found, "k", "left").select(F.col("k").alias(key), F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def fingerprints(fact: DataFrame) -> DataFrame:
-    """Per vendor: histogram of price to estimate (5 buckets), of submission months (12), and a digest."""
-    per = F.col("total_amount") / F.col("estimated_value")
-    bucket = F.when(per < 0.7, 0).when(per < 0.9, 1).when(per < 1.05, 2).when(per < 1.3, 3).otherwise(4)
+def fingerprints(fact: DataFrame, times: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per vendor: histograms of price to estimate (5 buckets) and of hours (24), co-bidders, wins by category, and a digest of the histograms.
+
+    ``times`` (vendor_id, at) are the moments of a vendor's acts; ``pairs`` are those of ``co_bids``.
+    A vendor's co-bidders are at most all vendors, in one row.
+    """
+    per = F.when((F.col("estimated_value") > 0) & (F.col("total_amount") > 0), F.col("total_amount") / F.col("estimated_value"))
+    bucket = F.when(per < 0.7, 0).when(per < 0.9, 1).when(per < 1.05, 2).when(per < 1.3, 3).when(per >= 1.3, 4)
     n = F.count(F.lit(1))
-    share = lambda test: (F.sum(F.when(test, 1).otherwise(0)) / n)
-    a = fact.groupBy("vendor_id").agg(F.array(*[share(bucket == i) for i in range(5)]).alias("prices"), F.array(*[share(F.month("submitted_at") == m) for m in range(1, 13)]).alias("months"), n.alias("bids"))
-    text = F.concat_ws(",", F.transform("prices", lambda x: F.format_number(x, 4)), F.transform("months", lambda x: F.format_number(x, 4)))
-    return a.withColumn("digest", F.substring(F.sha2(text, 256), 1, 16))
+    total = F.count(bucket)
+    a = fact.groupBy("vendor_id").agg(F.array(*[F.coalesce(F.count(F.when(bucket == i, 1)) / F.when(total > 0, total), F.lit(0.0)) for i in range(5)]).alias("prices"), n.alias("bids"))
+    hours = times.groupBy("vendor_id").agg(F.array(*[F.count(F.when(F.hour("at") == h, 1)).cast("double") for h in range(24)]).alias("hours"))
+    others = both_ways(pairs).groupBy(F.col("node").alias("vendor_id")).agg(F.array_sort(F.collect_set("other")).alias("co_bidders"))
+    won = fact.filter(F.lower("status").isin("awarded", "won", "l1")).groupBy("vendor_id", "category").agg(n.alias("n"))
+    won = won.groupBy("vendor_id").agg(F.array_sort(F.collect_list(F.struct("category", "n"))).alias("wins"))
+    out = a.join(hours, "vendor_id", "left").join(others, "vendor_id", "left").join(won, "vendor_id", "left")
+    out = out.withColumn("hours", F.coalesce("hours", F.array_repeat(F.lit(0.0), 24))).withColumn("co_bidders", F.coalesce("co_bidders", F.array().cast(dict(others.dtypes)["co_bidders"]))).withColumn("wins", F.coalesce("wins", F.array().cast(dict(won.dtypes)["wins"])))
+    acts = F.aggregate("hours", F.lit(0.0), lambda s, v: s + v)
+    shares = F.transform("hours", lambda h: F.format_number(F.coalesce(h / F.when(acts > 0, acts), F.lit(0.0)), 4))
+    text = F.concat_ws("|", F.concat_ws(",", F.transform("prices", lambda x: F.format_number(x, 4))), F.concat_ws(",", F.slice(shares, 1, 12)))
+    return out.withColumn("digest", F.substring(F.sha2(text, 256), 1, 16))
 
 
 def cosine(a: str, b: str) -> Column:

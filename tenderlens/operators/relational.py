@@ -29,9 +29,16 @@ def latest_by_key(rows: DataFrame, key: str, version: str) -> DataFrame:
 
 
 def delete_where(df: DataFrame, test: Column) -> DataFrame:
+    """The rows that stay; an undecided test deletes nothing."""
     return df.filter(~F.coalesce(test, F.lit(False)))
 
 
+def deleted_count(df: DataFrame, test: Column) -> DataFrame:
+    """One row: how many rows ``delete_where`` deletes, and how many stay."""
+    gone = F.coalesce(test, F.lit(False))
+    return df.agg(F.coalesce(F.sum(gone.cast("bigint")), F.lit(0)).alias("deleted"), F.coalesce(F.sum((~gone).cast("bigint")), F.lit(0)).alias("kept"))
+
+
 def assign_numbers(rows: DataFrame, order: Sequence[str], start: int, prefix: str, year: int) -> DataFrame:
     """Consecutive ids after ``start`` and document numbers, without sorting all rows in one task."""
     placed, _ = ranked(rows, [], [F.col(c) for c in order], small_keys=True)

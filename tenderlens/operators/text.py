@@ -134,6 +134,8 @@ DOCUMENT_FLAGS = {
     "certificate": (("ISO", "CERT", "QUALITY", "BIS"), ("ISO 9001", "ISO CERTIFICATE", "QUALITY MANAGEMENT SYSTEM", "BIS REGISTRATION", "ROHS COMPLIANCE")),
     "bid_bond": (("EMD", "BID BOND", "EARNEST", " BG "), ("EARNEST MONEY", "EMD", "BID BOND", "BANK GUARANTEE")),
 }
+#: Makers, one of which a text must name for its words to show an authorization (fixed values).
+MAKERS = ("SAMSUNG", "NEWLINE", "LG", "DELTA", "BARCO", "PANASONIC", "SONY", "BENQ", "VIEWSONIC", "BASIL")
 #: Coarse classes by file name alone (fixed values).
 COARSE = (
     ("compliance", ("MAF", "MANUFACTURER AUTHORIZATION", "AUTHORIZATION", "OEM AUTHORI", "OEM_AUTH")), ("contract", ("CREDENTIAL", " - PO", "PURCHASE ORDER", "WORK ORDER", "COMPLETION", "CONTRACT")),
@@ -151,9 +153,15 @@ def document_class(name: Column, text: Column) -> Column:
 
 
 def document_flags(name: Column, text: Column) -> Column:
-    """Six independent flags; an order's words count as credentials only if the name says so or nothing else is shown."""
+    """Six independent flags.
+
+    A text's words show an authorization only beside a maker's name, an order's words count as
+    credentials only if the name says so or nothing else is shown, and a name that begins with "bg" is a bond's.
+    """
     n, t = (F.upper(F.coalesce(c, F.lit(""))) for c in (name, text))
     seen = {k: flag(n, *names) | flag(t, *words) for k, (names, words) in DOCUMENT_FLAGS.items()}
+    seen["maf"] = flag(n, *DOCUMENT_FLAGS["maf"][0]) | (flag(t, *DOCUMENT_FLAGS["maf"][1]) & flag(t, *MAKERS))
+    seen["bid_bond"] = seen["bid_bond"] | F.startswith(n, F.lit("BG"))
     named = flag(n, *DOCUMENT_FLAGS["credentials"][0])
     order = flag(t, "GEMC-", "GEM CONTRACT", "CONTRACT DETAILS", "CONTRACTDETAILS", "WORK ORDER NO", "PURCHASE ORDER NO", "SUPPLY ORDER NO", "AGREEMENT NO")
     seen["credentials"] = named | order | (seen["credentials"] & ~seen["financials"] & ~seen["annexure"])

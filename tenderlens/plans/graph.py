@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.core import above, count_if
+from ..functions.core import above, count_if, jaccard
 from ..functions.storage import durable
 from ..operators import graph as G
 from .aggregates import r
@@ -18,14 +18,17 @@ edges AS (SELECT * FROM pairs WHERE shared > (SELECT avg(shared) + 1.5 * stddev_
 
 
 @query(f"""
-WITH {PAIRS}, m AS (SELECT a, b, shared, shared / least(x.n, y.n) AS rate, 1 - abs(x.mean - y.mean) / greatest(x.mean, y.mean) AS sim FROM pairs JOIN per x ON x.vendor_id = a JOIN per y ON y.vendor_id = b)
-SELECT a, b, shared, round(rate, 6) AS rate, round(60 * rate + 40 * sim, 5) AS suspicion, CASE WHEN 60 * rate + 40 * sim >= 70 THEN 'CRITICAL' WHEN 60 * rate + 40 * sim >= 45 THEN 'HIGH' WHEN 60 * rate + 40 * sim >= 20 THEN 'MODERATE' ELSE 'LOW' END AS level FROM m""")
+WITH {PAIRS}, m AS (SELECT a, b, shared, shared / least(x.n, y.n) AS rate, 1 - abs(x.mean - y.mean) / greatest(x.mean, y.mean) AS sim FROM pairs JOIN per x ON x.vendor_id = a JOIN per y ON y.vendor_id = b),
+s AS (SELECT a.vendor_id AS a, b.vendor_id AS b, array_to_string(list(DISTINCT a.tender_id ORDER BY a.tender_id)[1:10], ',') AS shared_tenders FROM bids a JOIN bids b ON a.tender_id = b.tender_id AND a.vendor_id < b.vendor_id GROUP BY 1, 2)
+SELECT a, b, shared, shared_tenders, round(100 * shared / (SELECT max(shared) FROM pairs), 4) AS heat, round(rate, 6) AS rate, round(60 * rate + 40 * sim, 5) AS suspicion, CASE WHEN 60 * rate + 40 * sim >= 70 THEN 'CRITICAL' WHEN 60 * rate + 40 * sim >= 45 THEN 'HIGH' WHEN 60 * rate + 40 * sim >= 20 THEN 'MODERATE' ELSE 'LOW' END AS level FROM m JOIN s USING (a, b)""")
 def co_bid_matrix(t):
     per = t.bids().groupBy("vendor_id").agg(F.count_distinct("tender_id").alias("n"), F.avg("total_amount").alias("mean"))
-    m = G.co_bids(t.bids()).join(per.toDF("a", "na", "ma"), "a").join(per.toDF("b", "nb", "mb"), "b")
+    pairs = durable(G.co_bids(t.bids(), tenders=10))
+    m = pairs.crossJoin(F.broadcast(pairs.agg(F.max("shared").alias("most")))).join(per.toDF("a", "na", "ma"), "a").join(per.toDF("b", "nb", "mb"), "b")
     rate = F.col("shared") / F.least("na", "nb")
     s = 60 * rate + 40 * (1 - F.abs(F.col("ma") - F.col("mb")) / F.greatest("ma", "mb"))
-    return m.select("a", "b", "shared", r(rate).alias("rate"), r(s, 5).alias("suspicion"), above(s, [(70, "CRITICAL"), (45, "HIGH"), (20, "MODERATE")], "LOW").alias("level"))
+    listed = F.array_join(F.transform("tenders", lambda x: x.cast("string")), ",")
+    return m.select("a", "b", "shared", listed.alias("shared_tenders"), r(100 * F.col("shared") / F.col("most"), 4).alias("heat"), r(rate).alias("rate"), r(s, 5).alias("suspicion"), above(s, [(70, "CRITICAL"), (45, "HIGH"), (20, "MODERATE")], "LOW").alias("level"))
 
 
 @query("SELECT tender_id, count(DISTINCT vendor_id) AS bidders, (count(DISTINCT vendor_id) * (count(DISTINCT vendor_id) - 1) // 2)::BIGINT AS pairs FROM bids GROUP BY 1 ORDER BY bidders DESC, tender_id LIMIT 10")
@@ -167,40 +170,57 @@ def bid_clusters_dbscan(t, eps=0.8):
     return b.join(a.select("cluster", "members", r(suspicion).alias("suspicion")), "cluster").select("bid_id", "cluster", "members", "suspicion")
 
 
-@query("""
-SELECT vendor_id, count(*) AS bids, round(count(*) FILTER (per < 0.7) / count(*), 6) AS p0, round(count(*) FILTER (per >= 0.7 AND per < 0.9) / count(*), 6) AS p1, round(count(*) FILTER (per >= 0.9 AND per < 1.05) / count(*), 6) AS p2, round(count(*) FILTER (per >= 1.05 AND per < 1.3) / count(*), 6) AS p3, round(count(*) FILTER (per >= 1.3) / count(*), 6) AS p4
-FROM (SELECT vendor_id, total_amount / estimated_value AS per FROM bid_fact) GROUP BY 1""")
-def vendor_fingerprint(t):
-    f = G.fingerprints(t.bid_fact())
-    return f.select("vendor_id", "bids", *[r(F.get("prices", F.lit(i))).alias(f"p{i}") for i in range(5)])
-
-
 DNA = """
-f AS (SELECT vendor_id, [count(*) FILTER (per < 0.7) / count(*), count(*) FILTER (per >= 0.7 AND per < 0.9) / count(*), count(*) FILTER (per >= 0.9 AND per < 1.05) / count(*), count(*) FILTER (per >= 1.05 AND per < 1.3) / count(*), count(*) FILTER (per >= 1.3) / count(*)] AS prices,
- list_transform(range(1, 13), lambda m: len(list_filter(list(mo), lambda x: x = m)) / count(*)) AS months FROM (SELECT vendor_id, total_amount / estimated_value AS per, month(submitted_at) AS mo FROM bid_fact) GROUP BY 1),
-dna AS (SELECT a, b, 0.5 * list_cosine_similarity(x.prices, y.prices) + 0.2 * list_cosine_similarity(x.months, y.months) + 0.3 * shared / (nx.n + ny.n - shared) AS sim FROM pairs JOIN f x ON x.vendor_id = a JOIN f y ON y.vendor_id = b JOIN per nx ON nx.vendor_id = a JOIN per ny ON ny.vendor_id = b)
+f AS (SELECT vendor_id, count(*) AS bids, [count(*) FILTER (per < 0.7) / count(*), count(*) FILTER (per >= 0.7 AND per < 0.9) / count(*), count(*) FILTER (per >= 0.9 AND per < 1.05) / count(*), count(*) FILTER (per >= 1.05 AND per < 1.3) / count(*), count(*) FILTER (per >= 1.3) / count(*)] AS prices
+  FROM (SELECT vendor_id, total_amount / estimated_value AS per FROM bid_fact) GROUP BY 1),
+h AS (SELECT user_id AS vendor_id, list_transform(range(0, 24), lambda x: len(list_filter(list(hour(ts)), lambda y: y = x))::DOUBLE) AS hours FROM audit GROUP BY 1),
+co AS (SELECT v, list_sort(list(DISTINCT o)) AS others FROM (SELECT a AS v, b AS o FROM pairs UNION ALL SELECT b, a FROM pairs) GROUP BY 1),
+wins AS (SELECT vendor_id, string_agg(category || ':' || n, ';' ORDER BY category) AS wins FROM (SELECT vendor_id, category, count(*) AS n FROM bid_fact WHERE status = 'Awarded' GROUP BY 1, 2) GROUP BY 1),
+dna AS (SELECT a, b, list_cosine_similarity(x.prices, y.prices) AS price, coalesce(list_cosine_similarity(hx.hours, hy.hours), 0) AS timing, len(list_intersect(cx.others, cy.others)) / len(list_distinct(list_concat(cx.others, cy.others))) AS co
+  FROM pairs JOIN f x ON x.vendor_id = a JOIN f y ON y.vendor_id = b JOIN co cx ON cx.v = a JOIN co cy ON cy.v = b LEFT JOIN h hx ON hx.vendor_id = a LEFT JOIN h hy ON hy.vendor_id = b),
+sims AS (SELECT *, 0.5 * price + 0.2 * timing + 0.3 * co AS sim FROM dna)
 """
 
 
+def vendor_times(t):
+    """Bids have dates only: the hours of a vendor's acts are those of the audit rows of the user with its id."""
+    return t.audit().select(F.col("user_id").alias("vendor_id"), F.col("ts").alias("at"))
+
+
+@query(f"""
+WITH {PAIRS}, {DNA.strip()} SELECT f.vendor_id, bids, {", ".join(f"round(prices[{i + 1}], 6) AS p{i}" for i in range(5))}, coalesce(array_to_string(list_transform(hours, lambda x: x::BIGINT), ','), '{",".join("0" * 24)}') AS hours,
+  coalesce(len(others), 0) AS co_bidders, coalesce(wins, '') AS wins FROM f LEFT JOIN h USING (vendor_id) LEFT JOIN co ON v = f.vendor_id LEFT JOIN wins w ON w.vendor_id = f.vendor_id""")
+def vendor_fingerprint(t):
+    f = G.fingerprints(t.bid_fact(), vendor_times(t), G.co_bids(t.bids()))
+    hours = F.array_join(F.transform("hours", lambda x: x.cast("bigint").cast("string")), ",")
+    wins = F.array_join(F.transform("wins", lambda w: F.concat(w["category"], F.lit(":"), w["n"].cast("string"))), ";")
+    return f.select("vendor_id", "bids", *[r(F.get("prices", F.lit(i))).alias(f"p{i}") for i in range(5)], hours.alias("hours"), F.size("co_bidders").alias("co_bidders"), wins.alias("wins"))
+
+
 def dna(t):
-    """Similarity of vendors with a shared tender: price and timing histograms and overlap of tenders."""
-    f = G.fingerprints(t.bid_fact()).select("vendor_id", "prices", "months", "bids")
-    p = G.co_bids(t.bids()).join(f.toDF("a", "pa", "ma", "na"), "a").join(f.toDF("b", "pb", "mb", "nb"), "b")
-    sim = 0.5 * G.cosine("pa", "pb") + 0.2 * G.cosine("ma", "mb") + 0.3 * F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    return p.select("a", "b", sim.alias("sim"))
+    """Similarity of vendors with a shared tender: price and hour histograms and the Jaccard index of their co-bidders."""
+    pairs = G.co_bids(t.bids())
+    f = G.fingerprints(t.bid_fact(), vendor_times(t), pairs).select("vendor_id", "prices", "hours", "co_bidders")
+    p = pairs.join(f.toDF("a", "pa", "ha", "ca"), "a").join(f.toDF("b", "pb", "hb", "cb"), "b")
+    parts = p.select("a", "b", G.cosine("pa", "pb").alias("price"), G.cosine("ha", "hb").alias("timing"), jaccard(F.col("ca"), F.col("cb")).alias("co"))
+    return parts.withColumn("sim", 0.5 * F.col("price") + 0.2 * F.col("timing") + 0.3 * F.col("co"))
 
 
-@query(f"WITH {PAIRS}, {DNA.strip()} SELECT a, b, round(sim, 6) AS similarity, sim > 0.72 AS clone FROM dna")
-def fingerprint_similarity(t, clone=0.72):
-    return dna(t).select("a", "b", r("sim").alias("similarity"), (F.col("sim") > clone).alias("clone"))
+@query(f"""
+WITH {PAIRS}, {DNA.strip()} SELECT a, b, round(price, 6) AS price_sim, round(timing, 6) AS timing_sim, round(co, 6) AS co_bid_sim, round(sim, 6) AS similarity,
+  CASE WHEN sim > 0.85 THEN 'CRITICAL' WHEN sim > 0.7 THEN 'HIGH' WHEN sim > 0.5 THEN 'MODERATE' ELSE 'LOW' END AS risk, sim > 0.85 AS clone FROM sims""")
+def fingerprint_similarity(t, clone=0.85):
+    s = F.col("sim")
+    level = F.when(s > clone, "CRITICAL").when(s > 0.7, "HIGH").when(s > 0.5, "MODERATE").otherwise("LOW")
+    return dna(t).select("a", "b", r("price").alias("price_sim"), r("timing").alias("timing_sim"), r("co").alias("co_bid_sim"), r("sim").alias("similarity"), level.alias("risk"), (s > clone).alias("clone"))
 
 
 @query(f"""
-WITH {PAIRS}, {DNA.strip()}, near AS (SELECT a, b, sim FROM dna WHERE 1 - sim <= 0.28), ways AS (SELECT a AS u, b AS v FROM near UNION ALL SELECT b, a FROM near),
+WITH {PAIRS}, {DNA.strip()}, near AS (SELECT a, b, sim FROM sims WHERE 1 - sim <= 0.3), ways AS (SELECT a AS u, b AS v FROM near UNION ALL SELECT b, a FROM near),
 reach(u, v) AS (SELECT u, u FROM ways UNION SELECT r.u, w.v FROM reach r JOIN ways w ON w.u = r.v), c AS (SELECT u AS node, min(v) AS cluster FROM reach GROUP BY 1),
 m AS (SELECT cluster, avg(sim) AS mean FROM near JOIN c ON node = a GROUP BY 1)
 SELECT cluster, count(*) AS members, string_agg(node::VARCHAR, ',' ORDER BY node) AS vendors, round(any_value(mean), 6) AS mean_similarity FROM c JOIN m USING (cluster) GROUP BY 1""", recursive=True)
-def shell_clusters(t, distance=0.28):
+def shell_clusters(t, distance=0.3):
     d = dna(t).filter(1 - F.col("sim") <= distance)
     c = G.components(d)
     inside = d.join(c.toDF("a", "cluster"), "a").groupBy("cluster").agg(F.avg("sim").alias("mean"))

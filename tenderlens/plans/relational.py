@@ -31,6 +31,11 @@ def delete_where(t):
     return R.delete_where(t.documents(), (F.col("doc_type") == "en") & (F.col("vendor_id") <= 5)).select("doc_id", "doc_type")
 
 
+@query("SELECT count(*) FILTER (doc_type = 'en' AND vendor_id <= 5) AS deleted, count(*) FILTER (NOT coalesce(doc_type = 'en' AND vendor_id <= 5, false)) AS kept FROM bid_documents")
+def delete_where_count(t):
+    return R.deleted_count(t.documents(), (F.col("doc_type") == "en") & (F.col("vendor_id") <= 5))
+
+
 @query("""
 SELECT po_id, new_id, format('PO/2024/{:04d}', new_id) AS number, '45' || (new_id + 100000)::VARCHAR AS po_number
 FROM (SELECT po_id, 500 + row_number() OVER (ORDER BY created_at, po_id) AS new_id FROM purchase_orders WHERE po_status = 'F')""")

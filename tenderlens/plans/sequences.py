@@ -290,3 +290,8 @@ def deadline_transition(t, as_of="1998-06-01"):
     return t.tenders().select("tender_id", F.when(due, "Under Evaluation").otherwise(F.col("tender_status")).alias("new_status"), due.alias("changed"))
 
 
+@query("SELECT tender_id, 'status_change' AS action, 'Published' AS old_value, 'Under Evaluation' AS new_value, closing_at AS due FROM tenders WHERE tender_status = 'Published' AND closing_at < TIMESTAMP '1998-06-01'")
+def deadline_audit_rows(t, as_of="1998-06-01"):
+    """The audit rows of ``deadline_transition``: one for each tender whose state changes."""
+    due = (F.col("tender_status") == "Published") & (F.col("closing_at") < F.lit(as_of).cast("timestamp"))
+    return t.tenders().filter(due).select("tender_id", F.lit("status_change").alias("action"), F.lit("Published").alias("old_value"), F.lit("Under Evaluation").alias("new_value"), F.col("closing_at").alias("due"))

@@ -189,11 +189,11 @@ _CLASS = "CASE " + " ".join(f"WHEN {sql_contains(names, 'n')} OR {sql_contains(w
 _COARSE = "CASE " + " ".join(f"WHEN {sql_contains(names, 'n')} THEN '{label}'" for label, names in X.COARSE) + " ELSE 'general' END"
 
 
-@query(f"SELECT doc_id, {_CLASS} AS kind, {_COARSE} AS coarse, {' OR '.join(sql_contains(x, c) for x, c in zip(X.DOCUMENT_FLAGS['bid_bond'], 'nu', strict=True))} AS bid_bond FROM (SELECT doc_id, upper(source) AS n, upper(text) AS u FROM documents)")
+@query(f"SELECT doc_id, {_CLASS} AS kind, {_COARSE} AS coarse, {' OR '.join(sql_contains(x, c) for x, c in zip(X.DOCUMENT_FLAGS['bid_bond'], 'nu', strict=True))} OR starts_with(n, 'BG') AS bid_bond, {sql_contains(X.DOCUMENT_FLAGS['maf'][0], 'n')} OR (({sql_contains(X.DOCUMENT_FLAGS['maf'][1], 'u')}) AND ({sql_contains(X.MAKERS, 'u')})) AS maf FROM (SELECT doc_id, upper(source) AS n, upper(text) AS u FROM documents)")
 def document_classify(t):
     """Classes by file name (here: the source), then by text."""
     name, text = F.col("source"), F.col("text")
-    return t.documents().select("doc_id", X.document_class(name, text).alias("kind"), X.coarse_class(name).alias("coarse"), X.document_flags(name, text)["bid_bond"].alias("bid_bond"))
+    return t.documents().select("doc_id", X.document_class(name, text).alias("kind"), X.coarse_class(name).alias("coarse"), X.document_flags(name, text)["bid_bond"].alias("bid_bond"), X.document_flags(name, text)["maf"].alias("maf"))
 
 
 _RUNS = " + ".join(f"(len(t) - len(replace(t, '{g}', ''))) // {len(g)}" for g in X.GARBAGE)
