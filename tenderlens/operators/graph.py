@@ -224,24 +224,31 @@ def near_in_blocks(qx: np.ndarray, qy: np.ndarray, dx: np.ndarray, dy: np.ndarra
     return out
 
 
-def neighbour_counts(points: DataFrame, key: str, x: str, y: str, eps: float, m: int = CELLS, block: int = BLOCK) -> DataFrame:
-    """(key, links): how many other points lie within ``eps`` of each point, exactly.
+def neighbour_counts(queries: DataFrame, points: DataFrame, key: str, x: str, y: str, eps: float, m: int = CELLS, block: int = BLOCK) -> DataFrame:
+    """(key, links): how many other points lie within ``eps`` of each query, exactly; queries are all or some of the points.
 
-    Points are dealt to tiles a little wider than ``eps``, in blocks of about ``block`` points, so
+    Both are dealt to tiles a little wider than ``eps``, in blocks of about ``block`` points, so
     that a dense tile spreads over many tasks; a block meets the blocks of its tile and of the eight
     around it.  A pair of blocks is counted by cells (``near_in_blocks``), and no pair of points
     becomes a row.  Points without coordinates have no links.
     """
     side = eps / m * (m + 1)
     kind = dict(points.dtypes)[key]
-    rows = points.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    placed = rows.filter("x is not null and y is not null and not isnan(x) and not isnan(y)").withColumn("tx", F.floor(F.col("x") / side)).withColumn("ty", F.floor(F.col("y") / side))
-    tiles = placed.groupBy("tx", "ty").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    made = placed.join(tiles, ["tx", "ty"]).withColumn("b", F.pmod(F.xxhash64("k"), F.col("blocks"))).groupBy("tx", "ty", "b").agg(F.collect_list("k").alias("ks"), F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
-    made = durable(made)  # one row of ``block`` points or so
+
+    def plain(df: DataFrame) -> DataFrame:
+        return df.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        """(tx, ty, ks, xs, ys): a row for each block of ``block`` points or so."""
+        placed = plain(df).filter("x is not null and y is not null and not isnan(x) and not isnan(y)").withColumn("tx", F.floor(F.col("x") / side)).withColumn("ty", F.floor(F.col("y") / side))
+        tiles = placed.groupBy("tx", "ty").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+        placed = placed.join(tiles, ["tx", "ty"]).withColumn("b", F.pmod(F.xxhash64("k"), F.col("blocks")))
+        return placed.groupBy("tx", "ty", "b").agg(F.collect_list("k").alias("ks"), F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
+
+    asked = dealt(queries)
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("n")
-    asking = made.select("*", around).select((F.col("tx") + F.col("n.i")).alias("tx"), (F.col("ty") + F.col("n.j")).alias("ty"), F.col("ks").alias("qs"), F.col("xs").alias("qx"), F.col("ys").alias("qy"))
-    met = asking.join(made.drop("ks", "b"), ["tx", "ty"]).select("qs", "qx", "qy", "xs", "ys")
+    asking = asked.select("*", around).select((F.col("tx") + F.col("n.i")).alias("tx"), (F.col("ty") + F.col("n.j")).alias("ty"), F.col("ks").alias("qs"), F.col("xs").alias("qx"), F.col("ys").alias("qy"))
+    met = asking.join(dealt(points).select("tx", "ty", "xs", "ys"), ["tx", "ty"]).select("qs", "qx", "qy", "xs", "ys")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -249,7 +256,7 @@ def neighbour_counts(points: DataFrame, key: str, x: str, y: str, eps: float, m:
                 yield pd.DataFrame({"k": ks, "links": near_in_blocks(*[np.asarray(a, float) for a in arrays], eps, m)})
 
     found = met.mapInPandas(run, f"k {kind}, links bigint").groupBy("k").agg((F.sum("links") - 1).alias("links"))  # itself is not counted
-    return rows.join(found, "k", "left").select(F.col("k").alias(key), F.coalesce("links", F.lit(0)).alias("links"))
+    return plain(queries).join(found, "k", "left").select(F.col("k").alias(key), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def fingerprints(fact: DataFrame, times: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -155,7 +155,8 @@ d AS (SELECT c.*, cx + i AS nx, cy + j AS ny FROM c, (VALUES (-1), (0), (1)) a(i
 SELECT q.bid_id, count(*) FILTER (d.bid_id <> q.bid_id AND (q.x - d.x) ** 2 + (q.y - d.y) ** 2 <= 0.8 ** 2) AS links FROM c q JOIN d ON d.nx = q.cx AND d.ny = q.cy GROUP BY 1""")
 def epsilon_neighbour_join(t, eps=0.8):
     """Every bid: how many other bids lie within eps in scaled feature space; bid_clusters_dbscan names each bid's class."""
-    return G.neighbour_counts(durable(bid_points(t)), "bid_id", "x", "y", eps)
+    points = durable(bid_points(t))
+    return G.neighbour_counts(points, points, "bid_id", "x", "y", eps)
 
 
 @query()

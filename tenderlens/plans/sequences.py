@@ -284,14 +284,14 @@ def audit_chain_seal(t):
     return S.seal(t.audit().select(*COLS), "user_id", "event_id", COLS).select("event_id", "user_id", "prev_hash", "hash")
 
 
-@query("SELECT t.tender_id, CASE WHEN tender_status = 'Published' AND closing_at < TIMESTAMP '1998-06-01' THEN 'Under Evaluation' ELSE tender_status END AS new_status, coalesce(tender_status = 'Published' AND closing_at < TIMESTAMP '1998-06-01', false) AS changed FROM tenders t")
-def deadline_transition(t, as_of="1998-06-01"):
+@query("SELECT t.tender_id, CASE WHEN tender_status = 'Published' AND closing_at < TIMESTAMP '2001-09-08' THEN 'Under Evaluation' ELSE tender_status END AS new_status, coalesce(tender_status = 'Published' AND closing_at < TIMESTAMP '2001-09-08', false) AS changed FROM tenders t")
+def deadline_transition(t, as_of="2001-09-08"):
     due = F.coalesce((F.col("tender_status") == "Published") & (F.col("closing_at") < F.lit(as_of).cast("timestamp")), F.lit(False))
     return t.tenders().select("tender_id", F.when(due, "Under Evaluation").otherwise(F.col("tender_status")).alias("new_status"), due.alias("changed"))
 
 
-@query("SELECT tender_id, 'status_change' AS action, 'Published' AS old_value, 'Under Evaluation' AS new_value, closing_at AS due FROM tenders WHERE tender_status = 'Published' AND closing_at < TIMESTAMP '1998-06-01'")
-def deadline_audit_rows(t, as_of="1998-06-01"):
+@query("SELECT tender_id, 'status_change' AS action, 'Published' AS old_value, 'Under Evaluation' AS new_value, epoch(closing_at)::BIGINT AS due FROM tenders WHERE tender_status = 'Published' AND closing_at < TIMESTAMP '2001-09-08'")
+def deadline_audit_rows(t, as_of="2001-09-08"):
     """The audit rows of ``deadline_transition``: one for each tender whose state changes."""
     due = (F.col("tender_status") == "Published") & (F.col("closing_at") < F.lit(as_of).cast("timestamp"))
-    return t.tenders().filter(due).select("tender_id", F.lit("status_change").alias("action"), F.lit("Published").alias("old_value"), F.lit("Under Evaluation").alias("new_value"), F.col("closing_at").alias("due"))
+    return t.tenders().filter(due).select("tender_id", F.lit("status_change").alias("action"), F.lit("Published").alias("old_value"), F.lit("Under Evaluation").alias("new_value"), F.unix_timestamp("closing_at").alias("due"))

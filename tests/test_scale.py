@@ -38,7 +38,7 @@ def test_neighbour_counts(spark, eps, m, block):
     p = np.concatenate([rng.normal(size=(500, 2)), np.repeat([[0.25, 0.5]], 300, axis=0), np.round(rng.normal(size=(100, 2)), 1)])
     rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(p)]
     df = spark.createDataFrame([*rows, (9001, None, 1.0), (9002, float("nan"), 0.0)], "k bigint, x double, y double").repartition(4)
-    got = {r["k"]: r["links"] for r in G.neighbour_counts(df, "k", "x", "y", eps, m, block).collect()}
+    got = {r["k"]: r["links"] for r in G.neighbour_counts(df, df, "k", "x", "y", eps, m, block).collect()}
     want = ((p[:, None] - p[None]) ** 2).sum(axis=2) <= eps * eps
     assert got == {i: int(n) - 1 for i, n in enumerate(want.sum(axis=1))} | {9001: 0, 9002: 0}
 
