@@ -10,7 +10,8 @@ from ..operators import graph as G
 from ..operators import learning as L
 from ..operators import prices as P
 from . import sequences as S
-from .aggregates import r
+from .aggregates import BENFORD, r
+from .graph import PAIRS
 from .registry import query
 from .shared import exact
 
@@ -62,10 +63,17 @@ def vendor_features(t):
 
 
 @query(f"""
-WITH {MATRIX} SELECT m.vendor_id, count(*)::DOUBLE AS bids, round(avg(ratio), 6) AS mean_ratio, round(stddev_pop(amount) / avg(amount), 6) AS cv, round(avg(gap), 5) AS mean_gap, round(avg(period), 6) AS mean_period, round(any_value(w), 6) AS win_rate FROM matrix m JOIN (SELECT vendor_id, count(*) FILTER (status = 'Awarded') / count(*) AS w FROM bids GROUP BY 1) USING (vendor_id) GROUP BY 1""")
+WITH {MATRIX.strip()}, {PAIRS.strip()}, {BENFORD.strip()},
+v AS (SELECT vendor_id, count(*)::DOUBLE AS bids, avg(ratio) AS mean_ratio, stddev_pop(amount) / avg(amount) AS cv, avg(gap) AS mean_gap, avg(period) AS mean_period, avg(score) AS mean_score, any_value(trust) AS trust FROM matrix GROUP BY 1),
+w AS (SELECT vendor_id, count(*) FILTER (status = 'Awarded') / count(*) AS win_rate, count(*) FILTER (is_disqualified) / count(*) AS dq_rate FROM bids GROUP BY 1),
+g AS (SELECT vendor_id, count(*)::DOUBLE AS degree FROM (SELECT a AS vendor_id FROM edges UNION ALL SELECT b FROM edges) GROUP BY 1),
+i AS (SELECT vendor_id, count(*) FILTER (inspection = 'Failed') / count(*) AS failed_rate FROM deliveries GROUP BY 1)
+SELECT v.vendor_id, bids, round(mean_ratio, 6) AS mean_ratio, round(cv, 6) AS cv, round(mean_gap, 5) AS mean_gap, round(mean_period, 6) AS mean_period, round(mean_score, 5) AS mean_score, round(trust, 6) AS trust, round(win_rate, 6) AS win_rate, round(dq_rate, 6) AS dq_rate,
+  coalesce(degree, 0) AS degree, coalesce(round(mad_1, 6), 0) AS mad, round(coalesce(failed_rate, 0), 6) AS failed_rate FROM v JOIN w USING (vendor_id) LEFT JOIN g USING (vendor_id) LEFT JOIN benford USING (vendor_id) LEFT JOIN i USING (vendor_id)""")
 def vendor_feature_vector(t):
     f = vendor_features(t)
-    return f.select("vendor_id", "bids", r("mean_ratio").alias("mean_ratio"), r("cv").alias("cv"), r("mean_gap", 5).alias("mean_gap"), r("mean_period").alias("mean_period"), r("win_rate").alias("win_rate"))
+    digits = {"bids": None, "degree": None, "mad": None, "mean_gap": 5, "mean_score": 5}
+    return f.select("vendor_id", *[F.col(c) if digits.get(c, 6) is None else r(c, digits.get(c, 6)).alias(c) for c in VENDOR_COLS])
 
 
 def heuristic(f):
