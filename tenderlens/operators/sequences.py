@@ -81,16 +81,14 @@ def ewma(df: DataFrame, key: str, order: list[str], value: str, span: int = 10)
     rows = durable(rows.withColumn("__part", F.spark_partition_id()))
     ends = rows.groupBy(key, "__part").agg(F.max_by(F.struct("__local", "__power"), "__at").alias("end"), F.min_by(value, F.when(F.col(value).isNotNull(), F.col("__at"))).alias("first"))
 
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__part")
-        known = pdf["first"].dropna()
-        mean, before = (known.iloc[0] if len(known) else float("nan")), []
-        for local, power in zip(pdf["local"], pdf["power"], strict=True):
-            before.append(mean)
-            mean = local + power * mean
-        return pdf[[key, "__part"]].assign(__before=before)
-
-    starts = ends.select(key, "__part", "first", F.col("end.__local").alias("local"), F.col("end.__power").alias("power")).groupBy(key).applyInPandas(carry, f"{key} {types[key]}, __part int, __before double")
+    # one struct for each part of a series; the mean before a part is that after the one before it
+    part = F.struct("__part", F.col("end.__local").alias("local"), F.col("end.__power").alias("power"), "first")
+    series = ends.groupBy(key).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    start = F.get(F.filter(F.col("parts.first"), lambda v: v.isNotNull()), F.lit(0))
+    none = F.array().cast("array<struct<p:int,before:double>>")
+    step = lambda acc, x: F.struct(F.concat(acc["out"], F.array(F.struct(x["__part"].alias("p"), acc["mean"].alias("before")))).alias("out"), (x["local"] + x["power"] * acc["mean"]).alias("mean"))
+    walked = F.aggregate("parts", F.struct(none.alias("out"), start.alias("mean")), step, lambda acc: acc["out"])
+    starts = series.select(key, F.explode(walked).alias("s")).select(key, F.col("s.p").alias("__part"), F.col("s.before").alias("__before"))
     named = small(durable(starts.select(F.col(key).alias("__key"), F.col("__part").alias("__p"), "__before")))  # one row for each part of a series
     met = rows.join(named, rows[key].eqNullSafe(named["__key"]) & (rows["__part"] == named["__p"]))
     mean = F.col("__local") + F.col("__power") * F.col("__before")
