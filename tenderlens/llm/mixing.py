@@ -3,9 +3,9 @@
 Sources, by code point and null last, weigh 5, 2, 1, repeating; their targets share all words
 and stop at three times the source's size, the excess going to the others by weight.  A source
 takes every document floor(target / size) times; for the remaining budget the number of
-documents of each exact length is chosen: a proportional share of every length, then the
-longest that fit, and a bounded-knapsack dynamic program over the last ``grid`` words, which
-finds the fullest reachable sum.  The documents of a length are then taken in seeded order.
+documents of each exact length is chosen: a proportional share of every length, rounded up or
+down by a seeded offset along the lengths, and a bounded-knapsack dynamic program over the last
+``grid`` words, which tries lengths in seeded order and finds the fullest reachable sum.  The documents of a length are then taken in seeded order.
 
 Work per source is bounded by its distinct lengths, and the targets' windows hold one row per
 source; documents get their seeded rank without gathering a source or a length in one task.
@@ -34,16 +34,25 @@ ship(__name__)
 WEIGHTS, MOST, GRID = (5.0, 2.0, 1.0), 3, 65_536
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, grid: int = GRID) -> np.ndarray:
-    """How many documents of each length to take, at most ``counts``, for a sum close to and not above ``budget``."""
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, grid: int = GRID, seed: int = 7) -> np.ndarray:
+    """How many documents of each distinct length to take, at most ``counts``, for a sum close to and not above ``budget``."""
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    take = counts * (max(0, budget - grid // 2) / total)
-    take = np.minimum(counts, np.floor(take).astype(np.int64))
+    rng = np.random.default_rng(seed)
+    by = np.argsort(lengths, kind="stable")
+    # shares rounded along the lengths: any run of lengths gets its share to within a document, so the sum errs by about the longest length
+    ends = np.floor(np.cumsum(counts[by] * (max(0, budget - grid // 2) / total)) + rng.uniform()).astype(np.int64)
+    take = np.zeros(len(lengths), np.int64)
+    take[by] = np.minimum(counts[by], np.diff(ends, prepend=0))
     left = budget - int((lengths * take).sum())
-    order = np.argsort(-lengths, kind="stable")
-    while left > grid:  # longest first, in equal rounds, until the rest fits the program
+    while left < 0:  # only where a document is longer than half the grid
+        some = by[take[by] > 0]
+        i = some[min(int(np.searchsorted(lengths[some], -left)), len(some) - 1)]
+        take[i] -= 1
+        left += int(lengths[i])
+    order = by[::-1]
+    while left > grid:  # as above: the longest first, in equal rounds, until the rest fits the program
         some = order[counts[order] > take[order]]
         some = some[lengths[some] <= left - grid // 2]
         fits = some[np.cumsum(lengths[some]) <= left - grid // 2]
@@ -53,13 +62,13 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, grid: int = GRID)
             break
         take[fits] += 1
         left -= int(lengths[fits].sum())
-    # bounded knapsack: pieces of 1, 2, 4, ... documents of a length; first[s] is the piece that first reached s
+    # bounded knapsack: pieces of 1, 2, 4, ... documents of a length, lengths in seeded order; first[s] is the piece that first reached s
     left_grid = min(left, 2 * grid)
     reach = np.zeros(left_grid + 1, bool)
     reach[0] = True
     first = np.full(left_grid + 1, -1, np.int64)
     pieces: list[tuple[int, int]] = []
-    for i in order:
+    for i in by[rng.permutation(len(by))]:
         have = min(int(counts[i] - take[i]), left_grid // int(lengths[i]))
         size = 1
         while have > 0 and not reach[left_grid]:
@@ -83,9 +92,9 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, grid: int = GRID)
     return take
 
 
-def fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
+def fit_source(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
     lengths, counts = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
-    return pdf.assign(chosen=fit(lengths, counts, int(pdf["budget"].iloc[0])))[["source_key", "size", "chosen"]]
+    return pdf.assign(chosen=fit(lengths, counts, int(pdf["budget"].iloc[0]), seed=seed))[["source_key", "size", "chosen"]]
 
 
 def source_key() -> Column:
@@ -118,7 +127,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
     budget = F.round("target").cast("bigint")
     goals = durable(goals.withColumn("times", F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(budget / F.col("source_size")))).otherwise(0)).withColumn("budget", budget - F.col("times") * F.col("source_size")))
     plan = counts.filter("size > 0").join(goals.filter("budget > 0").select("source_key", "budget"), "source_key")
-    chosen = plan.groupBy("source_key").applyInPandas(fit_source, "source_key string, size bigint, chosen bigint")
+    chosen = plan.groupBy("source_key").applyInPandas(lambda pdf: fit_source(pdf, seed), "source_key string, size bigint, chosen bigint")
     out = rows.join(durable(chosen), ["source_key", "size"], "left").join(goals, "source_key")
     extra = F.when(F.col("rank") < F.coalesce("chosen", F.lit(0)), 1).otherwise(0)
     taken = F.col("size") * (F.col("times") + extra)

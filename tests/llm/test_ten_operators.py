@@ -188,6 +188,23 @@ def test_subset_sum_equals_the_optimum():
         assert ((take >= 0) & (take <= counts)).all() and (take * lengths).sum() == max(x for x in sums if x <= budget)
 
 
+def test_subset_sum_is_a_fair_sample():
+    """The mean length taken is within 2 % of the source's, also where every length has one document; very long documents don't break the budget."""
+    rng = np.random.default_rng(6)
+    drawn = [np.arange(1, 2001), np.maximum(1, rng.lognormal(6, 1, 5000).astype(int)), np.repeat(np.arange(20, 60), 2000)]
+    for words in drawn:
+        lengths, counts = np.unique(words, return_counts=True)
+        for share in (0.3, 0.5, 0.8):
+            take = mixing.fit(lengths, counts, int(words.sum() * share))
+            assert abs((take * lengths).sum() / take.sum() / words.mean() - 1) < 0.02 and (take <= counts).all() and 0 <= int(words.sum() * share) - (take * lengths).sum() <= 1
+    lengths, counts = np.array([3, 5, 70_000, 100_000]), np.array([10, 10, 4, 3])
+    for budget in (1, 50, 70_010, 150_000, 400_000):
+        take = mixing.fit(lengths, counts, budget)
+        assert ((take >= 0) & (take <= counts)).all() and (take * lengths).sum() <= budget
+        back = mixing.fit(lengths[::-1], counts[::-1], budget)
+        assert (back[::-1] == take).all()
+
+
 def water_filled(sizes):
     """Targets by resharing what capped sources cannot take."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
