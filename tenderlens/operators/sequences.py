@@ -138,3 +138,15 @@ def transitions(df: DataFrame, group: str, order: list[str], item: str) -> DataF
     """Counts of consecutive items: (group, from_item, to_item, n)."""
     nxt = F.lead(item).over(W.partitionBy(group).orderBy(*order))
     return df.select(group, F.col(item).alias("from_item"), nxt.alias("to_item")).filter("to_item is not null").groupBy(group, "from_item", "to_item").agg(F.count(F.lit(1)).alias("n"))
+
+
+def timing(rows: DataFrame, key: str, at: str, gap: int = 300) -> DataFrame:
+    """(key, score, bursts, risk): how narrow the hours of day are (100: one hour), runs of rows at most ``gap`` seconds apart, and the worse of both."""
+    c = rows.groupBy(key, F.hour(at).alias("h")).agg(F.count(F.lit(1)).alias("c"))
+    a = c.groupBy(key).agg(F.count(F.lit(1)).alias("bins"), F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("cl"))
+    bits = F.log2("n") - F.col("cl") / F.col("n")
+    score = F.when(F.col("bins") == 1, 100.0).otherwise((1 - bits / F.log2(F.greatest("bins", F.lit(2)))) * 100)
+    b = bursts(rows.select(key, F.unix_timestamp(at).alias("at")), key, "at", gap).groupBy(key).agg(F.count(F.lit(1)).alias("bursts"))
+    x = a.select(key, score.alias("score")).join(b, key, "left").withColumn("bursts", F.coalesce("bursts", F.lit(0)))
+    risk = F.when((F.col("score") > 70) | (F.col("bursts") >= 3), "CRITICAL").when((F.col("score") > 45) | (F.col("bursts") >= 2), "HIGH").when((F.col("score") > 25) | (F.col("bursts") >= 1), "MODERATE").otherwise("LOW")
+    return x.withColumn("risk", risk)

@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.core import count_if, ladder
+from ..functions.storage import durable
+from ..operators import anomaly as A
 from ..operators import graph as G
 from ..operators import learning as L
 from ..operators import prices as P
-from . import sequences as S
-from .aggregates import BENFORD, r
+from .aggregates import BENFORD, ENTROPY, FENCES, GRUBBS_TEST, MAD_RISK, r
 from .graph import PAIRS
 from .registry import query
+from .relational import GRUBBS
+from .sequences import BURSTS
 from .shared import exact
 
 FEATURES = ["amount", "ratio", "period", "gap", "score", "trust"]
@@ -146,13 +149,47 @@ def price_forecast(t, horizon=3):
     return out.join(error, "category").select("category", "step", r("p", 2).alias("forecast"), r(F.col("p") * (1 - F.col("mape")), 2).alias("low"), r(F.col("p") * (1 + F.col("mape")), 2).alias("high"), F.when(move > 4, "EXPEDITE").when(move < -4, "DEFER").otherwise("HOLD").alias("advice"))
 
 
+_RISK = lambda c: f"coalesce({c}, 'LOW') AS {c}"
+SIGNALS = f"""
+{FENCES.strip()}, {GRUBBS_TEST.strip()}, {ENTROPY.strip()}, {BENFORD.strip()}, {PAIRS.strip()}, {BURSTS.replace("epoch(ts)::BIGINT", "floor(epoch(ts))::BIGINT").strip()},
+en AS (SELECT tender_id, CASE WHEN round(entropy, 9) < 0.25 THEN 'CRITICAL' WHEN round(entropy, 9) < 0.5 THEN 'HIGH' WHEN round(entropy, 9) < 0.75 THEN 'MODERATE' ELSE 'LOW' END AS entropy_risk FROM entropy),
+dg AS (SELECT vendor_id, {MAD_RISK} AS digit_risk FROM benford),
+xn AS (SELECT vendor_id, count(*) AS n FROM s GROUP BY 1 HAVING count(*) > 10), x2 AS (SELECT xn.vendor_id, sum((coalesce(c.c, 0) - xn.n * expected) ** 2 / (xn.n * expected)) > 15.5 AS digit_fails FROM xn CROSS JOIN (SELECT * FROM law WHERE place = 1) l LEFT JOIN c ON c.vendor_id = xn.vendor_id AND c.place = 1 AND c.digit = l.digit GROUP BY 1),
+cv AS (SELECT vendor_id, CASE WHEN cv < 0.02 THEN 'CRITICAL' WHEN cv < 0.05 THEN 'HIGH' WHEN cv < 0.10 THEN 'MODERATE' ELSE 'LOW' END AS cv_risk FROM (SELECT vendor_id, stddev_samp(total_amount) / avg(total_amount) AS cv FROM bids GROUP BY 1 HAVING count(*) >= 3)),
+nd AS (SELECT node AS vendor_id, count(*) AS degree, avg(shared) AS w FROM (SELECT a AS node, shared FROM pairs UNION ALL SELECT b, shared FROM pairs) GROUP BY 1),
+nw AS (SELECT vendor_id, CASE WHEN degree / others > 0.7 AND w > 2 THEN 'HIGH' WHEN degree / others > 0.4 THEN 'MODERATE' ELSE 'LOW' END AS network_risk FROM nd, (SELECT greatest(count(*) - 1, 1) AS others FROM nd)),
+hc AS (SELECT user_id, hour(ts) AS h, count(*) AS c FROM audit GROUP BY 1, 2), he AS (SELECT user_id, CASE WHEN count(*) = 1 THEN 100 ELSE (1 - (log2(sum(c)) - sum(c * log2(c)) / sum(c)) / log2(count(*))) * 100 END AS score FROM hc GROUP BY 1), hb AS (SELECT user_id, count(*) AS b FROM bursts GROUP BY 1),
+tm AS (SELECT user_id AS vendor_id, CASE WHEN score > 70 OR coalesce(b, 0) >= 3 THEN 'CRITICAL' WHEN score > 45 OR coalesce(b, 0) >= 2 THEN 'HIGH' WHEN score > 25 OR coalesce(b, 0) >= 1 THEN 'MODERATE' ELSE 'LOW' END AS timing_risk FROM he LEFT JOIN hb USING (user_id)),
+eo AS MATERIALIZED (SELECT vendor_id, bid_id, total_amount AS value, row_number() OVER (PARTITION BY vendor_id ORDER BY submitted_at, bid_id) AS i FROM bids),
+ee(vendor_id, bid_id, i, value, ewma) AS (SELECT vendor_id, bid_id, i, value, value FROM eo WHERE i = 1 UNION ALL SELECT o.vendor_id, o.bid_id, o.i, o.value, 2 / 11.0::DOUBLE * o.value + (1 - 2 / 11.0::DOUBLE) * e.ewma FROM ee e JOIN eo o ON o.vendor_id = e.vendor_id AND o.i = e.i + 1),
+eb AS (SELECT vendor_id, avg(abs(value - ewma)) + 2 * stddev_pop(abs(value - ewma)) AS bar FROM ee GROUP BY 1), ea AS (SELECT bid_id, abs(value - ewma) > bar AS ewma_alert FROM ee JOIN eb USING (vendor_id)),
+signals AS (SELECT k.bid_id, k.tender_id, vendor_id, fence, coalesce(g > critical AND tested.bid_id = k.bid_id, FALSE) AS grubbs, ewma_alert, {", ".join(map(_RISK, ("entropy_risk", "digit_risk")))}, coalesce(digit_fails, FALSE) AS digit_fails, {", ".join(map(_RISK, ("cv_risk", "network_risk", "timing_risk")))}
+  FROM classed k JOIN bids USING (bid_id) JOIN tested ON tested.tender_id = k.tender_id JOIN en ON en.tender_id = k.tender_id JOIN ea ON ea.bid_id = k.bid_id LEFT JOIN dg USING (vendor_id) LEFT JOIN x2 USING (vendor_id) LEFT JOIN cv USING (vendor_id) LEFT JOIN nw USING (vendor_id) LEFT JOIN tm USING (vendor_id))
+"""
+
+
+@query(f"WITH {SIGNALS} SELECT * FROM signals", recursive=True)
+def anomaly_signals(t):
+    """Every bid with the signals of ten detectors; a vendor's hours are those of the audit rows of the user with its id, since bids have dates only."""
+    times = t.audit().select(F.col("user_id").alias("vendor_id"), F.col("ts").alias("at"))
+    return A.bid_signals(t.bids(), times, t.spark.createDataFrame(GRUBBS, "k int, critical double"))
+
+
+def with_forest(t):
+    forest = L.isolation_forest(matrix(t), "bid_id", FEATURES).select("bid_id", F.col("is_anomaly").alias("forest"))
+    return durable(anomaly_signals(t).join(forest, "bid_id", "left"))
+
+
 @query()
 def anomaly_scan(t):
-    """Risk signals of each tender: price entropy, gaps, Grubbs outliers, forest anomalies and vendors' digit law, weighted 5, 3 and 1."""
-    e = P.price_entropy(t.bids(), "tender_id", "total_amount").select("tender_id", F.col("risk").alias("entropy_risk"))
-    f = L.isolation_forest(matrix(t), "bid_id", FEATURES).filter("is_anomaly").join(t.bids().select("bid_id", "tender_id"), "bid_id").groupBy("tender_id").agg(F.count(F.lit(1)).alias("forest"))
-    g = S.bid_gap_clusters(t).filter("level = 'CRITICAL'").groupBy("tender_id").agg(F.count(F.lit(1)).alias("gaps"))
-    z = S.zscore_outliers(t).groupBy("tender_id").agg(F.count(F.lit(1)).alias("outliers"))
-    out = e.join(f, "tender_id", "left").join(g, "tender_id", "left").join(z, "tender_id", "left").fillna(0, ["forest", "gaps", "outliers"])
-    points = F.when(F.col("entropy_risk") == "CRITICAL", 5).when(F.col("entropy_risk") == "HIGH", 3).otherwise(0) + F.when(F.col("gaps") > 2, 3).when(F.col("gaps") > 0, 1).otherwise(0) + F.when(F.col("outliers") > 2, 3).when(F.col("outliers") > 0, 1).otherwise(0) + F.when(F.col("forest") > 4, 3).when(F.col("forest") > 0, 1).otherwise(0)
-    return out.withColumn("signal", points)
+    """Each tender with the counts and worst levels of all eleven signals of its bids, points and risk."""
+    return A.summarise(with_forest(t.once("bids")), "tender_id")
+
+
+@query()
+def anomaly_summary(t):
+    """All bids in one row: counts and levels of all signals, points and overall risk; the digit law is that of all amounts together."""
+    t = t.once("bids")
+    whole = P.benford_mad(t.bids(), [], "total_amount").select(F.col("risk").alias("digit_risk"))
+    a = A.summarise(with_forest(t)).drop("digits", "points", "risk").join(F.broadcast(whole), how="left")  # one row each
+    return A.scored(a.withColumn("digits", F.coalesce(A.level("digit_risk"), F.lit(0)).cast("int")).drop("digit_risk"))

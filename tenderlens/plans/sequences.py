@@ -91,14 +91,7 @@ def bid_bursts(t):
 b AS (SELECT user_id, count(*) AS bursts FROM bursts GROUP BY 1)
 SELECT user_id, round(score, 6) AS score, coalesce(bursts, 0) AS bursts, CASE WHEN score > 70 OR coalesce(bursts, 0) >= 3 THEN 'CRITICAL' WHEN score > 45 OR coalesce(bursts, 0) >= 2 THEN 'HIGH' WHEN score > 25 OR coalesce(bursts, 0) >= 1 THEN 'MODERATE' ELSE 'LOW' END AS risk FROM e LEFT JOIN b USING (user_id)""")
 def timing_coordination(t):
-    c = t.audit().groupBy("user_id", F.hour("ts").alias("h")).agg(F.count(F.lit(1)).alias("c"))
-    a = c.groupBy("user_id").agg(F.count(F.lit(1)).alias("bins"), F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("cl"))
-    bits = F.log2("n") - F.col("cl") / F.col("n")
-    score = F.when(F.col("bins") == 1, 100.0).otherwise((1 - bits / F.log2(F.greatest("bins", F.lit(2)))) * 100)
-    b = bid_bursts(t).groupBy("user_id").agg(F.count(F.lit(1)).alias("bursts"))
-    x = a.select("user_id", score.alias("score")).join(b, "user_id", "left").withColumn("bursts", F.coalesce("bursts", F.lit(0)))
-    risk = F.when((F.col("score") > 70) | (F.col("bursts") >= 3), "CRITICAL").when((F.col("score") > 45) | (F.col("bursts") >= 2), "HIGH").when((F.col("score") > 25) | (F.col("bursts") >= 1), "MODERATE").otherwise("LOW")
-    return x.select("user_id", r("score").alias("score"), "bursts", risk.alias("risk"))
+    return S.timing(t.audit(), "user_id", "ts").withColumn("score", r("score"))
 
 
 @query("""

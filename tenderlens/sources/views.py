@@ -5,9 +5,13 @@
 
 from __future__ import annotations
 
+from copy import copy
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import durable
+
 STATUSES = ("Draft", "Published", "Under Evaluation", "Awarded", "Closed", "Cancelled")
 
 
@@ -20,6 +24,13 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def once(self, *names: str) -> Tables:
+        """These tables with the named views written once, for queries that read them many times."""
+        out = copy(self)
+        for name in names:
+            setattr(out, name, lambda df=durable(getattr(self, name)()): df)
+        return out
+
     def vendors(self) -> DataFrame:
         s, n = self.raw("supplier"), self.raw("nation")
         return s.join(n, s.s_nationkey == n.n_nationkey).select(
