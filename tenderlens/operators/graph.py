@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -147,6 +147,56 @@ def shared_attributes(rows: DataFrame, key: str, points: dict[str, int], critica
     return out.withColumn("verdict", F.when(F.col("strongest") >= critical, "CRITICAL").when(F.col("strongest") >= warning, "WARNING").otherwise("CLEAR"))
 
 
+#: Points of what two vendors share (fixed values), and mail domains that anyone may have.
+COLLUSION = {"ip": 4, "subnet": 2, "domain": 3, "device": 2, "distance": 4, "directors": 4, "address": 4, "phone": 3, "style": 3}
+FREE_MAIL = ("gmail.com", "yahoo.com", "outlook.com", "hotmail.com")
+METRES = 111_000  # of a degree
+
+
+def same_style(x: Column, y: Column, ttr: float = 0.05, sentence: float = 3.0, rates: float = 1.5) -> Column:
+    """Some kind of document in both maps of ``text.styles`` whose means differ by less than the bounds."""
+    apart = lambda u, v: F.aggregate(F.zip_with(u["rates"], v["rates"], lambda i, j: F.abs(i - j)), F.lit(0.0), lambda s, d: s + d)
+    near = lambda u, v: (F.abs(u["ttr"] - v["ttr"]) < ttr) & (F.abs(u["sentence"] - v["sentence"]) < sentence) & (apart(u, v) < rates)
+    return F.exists(F.map_keys(x), lambda k: F.coalesce(near(F.try_element_at(x, k), F.try_element_at(y, k)), F.lit(False)))
+
+
+def collusion(pairs: DataFrame, vendors: DataFrame, key: str = "vendor_id", points: dict[str, int] = COLLUSION, metres: float = 100.0, free: Sequence[str] = FREE_MAIL) -> DataFrame:
+    """The pairs (a, b, ...) with what both vendors share: score, signals in the order of ``points``, distance_m and level (high from 5, medium from 2).
+
+    ``vendors`` has ``key`` and any of ip, email, device, lat and lon, directors (array), address,
+    phone and style (of ``text.styles``); signals whose column is absent don't fire, nor do nulls.
+    A subnet (the first three parts of ip) counts only where the whole ip differs.  Attributes are
+    looked up for the pairs that exist; no pair is made from an attribute.
+    """
+    have = [c for c in vendors.columns if c != key]
+    own = lambda x: vendors.select(F.col(key).alias(x), F.struct(*have).alias(f"{x}_own"))
+    a, b = (lambda c: F.col(f"a_own.{c}")), (lambda c: F.col(f"b_own.{c}"))
+    equal = lambda f: f(a) == f(b)
+    domain = lambda x: F.lower(F.when(F.contains(x("email"), F.lit("@")), F.split_part(x("email"), F.lit("@"), F.lit(2))).otherwise(x("email")))
+    tests: dict[str, Column] = {}
+    if "ip" in have:
+        tests["ip"] = equal(lambda x: x("ip"))
+        tests["subnet"] = (a("ip") != b("ip")) & equal(lambda x: F.substring_index(x("ip"), ".", 3))
+    if "email" in have:
+        tests["domain"] = equal(domain) & ~domain(a).isin(*free)
+    distance = F.lit(None).cast("double")
+    if {"lat", "lon"} <= set(have):
+        north, east = (a("lat") - b("lat")) * METRES, (a("lon") - b("lon")) * METRES * F.cos(F.radians(a("lat")))
+        distance = F.sqrt(north * north + east * east)
+        tests["distance"] = distance < metres
+    if "directors" in have:
+        tests["directors"] = F.arrays_overlap(a("directors"), b("directors"))
+    if "style" in have:
+        tests["style"] = same_style(a("style"), b("style"))
+    tests |= {c: equal(lambda x, c=c: x(c)) for c in ("device", "address", "phone") if c in have}
+    fires = {k: F.coalesce(tests[k], F.lit(False)) for k in points if k in tests}
+    marked = pairs.join(own("a"), "a").join(own("b"), "b").select(*pairs.columns, F.array_compact(F.array(*[F.when(t, k) for k, t in fires.items()], F.lit(None).cast("string"))).alias("hits"), distance.alias("distance_m"))
+    score = F.aggregate("hits", F.lit(0).cast("bigint"), lambda s, k: s + F.element_at(F.create_map(*[F.lit(v) for kv in points.items() for v in kv]), k))
+    out = marked.withColumn("score", score)
+    level = F.when(F.col("score") >= 5, "high").when(F.col("score") >= 2, "medium").otherwise("low")
+    return out.select(*pairs.columns, "score", F.array_join("hits", ",").alias("signals"), "distance_m", level.alias("level"))
+
+
 def grid_edges(points: DataFrame, key: str, x: str, y: str, eps: float) -> DataFrame:
     """Edges (a, b) that connect points as all pairs within ``eps`` would, from cells of side eps / sqrt 2.
 

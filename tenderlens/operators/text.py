@@ -37,19 +37,33 @@ def count_of(text: Column, part: str) -> Column:
     return ((F.char_length(text) - F.char_length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("bigint")
 
 
-def stylometry(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Type/token ratio of words of three letters and more, sentence lengths, and punctuation per 1000 characters."""
+def stylometry(docs: DataFrame, key: str = "doc_id", *keep: str) -> DataFrame:
+    """Type/token ratio of words of three letters and more, sentence lengths, and punctuation per 1000 characters; with the columns ``keep``."""
     words = F.filter(word_list(F.col("text")), lambda w: F.char_length(w) >= 3)
     sentences = F.filter(F.transform(F.split("text", r"[.!?]+"), lambda s: F.size(F.regexp_extract_all(s, F.lit(WORDS), F.lit(0)))), lambda n: n > 0)
-    d = docs.select(key, "text", words.alias("w"), sentences.alias("s"))
+    d = docs.select(key, *keep, "text", words.alias("w"), sentences.alias("s"))
     n, total = F.size("w"), F.char_length("text")
     ttr = F.when(n > 0, F.size(F.array_distinct("w")) / F.when(n > 0, n)).otherwise(0.0)
     k = F.size("s")
     mean = F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.when(k > 0, k)
-    d = d.select(key, "text", ttr.alias("ttr"), F.coalesce(mean, F.lit(0.0)).alias("mean_sentence"), "s", k.alias("k"), total.alias("total"))
+    d = d.select(key, *keep, "text", ttr.alias("ttr"), F.coalesce(mean, F.lit(0.0)).alias("mean_sentence"), "s", k.alias("k"), total.alias("total"))
     square = F.aggregate("s", F.lit(0.0), lambda a, x: a + (x - F.col("mean_sentence")) * (x - F.col("mean_sentence")))
     rate = lambda c: F.coalesce(1000.0 * count_of(F.col("text"), c) / F.when(F.col("total") > 0, F.col("total")), F.lit(0.0))
-    return d.select(key, "ttr", "mean_sentence", F.when(F.col("k") > 1, square / F.when(F.col("k") > 1, F.col("k") - 1)).otherwise(0.0).alias("var_sentence"), *[rate(c).alias(n) for n, c in (("commas", ","), ("periods", "."), ("semicolons", ";"), ("colons", ":"), ("exclamations", "!"))])
+    return d.select(key, *keep, "ttr", "mean_sentence", F.when(F.col("k") > 1, square / F.when(F.col("k") > 1, F.col("k") - 1)).otherwise(0.0).alias("var_sentence"), *[rate(c).alias(n) for n, c in (("commas", ","), ("periods", "."), ("semicolons", ";"), ("colons", ":"), ("exclamations", "!"))])
+
+
+PUNCTUATION = ("commas", "periods", "semicolons", "colons", "exclamations")
+
+
+def styles(docs: DataFrame, group: str = "vendor_id", kind: str = "doc_type", least: int = 20) -> DataFrame:
+    """(group, style): per kind of document the means of ttr, sentence length and punctuation over the group's texts with more than ``least`` words of three letters.
+
+    One small row per group; texts are reduced before anything is shuffled.
+    """
+    long = docs.filter(F.size(F.filter(word_list(F.col("text")), lambda w: F.char_length(w) >= 3)) > least)
+    rates = F.array(*[F.avg(c) for c in PUNCTUATION])
+    per = stylometry(long, group, kind).groupBy(group, kind).agg(F.struct(F.avg("ttr").alias("ttr"), F.avg("mean_sentence").alias("sentence"), rates.alias("rates")).alias("style"))
+    return per.filter(F.col(kind).isNotNull()).groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct(kind, "style"))).alias("style"))
 
 
 #: Risk words and their weights (fixed values).

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.core import above, count_if, jaccard
 from ..functions.storage import durable
 from ..operators import graph as G
+from ..operators import text as X
 from .aggregates import r
 from .registry import query
+from .shared import WS
 
 PAIRS = """
 pairs AS (SELECT a.vendor_id AS a, b.vendor_id AS b, count(*) AS shared FROM bids a JOIN bids b ON a.tender_id = b.tender_id AND a.vendor_id < b.vendor_id GROUP BY 1, 2),
@@ -111,16 +113,31 @@ def attributes(t):
     return s.select(F.col("s_suppkey").alias("vendor_id"), *[v.cast("bigint").alias(k) for k, v in values.items()])
 
 
-@query(f"WITH {PAIRS}, {SIGNALS_SQL.strip()} SELECT a, b, shared, score, signals, CASE WHEN score >= 5 THEN 'high' WHEN score >= 2 THEN 'medium' ELSE 'low' END AS level FROM pairs JOIN sig USING (a, b)")
+_STYLE_RATES = [f"avg(coalesce(1000.0 * (len(text) - len(replace(text, '{c}', ''))) / nullif(len(text), 0), 0))" for c in ",.;:!"]
+_APART = " + ".join(f"abs(x.r{i} - y.r{i})" for i in range(5))
+COLLUSION_SQL = f"""
+own AS (SELECT s_suppkey AS vendor_id, concat('10.', s_nationkey, '.', s_suppkey % 4, '.', s_suppkey % 9) AS ip, concat('10.', s_nationkey, '.', s_suppkey % 4) AS subnet, CASE WHEN s_suppkey % 3 > 0 THEN concat('n', s_nationkey, '-', s_suppkey % 3, '.example') END AS domain, s_suppkey % 17 AS device,
+  s_nationkey + s_suppkey % 5 * 0.0005::DOUBLE AS lat, round(s_acctbal / 1000) * 0.0005::DOUBLE AS lon, [s_suppkey % 40, round(s_acctbal / 200)::BIGINT] AS directors, round(s_acctbal / 50)::BIGINT AS address, round(s_acctbal / 20)::BIGINT AS phone FROM supplier),
+texts AS (SELECT *, list_filter({WS}, lambda x: len(x) >= 3) AS w, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda s: len(regexp_extract_all(s, '[\\p{{L}}\\p{{N}}_]+'))), lambda n: n > 0) AS s FROM bid_documents),
+style AS (SELECT vendor_id, doc_type, avg(len(list_distinct(w)) / len(w)) AS ttr, avg(coalesce(list_avg(s), 0)) AS sentence, {", ".join(f"{c} AS r{i}" for i, c in enumerate(_STYLE_RATES))} FROM texts WHERE len(w) > 20 AND doc_type IS NOT NULL GROUP BY 1, 2),
+alike AS (SELECT DISTINCT x.vendor_id AS a, y.vendor_id AS b FROM style x JOIN style y ON x.doc_type = y.doc_type AND x.vendor_id < y.vendor_id WHERE abs(x.ttr - y.ttr) < 0.05 AND abs(x.sentence - y.sentence) < 3 AND {_APART} < 1.5),
+met AS (SELECT p.a, p.b, shared, sqrt(((x.lat - y.lat) * 111000) ** 2 + ((x.lon - y.lon) * 111000 * cos(radians(x.lat))) ** 2) AS distance_m, x.ip = y.ip AS f_ip, x.subnet = y.subnet AND x.ip <> y.ip AS f_subnet, coalesce(x.domain = y.domain, FALSE) AS f_domain, x.device = y.device AS f_device,
+  len(list_intersect(x.directors, y.directors)) > 0 AS f_directors, x.address = y.address AS f_address, x.phone = y.phone AS f_phone, k.a IS NOT NULL AS f_style FROM pairs p JOIN own x ON x.vendor_id = p.a JOIN own y ON y.vendor_id = p.b LEFT JOIN alike k ON k.a = p.a AND k.b = p.b),
+fired AS (SELECT *, distance_m < 100 AS f_distance FROM met),
+scored AS (SELECT *, ({" + ".join(f"CASE WHEN f_{k} THEN {v} ELSE 0 END" for k, v in G.COLLUSION.items())})::BIGINT AS score, concat_ws(',', {", ".join(f"CASE WHEN f_{k} THEN '{k}' END" for k in G.COLLUSION)}) AS signals FROM fired)
+"""
+
+
+@query(f"WITH {PAIRS.strip()}, {COLLUSION_SQL.strip()} SELECT a, b, shared, score, signals, round(distance_m, 1) AS distance_m, CASE WHEN score >= 5 THEN 'high' WHEN score >= 2 THEN 'medium' ELSE 'low' END AS level FROM scored WHERE score > 0")
 def collusion_edges(t):
-    """Vendors that bid together and share an attribute: the attributes are looked up for pairs that exist already."""
-    own = lambda x: attributes(t).select(F.col("vendor_id").alias(x), F.struct(*SIGNALS).alias(f"{x}_own"))
-    p = G.co_bids(t.bids()).join(own("a"), "a").join(own("b"), "b")
-    same = {k: F.coalesce(F.col(f"a_own.{k}") == F.col(f"b_own.{k}"), F.lit(False)) for k in SIGNALS}
-    score = sum((F.when(c, SIGNALS[k]).otherwise(0) for k, c in same.items()), F.lit(0)).cast("bigint")
-    signals = F.array_join(F.array_compact(F.array(*[F.when(c, k) for k, c in same.items()])), ",")
-    p = p.select("a", "b", "shared", score.alias("score"), signals.alias("signals")).filter("score > 0")
-    return p.withColumn("level", above(F.col("score"), [(5, "high"), (2, "medium")], "low"))
+    """Vendors that bid together and share any of nine signals; the tables lack contacts, which are made from suppliers' columns, and styles are those of their documents."""
+    k, n, x = F.col("s_suppkey"), F.col("s_nationkey"), F.col("s_acctbal")
+    own = t.raw("supplier").select(
+        k.alias("vendor_id"), F.concat_ws(".", F.lit("10"), n, k % 4, k % 9).alias("ip"), F.when(k % 3 > 0, F.concat(F.lit("info@n"), n, F.lit("-"), k % 3, F.lit(".example"))).otherwise("info@gmail.com").alias("email"), (k % 17).alias("device"),
+        (n + k % 5 * 0.0005).alias("lat"), (F.round(x / 1000) * 0.0005).alias("lon"), F.array(k % 40, F.round(x / 200).cast("bigint")).alias("directors"), F.round(x / 50).cast("bigint").alias("address"), F.round(x / 20).cast("bigint").alias("phone"),
+    )
+    own = own.join(X.styles(t.documents()), "vendor_id", "left")
+    return G.collusion(G.co_bids(t.bids()), own).filter("score > 0").withColumn("distance_m", F.round("distance_m", 1))
 
 
 @query(f"""

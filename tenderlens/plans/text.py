@@ -11,8 +11,7 @@ from ..operators import rules as RULES
 from ..operators import text as X
 from .aggregates import r
 from .registry import query
-
-WS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
+from .shared import WS
 
 
 def quoted(text: str) -> str:
