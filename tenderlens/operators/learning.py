@@ -118,20 +118,103 @@ def isolation_forest(df: DataFrame, key: str, cols: Sequence[str], contamination
     return scored.crossJoin(F.broadcast(bar)).select(key, "score", (F.col("score") >= F.col("bar")).alias("is_anomaly"), "top_feature")  # one row
 
 
-def soft_vote(train: DataFrame, rows: DataFrame, cols: Sequence[str], label: str, least: int = 10) -> DataFrame | None:
-    """Adds ``probability``: the mean of boosted trees, random forest and logistic regression; None below ``least`` rows or with one class."""
+#: Values tried of each model of the vote: depths of boosted trees and of the forest, strengths of the regression's penalty.
+GRID = {"boosted": (2, 3), "forest": (4, 6), "logistic": (0.01, 0.1)}
+
+
+def soft_vote(train: DataFrame, rows: DataFrame, cols: Sequence[str], label: str, key: str, least: int = 10, folds: int = 3, grid: dict[str, Sequence] = GRID) -> DataFrame | None:
+    """Adds ``probability``: the mean of boosted trees, random forest and logistic regression; None below ``least`` rows or with one class.
+
+    Each model's value of ``grid`` is the one with the best area under the curve over folds given
+    by a hash of ``key``, so that reruns agree.  Where some fold lacks a class there is nothing to
+    compare, and the first values are taken.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    seen = train.groupBy(label).count().collect()
-    if len(seen) < 2 or sum(r["count"] for r in seen) < least:
+    fold = F.pmod(F.xxhash64(F.lit("fold"), key), F.lit(folds)).cast("int")
+    train = train.withColumn("label", F.col(label).cast("double")).withColumn("fold", fold)
+    seen = train.groupBy("label", "fold").count().collect()  # two rows a fold
+    if len({r["label"] for r in seen}) < 2 or sum(r["count"] for r in seen) < least:
         return None
-    train = train.withColumn("label", F.col(label).cast("double"))
     prepare = Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]).fit(train)
-    data, out = prepare.transform(train).persist(), prepare.transform(rows)
-    models = [GBTClassifier(maxIter=10, maxDepth=3, seed=7), RandomForestClassifier(numTrees=30, maxDepth=4, seed=7), LogisticRegression(regParam=0.1)]
-    for i, m in enumerate(models):
-        out = m.fit(data).transform(out).withColumn(f"p{i}", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
+    data, out = durable(prepare.transform(train).select("features", "label", "fold")), prepare.transform(rows)
+    boosted, forest, logistic = GBTClassifier(maxIter=10, maxDepth=grid["boosted"][0], seed=7), RandomForestClassifier(numTrees=30, maxDepth=grid["forest"][0], seed=7), LogisticRegression(regParam=grid["logistic"][0])
+    tried = [(boosted, boosted.maxDepth, grid["boosted"]), (forest, forest.maxDepth, grid["forest"]), (logistic, logistic.regParam, grid["logistic"])]
+    for i, (model, param, values) in enumerate(tried):
+        if len(seen) == 2 * folds and len(values) > 1:
+            search = CrossValidator(estimator=model, estimatorParamMaps=ParamGridBuilder().addGrid(param, list(values)).build(), evaluator=BinaryClassificationEvaluator(), numFolds=folds, foldCol="fold", parallelism=4)
+            fitted = search.fit(data).bestModel
+        else:
+            fitted = model.fit(data)
+        out = fitted.transform(out).withColumn(f"p{i}", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
     return out.withColumn("probability", (F.col("p0") + F.col("p1") + F.col("p2")) / 3).drop("p0", "p1", "p2", "raw", "features")
+
+
+def linear_forecast(series: DataFrame, key: str, month: str, price: str, horizon: int = 3, margin: float = 0.02) -> DataFrame:
+    """(key, step, month, forecast, low, high, optimistic, pessimistic, error, last): each series' least-squares line, continued.
+
+    The bounds are ``margin`` of the forecast for each step ahead; ``error`` is the standard error
+    of a new value on the line, null under three values.  One value is continued as it is.
+    """
+    w = W.partitionBy(key).orderBy(month)
+    o = series.select(key, month, F.col(price).alias("y"), F.row_number().over(w).cast("double").alias("x"))
+    a = o.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)).alias("slope"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
+        F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"), F.max(month).alias("m"), F.max_by("y", "x").alias("last"),
+    )
+    steps = a.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("away", F.col("n") + F.col("step") - F.col("mx"))
+    rest = F.greatest(F.lit(0.0), F.col("syy") - F.col("slope") * F.col("slope") * F.col("sxx")) / F.when(F.col("n") > 2, F.col("n") - 2)
+    y, wide = F.col("my") + F.col("slope") * F.col("away"), F.lit(margin) * F.col("step")
+    out = steps.withColumn("forecast", y).withColumn("error", F.sqrt(rest * (1 + 1 / F.col("n") + F.col("away") * F.col("away") / F.when(F.col("sxx") > 0, F.col("sxx")))))
+    f = F.col("forecast")
+    return out.select(key, "step", F.add_months("m", F.col("step")).alias("month"), "forecast", (f - F.abs(f) * wide).alias("low"), (f + F.abs(f) * wide).alias("high"), (f * 0.96).alias("optimistic"), (f * 1.05).alias("pessimistic"), "error", "last")
+
+
+def forecast(series: DataFrame, key: str, month: str, price: str, horizon: int = 3, least: int = 12, held: int = 3) -> DataFrame:
+    """(key, step, forecast, low, high, last, engine): the next months' prices of each series of monthly means.
+
+    Series with ``least`` usable months and more: boosted trees and a forest over seasonal and
+    lagged features, blended by a ridge regression on the last ``held`` months and fed with their
+    own forecasts; bounds are the series' mean relative error on these months.  Shorter ones, and
+    all where no series is long enough, are continued by ``linear_forecast``.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+
+    base = durable(series.select(F.col(key).alias("k"), F.col(month).cast("timestamp").alias("m"), F.col(price).cast("double").alias("p")))
+    w = W.partitionBy("k").orderBy("m")
+    season = lambda m: (F.sin(2 * F.pi() * F.month(m) / 12).alias("s"), F.cos(2 * F.pi() * F.month(m) / 12).alias("c"))
+    lags = (F.lag("p").over(w).alias("l1"), F.avg("p").over(w.rowsBetween(-3, -1)).alias("sma"), (F.lag("p").over(w) - F.lag("p", 2).over(w)).alias("momentum"))
+    lagged = base.select("k", "m", "p", F.row_number().over(w).cast("double").alias("idx"), F.count(F.lit(1)).over(W.partitionBy("k")).alias("n"), *season("m"), *lags).dropna()
+    lagged = lagged.filter(F.col("n") - 2 >= least)  # the first two months have no momentum
+    cols = ["idx", "s", "c", "l1", "sma", "momentum"]
+    make = VectorAssembler(inputCols=cols, outputCol="features")
+    data = durable(make.transform(lagged))
+    line = lambda rows: linear_forecast(rows, "k", "m", "p", horizon).select(F.col("k").alias(key), "step", "forecast", "low", "high", "last", F.lit("linear").alias("engine"))
+    if data.isEmpty():
+        return line(base)
+    train, late = data.filter(F.col("idx") <= F.col("n") - held), data.filter(F.col("idx") > F.col("n") - held)
+    models = [GBTRegressor(labelCol="p", maxIter=10, maxDepth=3, seed=7).fit(train), RandomForestRegressor(labelCol="p", numTrees=20, maxDepth=4, seed=7).fit(train)]
+
+    def predict(df: DataFrame) -> DataFrame:
+        for i, m in enumerate(models):
+            df = m.transform(df).withColumnRenamed("prediction", f"y{i}")
+        return VectorAssembler(inputCols=["y0", "y1"], outputCol="meta").transform(df)
+
+    blend = LinearRegression(labelCol="p", featuresCol="meta", regParam=1.0).fit(predict(late))
+    error = blend.transform(predict(late)).groupBy("k").agg(F.avg(F.abs(F.col("prediction") - F.col("p")) / F.abs(F.when(F.col("p") != 0, F.col("p")))).alias("mape"))
+    state, out = data.filter(F.col("idx") == F.col("n")).drop("features").withColumn("last", F.col("p")), None
+    for h in range(1, horizon + 1):
+        ahead = state.select("k", F.add_months("m", 1).cast("timestamp").alias("m"), (F.col("idx") + 1).alias("idx"), F.col("p").alias("l1"), ((2 * F.col("sma") + F.col("p")) / 3).alias("sma"), (F.col("p") - F.col("l1")).alias("momentum"), "last")
+        step = blend.transform(predict(make.transform(ahead.select("*", *season("m")))))
+        state = durable(step.select("k", "m", "idx", F.col("prediction").alias("p"), "l1", "sma", "last"))
+        one = state.select("k", F.lit(h).alias("step"), F.col("p").alias("forecast"), "last")
+        out = one if out is None else out.unionByName(one)
+    f, e = F.col("forecast"), F.coalesce("mape", F.lit(0.0))
+    long = out.join(error, "k").select(F.col("k").alias(key), "step", "forecast", (f - F.abs(f) * e).alias("low"), (f + F.abs(f) * e).alias("high"), "last", F.lit("ensemble").alias("engine"))
+    return long.unionByName(line(base.join(data.select("k").distinct(), "k", "left_anti")))

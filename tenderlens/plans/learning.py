@@ -92,8 +92,9 @@ def vendor_heuristic_risk(t):
 
 
 def modelled(t):
-    f = heuristic(vendor_features(t)).join(t.vendors().select("vendor_id", "is_blacklisted"), "vendor_id").withColumn("bad", F.col("is_blacklisted") | (F.col("dq_rate") > 0.5)).persist()
-    p = L.soft_vote(f, f, VENDOR_COLS, "bad")
+    f = heuristic(vendor_features(t)).join(t.vendors().select("vendor_id", "is_blacklisted"), "vendor_id").withColumn("bad", F.col("is_blacklisted") | (F.col("dq_rate") > 0.5))
+    f = durable(f)
+    p = L.soft_vote(f, f, VENDOR_COLS, "bad", "vendor_id")
     if p is None:  # too few vendors or one class: heuristic and density of ties
         ties = F.least(F.lit(0.4), F.col("degree") / 100)
         return f.withColumn("probability", 0.6 * F.col("risk") + ties)
@@ -113,40 +114,33 @@ def vendor_risk_predict(t):
     return p.select("vendor_id", r(x, 4).alias("probability"), F.when(x >= 0.75, "CRITICAL").when(x >= 0.5, "HIGH").when(x >= 0.25, "MEDIUM").otherwise("LOW").alias("level"), reasons.alias("factors"))
 
 
+def monthly_prices(t):
+    return t.bid_fact().groupBy("category", F.date_trunc("month", "submitted_at").alias("month")).agg(F.avg("total_amount").alias("price"))
+
+
+def advised(f):
+    move = (F.col("forecast") - F.col("last")) / F.col("last") * 100
+    return f.withColumn("advice", F.when(move > 4, "EXPEDITE").when(move < -4, "DEFER").otherwise("HOLD"))
+
+
 @query()
 def price_forecast(t, horizon=3):
-    """Next months' mean price of each category: boosted trees and forest over seasonal features, blended by a ridge regression on a three-month holdout, autoregressive."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-
-    base = t.bid_fact().groupBy("category", F.date_trunc("month", "submitted_at").alias("m")).agg(F.avg("total_amount").alias("p"))
-    w = W.partitionBy("category").orderBy("m")
-    angle = 2 * F.pi() * F.month("m") / 12
-    lagged = base.select("category", "m", "p", F.row_number().over(w).cast("double").alias("idx"), F.count(F.lit(1)).over(W.partitionBy("category")).alias("n"), F.sin(angle).alias("s"), F.cos(angle).alias("c"), F.lag("p").over(w).alias("l1"), F.avg("p").over(w.rowsBetween(-3, -1)).alias("sma"), (F.lag("p").over(w) - F.lag("p", 2).over(w)).alias("momentum")).dropna()
-    cols = ["idx", "s", "c", "l1", "sma", "momentum"]
-    make = VectorAssembler(inputCols=cols, outputCol="features")
-    data = make.transform(lagged).persist()
-    train, held = data.filter("idx <= n - 3"), data.filter("idx > n - 3")
-    models = [GBTRegressor(labelCol="p", maxIter=10, maxDepth=3, seed=7).fit(train), RandomForestRegressor(labelCol="p", numTrees=20, maxDepth=4, seed=7).fit(train)]
-
-    def predict(df):
-        for i, m in enumerate(models):
-            df = m.transform(df).withColumnRenamed("prediction", f"y{i}")
-        return VectorAssembler(inputCols=["y0", "y1"], outputCol="meta").transform(df)
-
-    blend = LinearRegression(labelCol="p", featuresCol="meta", regParam=1.0).fit(predict(held))
-    error = blend.transform(predict(held)).groupBy("category").agg(F.avg(F.abs(F.col("prediction") - F.col("p")) / F.col("p")).alias("mape"))
-    last = F.row_number().over(W.partitionBy("category").orderBy(F.desc("idx")))
-    state, out = data.drop("features").withColumn("k", last).filter("k = 1").drop("k").withColumn("base", F.col("p")), None
-    for h in range(1, horizon + 1):
-        nxt_m = F.add_months("m", 1).cast("timestamp")
-        a = 2 * F.pi() * F.month(nxt_m) / 12
-        step = state.select("category", nxt_m.alias("m"), (F.col("idx") + 1).alias("idx"), F.sin(a).alias("s"), F.cos(a).alias("c"), F.col("p").alias("l1"), ((2 * F.col("sma") + F.col("p")) / 3).alias("sma"), (F.col("p") - F.col("l1")).alias("momentum"), "base")
-        state = blend.transform(predict(make.transform(step))).withColumn("p", F.col("prediction")).select("category", "m", "idx", "p", "l1", "sma", "base")
-        one = state.select("category", F.lit(h).alias("step"), "p", "base")
-        out = one if out is None else out.unionByName(one)
-    move = (F.col("p") - F.col("base")) / F.col("base") * 100
-    return out.join(error, "category").select("category", "step", r("p", 2).alias("forecast"), r(F.col("p") * (1 - F.col("mape")), 2).alias("low"), r(F.col("p") * (1 + F.col("mape")), 2).alias("high"), F.when(move > 4, "EXPEDITE").when(move < -4, "DEFER").otherwise("HOLD").alias("advice"))
+    """Next months' mean price of each category by an ensemble, short series by their line, with advice by the move from the last price."""
+    f = advised(L.forecast(monthly_prices(t), "category", "month", "price", horizon))
+    return f.select("category", "step", r("forecast", 2).alias("forecast"), r("low", 2).alias("low"), r("high", 2).alias("high"), "advice", "engine")
+
+
+@query("""
+WITH mp AS (SELECT category, date_trunc('month', submitted_at) AS month, avg(total_amount) AS y FROM bid_fact GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY month)::DOUBLE AS x FROM mp),
+a AS (SELECT category, count(*) AS n, coalesce(regr_slope(y, x), 0) AS slope, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, max(month) AS m, max_by(y, x) AS last FROM o GROUP BY 1),
+f AS (SELECT *, my + slope * (n + step - mx) AS forecast, sqrt(greatest(0, syy - slope * slope * sxx) / nullif(greatest(n - 2, 0), 0) * (1 + 1 / n + (n + step - mx) ** 2 / nullif(sxx, 0))) AS error FROM a, (VALUES (1), (2), (3)) s(step))
+SELECT category, step, strftime(m + to_months(step), '%Y-%m') AS month, round(forecast, 2) AS forecast, round(forecast - abs(forecast) * 0.02 * step, 2) AS low, round(forecast + abs(forecast) * 0.02 * step, 2) AS high, round(forecast * 0.96, 2) AS optimistic, round(forecast * 1.05, 2) AS pessimistic, round(error, 4) AS error,
+  CASE WHEN (forecast - last) / last > 0.04 THEN 'EXPEDITE' WHEN (forecast - last) / last < -0.04 THEN 'DEFER' ELSE 'HOLD' END AS advice FROM f""")
+def linear_price_forecast(t):
+    """Next months' mean price of each category by its least-squares line, for series too short for the ensemble."""
+    f = advised(L.linear_forecast(monthly_prices(t), "category", "month", "price"))
+    digits = {"error": 4}
+    return f.select("category", "step", F.date_format("month", "yyyy-MM").alias("month"), *[r(c, digits.get(c, 2)).alias(c) for c in ("forecast", "low", "high", "optimistic", "pessimistic", "error")], "advice")
 
 
 _RISK = lambda c: f"coalesce({c}, 'LOW') AS {c}"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tenderlens.operators import anomaly as A
 from tenderlens.operators import graph as G
+from tenderlens.operators import learning as L
 from tenderlens.operators import text as X
 
 VENDORS = "vendor_id int, ip string, email string, device string, lat double, lon double, directors array<string>, address string, phone string"
@@ -68,3 +69,52 @@ def test_points_of_the_summary(spark):
     assert (a["bids"], a["forest"], a["extreme"], a["grubbs"], a["ewma_alerts"], a["points"], a["risk"]) == (2, 2, 1, 1, 1, 2 + 2 + 1 + 2 + 1, "CRITICAL")
     assert (b["forest"], b["mild"], b["variation"], b["points"], b["risk"]) == (0, 1, 2, 0, "LOW")
     assert A.summarise(s).first()["bids"] == 3 and A.summarise(s.limit(0)).filter(F.col("points") > 0).count() == 0
+
+
+PRICES = "k string, m date, p double"
+
+
+def months(k, values):
+    return [(k, dt.date(2020 + i // 12, i % 12 + 1, 1), float(v)) for i, v in enumerate(values)]
+
+
+def test_linear_forecast(spark):
+    rng = np.random.default_rng(3)
+    y = 50 + 3 * np.arange(9) + rng.normal(0, 2, 9)
+    df = spark.createDataFrame(months("one", [7]) + months("two", [10, 8]) + months("many", y), PRICES)
+    got = {(r["k"], r["step"]): r for r in L.linear_forecast(df, "k", "m", "p").collect()}
+    assert len(got) == 9 and [got["one", s]["forecast"] for s in (1, 2, 3)] == [7.0] * 3 and got["one", 1]["error"] is None
+    assert abs(got["two", 2]["forecast"] - 4.0) < 1e-9 and got["two", 2]["error"] is None
+    x = np.arange(1, 10)
+    slope, icept = np.polyfit(x, y, 1)
+    s = np.sqrt(((y - icept - slope * x) ** 2).sum() / 7)
+    for step in (1, 2, 3):
+        r, at = got["many", step], 9 + step
+        f = icept + slope * at
+        assert abs(r["forecast"] - f) < 1e-6 and abs(r["error"] - s * np.sqrt(1 + 1 / 9 + (at - x.mean()) ** 2 / ((x - x.mean()) ** 2).sum())) < 1e-6
+        assert abs(r["low"] - f * (1 - 0.02 * step)) < 1e-6 and abs(r["high"] - f * (1 + 0.02 * step)) < 1e-6 and r["last"] == y[-1]
+    assert str(got["many", 1]["month"]) == "2020-10-01" and L.linear_forecast(df.limit(0), "k", "m", "p").count() == 0
+
+
+def test_forecast_takes_the_line_where_series_are_short(spark):
+    wave = [100 + 10 * np.sin(2 * np.pi * i / 12) for i in range(40)]
+    df = spark.createDataFrame(months("long", wave) + months("short", [5, 6, 7, 8]), PRICES)
+    got = {(r["k"], r["step"]): r for r in L.forecast(df, "k", "m", "p").collect()}
+    assert {k: r["engine"] for (k, _), r in got.items()} == {"long": "ensemble", "short": "linear"} and len(got) == 6
+    assert abs(got["short", 1]["forecast"] - 9) < 1e-9 and all(85 < got["long", s]["forecast"] < 115 for s in (1, 2, 3))
+    assert all(got["long", s]["low"] <= got["long", s]["forecast"] <= got["long", s]["high"] for s in (1, 2, 3))
+    only = L.forecast(df.filter("k = 'short'"), "k", "m", "p").collect()
+    assert {r["engine"] for r in only} == {"linear"} and L.forecast(df.limit(0), "k", "m", "p").count() == 0
+
+
+def test_vote_by_cross_validation(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(x), float(y), bool(x + 0.3 * z > 0.4)) for i, (x, y, z) in enumerate(rng.normal(0, 1, (150, 3)))]
+    df = spark.createDataFrame(rows, "id int, x double, y double, bad boolean")
+    p = L.soft_vote(df.filter("id < 100"), df.filter("id >= 100"), ["x", "y"], "bad", "id")
+    got = p.select("id", "bad", "probability").collect()
+    good, bad = [r["probability"] for r in got if not r["bad"]], [r["probability"] for r in got if r["bad"]]
+    assert len(got) == 50 and np.mean([a < b for a in good for b in bad]) > 0.9
+    assert L.soft_vote(df.limit(5), df, ["x", "y"], "bad", "id") is None and L.soft_vote(df.filter("bad"), df, ["x", "y"], "bad", "id") is None
+    few = df.filter("not bad or id in (%s)" % ",".join(str(r[0]) for r in [r for r in rows if r[3]][:1]))  # one row of a class: no folds to compare
+    assert L.soft_vote(few, few, ["x", "y"], "bad", "id").count() == few.count()
