@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.core import above, count_if
 from . import extraction as E
+from . import text as X
 
 #: Procurement rules: id, title, what is tested, bound, severity, and words that a question about the rule holds (fixed values).
 PROCUREMENT_RULES = (
@@ -158,16 +159,70 @@ def evidence_of(text: Column, words: tuple[str, ...], around: int = 2, most: int
     return F.struct(F.when(at > 0, at - 1).alias("line"), F.when(at > 0, short).alias("snippet"), F.when(at == 0, "low").when(near, "high").otherwise("medium").alias("confidence"))
 
 
-def gap_analysis(results: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    """One row per key and rule: need, what is missing, severity, and the evidence in the key's text."""
+def place_of(text: Column, line: Column) -> tuple[Column, Column]:
+    """(page, section) of a 0-based line: the last page mark up to it (1 without any) and the last heading up to it; null without a line."""
+    before = F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), F.lit(1), F.coalesce(line, F.lit(-1)) + 1)
+    marks = F.filter(F.transform(before, lambda x: F.regexp_extract(x, X.PAGE_MARK, 1)), lambda x: x != "")
+    heads = F.filter(before, lambda x: x.rlike(X.HEADING))
+    last = lambda a: F.when(F.size(a) > 0, F.get(a, F.size(a) - 1))
+    return F.when(line.isNotNull(), F.coalesce(last(marks).cast("int"), F.lit(1))), F.when(line.isNotNull(), last(heads))
+
+
+def holds(normal_text: Column, quote: Column, cut: Column) -> Column:
+    """A normalised text holds a quote's words in a row; the last word of a ``cut`` quote may go on."""
+    q = X.normal(F.coalesce(quote, F.lit("")))
+    return (q != "") & F.contains(F.concat(F.lit(" "), normal_text, F.lit(" ")), F.concat(F.lit(" "), q, F.when(cut, "").otherwise(" ")))
+
+
+def gap_analysis(results: DataFrame, docs: DataFrame, key: str, source: Column | None = None, cited: DataFrame | None = None) -> DataFrame:
+    """One row per key and rule: need, what is missing, severity, the evidence in the key's text, where it stands, and whether it is verified.
+
+    ``cited`` (key, rule, citation; one row each) holds citations that somebody gave for a rule;
+    they are checked against the key's own text in place of the evidence found.  A row without
+    either is not verified.  ``source`` names a text; else it is its key.
+    """
     needs = results.sparkSession.createDataFrame([(r, n, s) for r, n, _, s in NEEDS], "rule string, need string, grave string")
+    d = docs.select(key, "text", F.coalesce((F.col(key) if source is None else source).cast("string"), F.lit("")).alias("source"), X.normal(F.coalesce("text", F.lit(""))).alias("plain"))
     shown = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), evidence_of(F.col("text"), words).alias("e")) for r, _, words, _ in NEEDS])).alias("x")
-    evidence = docs.select(key, shown).select(key, "x.rule", "x.e.line", "x.e.snippet", "x.e.confidence")
+    evidence = d.select(key, "source", "text", "plain", shown).select(key, "source", "text", "plain", "x.rule", "x.e.*")
+    page, section = place_of(F.col("text"), F.col("line"))
+    own = holds(F.col("plain"), F.col("snippet"), F.endswith("snippet", F.lit("...")))
+    evidence = evidence.select(key, "rule", "source", page.alias("page"), section.alias("section"), "line", "snippet", "confidence", F.coalesce(own, F.lit(False)).alias("own"))
+    if cited is None:
+        evidence = evidence.withColumn("given", F.lit(None).cast("boolean"))
+    else:
+        given = cited.select(key, "rule", "citation").join(d.select(key, "plain"), key).select(key, "rule", holds(F.col("plain"), F.col("citation"), F.lit(False)).alias("given"))
+        evidence = evidence.join(given, [key, "rule"], "left")
     j = results.join(F.broadcast(needs), "rule").join(evidence, [key, "rule"])  # eight needs
     lacks = F.col("status") == "FAIL"
     severity = F.when(lacks, F.col("grave")).when(F.col("status").contains("Risk"), "warning").when(F.col("status") == "ADVISORY", "info").otherwise("success")
     gap = F.when(lacks, F.concat(F.lit("missing: "), "need")).otherwise("met")
-    return j.select(key, "rule", "need", "status", gap.alias("gap"), severity.alias("severity"), "line", "snippet", "confidence")
+    return j.select(key, "rule", "need", "status", gap.alias("gap"), severity.alias("severity"), "source", "page", "section", "line", "snippet", "confidence", F.coalesce("given", "own").alias("citation_verified"))
+
+
+#: What a statement or a weather report on a late delivery names as force majeure (fixed values).
+FORCE_MAJEURE = ("flood", "monsoon", "rain", "cyclone", "force majeure", "disaster", "landslide")
+
+
+def settle_disputes(disputes: DataFrame, payments: DataFrame, words: tuple[str, ...] = FORCE_MAJEURE, waived: float = 75.0) -> DataFrame:
+    """Rulings on disputed damages, and each order's payment after them.
+
+    ``disputes`` (dispute_id, po_id, statement, weather, disputed_amount): ``waived`` per cent of the
+    amount go back where the statement or the weather names one of the words, else nothing.
+    ``payments`` (po_id, invoice_amount, tds_deduction, ld_deduction; one row per order): an
+    order's disputes are settled in the order of their ids, each taking its refund off the
+    damages left, which never fall below 0.  An order without a payment has null sums.
+    """
+    cents = lambda c: F.round(c.cast("decimal(38,9)"), 2).cast("double")
+    told = F.lower(F.concat_ws(" ", F.coalesce("statement", F.lit("")), F.coalesce("weather", F.lit(""))))
+    pct = F.when(X.flag(told, *words), F.lit(waived)).otherwise(F.lit(0.0))
+    ruled = disputes.select("dispute_id", "po_id", "disputed_amount", pct.alias("refund_pct"))
+    ruled = ruled.withColumn("refund", cents(F.col("refund_pct") / 100 * F.coalesce("disputed_amount", F.lit(0.0))))
+    so_far = F.sum("refund").over(W.partitionBy("po_id").orderBy("dispute_id").rowsBetween(W.unboundedPreceding, 0))  # the disputes of one order
+    paid = payments.select("po_id", "invoice_amount", "tds_deduction", "ld_deduction")
+    j = ruled.withColumn("back", so_far).join(paid, "po_id", "left").withColumn("ld_left", F.greatest(F.lit(0.0), F.col("ld_deduction") - F.col("back")))
+    j = j.withColumn("ld_left", F.when(F.col("ld_deduction").isNotNull(), F.col("ld_left")))
+    return j.select("dispute_id", "po_id", "refund_pct", "refund", "ld_left", cents(F.col("invoice_amount") - F.col("tds_deduction") - F.col("ld_left")).alias("net_payable"))
 
 
 #: Words that show a family of rules (fixed values).

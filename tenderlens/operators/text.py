@@ -361,6 +361,11 @@ def flag(text: Column, *parts: str) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+#: The mark of a page, and a line that heads a section.
+PAGE_MARK = r"--- Page ([0-9]+) ---"
+HEADING = r"^([0-9]++(?:\.[0-9]++)*+\.?\s+\S|[A-Z][A-Z ]{5,}+$)"
+
+
 def locate(quotes: DataFrame, docs: DataFrame, key: str = "doc_id", common: int = 50) -> DataFrame:
     """Document, page, line and heading of each quote (id, quote): the line that holds the whole quote, else the best token overlap (three tokens and 40 %).
 
@@ -370,8 +375,8 @@ def locate(quotes: DataFrame, docs: DataFrame, key: str = "doc_id", common: int
     """
     lines = docs.select(key, F.posexplode(F.split("text", "\n")).alias("line", "t"))
     carried = W.partitionBy(key).orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    page = F.regexp_extract("t", r"--- Page ([0-9]+) ---", 1)
-    heading = F.when(F.col("t").rlike(r"^([0-9]++(?:\.[0-9]++)*+\.?\s+\S|[A-Z][A-Z ]{5,}+$)"), F.col("t"))
+    page = F.regexp_extract("t", PAGE_MARK, 1)
+    heading = F.when(F.col("t").rlike(HEADING), F.col("t"))
     lines = lines.select(key, "line", "t", F.coalesce(F.last(F.when(page != "", page.cast("int")), True).over(carried), F.lit(1)).alias("page"), F.last(heading, True).over(carried).alias("section"))
     asked = durable(quotes.select("id", F.array_distinct(word_list(F.col("quote"))).alias("ws")).withColumn("n", F.size("ws")).filter("n > 0"))
     words = asked.select("id", "n", F.explode("ws").alias("w"))

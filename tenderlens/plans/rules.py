@@ -13,7 +13,7 @@ from ..operators import text as X
 from .aggregates import r
 from .registry import query
 from .shared import exact
-from .text import CITED, MONEY, quoted, quotes, sql_any, sql_contains, sql_number
+from .text import CITED, MONEY, SQL_HEADING, quoted, quotes, sql_any, sql_contains, sql_normal, sql_number
 
 OK = "ok AS (SELECT tender_id, avg(total_amount) AS mu, coalesce(stddev_samp(total_amount), 0) AS sd FROM bids WHERE NOT is_disqualified GROUP BY 1)"
 RISK = """
@@ -259,20 +259,31 @@ def three_way_match(t):
 
 
 @query("""
-WITH f AS (SELECT po_id, count(*) AS failed FROM deliveries WHERE inspection = 'Failed' GROUP BY 1), x AS (SELECT vendor_id, failed, po_value * coalesce(TRY_CAST(nullif(regexp_extract(priority, '([0-9]+(?:\\.[0-9]+)?)\\s*%', 1), '') AS DOUBLE), 0.5) / 100 AS penalty FROM purchase_orders JOIN f USING (po_id))
-SELECT vendor_id, sum(failed)::BIGINT AS failed, round((sum(penalty))::DECIMAL(38,9), 4)::DOUBLE AS penalty, round(any_value(performance_score) - 10 * sum(failed), 4) AS score, any_value(performance_score) - 10 * sum(failed) < 40 AS blacklist FROM x JOIN vendors USING (vendor_id) GROUP BY 1""")
+WITH f AS (SELECT po_id, count(*) AS failed, CASE WHEN max(tax) > 0 THEN 'damages of ' || round(max(tax) * 100)::INT || '% of the value' ELSE 'damages as agreed' END AS clause FROM deliveries WHERE inspection = 'Failed' GROUP BY 1),
+x AS (SELECT vendor_id, failed, po_value * coalesce(TRY_CAST(nullif(regexp_extract(clause, '([0-9]+(?:\\.[0-9]+)?)\\s*%', 1), '') AS DOUBLE), 0.5) / 100 AS penalty FROM purchase_orders JOIN f USING (po_id))
+SELECT vendor_id, sum(failed)::BIGINT AS failed, round((sum(penalty))::DECIMAL(38,9), 6)::DOUBLE AS penalty, round(any_value(performance_score) - 10 * sum(failed), 4) AS score, any_value(performance_score) - 10 * sum(failed) < 40 AS blacklist FROM x JOIN vendors USING (vendor_id) GROUP BY 1""")
 def ld_penalty(t):
-    """Damages of orders with failed deliveries; the given orders name no clause (the priority stands for it), so the default rate holds."""
-    failed = t.deliveries().filter("inspection = 'Failed'").groupBy("po_id").agg(F.count(F.lit(1)).alias("failed"))
-    d = R.damages(t.purchase_orders(), failed, t.vendors(), clause="priority")
-    return d.select("vendor_id", "failed", exact("penalty", 4).alias("penalty"), r("score", 4).alias("score"), "blacklist")
+    """Damages of orders with failed deliveries; each order's clause is written from the highest tax of its failed lines, and names no rate where that is 0."""
+    tax = F.max("tax")
+    clause = F.when(tax > 0, F.concat(F.lit("damages of "), F.round(tax * 100).cast("int"), F.lit("% of the value"))).otherwise("damages as agreed")
+    failed = t.deliveries().filter("inspection = 'Failed'").groupBy("po_id").agg(F.count(F.lit(1)).alias("failed"), clause.alias("ld_clause"))
+    d = R.damages(t.purchase_orders(), failed, t.vendors())
+    return d.select("vendor_id", "failed", exact("penalty").alias("penalty"), r("score", 4).alias("score"), "blacklist")
 
 
-@query("SELECT event_id, CASE WHEN regexp_matches(lower(details), '[05]') THEN 75 ELSE 0 END AS refund_pct, round(value * CASE WHEN regexp_matches(lower(details), '[05]') THEN 0.75 ELSE 0 END, 4) AS refund FROM audit WHERE action = 'purchase'")
-def dispute_refund(t, pattern="[05]"):
-    """Refund of 75 % where the dispute's text names force majeure (here: the props of a purchase)."""
-    hit = F.lower("details").rlike(pattern)
-    return t.audit().filter("action = 'purchase'").select("event_id", F.when(hit, 75).otherwise(0).alias("refund_pct"), r(F.col("value") * F.when(hit, 0.75).otherwise(0.0), 4).alias("refund"))
+@query("""
+WITH f AS (SELECT l_orderkey * 10 + l_linenumber AS dispute_id, l_orderkey AS po_id, bool_or(month(l_shipdate) BETWEEN 6 AND 9) AS wet FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
+x AS (SELECT dispute_id, po_id, CASE WHEN wet THEN 75.0 ELSE 0.0 END::DOUBLE AS refund_pct, round((CASE WHEN wet THEN 0.75 ELSE 0 END * (0.005 * po_value))::DECIMAL(38,9), 2)::DOUBLE AS refund, po_value, invoice_amount FROM f JOIN purchase_orders USING (po_id)),
+y AS (SELECT *, greatest(0, 0.01 * po_value - sum(refund) OVER (PARTITION BY po_id ORDER BY dispute_id)) AS ld_left FROM x)
+SELECT dispute_id, po_id, refund_pct, refund, round(ld_left::DECIMAL(38,9), 4)::DOUBLE AS ld_left, round((invoice_amount - 0.02 * invoice_amount - ld_left)::DECIMAL(38,9), 2)::DOUBLE AS net_payable FROM y""")
+def dispute_refund(t):
+    """Disputes of failed lines, by number: 0.5 % of the order's value each, of 1 % held back; the weather is that of the months of shipping, wet from June to September."""
+    o, wet = t.purchase_orders(), F.bool_or(F.month("l_shipdate").between(6, 9))
+    failed = t.raw("lineitem").filter("l_returnflag = 'R'").groupBy("l_orderkey", "l_linenumber").agg(F.when(wet, "monsoon").otherwise("dry").alias("weather"))
+    lines = failed.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("dispute_id"), F.col("l_orderkey").alias("po_id"), "weather")
+    disputes = lines.join(o.select("po_id", (0.005 * F.col("po_value")).alias("disputed_amount")), "po_id").withColumn("statement", F.lit("delivered late"))
+    payments = o.select("po_id", "invoice_amount", (0.02 * F.col("invoice_amount")).alias("tds_deduction"), (0.01 * F.col("po_value")).alias("ld_deduction"))
+    return R.settle_disputes(disputes, payments).withColumn("ld_left", exact("ld_left", 4))
 
 
 @query("""
@@ -343,16 +354,30 @@ def sql_evidence_columns(words, e: str = "e") -> str:
     return f"CASE WHEN {e}.pos > 0 THEN {e}.pos - 1 END AS line, CASE WHEN {e}.pos > 0 THEN {short} END AS snippet, CASE WHEN coalesce({e}.pos, 0) = 0 THEN 'low' WHEN regexp_matches({e}.s, '{near}') THEN 'high' ELSE 'medium' END AS confidence"
 
 
-_PROOF = " UNION ALL ".join(f"SELECT doc_id, '{rule}' AS rule, '{need}' AS need, '{grave}' AS grave, {sql_evidence_columns(words)} FROM (SELECT doc_id, {sql_evidence(words)} AS e FROM text_)" for rule, need, words, grave in R.NEEDS)
+_BEFORE = "string_split(t, chr(10))[1:e.pos]"
+_PAGES = f"list_filter(list_transform({_BEFORE}, lambda x: regexp_extract(x, '{X.PAGE_MARK}', 1)), lambda x: x <> '')"
+_HEADS = f"list_filter({_BEFORE}, lambda x: regexp_matches(x, '{SQL_HEADING}'))"
+_PLACE = f"CASE WHEN e.pos > 0 THEN coalesce({_PAGES}[-1]::INT, 1) END AS page, CASE WHEN e.pos > 0 THEN {_HEADS}[-1] END AS section"
+_PROOF = " UNION ALL ".join(f"SELECT doc_id, plain, '{rule}' AS rule, '{need}' AS need, '{grave}' AS grave, {_PLACE}, {sql_evidence_columns(words)} FROM (SELECT doc_id, t, {sql_normal('t')} AS plain, {sql_evidence(words)} AS e FROM text_)" for rule, need, words, grave in R.NEEDS)
+
+
+def sql_holds(quote: str, cut: str) -> str:
+    return f"({sql_normal(quote)} <> '' AND contains(' ' || plain || ' ', ' ' || {sql_normal(quote)} || CASE WHEN {cut} THEN '' ELSE ' ' END))"
 
 
 @query(f"""
-WITH {PQC}, proof AS ({_PROOF})
+WITH {PQC}, proof AS ({_PROOF}), cited AS (SELECT doc_id + k AS doc_id, 'R5' AS rule, string_split(text, chr(10))[1] AS citation FROM documents, unnest(range(2)) u(k) WHERE doc_id % 2 = 0)
 SELECT doc_id, rule, need, status, CASE WHEN status = 'FAIL' THEN 'missing: ' || need ELSE 'met' END AS gap,
-  CASE WHEN status = 'FAIL' THEN grave WHEN contains(status, 'Risk') THEN 'warning' WHEN status = 'ADVISORY' THEN 'info' ELSE 'success' END AS severity, line, confidence FROM pqc JOIN proof USING (doc_id, rule)""")
+  CASE WHEN status = 'FAIL' THEN grave WHEN contains(status, 'Risk') THEN 'warning' WHEN status = 'ADVISORY' THEN 'info' ELSE 'success' END AS severity,
+  source, page, section, line, confidence, coalesce({sql_holds("citation", "false")}, {sql_holds("snippet", "ends_with(snippet, '...')")}, false) AS citation_verified
+FROM pqc JOIN proof USING (doc_id, rule) JOIN documents USING (doc_id) LEFT JOIN cited USING (doc_id, rule)""")
 def gap_analysis(t):
-    """One row per document and qualification rule: need, gap, severity and the line that shows it."""
-    return R.gap_analysis(pqc(t), t.documents(), "doc_id").drop("snippet")
+    """One row per document and qualification rule: need, gap, severity, the line, page and section that show it, and whether the citation is verified.
+
+    The first line of each document with an even number is given as its and the next one's citation for rule R5.
+    """
+    cited = t.raw("documents").filter("doc_id % 2 = 0").select(F.explode(F.array(F.col("doc_id"), F.col("doc_id") + 1)).alias("doc_id"), F.lit("R5").alias("rule"), F.element_at(F.split("text", "\n"), 1).alias("citation"))
+    return R.gap_analysis(pqc(t), t.documents(), "doc_id", F.col("source"), cited).drop("snippet")
 
 
 @query(f"""
@@ -383,19 +408,21 @@ def feedback_resolution(t):
 #: Rules of a tender: name and description.
 ASKED = [("Technical specification", ""), ("Past performance", ""), ("Delivery period", ""), ("Quality system", ""), ("Financial standing", ""), ("License notice", "licensed version")]
 _HITS = [f"max(({sql_any(R.rule_words(*rule), 't')})::INT)" for rule in ASKED]
-_PROOFS = {k: f"max(({' OR '.join(sql_contains(w, c) for w, c in zip(X.DOCUMENT_FLAGS[k], 'nu', strict=True))})::INT)" for k in ("maf", "annexure")}
+#: What stands in the given texts for an authorization, credentials and an annexure.
+SHOWN = {"maf": "@", "credentials": "licensed under", "annexure": "rights reserved"}
+_PROOFS = ", ".join(f"max(contains(t, '{w}')::INT) AS {k}" for k, w in SHOWN.items())
 
 
 @query(f"""
-WITH d AS (SELECT vendor_id, lower(coalesce(text, '')) AS t, upper(coalesce(text, '')) AS u, upper(source) AS n FROM bid_documents),
-a AS (SELECT vendor_id, count(*) AS files, {", ".join(f"{h} AS h{i}" for i, h in enumerate(_HITS))}, {_PROOFS["maf"]} AS maf, {_PROOFS["annexure"]} AS annexure FROM d GROUP BY 1),
-c AS (SELECT *, h0 + h1 + h2 + h3 + h4 + h5 AS hits, least(100, greatest(0, 20 + 15 * maf + 10 * annexure + 15 * (h0 + h1 + h2 + h3 + h4 + h5) - 5 * (6 - (h0 + h1 + h2 + h3 + h4 + h5))))::INT AS confidence FROM a)
-SELECT vendor_id, files, hits::BIGINT AS hits, confidence, least(100, 25 * (h0 + h1) + 8 * files + confidence // 3)::INT AS technical, CASE WHEN h4 > 0 THEN 100 ELSE 20 END::INT AS financial,
-  least(100, 40 * maf + 20 * annexure + 40 + confidence // 4)::INT AS compliance, least(100.0, greatest(5.0, 100 + 15 * (6 - hits) - floor(confidence / 1.5)))::DOUBLE AS risk, 'Rejected' AS status FROM c""")
+WITH d AS (SELECT vendor_id, lower(coalesce(text, '')) AS t FROM bid_documents),
+a AS (SELECT vendor_id, count(*) AS files, {", ".join(f"{h} AS h{i}" for i, h in enumerate(_HITS))}, {_PROOFS} FROM d GROUP BY 1),
+c AS (SELECT *, h0 + h1 + h2 + h3 + h4 + h5 AS hits, least(100, greatest(0, 20 + 15 * maf + 15 * credentials + 10 * annexure + 15 * (h0 + h1 + h2 + h3 + h4 + h5) - 5 * (6 - (h0 + h1 + h2 + h3 + h4 + h5))))::INT AS confidence FROM a)
+SELECT vendor_id, files, hits::BIGINT AS hits, confidence, least(100, 50 * credentials + 25 * (h0 + h1) + 8 * files + confidence // 3)::INT AS technical, CASE WHEN h4 > 0 THEN 100 ELSE 20 END::INT AS financial,
+  least(100, 40 * maf + 20 * annexure + 40 + confidence // 4)::INT AS compliance, least(100.0, greatest(5.0, 100 + 15 * (6 - hits) - floor(confidence / 1.5)))::DOUBLE AS risk, CASE WHEN maf + credentials + annexure = 3 THEN 'Accepted' ELSE 'Rejected' END AS status FROM c""")
 def ontology_rule_check(t):
-    """Rules by synonym over each vendor's documents; the given documents have no file type for credentials, so none is accepted."""
-    flags = X.document_flags(F.col("source"), F.col("text"))
-    return R.ontology_check(t.documents(), "vendor_id", ASKED, flags["maf"], F.lit(False), flags["annexure"])
+    """Rules by synonym over each vendor's documents; the given texts name no forms, so words that they do hold stand for them (``SHOWN``)."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    return R.ontology_check(t.documents(), "vendor_id", ASKED, *[F.contains(low, F.lit(w)) for w in SHOWN.values()])
 
 
 @query("""

@@ -353,6 +353,8 @@ def quotes(t):
 
 
 _LINE_WORDS = WS.replace("text", "t")
+#: A line that heads a section, without the possessive repeats that DuckDB doesn't know.
+SQL_HEADING = r"^([0-9]+(\.[0-9]+)*\.?\s+\S|[A-Z][A-Z ]{5,}$)"
 
 
 @query(rf"""

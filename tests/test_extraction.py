@@ -201,3 +201,36 @@ def test_ontology(spark):
     maf = F.contains("name", F.lit("MAF"))
     got = {r["v"]: r for r in R.ontology_check(docs, "v", rules, maf, F.lit(True), F.lit(True)).collect()}
     assert (got[1]["hits"], got[1]["confidence"], got[1]["status"], got[1]["financial"]) == (2, 85, "Accepted", 100) and (got[2]["hits"], got[2]["status"]) == (0, "Rejected")
+
+
+def test_gap_rows_tell_source_place_and_verified_citations(spark):
+    long = "word " * 200
+    texts = [
+        ("a", "COMPANY PROFILE\n--- Page 2 ---\n3.1 Quality\nwe hold an ISO certificate\nof 2019", "quality.pdf"),
+        ("b", f"{long}turnover {long}", None), ("c", None, "empty.pdf"), ("d", "", "blank.pdf"),
+    ]
+    docs = spark.createDataFrame(texts, "id string, text string, file string")
+    results = spark.createDataFrame([(k, r, s) for k in "abcd" for r, s in (("R2", "FAIL"), ("R5", "PASS"))], "id string, rule string, status string")
+    cited = spark.createDataFrame([("b", "R5", "it holds ISO 27001"), ("d", "R2", "anything"), ("a", "R2", "of 2019"), ("a", "R9", "unknown rule")], "id string, rule string, citation string")
+    got = {(r["id"], r["rule"]): r for r in R.gap_analysis(results, docs, "id", F.col("file"), cited).collect()}
+    assert len(got) == 8
+    a = got["a", "R5"]
+    assert (a["source"], a["page"], a["section"], a["line"], a["citation_verified"]) == ("quality.pdf", 2, "3.1 Quality", 3, True)
+    assert (got["a", "R2"]["line"], got["a", "R2"]["page"], got["a", "R2"]["citation_verified"]) == (None, None, True)  # given, and the text holds it
+    b = got["b", "R2"]
+    assert b["snippet"].endswith("...") and b["citation_verified"] and (b["page"], b["section"], b["source"]) == (1, None, "")
+    assert not got["b", "R5"]["citation_verified"] and not got["d", "R2"]["citation_verified"] and not got["c", "R5"]["citation_verified"]
+    plain = {(r["id"], r["rule"]): r for r in R.gap_analysis(results, docs, "id").collect()}
+    assert plain["a", "R5"]["source"] == "a" and not plain["a", "R2"]["citation_verified"]
+
+
+def test_disputes_take_refunds_off_the_damages_left(spark):
+    disputes = spark.createDataFrame(
+        [(1, 7, "Heavy RAIN at site", None, 100.0), (2, 7, "late", "flood warning", 100.01), (3, 7, "late", "dry", 50.0), (4, 8, None, "cyclone", 10.0), (5, 9, "force majeure", "", None)],
+        "dispute_id int, po_id int, statement string, weather string, disputed_amount double",
+    )
+    payments = spark.createDataFrame([(7, 1000.0, 20.0, 120.0), (9, 500.0, 10.0, 5.0)], "po_id int, invoice_amount double, tds_deduction double, ld_deduction double")
+    got = [tuple(r) for r in R.settle_disputes(disputes, payments).orderBy("dispute_id").collect()]
+    assert got == [(1, 7, 75.0, 75.0, 45.0, 935.0), (2, 7, 75.0, 75.01, 0.0, 980.0), (3, 7, 0.0, 0.0, 0.0, 980.0), (4, 8, 75.0, 7.5, None, None), (5, 9, 75.0, 0.0, 5.0, 485.0)]
+    assert R.settle_disputes(disputes.limit(0), payments).count() == 0
+    assert [r["refund_pct"] for r in R.settle_disputes(disputes, payments, ("late",), 50.0).orderBy("dispute_id").collect()] == [0.0, 50.0, 50.0, 0.0, 0.0]
