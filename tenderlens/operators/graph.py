@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.storage import durable
-from .retrieval import blocks
 
 
 def co_bids(bids: DataFrame, tenders: int = 0) -> DataFrame:
