@@ -1,7 +1,12 @@
-"""Names, short notices, headers and texts of common licences (fixed values)."""
+"""Names, short notices, headers and texts of common licences (fixed values); the long texts are files of the folder ``texts``."""
 
 from __future__ import annotations
 
+from importlib.resources import files
+
+#: Licences whose whole text is a file.
+WHOLE = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")
+
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -64,4 +69,5 @@ TEMPLATES = (
     ("Unlicense", UNLICENSE),
     ("Proprietary", "Copyright. All rights reserved."),
     ("Proprietary", "All rights reserved."),
+    *((name, files(__package__).joinpath("texts", f"{name}.txt").read_text(encoding="utf-8")) for name in WHOLE),
 )

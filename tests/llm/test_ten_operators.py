@@ -572,6 +572,27 @@ def test_license_bounds_lose_nothing(spark):
         assert (got[i][1] or 0) == (best if best >= licenses.THRESHOLD else 0) or abs(best - licenses.THRESHOLD) < 1e-6 or abs((got[i][1] or 0) - best) < 2e-6
 
 
+def test_whole_licences_are_files_of_their_folder(spark):
+    """Whole texts, rewrapped, under a copyright line, or with a tenth of their lines gone, rule the folders below them."""
+    import random
+
+    from tenderlens.llm.templates import TEMPLATES, WHOLE
+
+    whole = {name: max((t for n, t in TEMPLATES if n == name), key=len) for name in WHOLE}
+    ways = {
+        "same": lambda t: t, "wrapped": lambda t: "\n\n".join(" ".join(p.split()) for p in t.split("\n\n")), "headed": lambda t: "Copyright 2021 The Authors of Something\n\n" + t,
+        "torn": lambda t: "\n".join(x for x in t.split("\n") if random.Random(x).random() > 0.1), "one line": lambda t: " ".join(t.split()).upper(),
+    }
+    files, want = [], {}
+    for name, text in whole.items():
+        for way, change in ways.items():
+            folder, i = f"{name}/{way}", len(files)
+            files += [(i, f"{folder}/COPYING", change(text), None), (i + 1, f"{folder}/src/deep/code.c", "int main(void) { return 0; }", None)]
+            want[i], want[i + 1] = (name, "own", None, None), (name, "inherited", folder, 2)
+    got = licenses.license_scan(spark.createDataFrame(files, "file_id bigint, path string, text string, is_license boolean")).collect()
+    assert {r["file_id"]: (r["license"], r["origin"], r["inherited_from"], r["distance"]) for r in got} == want
+
+
 def test_licenses_odd(odd, none):
     assert licenses.license_scan(licenses.document_files(odd)).count() == 13 and licenses.license_scan(licenses.document_files(none)).count() == 0
 
