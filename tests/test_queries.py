@@ -10,7 +10,7 @@ from compare import rows, twin
 from tenderlens.plans import ORACLE, QUERIES
 
 #: A cross-section of the families; TEST_ALL=1 runs all.
-SOME = "scan_table upsert_by_key filter_compare admission_check assign_ids_and_numbers missing_documents kpi_summary hhi gini_all tukey_fences grubbs_test price_entropy benford_mad qcbs_rank bid_bursts ewma_control_chart leave_one_out_min audit_chain_verify sliding_window_rate plagiarism_pairs citation_guard procurement_rule_check cartel_components knn_l2 vendor_heuristic_risk burst_sessions rate_violation_stream auction_stream vendor_esg_stream late_rows windowed_counts epsilon_neighbour_join vendor_fingerprint fingerprint_similarity shell_clusters co_bid_matrix evidence_locator redact_pii document_classify delete_where_count deadline_audit_rows anomaly_signals timing_coordination collusion_edges linear_price_forecast".split()
+SOME = "scan_table upsert_by_key filter_compare admission_check assign_ids_and_numbers missing_documents kpi_summary hhi gini_all tukey_fences grubbs_test price_entropy benford_mad qcbs_rank bid_bursts ewma_control_chart leave_one_out_min audit_chain_verify sliding_window_rate plagiarism_pairs citation_guard procurement_rule_check cartel_components knn_l2 vendor_heuristic_risk burst_sessions rate_violation_stream auction_stream vendor_esg_stream late_rows windowed_counts epsilon_neighbour_join vendor_fingerprint fingerprint_similarity shell_clusters co_bid_matrix evidence_locator redact_pii document_classify delete_where_count deadline_audit_rows anomaly_signals timing_coordination collusion_edges linear_price_forecast metadata_filter ld_penalty dispute_refund ontology_rule_check gap_analysis".split()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE) if os.environ.get("TEST_ALL") else SOME)
