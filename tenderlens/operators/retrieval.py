@@ -19,15 +19,21 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
 
 
+def slices(batches: Iterator[pd.DataFrame], most: int = 1024) -> Iterator[pd.DataFrame]:
+    """The rows in frames of at most ``most``, so that their distances to all pivots stay few in memory."""
+    for pdf in batches:
+        for i in range(0, len(pdf), most):
+            yield pdf.iloc[i : i + most]
+
+
 def cells(vectors: DataFrame, pivots: np.ndarray, key: str) -> DataFrame:
     """(key, v, cell, away): the nearest pivot of each vector and the distance to it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                d = distances(np.stack(list(pdf["v"])), pivots)
-                at = d.argmin(1)
-                yield pdf.assign(cell=at, away=np.sqrt(d[np.arange(len(at)), at]))
+        for pdf in slices(batches):
+            d = distances(np.stack(list(pdf["v"])), pivots)
+            at = d.argmin(1)
+            yield pdf.assign(cell=at, away=np.sqrt(d[np.arange(len(at)), at]))
 
     return vectors.mapInPandas(run, f"{key} bigint, v array<double>, cell int, away double")
 
@@ -107,8 +113,8 @@ class Neighbours:
         pivots, n, parts, k = self.pivots, self.n, self.parts, self.k
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf) and (n >= k).any():
+            for pdf in slices(batches):
+                if (n >= k).any():
                     d = np.where(n >= k, distances(np.stack(list(pdf["v"])), pivots), np.inf)
                     at = d.argmin(1)
                     yield pdf.assign(cell=at, part=pdf["query"].to_numpy() % parts[at])
@@ -120,8 +126,8 @@ class Neighbours:
         pivots, low, high, parts = self.pivots, self.low, self.high, self.parts
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf) and (high >= low).any():  # an empty index has no cells
+            for pdf in slices(batches):
+                if (high >= low).any():  # an empty index has no cells
                     row, cell = np.nonzero(reach(np.stack(list(pdf["v"])), pdf["most"].to_numpy(dtype=float), pivots, low, high))
                     times = parts[cell]
                     row, cell = np.repeat(row, times), np.repeat(cell, times)
