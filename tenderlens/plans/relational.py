@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.core import compare, different, holds, positive, same
+from ..operators import graph as G
 from ..operators import relational as R
 from ..operators import text as X
 from .registry import query
@@ -129,7 +130,7 @@ def bid_fact(t):
 
 @query("SELECT a.vendor_id AS a, b.vendor_id AS b, count(*) AS shared FROM bids a JOIN bids b ON a.tender_id = b.tender_id AND a.vendor_id < b.vendor_id GROUP BY 1, 2")
 def pair_self_join(t):
-    return R.pair_join(t.bids(), "tender_id", "vendor_id").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    return G.co_bids(t.bids())
 
 
 @query("""
