@@ -38,3 +38,16 @@ def test_co_bids(spark, most):
     assert "Join" not in plain._jdf.queryExecution().optimizedPlan().toString()
     got = {(r["a"], r["b"]): (r["shared"], r["tenders"]) for r in G.co_bids(df, 3, most).collect()}
     assert got == {k: (len(v), v[:3]) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_neighbour_jaccard(spark, block):
+    """Neighbours of both ends in common, without a list of neighbours for each pair."""
+    edges = sorted(brute(bids())) + [(500, 501)]
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)
+    got = {(r["a"], r["b"]): r["co"] for r in G.neighbour_jaccard(df, block).collect()}
+    assert got == {(a, b): len(near[a] & near[b]) / len(near[a] | near[b]) for a, b in edges}
