@@ -20,16 +20,21 @@ from . import processors as P
 WATERMARK = "10 minutes"
 
 
+def table_path(folder: str, name: str) -> str:
+    """A pattern that only the table's path matches, be it a file or a folder of files; a file source takes a plain path as a folder."""
+    return f"{folder.rstrip('/')}/{name}.parque[t]"
+
+
 def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
     """The events table of a folder as a file stream."""
     schema = spark.read.parquet(f"{folder.rstrip('/')}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(table_path(folder, "events"))
     return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_type").alias("action"), F.col("props").alias("details"), "value")
 
 
 def document_stream(spark: SparkSession, folder: str) -> DataFrame:
     schema = spark.read.parquet(f"{folder.rstrip('/')}/documents.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(table_path(folder, "documents"))
 
 
 def arrivals(rows: DataFrame, order: str, parts: int = 3, cuts: list | None = None) -> DataFrame:
