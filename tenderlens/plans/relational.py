@@ -150,14 +150,14 @@ def missing_documents(t):
     return R.missing_labels(t.documents(), required, "vendor_id", "doc_type")
 
 
-_LEGAL = ", ".join(f"'{w}'" for w in X.LEGAL_WORDS)
-_COMMON = ", ".join(f"'{w}'" for w in X.COMMON_NAMES)
+_LEGAL = ", ".join(f"'{w.lower()}'" for w in X.LEGAL_WORDS)
+_COMMON = ", ".join(f"'{w.lower()}'" for w in X.COMMON_NAMES)
 
 
 @query(f"""
-WITH item AS (SELECT item_id, list_filter(regexp_extract_all(upper(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: w NOT IN ({_LEGAL})) AS ws FROM benchmark),
+WITH item AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: w NOT IN ({_LEGAL})) AS ws FROM benchmark),
 k AS (SELECT item_id, CASE WHEN len(ws) >= 2 THEN ws[1] || ' ' || ws[2] WHEN len(ws[1]) >= 4 AND ws[1] NOT IN ({_COMMON}) THEN ws[1] END AS k FROM item),
-d AS (SELECT doc_id, regexp_extract_all(upper(text), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM documents),
 said AS (SELECT DISTINCT doc_id, unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS k FROM d)
 SELECT item_id, count(*) AS mentions FROM k JOIN said USING (k) GROUP BY 1""")
 def entity_mention_join(t):
