@@ -108,7 +108,8 @@ def risk_profile(results: DataFrame, key: str, authenticity: str = "authenticity
     a = a.withColumn("collusion_safe", within(98 - 15 * F.col(anomalies) - number(F.col("verdict") == "Rejected", 25) - number(few, 10)))
     overall = F.round((30 * F.col("compliance") + 25 * F.col("forensic") + 25 * F.col("financial") + 20 * F.col("technical")) / 100).cast("int")
     a = a.withColumn("overall", overall).withColumn("level", above(F.col("overall"), [(85, "LOW"), (65, "MEDIUM"), (40, "HIGH")], "CRITICAL"))
-    confidence = within(F.round(0.7 * F.col("overall") + 30 * F.round(F.col(quality), 3)).cast("int"))
+    tenths = 7000 * F.col("overall") + 300 * F.round(1000 * F.col(quality).cast("decimal(38,9)")).cast("bigint")  # of a thousandth: halves round up, whatever the noise of binary fractions
+    confidence = within(F.floor((tenths + 5000) / 10_000).cast("int"))
     return a.select(key, "compliance", "forensic", "financial", "technical", "collusion_safe", "overall", "level", "verdict", confidence.alias("confidence"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.core import above, count_if, ladder
-from ..functions.storage import ranked
+from ..functions.storage import durable, ranked, small
 from ..operators import extraction as E
 from ..operators import rules as R
 from ..operators import text as X
@@ -201,8 +201,10 @@ pqc AS (SELECT *, {_SCORE} AS score FROM verdicts)"""
 
 
 def submissions(t):
-    """Documents with the number of their vendor's documents."""
-    return t.documents().withColumn("files", F.count(F.lit(1)).over(W.partitionBy("vendor_id")))
+    """Documents with the number of their vendor's documents; texts stay where they are read."""
+    d = t.documents()
+    files = small(durable(d.groupBy(F.col("vendor_id").alias("owner")).agg(F.count(F.lit(1)).alias("files"))))
+    return d.join(files, F.col("vendor_id").eqNullSafe(F.col("owner"))).drop("owner")
 
 
 def pqc(t):
@@ -219,14 +221,14 @@ _ANOMALIES = "((len(t) < 300)::INT + contains(lower(t), 'draft')::INT)"
 
 @query(f"""
 WITH {PQC}, p AS (SELECT doc_id, sum(score) AS points, sum(weight) AS most, {", ".join(f"max(status) FILTER (rule = '{r}') AS {r}" for r in _WEIGHTS)} FROM pqc GROUP BY 1),
-f AS (SELECT p.*, files, {_ANOMALIES} AS anomalies, 95 AS auth, least(1.0, len(t) / 2000) AS quality FROM p JOIN text_ USING (doc_id)),
+f AS (SELECT p.*, files, {_ANOMALIES} AS anomalies, 95 AS auth, (least(2000, len(t)) + 1) // 2 AS quality FROM p JOIN text_ USING (doc_id)),
 a AS (SELECT *, round(100 * points / most)::INT AS compliance, greatest(10, least(100, auth - 10 * anomalies - CASE WHEN files < 3 THEN 15 ELSE 0 END)) AS forensic,
   CASE WHEN R2 = 'FAIL' OR R3 = 'FAIL' THEN 25 WHEN contains(R3, 'Risk') THEN 70 ELSE 95 END AS financial,
   greatest(10, 100 - CASE WHEN R6 = 'FAIL' THEN 45 ELSE 0 END - CASE WHEN R4 = 'FAIL' THEN 35 ELSE 0 END - CASE WHEN R5 <> 'PASS' THEN 10 ELSE 0 END) AS technical,
   CASE WHEN 'FAIL' IN (R2, R3, R4, R6, R8) THEN 'Rejected' WHEN R1 = 'FAIL' THEN 'Experience not substantiated' ELSE 'Accepted' END AS verdict FROM f),
 o AS (SELECT *, round((30 * compliance + 25 * forensic + 25 * financial + 20 * technical) / 100)::INT AS overall FROM a)
 SELECT doc_id, compliance, forensic, financial, technical, greatest(10, 98 - 15 * anomalies - CASE WHEN verdict = 'Rejected' THEN 25 ELSE 0 END - CASE WHEN files < 3 THEN 10 ELSE 0 END) AS collusion_safe,
-  overall, CASE WHEN overall >= 85 THEN 'LOW' WHEN overall >= 65 THEN 'MEDIUM' WHEN overall >= 40 THEN 'HIGH' ELSE 'CRITICAL' END AS level, verdict, greatest(10, least(100, round(0.7 * overall + 30 * round(quality, 3))))::INT AS confidence FROM o""")
+  overall, CASE WHEN overall >= 85 THEN 'LOW' WHEN overall >= 65 THEN 'MEDIUM' WHEN overall >= 40 THEN 'HIGH' ELSE 'CRITICAL' END AS level, verdict, greatest(10, least(100, (700 * overall + 30 * quality + 500) // 1000))::INT AS confidence FROM o""")
 def pqc_risk_profile(t):
     """Risk profile of each document as a submission: its qualification, short and draft texts as anomalies, and its length as reading quality."""
     text = F.coalesce("text", F.lit(""))
