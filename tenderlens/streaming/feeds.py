@@ -37,16 +37,22 @@ def document_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(table_path(folder, "documents"))
 
 
-def arrivals(rows: DataFrame, order: str, parts: int = 3, cuts: list | None = None) -> DataFrame:
-    """The rows of a table as a stream of files, one micro-batch each: cut after the values ``cuts`` of ``order``, or at even ranks in ``parts``."""
+def arrivals(rows: DataFrame, order: str, parts: int = 3, cuts: list | None = None, each: int = 20_000) -> DataFrame:
+    """The rows of a table as a stream of files: micro-batches are cut after the values ``cuts`` of ``order``, or at even ranks in ``parts``.
+
+    A micro-batch is one file, or as many as give the least of them ``each`` rows a file; all have equally many.
+    """
     spark = rows.sparkSession
     base = scratch(spark, "arrivals")
     if cuts is None:
         cuts = rows.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
     number = sum((F.coalesce(F.col(order) > F.lit(c), F.lit(False)).cast("int") for c in cuts or []), F.lit(0))
+    sizes = {r["i"]: r["n"] for r in rows.groupBy(number.alias("i")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a micro-batch
+    files = max(1, min(sizes.get(i, 0) for i in range(len(cuts or []) + 1)) // each)
     for i in range(len(cuts or []) + 1):  # one after another: a file source takes files by their age
-        rows.filter(number == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        part = rows.filter(number == i)
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.mode("append").parquet(f"{base}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
 
 
 def run(writer, base: str) -> None:
