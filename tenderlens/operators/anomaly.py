@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.core import above, count_if, ladder
-from ..functions.storage import durable
+from ..functions.storage import durable, small, stored
 from . import graph as G
 from . import prices as P
 from . import relational as R
@@ -19,11 +19,24 @@ LEVELS = [(5, "CRITICAL"), (3, "HIGH"), (1, "MODERATE")]
 
 
 def network(bids: DataFrame, high: float = 0.7, moderate: float = 0.4, least: float = 2.0) -> DataFrame:
-    """(vendor_id, network_risk) by the share of all bidders that a vendor has met in tenders; high only if they meet ``least`` times on average."""
-    ends = durable(G.both_ways(G.co_bids(bids), "shared").groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.avg("shared").alias("w")))
-    d = ends.crossJoin(F.broadcast(ends.agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(1)).alias("others"))))  # one row
+    """(vendor_id, network_risk) by the share of all bidders that a vendor has met in tenders; high only if they meet ``least`` times on average.
+
+    A vendor's meetings are counted from the sizes of its tenders.  It has met no more others than it has
+    meetings, so that only vendors with more meetings than the moderate share of all bidders need
+    their distinct others counted; all others are LOW.
+    """
+    met = stored(G.bidders(bids).filter(F.size("vs") > 1))
+    own = met.select(F.explode("vs").alias("node"), (F.size("vs") - 1).alias("n")).groupBy("node").agg(F.sum("n").alias("meetings"))
+    own = stored(own.crossJoin(F.broadcast(own.agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(1)).alias("others")))))  # one row
+    open_ = own.filter(F.col("meetings") / F.col("others") > min(high, moderate))
+    ends = met.select("vs", F.explode("vs").alias("a")).join(small(open_.select(F.col("node").alias("a"))), "a")
+    pairs = G.counted(ends.select("a", F.array_remove("vs", F.col("a")).alias("others")), int(open_.agg(F.sum("meetings")).first()[0] or 0))
+    degree = pairs.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    d = open_.join(degree, "node").withColumn("w", F.col("meetings") / F.col("degree"))
     c = F.col("degree") / F.col("others")
-    return d.select(F.col("node").alias("vendor_id"), F.when((c > high) & (F.col("w") > least), "HIGH").when(c > moderate, "MODERATE").otherwise("LOW").alias("network_risk"))
+    d = d.select("node", F.when((c > high) & (F.col("w") > least), "HIGH").when(c > moderate, "MODERATE").otherwise("LOW").alias("network_risk"))
+    low = own.join(open_.select("node"), "node", "left_anti").select("node", F.lit("LOW").alias("network_risk"))
+    return d.unionByName(low).withColumnRenamed("node", "vendor_id")
 
 
 def bid_signals(bids: DataFrame, times: DataFrame, critical: DataFrame, span: int = 10, gap: int = 300) -> DataFrame:

@@ -58,7 +58,7 @@ def vendor_features(t):
     m = matrix(t).groupBy("vendor_id").agg(F.count(F.lit(1)).cast("double").alias("bids"), F.avg("ratio").alias("mean_ratio"), (F.stddev_pop("amount") / F.avg("amount")).alias("cv"), F.avg("gap").alias("mean_gap"), F.avg("period").alias("mean_period"), F.avg("score").alias("mean_score"), F.first("trust").alias("trust"))
     n = F.count(F.lit(1))
     b = t.bids().groupBy("vendor_id").agg((count_if(F.col("status") == "Awarded") / n).alias("win_rate"), (count_if(F.col("is_disqualified")) / n).alias("dq_rate"))
-    g = G.both_ways(G.strong_edges(G.co_bids(t.bids()))).groupBy("node").agg(n.cast("double").alias("degree")).withColumnRenamed("node", "vendor_id")
+    g = G.both_ways(G.strong_edges(t.bids())).groupBy("node").agg(n.cast("double").alias("degree")).withColumnRenamed("node", "vendor_id")
     d = P.benford_mad(t.bids(), ["vendor_id"], "total_amount").select("vendor_id", F.col("mad_1").alias("mad"))
     f = t.deliveries().groupBy("vendor_id").agg((count_if(F.col("inspection") == "Failed") / n).alias("failed_rate"))
     out = m.join(b, "vendor_id").join(g, "vendor_id", "left").join(d, "vendor_id", "left").join(f, "vendor_id", "left")

@@ -51,3 +51,40 @@ def test_neighbour_jaccard(spark, block):
     df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)
     got = {(r["a"], r["b"]): r["co"] for r in G.neighbour_jaccard(df, block).collect()}
     assert got == {(a, b): len(near[a] & near[b]) / len(near[a] | near[b]) for a, b in edges}
+
+
+@pytest.mark.parametrize("most", [7, 1 << 22])
+def test_strong_edges(spark, most):
+    """Pairs above the bar of all pairs, though pairs met once are not written; names may be numbers or text."""
+    for kind, name in (("bigint", int), ("string", "v{:03}".format)):
+        rows = [(t, None if v is None else name(v)) for t, v in bids(1)]
+        met = {k: len(v) for k, v in brute(rows).items()}
+        x = np.array(list(met.values()))
+        bar = x.mean() + 1.5 * x.std()
+        counted = G.counted_pairs(spark.createDataFrame(rows, f"tender_id bigint, vendor_id {kind}").repartition(3), 2, most).collect()
+        assert sum(r["shared"] for r in counted if r["a"] is None) == (x == 1).sum() > 0
+        assert all(r["shared"] > 1 for r in counted if r["a"] is not None)
+        got = G.strong_edges(spark.createDataFrame(rows, f"tender_id bigint, vendor_id {kind}"), most=most)
+        assert {(r["a"], r["b"]): r["shared"] for r in got.collect()} == {k: n for k, n in met.items() if n > bar}
+    level = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], BIDS)
+    assert G.strong_edges(level).count() == 0 and G.strong_edges(level.limit(0)).count() == 0
+
+
+def test_network_counts_others_of_few(spark):
+    """Vendors whose meetings cannot reach the moderate share are LOW without their others being counted."""
+    from tenderlens.operators import anomaly as A
+
+    rows = [*bids(2), *[(1000 + i, 100 + i + j) for i in range(200) for j in (0, 1)]]
+    met = brute(rows)
+    degree, total = defaultdict(int), defaultdict(int)
+    for pair, tenders in met.items():
+        for v in pair:
+            degree[v] += 1
+            total[v] += len(tenders)
+    others = len(degree) - 1
+    level = lambda v, h, m: "HIGH" if degree[v] / others > h and total[v] / degree[v] > 2 else "MODERATE" if degree[v] / others > m else "LOW"
+    df = spark.createDataFrame(rows, BIDS)
+    for h, m in ((0.7, 0.4), (0.15, 0.1)):
+        got = {r["vendor_id"]: r["network_risk"] for r in A.network(df, h, m).collect()}
+        assert got == {v: level(v, h, m) for v in degree}
+    assert len(set(got.values())) > 1
