@@ -89,3 +89,15 @@ def test_locate_equals_all_lines(spark, seed):
             want[q] = min(found)
     got = {r["id"]: (not r["exact"], -r["overlap"], r["doc_id"], r["line"]) for r in X.locate(spark.createDataFrame(quotes, "id bigint, quote string"), spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert got == want
+
+
+def test_betweenness_goes_on_with_all_blocks_at_a_time(spark, monkeypatch):
+    """Rounds follow the levels, not the blocks of sources; small blocks and parts of the graph give the same."""
+    edges = spark.createDataFrame([(a, b) for a in range(40) for b in range(a + 1, 40) if (a * b) % 7 == 1], "a bigint, b bigint")
+    want = {r["node"]: r["betweenness"] for r in G.betweenness(edges).collect()}
+    made = []
+    real = G.stored
+    monkeypatch.setattr(G, "stored", lambda df: made.append(1) or real(df))
+    monkeypatch.setattr(G, "HELD", 64)
+    got = {r["node"]: r["betweenness"] for r in G.betweenness(edges, 2).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and len(made) < 14
