@@ -91,6 +91,18 @@ def test_locate_equals_all_lines(spark, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("eps", [0.5, 0.3])
+def test_points_on_few_lines(eps):
+    """Bisection on lines of equal y, with places that lie at just the radius and places held many times."""
+    rng = np.random.default_rng(3)
+    d = np.unique(np.column_stack([np.round(rng.normal(size=4000), 1), np.round(rng.normal(size=4000) * 2) / 10]), axis=0)
+    n = rng.integers(1, 5, len(d))
+    q = np.concatenate([d[::3], rng.normal(size=(50, 2))])
+    want = ((((q[:, None] - d[None]) ** 2).sum(axis=2) <= eps * eps) * n).sum(axis=1)
+    assert (G.near_on_lines(q[:, 0], q[:, 1], d[:, 0], d[:, 1], n, eps) == want).all()
+    assert (G.near_in_blocks(q[:, 0], q[:, 1], d[:, 0], d[:, 1], n, eps, 8) == want).all()
+
+
 def test_betweenness_goes_on_with_all_blocks_at_a_time(spark, monkeypatch):
     """Rounds follow the levels, not the blocks of sources; small blocks and parts of the graph give the same."""
     edges = spark.createDataFrame([(a, b) for a in range(40) for b in range(a + 1, 40) if (a * b) % 7 == 1], "a bigint, b bigint")
