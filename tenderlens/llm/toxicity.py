@@ -97,15 +97,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
     return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select(F.col("doc_id").alias("row"), "label", "text")
 
 
-def fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, swap_weight: float, ridge: float, rounds: int = 60) -> np.ndarray:
-    """Newton steps for the logistic loss, ridge and counterfactual penalty; the last weight is the intercept."""
-    x = np.column_stack([x, np.ones(len(x))])
-    change = np.column_stack([change, np.zeros(len(change))])
-    flat = np.diag(np.append(np.full(x.shape[1] - 1, ridge), 1e-6)) + swap_weight * change.T @ change
-    w = np.zeros(x.shape[1])
+def fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, swap_weight: float, ridge: float, rounds: int = 60, step_rows: int = 1024) -> np.ndarray:
+    """Newton steps for the logistic loss, ridge and counterfactual penalty; the last weight is the intercept.
+
+    ``x`` and ``change`` may be of small integers: a few rows at a time become floating.
+    """
+    cols = x.shape[1] + 1
+    parts = range(0, len(x), step_rows)
+    flat = np.diag(np.append(np.full(cols - 1, ridge), 1e-6))
+    for i in range(0, len(change), step_rows):
+        c = change[i : i + step_rows].astype(float)
+        flat[:-1, :-1] += swap_weight * c.T @ c
+    w = np.zeros(cols)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + flat, x.T @ (p - y) + flat @ w)
+        curve, slope = flat.copy(), flat @ w
+        for i in parts:
+            part = np.column_stack([x[i : i + step_rows], np.ones(len(x[i : i + step_rows]))])
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            curve += part.T @ (part * (p * (1 - p))[:, None])
+            slope += part.T @ (p - y[i : i + step_rows])
+        step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -131,23 +142,24 @@ def model(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     names = sorted({r["word"] for r in told.select("word").collect()} - group_starts | set(SWAP))  # at most ``vocabulary`` and the terms
     index = {w: i for i, w in enumerate(names)}
     spark = docs.sparkSession
-    known = F.broadcast(spark.createDataFrame([(w,) for w in names], "word string"))
-    sets = words.join(known, "word").groupBy("row", "label").agg(F.collect_set("word").alias("words")).select("label", "words").collect()  # at most ``sample`` rows
-    shown = {1: 0, 0: 0}
-    x = np.zeros((len(sets), len(names)))
-    y = np.zeros(len(sets))
-    change = []
-    for i, r in enumerate(sets):
-        shown[r["label"]] += 1
-        y[i] = r["label"]
-        x[i, [index[w] for w in r["words"]]] = 1
-        if any(w in SWAP for w in r["words"]):
-            swapped = np.zeros(len(names))
-            swapped[[index[SWAP.get(w, w)] for w in r["words"]]] = 1
-            change.append(swapped - x[i])
+    known = F.broadcast(spark.createDataFrame(list(index.items()), "word string, at int"))
+    sets = words.join(known, "word").groupBy("row", "label").agg(F.collect_set("at").alias("at")).select("label", "at").toArrow()  # at most ``sample`` rows of small numbers
+    label, lists = sets.column("label").to_numpy(), sets.column("at").combine_chunks()
+    size = np.diff(lists.offsets.to_numpy())
+    at, row = lists.values.to_numpy(), np.repeat(np.arange(len(size)), size)
+    x = np.zeros((len(size), len(names)), np.int8)
+    x[row, at] = 1
+    y = label.astype(float)
+    shown = {k: int((label == k).sum()) for k in (0, 1)}
+    swap = np.array([index[SWAP.get(w, w)] for w in names], np.int64)
+    named = np.isin(np.arange(len(size)), row[np.isin(at, [index[w] for w in SWAP])])  # texts with an identity term
+    swapped = np.zeros_like(x)
+    swapped[row, swap[at]] = 1
+    change = (swapped - x)[named]
+    del swapped
     bare = [k for k in (0, 1) for _ in range(n[k] - shown[k])]  # documents without any word of the vocabulary
-    x, y = np.vstack([x, np.zeros((len(bare), x.shape[1]))]), np.append(y, bare)
-    w = fit(x, y, np.array(change).reshape(-1, len(names)), swap_weight, ridge)
+    x, y = np.vstack([x, np.zeros((len(bare), x.shape[1]), np.int8)]), np.append(y, bare)
+    w = fit(x, y, change, swap_weight, ridge)
     return {v: float(w[i]) for v, i in index.items() if abs(w[i]) > 1e-6}, float(w[-1])
 
 
