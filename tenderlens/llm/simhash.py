@@ -16,8 +16,8 @@ Two bits of 64 find texts that differ in a word or so.  ``keep_one`` drops near
 sets of five-word shingles have a Jaccard index of 0.8 or more.  Candidates come from fingerprints of
 those shingles.  The Gray-order index links what differs in two bits; for the others a fingerprint of
 256 bits puts a text in a number of tables by some of its bits each, and where texts meet in a
-table each points to the two least ones that differ from it in at most ``far`` bits, so that the
-candidates of a table grow with the texts only.  Bits and tables follow from the number of texts and from the
+table each points to the two least ones that differ from it in at most ``far`` bits; once what these link is
+known, all others that meet within ``far`` bits and are not yet in one component are candidates too.  Bits and tables follow from the number of texts and from the
 ``recall`` that is asked for two texts that just reach 0.8; a full table key is dealt again by further
 bits.  Every candidate is then verified exactly on the texts, so that no other documents go.
 
@@ -314,8 +314,8 @@ def layout(texts: int, recall: float) -> tuple[int, int, int]:
     return bits, tables, math.ceil(size * (1 - same) + DEVIATIONS * math.sqrt(size * same * (1 - same)))
 
 
-def table_keys(tables: int, bits: int):
-    """(node, f0 to f3) to a row with a key for each table."""
+def table_keys(tables: int, bits: int, names: list[str]):
+    """(node, f0 to f3, maybe root: ``names``) to a row with a key for each table."""
     rng = np.random.default_rng(2024)
     chosen = [rng.permutation(64 * len(LANES))[:bits] for _ in range(tables)]
     powers = 1 << np.arange(bits, dtype=np.int64)
@@ -328,7 +328,7 @@ def table_keys(tables: int, bits: int):
                 each = np.unpackbits(lanes.astype(">i8").view(np.uint8), axis=1)
                 keys = np.concatenate([each[:, c] @ powers | np.int64(i) << np.int64(bits) for i, c in enumerate(chosen)])
                 again = pa.array(np.tile(np.arange(part.num_rows), tables))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(part.column(x).take(again) for x in ("node", *LANES))], ["key", "node", *LANES])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(part.column(x).take(again) for x in names)], ["key", *names])
 
     return run
 
@@ -351,14 +351,48 @@ def attach(begin: np.ndarray, lanes: list[np.ndarray], far: int, most: int = PAR
     return np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*parents, np.zeros(0, np.int64)])
 
 
-def meet(far: int):
-    """Rows (key, node, f0 to f3) sorted by key and node to candidate pairs (a, b), b the lesser."""
+def across(begin: np.ndarray, root: np.ndarray, lanes: list[np.ndarray], far: int, step: int = 1 << 20, few: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, other): all rows of a group, which begins at ``begin``, within ``far`` bits of each other and of different ``root``, in parts.
 
-    def pairs(held: pa.Table) -> pa.RecordBatch:
+    Groups of up to ``few`` rows are compared together; in a larger one the rows of the commonest root meet the others only,
+    about ``step`` pairs at a time.
+    """
+    starts = np.flatnonzero(np.diff(begin, prepend=-1))
+    sizes = np.diff(starts, append=len(begin))
+    place = np.arange(len(begin)) - begin
+    active = np.flatnonzero((place > 0) & (np.repeat(sizes, sizes) <= few))
+    turn = 0
+    while len(active):
+        pivot = begin[active] + turn
+        near = sum(np.bitwise_count(x[active] ^ x[pivot]).astype(np.int16) for x in lanes) <= far
+        near &= root[active] != root[pivot]
+        yield active[near], pivot[near]
+        turn += 1
+        active = active[place[active] > turn]
+    for low, size in zip(starts[sizes > few], sizes[sizes > few], strict=True):
+        high = low + size
+        own, code, count = np.unique(root[low:high], return_inverse=True, return_counts=True)
+        rest = low + np.flatnonzero(code != count.argmax())
+        turn_of = np.full(size, size)  # of the rows that are compared with all; a pair of these is taken once
+        turn_of[rest - low] = np.arange(len(rest))
+        for at in range(0, len(rest), per := max(1, step // size)):
+            some = rest[at : at + per]
+            near = sum(np.bitwise_count(x[some][:, None] ^ x[low:high][None]).astype(np.int16) for x in lanes) <= far
+            near &= (root[some][:, None] != root[low:high][None]) & (turn_of[None] > np.arange(at, at + len(some))[:, None])
+            row, other = np.nonzero(near)
+            yield some[row], low + other
+
+
+def meet(far: int, rooted: bool = False):
+    """Rows (key, node, f0 to f3) sorted by key and node to candidate pairs (a, b), b the lesser; with ``root`` all of different roots."""
+
+    def pairs(held: pa.Table) -> Iterator[pa.RecordBatch]:
         keys, nodes = held.column("key").to_numpy(), held.column("node").to_numpy()
         begin = np.searchsorted(keys, keys, "left")
-        rows, parents = attach(begin, [held.column(x).to_numpy().view(np.uint64) for x in LANES], far)
-        return pa.RecordBatch.from_arrays([pa.array(nodes[rows]), pa.array(nodes[parents])], ["a", "b"])
+        lanes = [held.column(x).to_numpy().view(np.uint64) for x in LANES]
+        for rows, parents in across(begin, held.column("root").to_numpy(), lanes, far) if rooted else [attach(begin, lanes, far)]:
+            a, b = nodes[rows], nodes[parents]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # rows of the last key, which may go on in the next batch
@@ -370,18 +404,23 @@ def meet(far: int):
                 held.append(batch)
                 continue
             cut = int(np.searchsorted(keys.to_numpy(), keys[batch.num_rows - 1].as_py(), "left"))
-            yield pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks())
+            yield from pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks())
             held = [batch.slice(cut)]
         if held:
-            yield pairs(pa.Table.from_batches(held).combine_chunks())
+            yield from pairs(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
 def table_pairs(nodes: DataFrame, hot: int, recall: float = RECALL) -> DataFrame:
-    """Candidate pairs (a, b), a > b, of nodes that meet in a table within the distance of near copies."""
+    """Candidate pairs (a, b), a > b, of nodes that meet in a table within the distance of near copies.
+
+    A node takes the first ``PARENTS`` of a table; where nodes have a ``root``, all of other roots.
+    """
     bits, tables, far = layout(nodes.count(), recall)
-    keyed = lambda df: df.select("node", *LANES).mapInArrow(table_keys(tables, bits), "key bigint, node bigint, " + ", ".join(f"{x} bigint" for x in LANES))
+    rooted = "root" in nodes.columns
+    names = ["node", *LANES, *["root"] * rooted]
+    keyed = lambda df: df.select(*names).mapInArrow(table_keys(tables, bits, names), ", ".join(f"{x} bigint" for x in ("key", *names)))
     # full keys are told from every 16th node; they are only dealt otherwise
     some = keyed(nodes.filter(F.pmod(F.xxhash64("node"), F.lit(16)) == 0)).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     full = durable(some.filter(F.col("n") * 16 > hot).select("key", F.lit(True).alias("full")))
@@ -389,7 +428,7 @@ def table_pairs(nodes: DataFrame, hot: int, recall: float = RECALL) -> DataFrame
     masks = [[mask_of(np.flatnonzero(rng.permutation(64 * len(LANES)).reshape(len(LANES), 64)[k] < AGAIN_BITS).tolist()) for k in range(len(LANES))] for _ in range(AGAIN)]
     parts = F.array(*[F.xxhash64("key", F.lit(i), *[F.col(x).bitwiseAND(F.lit(m)) for x, m in zip(LANES, row, strict=True)]) for i, row in enumerate(masks)])
     dealt = keyed(nodes).join(small(full), "key", "left").withColumn("key", F.explode(F.when(F.col("full"), parts).otherwise(F.array("key")))).drop("full")
-    return dealt.repartition(partitions(nodes), "key").sortWithinPartitions("key", "node").mapInArrow(meet(far), "a bigint, b bigint")
+    return dealt.repartition(partitions(nodes), "key").sortWithinPartitions("key", "node").mapInArrow(meet(far, rooted), "a bigint, b bigint")
 
 
 def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,7 +456,8 @@ def near_links(docs: DataFrame, rows: DataFrame, radius: int, hot: int) -> DataF
     """Verified edges (a, b) between nodes whose five-word Jaccard index is NEAR or more.
 
     Each node's least candidate is verified first, which joins large groups by stars; of the
-    other candidates only those between different components follow.
+    other candidates only those between different components follow.  Last come all other candidates of
+    the tables that are in different components by then, so that none is dropped by a number.
     """
     nodes = durable(rows.groupBy("node").agg(F.min("tkey").alias("tkey"), *[F.min(x).alias(x) for x in LANES]))
     codes = durable(nodes.groupBy(F.col("f0").alias("fp")).agg(F.min("node").alias("least")))
@@ -429,7 +469,12 @@ def near_links(docs: DataFrame, rows: DataFrame, radius: int, hot: int) -> DataF
     found = verified(docs, nodes, first)
     roots = durable(components(found))
     left = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    return found.unionByName(verified(docs, nodes, left.join(first, ["a", "b"], "left_anti")))
+    found = durable(found.unionByName(verified(docs, nodes, left.join(first, ["a", "b"], "left_anti"))))
+    # candidates beyond the first ones of a table: all that are in different components still
+    roots = durable(components(found))
+    rooted = durable(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    rest = table_pairs(rooted, hot).distinct().join(pairs, ["a", "b"], "left_anti")
+    return found.unionByName(verified(docs, nodes, rest))
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:

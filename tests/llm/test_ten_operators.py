@@ -673,6 +673,34 @@ def test_keep_one_finds_links_of_every_band(spark):
         assert len(band) > 20 and sum(band) >= 0.9 * len(band), (low, sum(band), len(band))
 
 
+@pytest.mark.parametrize("few", [4, 256])
+def test_across_equals_all_pairs(few):
+    rng = np.random.default_rng(4)
+    key = np.sort(rng.integers(0, 12, 300))
+    begin = np.searchsorted(key, key, "left")
+    root = rng.choice([1, 1, 1, 2, 3, 4], 300)
+    lanes = [rng.integers(0, 16, 300).astype(np.uint64) for _ in simhash.LANES]
+    got = [tuple(sorted((int(a), int(b)))) for rows, others in simhash.across(begin, root, lanes, 6, 50, few) for a, b in zip(rows, others, strict=True)]
+    want = {(a, b) for a in range(300) for b in range(a + 1, 300) if key[a] == key[b] and root[a] != root[b] and sum(int(x[a] ^ x[b]).bit_count() for x in lanes) <= 6}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_keep_one_among_many_likes(spark):
+    """Texts that are alike below the bound fill the first places of every table; the one text that links with each is found all the same."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base, texts = [word() for _ in range(200)], []
+    for _ in range(150):
+        one = base[:187] + [word() for _ in range(13)]  # about 0.88 of the shingles of the base; two of these about 0.78 or less
+        one[:10] = [word() for _ in range(10)]
+        texts += [" ".join(one), " ".join(one[:60] + [word() for _ in range(10)] + one[70:])]
+    root, _ = exact_roots(texts)
+    want = {i for i, r in enumerate(root) if i == r}
+    got = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert want <= got and len(texts) - len(want) >= 140
+    assert len(got - want) <= 0.02 * (len(texts) - len(want))
+
+
 def test_keep_one_knows_rows_by_their_text(spark):
     """Of two texts under one id only the near copy goes."""
     docs = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five  six"), (2, "another text altogether of some seven words")], "doc_id bigint, text string")
