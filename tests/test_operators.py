@@ -51,6 +51,7 @@ def test_grid_components_equal_brute_force(spark):
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)], "k bigint, x double, y double")
     got = {r["node"]: r["component"] for r in G.components(G.grid_edges(df, "k", "x", "y", 0.5)).collect()}
     assert all(got.get(i, i) == label[i] for i in range(len(pts)))
+    assert {r["node"]: r["component"] for r in G.grid_components(df, "k", "x", "y", 0.5).collect()} == got
 
 
 def test_neighbour_counts_equal_brute_force(spark):
