@@ -17,9 +17,10 @@ sets of five-word shingles have a Jaccard index of 0.8 or more.  Candidates come
 those shingles.  The Gray-order index links what differs in two bits; for the others a fingerprint of
 256 bits puts a text in a number of tables by some of its bits each, and where texts meet in a
 table each points to the two least ones that differ from it in at most ``far`` bits; once what these link is
-known, all others that meet within ``far`` bits and are not yet in one component are candidates too.  Bits and tables follow from the number of texts and from the
+known, texts that meet within ``far`` bits and are not yet in one component point to the least that they
+are connected to, and what these pointers connect is compared in blocks, each text with all others.  Bits and tables follow from the number of texts and from the
 ``recall`` that is asked for two texts that just reach 0.8; a full table key is dealt again by further
-bits.  Every candidate is then verified exactly on the texts, so that no other documents go.
+bits.  Every candidate is verified exactly on the texts, so that no other documents go.
 
 Null and empty texts have fingerprint zero and link like any other; very long texts are hashed
 whole.  component_id is the least doc_id reachable, so ties and repeated rows meet in one component;
@@ -50,6 +51,8 @@ NEAR_WORDS, NEAR = 5, (4, 5)
 RECALL, DEVIATIONS = 0.99, 2.5
 #: Texts that share a key by chance, and candidates that a text takes from a table.
 LOAD, PARENTS = 16, 2
+#: Shingles of a block of texts that are compared with each other, texts from which on a group is cut in blocks, and blocks that a group is cut in for its texts' number.
+BLOCK, CUT, SPREAD = 1 << 19, 256, 8
 #: Tables and bits that a full key is dealt again by.
 AGAIN, AGAIN_BITS = 24, 10
 #: Odd multipliers: the first joins the hashes of words, the others make further hashes of a shingle (fixed values of this module).
@@ -383,16 +386,39 @@ def across(begin: np.ndarray, root: np.ndarray, lanes: list[np.ndarray], far: in
             yield some[row], low + other
 
 
+def stars(n: int, parts: Iterator[tuple[np.ndarray, np.ndarray]], step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(row, least): of n rows those that the pairs of ``parts`` connect to a lesser one, and the least one; about ``step`` pairs are held at a time."""
+    each = np.arange(n)
+    label, held, size = each, [], 0
+    for pair in parts:
+        held.append(pair)
+        size += len(pair[0])
+        if size >= step:
+            label, held, size = merged(label, held), [], 0
+    label = merged(label, held)
+    moved = np.flatnonzero(label != each)
+    return moved, label[moved]
+
+
+def merged(label: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The least positions that ``label`` and the pairs together connect each position to."""
+    each = np.arange(len(label))
+    return least_linked(len(label), np.concatenate([each, *(a for a, _ in held)]), np.concatenate([label, *(b for _, b in held)]))
+
+
 def meet(far: int, rooted: bool = False):
-    """Rows (key, node, f0 to f3) sorted by key and node to candidate pairs (a, b), b the lesser; with ``root`` all of different roots."""
+    """Rows (key, node, f0 to f3) sorted by key and node to candidate pairs (a, b), b the lesser.
+
+    With ``root``, pairs of different roots are told by what they connect: a row for each node, to the least one.
+    """
 
     def pairs(held: pa.Table) -> Iterator[pa.RecordBatch]:
         keys, nodes = held.column("key").to_numpy(), held.column("node").to_numpy()
         begin = np.searchsorted(keys, keys, "left")
         lanes = [held.column(x).to_numpy().view(np.uint64) for x in LANES]
-        for rows, parents in across(begin, held.column("root").to_numpy(), lanes, far) if rooted else [attach(begin, lanes, far)]:
-            a, b = nodes[rows], nodes[parents]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+        rows, parents = stars(len(keys), across(begin, held.column("root").to_numpy(), lanes, far)) if rooted else attach(begin, lanes, far)
+        a, b = nodes[rows], nodes[parents]
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # rows of the last key, which may go on in the next batch
@@ -415,7 +441,7 @@ def meet(far: int, rooted: bool = False):
 def table_pairs(nodes: DataFrame, hot: int, recall: float = RECALL) -> DataFrame:
     """Candidate pairs (a, b), a > b, of nodes that meet in a table within the distance of near copies.
 
-    A node takes the first ``PARENTS`` of a table; where nodes have a ``root``, all of other roots.
+    A node takes the first ``PARENTS`` of a table; where nodes have a ``root``, the least one that pairs of different roots connect it to.
     """
     bits, tables, far = layout(nodes.count(), recall)
     rooted = "root" in nodes.columns
@@ -443,21 +469,89 @@ def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text): a text of each node of ``wanted`` (node, tkey)."""
+    return docs.select(F.xxhash64("text").alias("tkey"), "text").join(small(durable(wanted)), "tkey").select("node", "text").dropDuplicates(["node"])
+
+
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose texts' five-word Jaccard index is NEAR or more; only their texts are shuffled."""
     pairs = durable(pairs.distinct())
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", "tkey")
-    texts = docs.select(F.xxhash64("text").alias("tkey"), "text").join(small(durable(wanted)), "tkey").select("node", "text").dropDuplicates(["node"])
+    texts = texts_of(docs, wanted)
     full = pairs.join(texts.toDF("b", "y"), "b").join(texts.toDF("a", "x"), "a").select("a", "b", "x", "y")
     return durable(full.mapInArrow(near_pairs, "a bigint, b bigint"))
 
 
+def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, text) as (node, n, held): the number of shingles and their hashes."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            sets = [word_shingles(t.as_py()) for t in part.column("text")]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", "held"])
+
+
+def joining(label: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Pairs of positions whose sets have a Jaccard index of NEAR or more, as many as join the labels that all such pairs join.
+
+    Sets of the commonest label are not compared with each other.
+    """
+    up, down = NEAR
+    n, size = len(sets), np.array([len(x) for x in sets])
+    ends = np.cumsum(size)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holders = np.repeat(np.arange(n), size)[np.argsort(code, kind="stable")]
+    count = np.bincount(code, minlength=1)
+    start = np.cumsum(count) - count
+    label = np.unique(label, return_inverse=True)[1]
+    for x in np.flatnonzero(label != np.bincount(label).argmax()):
+        own = code[ends[x] - size[x] : ends[x]]
+        both = np.bincount(holders[spread(start[own], count[own])], minlength=n)
+        near = np.flatnonzero((down * both >= up * (size[x] + size - both)) & (label != label[x]))
+        others, first = np.unique(label[near], return_index=True)
+        yield from ((x, y) for y in near[first])
+        label[np.isin(label, others)] = label[x]
+
+
+def tile_links(tile: pa.Table) -> pa.Table:
+    """Rows (node, root, held) to edges (a, b) that join their roots."""
+    nodes = tile.column("node").to_numpy()
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in tile.column("held")]
+    found = np.array(list(joining(tile.column("root").to_numpy(), sets)), np.int64).reshape(-1, 2)
+    a, b = nodes[found[:, 0]], nodes[found[:, 1]]
+    return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+
+def group_links(docs: DataFrame, rooted: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Verified edges (a, b) that join the roots of all texts which ``candidates`` connect.
+
+    A group is compared in pairs of blocks of at most about ``BLOCK`` shingles each, and no pair of texts
+    leaves a task but those that join two roots.  Small groups share a tile: what is compared beyond the candidates is exact too.
+    """
+    groups = components(candidates).toDF("node", "team")
+    wanted = durable(groups.join(rooted.select("node", "tkey", "root"), "node"))
+    sets = texts_of(docs, wanted.select("node", "tkey")).mapInArrow(set_rows, "node bigint, n bigint, held binary")
+    held = durable(wanted.drop("tkey").join(sets, "node"))
+    sized = durable(held.groupBy("team").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.lit(SPREAD), F.ceil(F.col("texts") / CUT)))
+    large = sized.select("team", blocks.alias("blocks")).filter("blocks > 1")
+    tiles = max(1, math.ceil((sized.agg(F.sum("n").alias("n")).first()["n"] or 0) / BLOCK))
+    block = F.pmod(F.xxhash64("node"), "blocks")
+    cut = held.join(small(durable(large)), "team", "left").withColumn("block", block)
+    other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("bigint"))).otherwise(F.array_remove(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), F.col("block"))))
+    dealt = cut.withColumn("other", other).select(
+        F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("team"), F.lit(tiles))).otherwise(F.col("team")).alias("team"),
+        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "root", "held",
+    )
+    return durable(dealt.groupBy("team", "low", "high").applyInArrow(tile_links, "a bigint, b bigint"))
+
+
 def near_links(docs: DataFrame, rows: DataFrame, radius: int, hot: int) -> DataFrame:
     """Verified edges (a, b) between nodes whose five-word Jaccard index is NEAR or more.
 
     Each node's least candidate is verified first, which joins large groups by stars; of the
     other candidates only those between different components follow.  Last come all other candidates of
-    the tables that are in different components by then, so that none is dropped by a number.
+    the tables that are in different components by then, by groups, so that none is dropped by a number.
     """
     nodes = durable(rows.groupBy("node").agg(F.min("tkey").alias("tkey"), *[F.min(x).alias(x) for x in LANES]))
     codes = durable(nodes.groupBy(F.col("f0").alias("fp")).agg(F.min("node").alias("least")))
@@ -473,8 +567,7 @@ def near_links(docs: DataFrame, rows: DataFrame, radius: int, hot: int) -> DataF
     # candidates beyond the first ones of a table: all that are in different components still
     roots = durable(components(found))
     rooted = durable(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    rest = table_pairs(rooted, hot).distinct().join(pairs, ["a", "b"], "left_anti")
-    return found.unionByName(verified(docs, nodes, rest))
+    return found.unionByName(group_links(docs, rooted, table_pairs(rooted, hot)))
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:

@@ -721,3 +721,43 @@ def test_mix_of_repeated_rows_is_stable(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, extra string")
     first = sorted(map(tuple, mixing.take_mix(docs).collect()), key=str)
     assert first == sorted(map(tuple, mixing.take_mix(docs.repartition(4)).collect()), key=str)
+
+
+def test_candidates_grow_with_the_texts_of_a_group():
+    """One table key of texts that are all near and all of different components: a row for each text, not for each pair."""
+    import pyarrow as pa
+
+    n = 1500
+    cols = [np.zeros(n, np.int64), np.arange(n), *[np.zeros(n, np.int64)] * 4, np.arange(n) + 7]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "node", *simhash.LANES, "root"])
+    got = [(a, b) for part in simhash.meet(50, True)(iter([batch])) for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)]
+    assert sorted(got) == [(i, 0) for i in range(1, n)]
+
+
+@pytest.mark.parametrize("cut", [8, 256])
+def test_groups_of_candidates_are_compared_whole(spark, monkeypatch, cut):
+    """Candidates that form one chain: what links among all of them is joined, in one tile or in pairs of blocks, and nothing else."""
+    monkeypatch.setattr(simhash, "CUT", cut)
+    rng = random.Random(5)
+    texts = []
+    for i in range(60):
+        w = [f"w{k}" for k in range(60)] if i % 2 else [f"v{i}-{k}" for k in range(60)]
+        for k in rng.sample(range(60), rng.choice([0, 1, 2, 3])):
+            w[k] = f"x{i}-{k}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = simhash.wide_rows(docs).withColumn("root", F.col("node"))
+    ids = {r["doc_id"]: r["node"] for r in rows.collect()}
+    candidates = spark.createDataFrame([(ids[i], ids[0]) for i in range(1, 60)], "a bigint, b bigint")
+    found = {(r["a"], r["b"]) for r in simhash.group_links(docs, rows, candidates).collect()}
+    sets = {ids[i]: simhash.word_shingles(t) for i, t in enumerate(texts)}
+
+    def parts(edges):
+        root = {i: i for i in sets}
+        for a, b in edges:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+        return root
+
+    every = [(a, b) for a in sets for b in sets if a > b and 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))]
+    assert found <= set(every) and parts(found) == parts(every) and 1 < len(set(parts(every).values())) < 60
