@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.storage import durable, partitions
+from ..functions.storage import durable, partitions, stored
 
 TREES, SAMPLE = 64, 256
 
@@ -33,9 +33,12 @@ def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
 
 
 def impute(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Nulls replaced by the column's exact median."""
-    middle = medians(df, cols)
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(middle[c]))) for c in cols})
+    """Nulls replaced by the column's exact median; ``df`` is written once, and only columns that hold nulls are ranked."""
+    df = stored(df)
+    nulls = df.agg(*[F.count_if(F.col(c).cast("double").isNull()).alias(c) for c in cols]).first()
+    gaps = [c for c in cols if nulls[c]]
+    middle = medians(df, gaps) if gaps else {}
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(middle[c]))) if c in middle else F.col(c).cast("double") for c in cols})
 
 
 def standardise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -71,24 +74,41 @@ def grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[list[float
     return nodes
 
 
-def depths(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
+def walkable(tree: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(levels, feature, cut, right child, leaf depth) of a tree whose left children stand just before the right ones; a leaf is its own right child and no value is below its cut."""
+    order, level, last = [0], [0], 0
+    place = np.zeros(len(tree), np.int64)
+    while last < len(order):  # by levels, both children together
+        at = order[last]
+        if tree[at, 0] >= 0:
+            for child in tree[at, 2:].astype(np.int64).tolist():
+                place[child] = len(order)
+                order.append(child)
+                level.append(level[last] + 1)
+        last += 1
+    nodes = tree[order]
+    inner = nodes[:, 0] >= 0
+    right = np.where(inner, place[nodes[:, 3].astype(np.int64)], np.arange(len(order)))
+    return max(level), np.maximum(nodes[:, 0], 0).astype(np.int64), np.where(inner, nodes[:, 1], -np.inf), right, np.where(inner, 0.0, nodes[:, 1])
+
+
+def depths(tree: tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+    levels, feature, cut, right, depth = tree
+    flat, row = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
     at = np.zeros(len(x), np.int64)
-    while True:
-        f = tree[at, 0].astype(np.int64)
-        inner = f >= 0
-        if not inner.any():
-            return tree[at, 1]
-        low = x[np.arange(len(x)), np.maximum(f, 0)] < tree[at, 1]
-        at = np.where(inner, np.where(low, tree[at, 2], tree[at, 3]).astype(np.int64), at)
+    for _ in range(levels):
+        at = right.take(at) - (flat.take(row + feature.take(at)) < cut.take(at))
+    return depth.take(at)
 
 
 def isolation_forest(df: DataFrame, key: str, cols: Sequence[str], contamination: float = 0.1, trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
     """(key, score, is_anomaly, top_feature): one tree per group on a hashed sample of about ``sample`` rows, scored in batches.
 
-    The forest (trees x about twice the sample in nodes) is bounded and sent to all tasks.
+    The forest (trees x about twice the sample in nodes) is bounded and sent to all tasks; a row is
+    scored once, and the scores are written.
     Members are drawn alike at every size: each row belongs to a tree with the same chance.
     """
-    z = durable(standardise(df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]), cols))
+    z = stored(standardise(df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]), cols))
     n = z.count()
     # a row's number of trees follows from one hash; most rows of a large table are in none and are not multiplied
     chance = min(1.0, sample / max(n, 1))
@@ -101,7 +121,7 @@ def isolation_forest(df: DataFrame, key: str, cols: Sequence[str], contamination
         nodes = grow(rows, np.random.default_rng(seed * 1000 + tree), max(1, math.ceil(math.log2(max(2, len(rows))))))
         return pd.DataFrame({"tree": [tree], "size": [len(rows)], "nodes": [np.asarray(nodes, float).ravel().tolist()]})
 
-    forest = [(r["size"], np.asarray(r["nodes"]).reshape(-1, 4)) for r in picked.groupBy("tree").applyInPandas(fit, "tree int, size int, nodes array<double>").orderBy("tree").collect()]
+    forest = [(r["size"], walkable(np.asarray(r["nodes"]).reshape(-1, 4))) for r in picked.groupBy("tree").applyInPandas(fit, "tree int, size int, nodes array<double>").orderBy("tree").collect()]
     norm = float(np.mean([path_norm(max(2, s)) for s, _ in forest])) if forest else 1.0
     names = list(cols)
 
@@ -113,7 +133,7 @@ def isolation_forest(df: DataFrame, key: str, cols: Sequence[str], contamination
             yield pd.DataFrame({key: pdf[key], "score": 2.0 ** (-depth / norm), "top_feature": top})
 
     kind = dict(df.dtypes)[key]
-    scored = z.mapInPandas(score, f"{key} {kind}, score double, top_feature string")
+    scored = stored(z.mapInPandas(score, f"{key} {kind}, score double, top_feature string"))
     bar = scored.agg(F.percentile_approx("score", 1 - contamination, 10000).alias("bar"))
     return scored.crossJoin(F.broadcast(bar)).select(key, "score", (F.col("score") >= F.col("bar")).alias("is_anomaly"), "top_feature")  # one row
 

@@ -136,3 +136,26 @@ def test_isolation_forest_finds_the_outlier(spark):
     rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(0, 1, (300, 2)))] + [(999, 12.0, -12.0)]
     out = L.isolation_forest(spark.createDataFrame(rows, "id bigint, x double, y double"), "id", ["x", "y"], trees=20)
     assert out.orderBy(F.desc("score")).first()["id"] == 999
+
+
+def test_only_columns_with_nulls_are_ranked(spark, monkeypatch):
+    asked, real = [], L.medians
+    monkeypatch.setattr(L, "medians", lambda df, cols: asked.append(list(cols)) or real(df, cols))
+    df = spark.createDataFrame([(1, 1.0, 5.0), (2, None, 6.0), (3, 3.0, 9.0), (4, 8.0, 9.5)], "id bigint, x double, y double")
+    assert sorted(map(tuple, L.impute(df, ["x", "y"]).collect())) == [(1, 1.0, 5.0), (2, 3.0, 6.0), (3, 3.0, 9.0), (4, 8.0, 9.5)]
+    assert asked == [["x"]]
+
+
+def test_rows_are_scored_once(spark):
+    """Each row passes the trees in one walk that goes as deep as the tree, and ends at the leaf that the nodes lead to."""
+    x = np.random.default_rng(8).normal(size=(300, 3))
+    x[0, 1] = np.nan
+    nodes = np.array(L.grow(x[1:], np.random.default_rng(9), 8))
+
+    def leaf(row):
+        at = 0
+        while nodes[at, 0] >= 0:
+            at = int(nodes[at, 2] if row[int(nodes[at, 0])] < nodes[at, 1] else nodes[at, 3])
+        return nodes[at, 1]
+
+    assert L.depths(L.walkable(nodes), x).tolist() == [leaf(row) for row in x]
