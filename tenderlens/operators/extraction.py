@@ -104,21 +104,28 @@ def number(text: Column) -> Column:
 
 
 def vendor_profile(text: Column) -> Column:
-    """Identity numbers, size class, certificates and turnover (in crore) named in a text, with a class of financial health."""
-    upper = F.upper(text)
-    plain = text.rlike(f"(?i){TURNOVER}")
-    pick = lambda wrap: F.when(plain, wrap(TURNOVER)).otherwise(wrap(TURNOVER_WITH_UNIT))
-    value = pick(lambda p: number(first_match(text, f"(?i){p}")))
+    """Identity numbers, size class, certificates and turnover (in crore) named in a text, with a class of financial health.
+
+    The text is put in upper case once, and only texts that name a turnover are searched for its value.
+    """
+    return let(F.struct(text.alias("t"), F.upper(text).alias("u")), _profile)
+
+
+def _profile(both: Column) -> Column:
+    text, upper = both["t"], both["u"]
+    pick = lambda wrap: F.when(text.rlike(f"(?i){TURNOVER}"), wrap(TURNOVER)).otherwise(wrap(TURNOVER_WITH_UNIT))
+    value = F.when(F.contains(upper, F.lit("TURNOVER")), pick(lambda p: number(first_match(text, f"(?i){p}"))))
     around = F.lower(pick(lambda p: F.regexp_extract(text, rf"(?i)[\s\S]{{0,10}}{p}[\s\S]{{0,20}}", 0)))
-    crore = F.round(F.when(F.contains(around, F.lit("lakh")), value / 100).when(F.contains(around, F.lit("million")), value / 10).otherwise(value), 2)
+    scaled = lambda v: F.when(v.isNotNull(), let(around, lambda a: F.when(F.contains(a, F.lit("lakh")), v / 100).when(F.contains(a, F.lit("million")), v / 10).otherwise(v)))
+    crore = F.round(let(value, scaled), 2)
     msme = holds(upper, ("MSME", "UDYAM"))
     size = F.when(F.contains(upper, F.lit("MICRO")), "Micro").when(F.contains(upper, F.lit("SMALL")), "Small").when(F.contains(upper, F.lit("MEDIUM")), "Medium")
-    return F.struct(
+    return let(crore, lambda c: F.struct(
         first_match(text, GSTIN).alias("gstin"), first_match(text, PAN).alias("pan"), first_match(text, GEM_NUMBER).alias("gem_number"),
         msme.alias("msme"), F.when(msme, size).alias("msme_category"), holds(upper, ("MAKE IN INDIA", "MAKE-IN-INDIA")).alias("make_in_india"),
-        F.array_compact(F.array(*[F.when(F.contains(upper, F.lit(c)), c) for c in PROFILE_CERTIFICATES])).alias("certifications"),
-        crore.alias("turnover_crore"), F.when(crore > 10, "Good").when(crore > 2, "Moderate").when(crore.isNotNull(), "Poor").alias("health"),
-    )
+        F.array_compact(F.array(*[F.when(F.contains(upper, F.lit(x)), x) for x in PROFILE_CERTIFICATES])).alias("certifications"),
+        c.alias("turnover_crore"), F.when(c > 10, "Good").when(c > 2, "Moderate").when(c.isNotNull(), "Poor").alias("health"),
+    ))
 
 
 RULE = (

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.core import share, word_list
+from ..functions.storage import partitions
 from ..operators import extraction as E
 from ..operators import rules as RULES
 from ..operators import text as X
@@ -73,7 +74,8 @@ SELECT doc_id, {sql_first(E.GSTIN)} AS gstin, {sql_first(E.PAN)} AS pan, {sql_fi
   array_to_string(list_filter([{_CERTIFICATES}], lambda x: x IS NOT NULL), ',') AS certifications, turnover_crore,
   CASE WHEN turnover_crore > 10 THEN 'Good' WHEN turnover_crore > 2 THEN 'Moderate' WHEN turnover_crore IS NOT NULL THEN 'Poor' END AS health FROM c""")
 def vendor_profile_extract(t):
-    p = t.documents().select("doc_id", E.vendor_profile(F.col("text")).alias("p"))
+    d = t.documents().select("doc_id", "text")
+    p = d.repartition(partitions(d), "doc_id").select("doc_id", E.vendor_profile(F.col("text")).alias("p"))  # a file of few row groups is read by few tasks
     return p.select("doc_id", "p.gstin", "p.pan", "p.gem_number", "p.msme", "p.msme_category", "p.make_in_india", F.array_join("p.certifications", ",").alias("certifications"), "p.turnover_crore", "p.health")
 
 

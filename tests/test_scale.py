@@ -113,3 +113,14 @@ def test_betweenness_goes_on_with_all_blocks_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(G, "HELD", 64)
     got = {r["node"]: r["betweenness"] for r in G.betweenness(edges, 2).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and len(made) < 14
+
+
+def test_files_of_one_row_group_are_read_by_many_tasks(spark, data):
+    """The profile of vendors runs in as many tasks as the session shuffles by, however few the file has."""
+    from tenderlens.plans import QUERIES
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert QUERIES["vendor_profile_extract"](spark, data).rdd.getNumPartitions() == 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
