@@ -39,6 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import durable, partitions, ship, slices, small
 
@@ -164,21 +165,20 @@ def least_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def search(radius: int):
-    """Rows (block, value, part, key, fp) sorted by group to the edges (fp, root) of what links in a group."""
+    """Rows (block, value, part, key, fp, name) sorted by group to the edges of what links in a group, each as the name of a row and of its root."""
 
     def edges(held: pa.Table) -> pa.RecordBatch:
-        code = held.column("fp").to_numpy()
-        fps = code.view(np.uint64)
+        fps, names = held.column("fp").to_numpy().view(np.uint64), held.column("name").to_numpy()
         change = np.zeros(held.num_rows, bool)
         for name in ("block", "value", "part", "key"):
             x = held.column(name).to_numpy()
             change[1:] |= x[1:] != x[:-1]
         group = np.cumsum(change)
         order = np.lexsort((gray_rank(fps), group))
-        fps, code = fps[order], code[order]
+        fps, names = fps[order], names[order]
         root = least_linked(len(fps), *links(fps, group[order], radius))
         moved = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(code[moved]), pa.array(code[root[moved]])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[root[moved]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -210,11 +210,11 @@ def mask_of(bits: list[int]) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def similar_edges(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """Edges (a, b) that connect the ``fp`` of ``distinct`` as all pairs within ``radius`` bits would."""
+def similar_edges(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT, name: str = "fp") -> DataFrame:
+    """Edges (a, b) that connect the ``fp`` of ``distinct`` as all pairs within ``radius`` bits would, by the numbers in ``name``."""
     n = partitions(distinct)
     blocks = cuts(list(range(64)), radius + 1)
-    dealt = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(mask_of(b))) for b in blocks])).alias("block", "value"))
+    dealt = distinct.select("fp", F.col(name).alias("name"), F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(mask_of(b))) for b in blocks])).alias("block", "value"))
     full = dealt.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("block", "value", F.lit(True).alias("full"))
     sized = dealt.join(small(durable(full)), ["block", "value"], "left")  # one row of ``full`` for each ``hot`` fingerprints at most
     rest = [[b for b in range(64) if b not in block] for block in blocks]
@@ -222,22 +222,26 @@ def similar_edges(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) ->
     for i, bits in enumerate(rest):
         again = F.when(F.col("block") == i, F.array(*[F.col("fp").bitwiseAND(F.lit(mask_of(c))) for c in cuts(bits, radius + 1)])).otherwise(again)
     keys = F.when(F.col("full"), again).otherwise(F.array(F.lit(0).cast("bigint")))
-    many = sized.select("fp", "block", "value", F.posexplode(keys).alias("part", "key"))
+    many = sized.select("fp", "name", "block", "value", F.posexplode(keys).alias("part", "key"))
     group = ["block", "value", "part", "key"]
     return many.repartition(n, *group).sortWithinPartitions(*group).mapInArrow(search(radius), "a bigint, b bigint")
 
 
+def starred(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) with ``m``, the least v of their u: one shuffle."""
+    each = W.partitionBy("u").orderBy("v")
+    return pairs.select("u", "v", F.first("v").over(each).alias("m"), F.lag("v").over(each).alias("before")).filter("before is null or before != v").drop("before")
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root): for each node of the edges (a, b) the least node connected to it, by large-star and small-star rounds."""
+    """(node, root): for each node of the edges (a, b) the least node connected to it, by large-star and small-star rounds of one shuffle each."""
     pairs = durable(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     for _ in range(rounds):
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        pairs = durable(small.filter("u != v").distinct())
+        both = pairs.selectExpr("inline(array(struct(u, v), struct(v as u, u as v)))")
+        large = starred(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        # a pair may come from several tasks: the next round drops repeats, and stars have none
+        pairs = durable(starred(large).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")))
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -549,25 +553,20 @@ def group_links(docs: DataFrame, rooted: DataFrame, candidates: DataFrame) -> Da
 def near_links(docs: DataFrame, rows: DataFrame, radius: int, hot: int) -> DataFrame:
     """Verified edges (a, b) between nodes whose five-word Jaccard index is NEAR or more.
 
-    Each node's least candidate is verified first, which joins large groups by stars; of the
-    other candidates only those between different components follow.  Last come all other candidates of
-    the tables that are in different components by then, by groups, so that none is dropped by a number.
+    Each node's least candidate is verified first, which joins large groups by stars.  All other
+    candidates that are in different components by then, and those of the tables beyond the first ones, are
+    compared by groups, so that none is dropped by a number.
     """
     nodes = durable(rows.groupBy("node").agg(F.min("tkey").alias("tkey"), *[F.min(x).alias(x) for x in LANES]))
     codes = durable(nodes.groupBy(F.col("f0").alias("fp")).agg(F.min("node").alias("least")))
-    coded = similar_edges(codes.select("fp"), radius, hot)
-    coded = coded.join(codes.toDF("a", "u"), "a").join(codes.toDF("b", "v"), "b").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"))
+    coded = similar_edges(codes, radius, hot, "least").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     same = nodes.join(codes, nodes["f0"] == codes["fp"]).select(F.col("node").alias("a"), F.col("least").alias("b"))
     pairs = durable(table_pairs(nodes, hot).unionByName(coded).unionByName(same).filter("a != b").distinct())
-    first = pairs.groupBy("a").agg(F.min("b").alias("b"))
-    found = verified(docs, nodes, first)
-    roots = durable(components(found))
-    left = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    found = durable(found.unionByName(verified(docs, nodes, left.join(first, ["a", "b"], "left_anti"))))
-    # candidates beyond the first ones of a table: all that are in different components still
-    roots = durable(components(found))
-    rooted = durable(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    return found.unionByName(group_links(docs, rooted, table_pairs(rooted, hot)))
+    found = verified(docs, nodes, pairs.groupBy("a").agg(F.min("b").alias("b")))
+    rooted = durable(nodes.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    root = rooted.select("node", "root")
+    left = pairs.join(root.toDF("a", "ra"), "a").join(root.toDF("b", "rb"), "b").filter("ra != rb").select("a", "b")
+    return found.unionByName(group_links(docs, rooted, table_pairs(rooted, hot).unionByName(left)))
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 import textwrap
 import time
+import uuid
 import zlib
 
 import numpy as np
@@ -701,6 +702,41 @@ def test_keep_one_among_many_likes(spark):
     assert len(got - want) <= 0.02 * (len(texts) - len(want))
 
 
+def stages_run(spark, action):
+    """The number of stages that an action runs: each leaves files and log lines for each of its tasks, however few its rows."""
+    sc, group = spark.sparkContext, uuid.uuid4().hex
+    sc.setJobGroup(group, "counted")
+    try:
+        action()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    told = sc.statusTracker()
+    infos = [told.getStageInfo(s) for s in {s for j in told.getJobIdsForGroup(group) for s in told.getJobInfo(j).stageIds}]
+    return sum(i is not None and i.numCompletedTasks > 0 for i in infos)
+
+
+def test_components_take_few_shuffles(spark):
+    """A shuffled path and a star, repeated and with loops: their least numbers, in five stages a round."""
+    rng = random.Random(23)
+    path = rng.sample(range(1000, 1400), 400)
+    edges = [*zip(path, path[1:], strict=False), *[(i, 7) for i in range(-50, 50)] * 2, (3, 3)]
+    df, got = spark.createDataFrame(edges, "a bigint, b bigint"), []
+    n = stages_run(spark, lambda: got.extend(simhash.components(df).collect()))
+    assert sorted(map(tuple, got)) == [*((i, -50) for i in range(-50, 50)), *((i, min(path)) for i in sorted(path))]
+    assert n <= 60
+
+
+def test_keep_one_runs_few_stages(spark):
+    """The near-copy stage of the pipeline: what it leaves for each task counts on few rows and many partitions."""
+    rng = random.Random(29)
+    texts = [" ".join(f"w{i}-{k}" for k in range(60)) for i in range(20)]
+    texts += [" ".join(w if k != at else "other" for k, w in enumerate(t.split())) for t in texts for at in rng.sample(range(60), 2)]
+    docs, got = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), []
+    n = stages_run(spark, lambda: got.extend(simhash.keep_one(docs).collect()))
+    assert {r["doc_id"] for r in got} == set(range(20))
+    assert n <= 145
+
+
 def test_keep_one_knows_rows_by_their_text(spark):
     """Of two texts under one id only the near copy goes."""
     docs = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five  six"), (2, "another text altogether of some seven words")], "doc_id bigint, text string")
