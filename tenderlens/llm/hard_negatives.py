@@ -10,8 +10,10 @@ ranges (at most ``LEAVES`` leaves and fan x fan ranges a node) travel with the t
 **Search.** Rows wanted by an anchor lie in a window of inner products, hence, with the lengths of a
 subtree, in an annulus around the anchor.  At a node the distances of the anchor to the split
 points are taken; a child goes if, for any split point, its range does not meet the annulus.  What
-is left is a set of leaves; anchors and leaves are joined, and a leaf is compared exactly.  A leaf of
-more than ``CHUNK`` rows is cut in chunks by vec_id, so that groups of equal vectors spread.
+is left is a set of leaves, which are compared exactly.  Leaves are put in shards of bounded size, and an
+anchor is sent once to each shard that holds any of its leaves; a task reads a shard's rows and then its
+anchors, a few at a time.  A leaf of more than ``CHUNK`` rows is cut in chunks by vec_id, so that groups of
+equal vectors spread.
 
 **Passes.** The anchor's own leaf gives a first bound for its positives, the tree gives all rows
 that can reach it; then the same two steps find the negatives of each positive, in its window
@@ -44,6 +46,8 @@ SCALE, POSITIVES, NEGATIVES = 256, 5, 3
 WINDOW = (50, 95)
 SAMPLE, FAN, LEAF, LEAVES, CHUNK = 8192, 12, 512, 2048, 4096
 LIMIT = 1 << 23
+#: Numbers of a shard's vectors that a task holds, and scores that it holds at a time.
+SHARD, SCORES = 1 << 21, 1 << 20
 #: Room for the rounding of distances, as a share of them.
 SLACK = 1e-9
 
@@ -109,13 +113,12 @@ def descend(tree: Node | int, x: np.ndarray, note=None) -> np.ndarray:
 def survivors(tree: Node | int, q: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
     """For each anchor the leaves that may hold rows with an inner product in [low, high]."""
     square = (q * q).sum(axis=1)
-    out: list[list[int]] = [[] for _ in q]
+    found: list[tuple[np.ndarray, int]] = []
     todo = [(tree, np.flatnonzero(low <= high))]
     while todo:
         node, rows = todo.pop()
         if isinstance(node, int):
-            for r in rows.tolist():
-                out[r].append(node)
+            found.append((rows, node))
             continue
         if not len(rows):
             continue
@@ -132,7 +135,10 @@ def survivors(tree: Node | int, q: np.ndarray, low: np.ndarray, high: np.ndarray
             product = np.abs(np.sqrt(square[rows])) * node.long[i]
             keep = (gap <= reach + slack) & (most >= clear - slack) & (low[rows] <= product * (1 + SLACK) + 1) & (high[rows] >= -product * (1 + SLACK) - 1)
             todo.append((child, rows[keep]))
-    return [np.array(sorted(x), np.int64) for x in out]
+    row = np.concatenate([np.zeros(0, np.int64), *(r for r, _ in found)])
+    leaf = np.repeat(np.array([n for _, n in found], np.int64), [len(r) for r, _ in found])
+    order = np.lexsort((leaf, row))
+    return np.split(leaf[order], np.searchsorted(row[order], np.arange(1, len(q))))
 
 
 def vectors_of(column: pa.Array) -> np.ndarray:
@@ -208,91 +214,149 @@ def placed(rows: DataFrame, tree: Node | int) -> DataFrame:
     return rows.mapInArrow(run, "vec_id bigint, label bigint, vector array<int>, leaf bigint")
 
 
-def visits(anchors: DataFrame, tree: Node | int, own_leaf: bool) -> DataFrame:
-    """The anchors (anchor_id, label, vector, leaf, low, high; several windows each) with the leaves that they visit, as ``to``; all windows of a row share its visits."""
+def visits(anchors: DataFrame, tree: Node | int, first: np.ndarray, last: np.ndarray, own_leaf: bool) -> DataFrame:
+    """The anchors (anchor_id, label, vector, leaf, low, high; several windows each), a row for each ``shard`` with the ``leaves`` that they visit there; all windows of a row share its visits.
+
+    The chunks of a leaf lie in the shards from ``first`` to ``last`` of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if own_leaf:
-                leaves = [np.array([x], np.int64) for x in batch.column("leaf").to_pylist()]
-            else:
-                lows, highs = batch.column("low"), batch.column("high")
-                count = pc.list_value_length(lows).to_numpy(zero_copy_only=False)
-                owner = np.repeat(np.arange(batch.num_rows), count)
-                q = vectors_of(batch.column("vector"))[owner]
-                each = survivors(tree, q, lows.flatten().to_numpy(zero_copy_only=False).astype(float), highs.flatten().to_numpy(zero_copy_only=False).astype(float))
-                leaves = [np.unique(np.concatenate([each[i] for i in np.flatnonzero(owner == r)] or [np.zeros(0, np.int64)])) for r in range(batch.num_rows)]
-            sizes = np.array([len(x) for x in leaves])
-            again = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-            to = np.concatenate([*leaves, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([*(c.take(again) for c in batch.columns), pa.array(to)], [*batch.schema.names, "to"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                if own_leaf:
+                    row, leaf = np.arange(part.num_rows), part.column("leaf").to_numpy()
+                else:
+                    lows, highs = part.column("low"), part.column("high")
+                    owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(lows).to_numpy(zero_copy_only=False))
+                    q = vectors_of(part.column("vector"))[owner]
+                    each = survivors(tree, q, lows.flatten().to_numpy(zero_copy_only=False).astype(float), highs.flatten().to_numpy(zero_copy_only=False).astype(float))
+                    row, leaf = np.repeat(owner, [len(x) for x in each]), np.concatenate([np.zeros(0, np.int64), *each])
+                spread = last[leaf] - first[leaf] + 1
+                row, leaf, shard = np.repeat(row, spread), np.repeat(leaf, spread), np.repeat(first[leaf], spread)
+                shard = shard + np.arange(len(shard)) - np.repeat(np.cumsum(spread) - spread, spread)
+                seen = np.unique(np.column_stack([row, shard, leaf]), axis=0)
+                begin = np.flatnonzero((np.diff(seen[:, 0], prepend=-1) != 0) | (np.diff(seen[:, 1], prepend=-1) != 0))
+                leaves = pa.ListArray.from_arrays(pa.array(np.append(begin, len(seen)), pa.int32()), pa.array(seen[:, 2].astype(np.int32)))
+                again = pa.array(seen[begin, 0])
+                yield pa.RecordBatch.from_arrays([*(c.take(again) for c in part.columns), pa.array(seen[begin, 1]), leaves], [*part.schema.names, "shard", "leaves"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in anchors.schema)
-    return anchors.mapInArrow(run, f"{fields}, to bigint")
-
-
-def scan(same: bool, most: int):
-    """Groups of one leaf's chunk: rows (anchor_id null) and anchors; gives the best ``most`` rows in each window of each anchor."""
-
-    def best(held: pa.Table) -> pa.RecordBatch:
-        is_anchor = pc.is_valid(held.column("anchor_id")).to_numpy(zero_copy_only=False)
-        row, ask = held.filter(pa.array(~is_anchor)), held.filter(pa.array(is_anchor))
-        out: list[tuple[np.ndarray, ...]] = []
-        if row.num_rows and ask.num_rows:
-            ids, label, x = row.column("vec_id").to_numpy(), row.column("label").to_numpy(), vectors_of(row.column("vector"))
-            order = np.argsort(ids, kind="stable")  # so that a stable sort by score leaves ties by vec_id
-            ids, label, x = ids[order], label[order], x[order]
-            if (ids[1:] == ids[:-1]).any():
-                _, first = np.unique(np.column_stack([ids, label, x]), axis=0, return_index=True)
-                ids, label, x = (a[np.sort(first)] for a in (ids, label, x))
-            aid, alabel = ask.column("anchor_id").to_numpy(), ask.column("label").to_numpy()
-            low, high = ask.column("low").to_pylist(), ask.column("high").to_pylist()
-            for at in range(0, len(aid), step := max(1, (1 << 22) // max(1, len(ids)))):
-                score = np.rint(vectors_of(ask.column("vector").slice(at, step)) @ x.T).astype(np.int64)
-                for i in range(len(score)):
-                    a = at + i
-                    fit = ((label == alabel[a]) == same) & (ids != aid[a])
-                    for w, (lo, hi) in enumerate(zip(low[a], high[a], strict=True)):
-                        at_w = np.flatnonzero(fit & (score[i] >= lo) & (score[i] <= hi))
-                        if len(at_w) > 4 * most:
-                            bar = np.partition(score[i, at_w], len(at_w) - most)[len(at_w) - most]
-                            at_w = at_w[score[i, at_w] >= bar]
-                        at_w = at_w[np.argsort(-score[i, at_w], kind="stable")[:most]]
-                        out.append((np.full(len(at_w), aid[a]), np.full(len(at_w), w), ids[at_w], score[i, at_w]))
-        cols = [np.concatenate([o[c] for o in out] or [np.zeros(0, np.int64)]) for c in range(4)]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["anchor_id", "window", "vec_id", "score"])
+    return anchors.mapInArrow(run, f"{fields}, shard bigint, leaves array<int>")
+
+
+def firsts(most: int, ask: np.ndarray, window: np.ndarray, ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each window of each anchor the ``most`` rows with the highest scores, ties to the smaller id."""
+    order = np.lexsort((ids, -score, window, ask))
+    ask, window, ids, score = ask[order], window[order], ids[order], score[order]
+    at = np.arange(len(ask))
+    new = (np.diff(ask, prepend=-1) != 0) | (np.diff(window, prepend=-1) != 0)
+    keep = at - np.maximum.accumulate(np.where(new, at, 0)) < most
+    return ask[keep], window[keep], ids[keep], score[keep]
+
+
+class Shard:
+    """The rows of a shard by leaf."""
+
+    def __init__(self, rows: pa.Table):
+        leaf, ids, label = (rows.column(c).to_numpy() for c in ("leaf", "vec_id", "label"))
+        x = vectors_of(rows.column("vector"))
+        self.leaves = {}
+        order = np.lexsort((ids, leaf))  # ties go by vec_id
+        for some in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
+            i, y, v = ids[some], label[some], x[some]
+            if (i[1:] == i[:-1]).any():
+                _, one = np.unique(np.column_stack([i, y, v]), axis=0, return_index=True)
+                i, y, v = (a[np.sort(one)] for a in (i, y, v))
+            self.leaves[int(leaf[some[0]])] = i, y, v
+
+    def best(self, asks: pa.RecordBatch, same: bool, most: int) -> pa.RecordBatch:
+        """The best ``most`` rows in each window of each anchor."""
+        aid, alabel, q = asks.column("anchor_id").to_numpy(), asks.column("label").to_numpy(), vectors_of(asks.column("vector"))
+        count = pc.list_value_length(asks.column("low")).to_numpy(zero_copy_only=False)
+        wide = np.arange(count.max(initial=0)) < count[:, None]
+        low, high = np.full(wide.shape, np.inf), np.full(wide.shape, -np.inf)
+        low[wide], high[wide] = (asks.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("low", "high"))
+        to = asks.column("leaves").flatten().to_numpy(zero_copy_only=False)
+        who = np.repeat(np.arange(len(aid)), pc.list_value_length(asks.column("leaves")).to_numpy(zero_copy_only=False))
+        order = np.argsort(to, kind="stable")
+        out = []
+        for all_ in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
+            if (leaf := int(to[all_[0]])) not in self.leaves:
+                continue
+            ids, label, x = self.leaves[leaf]
+            for at in range(0, len(all_), step := max(1, SCORES // len(ids))):
+                a = who[all_[at : at + step]]
+                score = q[a] @ x.T
+                fit = ((label[None] == alabel[a][:, None]) == same) & (ids[None] != aid[a][:, None])
+                for w in range(low.shape[1]):
+                    good = np.where(fit & (score >= low[a, w][:, None]) & (score <= high[a, w][:, None]), score, -np.inf)
+                    bar = np.partition(good, len(ids) - most, axis=1)[:, len(ids) - most] if len(ids) > most else np.full(len(a), -np.inf)
+                    i, j = np.nonzero((good >= bar[:, None]) & (good > -np.inf))
+                    out.append(firsts(most, a[i], np.full(len(i), w), ids[j], np.rint(good[i, j]).astype(np.int64)))
+        a, w, ids, score = (np.concatenate([np.zeros(0, np.int64), *(o[c] for o in out)]) for c in range(4))
+        a, w, ids, score = firsts(most, a, w, ids, score)
+        return pa.RecordBatch.from_arrays([pa.array(aid[a]), pa.array(w), pa.array(ids), pa.array(score)], ["anchor_id", "window", "vec_id", "score"])
+
+
+def scan(same: bool, most: int, asked: int = 512):
+    """Shards in order, each with its rows (anchor_id null) before its anchors; gives the best ``most`` rows in each window of each anchor.
+
+    A task holds a shard's rows and ``asked`` anchors.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        number, rows, shard = None, [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            more = pa.Table.from_batches([batch])
-            held = more if held is None else pa.concat_tables([held, more])
-            leaf, chunk = held.column("to").to_numpy(), held.column("chunk").to_numpy()
-            change = np.flatnonzero((leaf[1:] != leaf[:-1]) | (chunk[1:] != chunk[:-1])) + 1
-            for a, b in zip([0, *change[:-1]], change, strict=False):
-                yield best(held.slice(int(a), int(b - a)))
-            if len(change):
-                held = held.slice(int(change[-1]))
-        if held is not None:
-            yield best(held)
+            key, is_row = batch.column("shard").to_numpy(), pc.is_null(batch.column("anchor_id")).to_numpy(zero_copy_only=False)
+            ends = np.flatnonzero((key[1:] != key[:-1]) | (is_row[1:] != is_row[:-1])) + 1
+            for a, b in zip([0, *ends], [*ends, batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                if key[a] != number:
+                    number, rows, shard = key[a], [], None
+                if is_row[a]:
+                    rows.append(pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in ROW], ROW))
+                    continue
+                if shard is None and rows:
+                    shard, rows = Shard(pa.Table.from_batches(rows)), []
+                for at in range(a, b, asked):
+                    if shard is not None:
+                        yield shard.best(batch.slice(at, min(asked, b - at)), same, most)
 
     return run
 
 
-def search(rows: DataFrame, sizes: DataFrame, anchors: DataFrame, tree: Node | int, same: bool, most: int, own_leaf: bool) -> DataFrame:
+ROW = ["leaf", "vec_id", "label", "vector"]
+
+
+def search(rows: DataFrame, shards: tuple[np.ndarray, np.ndarray], anchors: DataFrame, tree: Node | int, same: bool, most: int, own_leaf: bool) -> DataFrame:
     """(anchor_id, window, vec_id, score): the best ``most`` rows in each window of each anchor."""
-    visit = visits(anchors, tree, own_leaf).join(F.broadcast(sizes), F.col("to") == sizes["leaf_no"])  # one row of ``sizes`` for each leaf
-    asks = visit.select("to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), "anchor_id", F.lit(None).cast("bigint").alias("vec_id"), "label", "vector", "low", "high")
-    none = F.lit(None).cast("array<bigint>")  # windows are asked by anchors only
-    held = rows.select(F.col("leaf").alias("to"), "chunk", F.lit(None).cast("bigint").alias("anchor_id"), "vec_id", "label", "vector", none.alias("low"), none.alias("high"))
-    both = held.unionByName(asks).repartition(partitions(rows), "to", "chunk").sortWithinPartitions("to", "chunk")
+    none = lambda kind: F.lit(None).cast(kind)
+    asks = visits(anchors, tree, *shards, own_leaf).select("shard", none("int").alias("leaf"), "anchor_id", none("bigint").alias("vec_id"), "label", "vector", "low", "high", "leaves")
+    held = rows.select("shard", F.col("leaf").cast("int").alias("leaf"), none("bigint").alias("anchor_id"), "vec_id", "label", "vector", none("array<bigint>").alias("low"), none("array<bigint>").alias("high"), none("array<int>").alias("leaves"))
+    tasks = max(partitions(rows), int(shards[1].max(initial=0)) + 1)  # a shard each
+    both = held.unionByName(asks).repartition(tasks, "shard").sortWithinPartitions("shard", F.col("anchor_id").asc_nulls_first())
     found = both.mapInArrow(scan(same, most), "anchor_id bigint, window bigint, vec_id bigint, score bigint").distinct()
     turn = F.row_number().over(W.partitionBy("anchor_id", "window").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", turn).filter(F.col("rank") <= most)
 
 
+def sharded(rows: DataFrame, leaves: int, n: int, wide: int, chunk: int) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """The rows with their ``shard``, and each leaf's first and last shard: leaves in order, or chunks of a large leaf, fill shards of about equal size."""
+    size = np.zeros(leaves, np.int64)
+    for r in rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect():  # at most ``LEAVES`` rows
+        size[r["leaf"]] = r["n"]
+    most = max(1, min(SHARD // wide, max(chunk, -(-n // (2 * partitions(rows))))))
+    chunks = np.maximum(1, -(-size // chunk))
+    each = -(-size // chunks)
+    before = np.cumsum(size) - size
+    first, last = before // most, (before + (chunks - 1) * each) // most
+    told = rows.sparkSession.createDataFrame([tuple(map(int, x)) for x in zip(range(leaves), before, chunks, each, strict=True)], "leaf bigint, before bigint, chunks bigint, each bigint")
+    at = F.col("before") + F.pmod(F.xxhash64("vec_id"), F.col("chunks")) * F.col("each")
+    return rows.join(F.broadcast(told), "leaf").withColumn("shard", F.floor(at / most)).drop("before", "chunks", "each"), (first, last)
+
+
 def hard_negatives(vectors: DataFrame, every: int = 50, noisy: int = 7, labels: int = 10, scale: int = SCALE, positives: int = POSITIVES, negatives: int = NEGATIVES, window: tuple[int, int] = WINDOW, vector: str = "embedding", sample: int = SAMPLE, fan: int = FAN, leaf: int = LEAF, chunk: int = CHUNK) -> DataFrame:
     """One row per anchor (vec_id divisible by ``every``), positive and negative: anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
 
@@ -314,8 +378,7 @@ def hard_negatives(vectors: DataFrame, every: int = 50, noisy: int = 7, labels:
     tree = plant(rows, most["n"], sample, fan, leaf)
     measure(rows, tree)
     rows = durable(placed(rows, tree))
-    sizes = durable(rows.groupBy(F.col("leaf").alias("leaf_no")).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks")))
-    rows = rows.join(F.broadcast(sizes), F.col("leaf") == F.col("leaf_no")).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks"))).drop("leaf_no", "chunks")
+    rows, shards = sharded(rows, 1 if isinstance(tree, int) else tree.last + 1, most["n"], usual["d"], chunk)
     anchors = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("anchor_id"), "label", "vector", "leaf")
     anchors = durable(anchors.groupBy("anchor_id").agg(F.min(F.struct("label", "vector", "leaf")).alias("a")).select("anchor_id", "a.*"))
     top = 1 << 62
@@ -323,19 +386,19 @@ def hard_negatives(vectors: DataFrame, every: int = 50, noisy: int = 7, labels:
     def windows(low, high):
         return anchors.withColumn("low", F.array(F.lit(low).cast("bigint"))).withColumn("high", F.array(F.lit(high).cast("bigint")))
 
-    first = search(rows, sizes, windows(-top, top), tree, True, positives, own_leaf=True)
+    first = search(rows, shards, windows(-top, top), tree, True, positives, own_leaf=True)
     bound = first.groupBy("anchor_id").agg(F.when(F.count(F.lit(1)) == positives, F.min("score")).alias("bound"))
     asked = anchors.join(bound, "anchor_id", "left").withColumn("low", F.array(F.coalesce("bound", F.lit(-top)))).withColumn("high", F.array(F.lit(top))).drop("bound")
-    chosen = durable(search(rows, sizes, asked, tree, True, positives, own_leaf=False).select("anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")))
+    chosen = durable(search(rows, shards, asked, tree, True, positives, own_leaf=False).select("anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")))
     # 50 p <= 100 n <= 95 p: n from ceil(50 p / 100) to floor(95 p / 100), in whole numbers
     lo, hi = F.expr(f"-((-{window[0]} * positive_score - pmod(-{window[0]} * positive_score, 100)) div 100)"), F.expr(f"({window[1]} * positive_score - pmod({window[1]} * positive_score, 100)) div 100")
     pair = F.array_sort(F.collect_list(F.struct((-F.col("positive_score")).alias("order"), "positive_id", "positive_score", lo.alias("low"), hi.alias("high"))))  # at most ``positives`` of them
     pairs = durable(chosen.groupBy("anchor_id").agg(pair.alias("pairs")).join(anchors, "anchor_id").withColumn("low", F.col("pairs.low")).withColumn("high", F.col("pairs.high")))
     plain = pairs.drop("pairs")
-    near = search(rows, sizes, plain, tree, False, negatives, own_leaf=True)
+    near = search(rows, shards, plain, tree, False, negatives, own_leaf=True)
     known = near.groupBy("anchor_id", "window").agg(F.when(F.count(F.lit(1)) == negatives, F.min("score")).alias("bound")).groupBy("anchor_id").agg(F.map_from_entries(F.collect_list(F.struct("window", "bound"))).alias("bounds"))
     tight = F.transform("low", lambda x, i: F.greatest(x, F.col("bounds")[i.cast("bigint")]))
     asked = plain.join(known, "anchor_id", "left").withColumn("low", F.when(F.col("bounds").isNotNull(), tight).otherwise(F.col("low"))).drop("bounds")
-    found = search(rows, sizes, asked, tree, False, negatives, own_leaf=False)
+    found = search(rows, shards, asked, tree, False, negatives, own_leaf=False)
     named = found.join(pairs.select("anchor_id", "pairs"), "anchor_id").withColumn("pair", F.get("pairs", F.col("window")))
     return named.select("anchor_id", F.col("pair.positive_id").alias("positive_id"), "rank", F.col("vec_id").alias("negative_id"), F.col("pair.positive_score").alias("positive_score"), F.col("score").alias("negative_score"))

@@ -6,6 +6,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tenderlens.llm import centroids, hard_negatives, jaccard_join
@@ -211,3 +212,36 @@ def test_hard_negatives_odd(spark):
     twice = [(50, [1.0, 0.0], 1), (50, [1.0, 0.0], 1), (51, [1.0, 0.0], 1), (51, [1.0, 0.0], 1), (52, [0.75, 0.0], 2), (52, [0.75, 0.0], 2), (53, [0.75, 0.0], 3)]
     got = hard_negatives.hard_negatives(spark.createDataFrame([(i, v, y, None, None, None) for i, v, y in twice], VECTORS)).collect()
     assert [(r["anchor_id"], r["positive_id"], r["rank"], r["negative_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(50, 51, 1, 52), (50, 51, 2, 53)]
+
+
+def test_hard_negatives_holds_few_anchors(spark):
+    """A shard's anchors are answered as they come, not gathered, and an anchor is sent to a shard once."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-99, 99, (60, 4))
+    ids = np.arange(60)
+    one = lambda v, kind: pa.array([v], kind)
+    fields = [("shard", "bigint"), ("leaf", "int"), ("anchor_id", "bigint"), ("vec_id", "bigint"), ("label", "bigint"), ("vector", "array<int>"), ("low", "array<bigint>"), ("high", "array<bigint>"), ("leaves", "array<int>")]
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}
+    names = [n for n, _ in fields]
+    row = lambda *v: pa.RecordBatch.from_arrays([one(a, kinds[k]) for a, (_, k) in zip(v, fields, strict=True)], names)
+    rows = [row(0, i % 2, None, i, i % 3, v.tolist(), None, None, None) for i, v in enumerate(x)]
+    asks = [row(0, None, i, None, i % 3, x[i].tolist(), [-(1 << 62)], [1 << 62], [0, 1]) for i in range(40)]
+    taken, out = [], []
+
+    def feed():
+        for b in [*rows, *asks]:
+            taken.append(b)
+            yield b
+
+    for part in hard_negatives.scan(False, 3, 8)(feed()):
+        assert part.num_rows <= 8 * 3 and len(taken) <= len(rows) + len(out) + 1
+        out.append(part)
+    got = {(r["anchor_id"], r["vec_id"]) for b in out for r in b.to_pylist()}
+    score = x @ x.T
+    assert got == {(i, j) for i in range(40) for j in sorted((k for k in ids if k % 3 != i % 3), key=lambda k: (-score[i, k], k))[:3]}
+    tree = hard_negatives.grow(x.astype(float), 30, 3, [0])
+    anchors = spark.createDataFrame([(i, 0, v.tolist(), 0, [-(1 << 62)], [1 << 62]) for i, v in enumerate(x)], "anchor_id bigint, label bigint, vector array<int>, leaf bigint, low array<bigint>, high array<bigint>")
+    hard_negatives.measure(anchors, tree)
+    n = tree.last + 1
+    sent = hard_negatives.visits(anchors, tree, np.zeros(n, int), np.zeros(n, int), False)
+    assert n > 5 and sent.count() == 60
