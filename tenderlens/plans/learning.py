@@ -25,11 +25,12 @@ matrix AS (SELECT bid_id, tender_id, vendor_id, amount, coalesce(ratio, (SELECT
 """
 
 
-def matrix(t):
+def matrix(t, features=FEATURES, keys=("bid_id", "tender_id", "vendor_id")):
+    """Each bid's ``keys`` and ``features`` with nulls replaced; what is not asked is neither written nor ranked."""
     prev = F.lag("total_amount").over(W.partitionBy("tender_id").orderBy("total_amount", "bid_id"))
     x, est = F.col("total_amount"), F.col("estimated_value")
     raw = t.bid_fact().select("bid_id", "tender_id", "vendor_id", x.alias("amount"), F.when(est > 0, x / F.when(est > 0, est)).alias("ratio"), F.col("delivery_period").cast("double").alias("period"), ((x - prev) / x * 100).alias("gap"), F.col("score_1").alias("score"), F.col("performance_score").alias("trust"))
-    return L.impute(raw, FEATURES)
+    return L.impute(raw.select(*keys, *features), features)
 
 
 @query(f"WITH {MATRIX} SELECT bid_id, round(ratio, 6) AS ratio, period, round(gap, 5) AS gap, round((score)::DECIMAL(38,9), 6)::DOUBLE AS score FROM matrix")
@@ -79,6 +80,13 @@ def vendor_feature_vector(t):
     return f.select("vendor_id", *[F.col(c) if digits.get(c, 6) is None else r(c, digits.get(c, 6)).alias(c) for c in VENDOR_COLS])
 
 
+def risk_features(t):
+    """The features of ``vendor_features`` that ``heuristic`` reads."""
+    m = matrix(t, ["amount", "ratio", "trust"], ["vendor_id"]).groupBy("vendor_id").agg(F.avg("ratio").alias("mean_ratio"), (F.stddev_pop("amount") / F.avg("amount")).alias("cv"), F.first("trust").alias("trust"))
+    b = t.bids().groupBy("vendor_id").agg((count_if(F.col("is_disqualified")) / F.count(F.lit(1))).alias("dq_rate"))
+    return m.join(b, "vendor_id")
+
+
 def heuristic(f):
     risk = 0.3 * F.least(F.lit(1.0), F.col("dq_rate") / 0.5) + 0.25 * F.least(F.lit(1.0), F.col("cv")) + 0.2 * F.least(F.lit(1.0), F.abs(F.col("mean_ratio") - 1)) + 0.25 * (1 - F.col("trust") / 100)
     return f.withColumn("risk", F.greatest(F.lit(0.0), F.least(F.lit(1.0), risk)))
@@ -88,7 +96,7 @@ def heuristic(f):
 WITH {MATRIX}, f AS (SELECT vendor_id, avg(ratio) AS mr, stddev_pop(amount) / avg(amount) AS cv, any_value(trust) AS trust FROM matrix GROUP BY 1), q AS (SELECT vendor_id, count(*) FILTER (is_disqualified) / count(*) AS dq FROM bids GROUP BY 1)
 SELECT vendor_id, round(greatest(0, least(1, 0.3 * least(1, dq / 0.5) + 0.25 * least(1, cv) + 0.2 * least(1, abs(mr - 1)) + 0.25 * (1 - trust / 100))), 6) AS risk FROM f JOIN q USING (vendor_id)""")
 def vendor_heuristic_risk(t):
-    return heuristic(vendor_features(t)).select("vendor_id", r("risk").alias("risk"))
+    return heuristic(risk_features(t)).select("vendor_id", r("risk").alias("risk"))
 
 
 def modelled(t):
