@@ -88,3 +88,27 @@ def test_network_counts_others_of_few(spark):
         got = {r["vendor_id"]: r["network_risk"] for r in A.network(df, h, m).collect()}
         assert got == {v: level(v, h, m) for v in degree}
     assert len(set(got.values())) > 1
+
+
+def test_components_of_stars(spark):
+    """Edges are joined where they lie before they are shuffled; numbers or text, few edges at a time."""
+    rng = np.random.default_rng(3)
+    rows = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(500, i) for i in range(501, 560)] + [(i, i + 1) for i in range(600, 650)] + [(7, 7)]
+    least = {v: v for e in rows if e[0] != e[1] for v in e}
+    for _ in least:
+        for a, b in rows:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    for kind, name in (("bigint", int), ("string", "v{:03}".format)):
+        df = spark.createDataFrame([(name(a), name(b)) for a, b in rows], f"a {kind}, b {kind}").repartition(3)
+        for most in (5, 1 << 20):
+            got = {r["node"]: r["component"] for r in G.components(df, most=most).collect()}
+            assert got == {name(k): name(v) for k, v in least.items()}
+    dense = spark.createDataFrame([(i, j) for i in range(60) for j in range(i)], "a bigint, b bigint").repartition(2)
+    assert dense.mapInArrow(G.stars(1 << 20), "a bigint, b bigint").count() <= 2 * 59
+
+
+def test_counting_holds_little(spark):
+    """A task's share of the meetings keeps its arrays small."""
+    sent = spark.createDataFrame([(i, list(range(i + 1, 60))) for i in range(59)], "a bigint, others array<bigint>")
+    assert G.counted(sent, 1 << 26).rdd.getNumPartitions() >= 32
