@@ -112,3 +112,45 @@ def test_counting_holds_little(spark):
     """A task's share of the meetings keeps its arrays small."""
     sent = spark.createDataFrame([(i, list(range(i + 1, 60))) for i in range(59)], "a bigint, others array<bigint>")
     assert G.counted(sent, 1 << 26).rdd.getNumPartitions() >= 32
+
+
+def test_betweenness_of_parts(spark):
+    """Components that a task follows alone and those that go level by level, also together, against brute force."""
+    rng = np.random.default_rng(8)
+    parts = [{tuple(sorted(map(int, p))) for p in rng.integers(0, 12, (20, 2)) if p[0] != p[1]}, {(20 + i, 21 + i) for i in range(5)}, {(40, 41)}]
+    near = defaultdict(set)
+    for a, b in itertools.chain(*parts):
+        near[a].add(b)
+        near[b].add(a)
+    want = dict.fromkeys(near, 0.0)
+    for s in near:
+        dist, paths, order = {s: 0}, defaultdict(int, {s: 1}), [s]
+        for u in order:
+            for v in near[u]:
+                if v not in dist:
+                    dist[v] = dist[u] + 1
+                    order.append(v)
+                if dist[v] == dist[u] + 1:
+                    paths[v] += paths[u]
+        load = defaultdict(float)
+        for v in reversed(order[1:]):
+            for u in near[v]:
+                if dist[u] == dist[v] - 1:
+                    load[u] += paths[u] / paths[v] * (1 + load[v])
+            want[v] += load[v]
+    n = len(near)
+    edges = spark.createDataFrame([(a, b, 1) for a, b in itertools.chain(*parts)], "a bigint, b bigint, shared bigint").repartition(3)
+    for alone, block in ((4096, 1024), (4096, 3), (0, 4), (6, 4)):
+        got = {r["node"]: r["betweenness"] for r in G.betweenness(edges, block, alone).collect()}
+        assert set(got) == set(near) and all(abs(got[v] - want[v] / ((n - 1) * (n - 2))) < 1e-9 for v in near)
+
+
+def test_likeness_blocks_keep_to_components(spark, monkeypatch):
+    """Interleaved numbers of separate groups do not make every block meet every other."""
+    edges = [(i * 20 + k, j * 20 + k) for k in range(20) for i in range(4) for j in range(i + 1, 4)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    sent, write = [], G.stored
+    monkeypatch.setattr(G, "stored", lambda d: sent.append(write(d)) or sent[-1])
+    assert {r["co"] for r in G.neighbour_jaccard(df, 4).collect()} == {0.5}
+    ranks = next(d for d in sent if "ra" in d.columns)
+    assert ranks.selectExpr("floor(ra / 4) AS x", "floor(rb / 4) AS y").distinct().count() == 20
