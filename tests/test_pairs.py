@@ -154,3 +154,17 @@ def test_likeness_blocks_keep_to_components(spark, monkeypatch):
     assert {r["co"] for r in G.neighbour_jaccard(df, 4).collect()} == {0.5}
     ranks = next(d for d in sent if "ra" in d.columns)
     assert ranks.selectExpr("floor(ra / 4) AS x", "floor(rb / 4) AS y").distinct().count() == 20
+
+
+@pytest.mark.parametrize("asked,most", [(7, 50), (1 << 21, 1 << 18)])
+def test_links_on_few_lines(spark, asked, most):
+    """Points on few lines, many in one place and on the circle, against all pairs; no run of one tile is sent to far ones."""
+    rng = np.random.default_rng(4)
+    p = np.concatenate([np.column_stack([np.round(rng.normal(size=600), 2), rng.integers(-8, 8, 600) / 4]), np.repeat([[0.25, 0.5]], 80, axis=0)])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)], "k bigint, x double, y double").repartition(3)
+    for eps in (0.5, 0.8):
+        want = (((p[:, None] - p[None]) ** 2).sum(axis=2) <= eps * eps).sum(axis=1) - 1
+        got = G.line_counts(df, eps, 1.5 * eps, asked, most).collect()
+        assert len(got) == len(p) and {r["k"]: r["links"] for r in got} == dict(enumerate(want.tolist()))
+    plan = G.neighbour_counts(df, df, "k", "x", "y", 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and {r["k"]: r["links"] for r in G.neighbour_counts(df, df, "k", "x", "y", 0.8).collect()} == dict(enumerate(want.tolist()))
