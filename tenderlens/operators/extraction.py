@@ -198,10 +198,11 @@ def monetary_values(text: Column, order_context: bool = False) -> Column:
     lines = let(F.split(F.coalesce(text, F.lit("")), "\n"), lambda ls: F.struct(ls.alias("ls"), shown(ls).alias("shown")))
 
     def usable(both: Column) -> Column:
-        """Lines without boilerplate, each with its upper case and the lines it begins."""
+        """Lines that may hold an amount (a digit, or the head of a total) and no boilerplate, each with its upper case and the lines it begins."""
         near = lambda i: F.exists(F.slice(both["shown"], F.greatest(i - 1, F.lit(1)), F.least(i + 3, F.lit(5))), lambda b: b) if order_context else F.lit(True)
-        rows = F.transform(both["ls"], lambda x, i: F.struct(x.alias("t"), F.upper(x).alias("u"), F.concat_ws("\n", F.slice(both["ls"], i + 1, 3)).alias("next"), near(i).alias("near")))
-        return F.filter(rows, lambda r: r["near"] & ~holds(r["u"], BOILERPLATE))
+        rows = F.transform(both["ls"], lambda x, i: F.when((x.rlike("[0-9]") | x.rlike("(?i)TOTAL")) & near(i), F.struct(x.alias("t"), F.upper(x).alias("u"), i.alias("i"))))
+        rows = F.filter(F.array_compact(rows), lambda r: ~holds(r["u"], BOILERPLATE))
+        return F.transform(rows, lambda r: F.struct(r["t"], r["u"], F.when(r["t"].rlike("(?i)TOTAL"), F.concat_ws("\n", F.slice(both["ls"], r["i"] + 1, 3))).alias("next")))
 
     def every(s: Column, pattern: str, scale, low: float, high: float) -> Column:
         """Values of a pattern's first group on one line, within bounds before scaling."""
@@ -219,6 +220,7 @@ def monetary_values(text: Column, order_context: bool = False) -> Column:
         return F.concat(named, after_sign, every(r["t"], SUFFIX_AMOUNT, 100_000.0, 100_000, 50_000_000), F.array_compact(F.array(total)))
 
     found = F.reverse(F.array_sort(F.array_distinct(F.flatten(F.transform(let(lines, usable), of_line)))))
+    found = F.when(F.coalesce(text, F.lit("")).rlike("[0-9]"), found).otherwise(F.array().cast("array<double>"))  # every amount has a digit
     apart = lambda kept, v: F.when((F.size(kept) == 0) | (F.element_at(kept, -1) - v > 0.5), F.concat(kept, F.array(v))).otherwise(kept)
     return F.aggregate(found, F.array().cast("array<double>"), lambda kept, v: apart(kept, v))
 
@@ -265,8 +267,12 @@ def missing_parameters(text: Column, parameters=SPECIFICATION) -> Column:
     """The parameters of a specification that a text does not show; a contrast ratio of at least the bound shows it too."""
     text = F.coalesce(text, F.lit(""))
     ratios = F.transform(F.regexp_extract_all(text, F.lit(CONTRAST), F.lit(1)), number)
-    shown = lambda n, p: text.rlike(p) | F.exists(ratios, lambda v: v >= CONTRASTS[n]) if n in CONTRASTS else text.rlike(p)
-    return F.array_compact(F.array(*[F.when(~shown(n, p), n) for n, p in parameters]))
+
+    def missing(ratios: Column) -> Column:
+        shown = lambda n, p: text.rlike(p) | F.exists(ratios, lambda v: v >= CONTRASTS[n]) if n in CONTRASTS else text.rlike(p)
+        return F.array_compact(F.array(*[F.when(~shown(n, p), n) for n, p in parameters]))
+
+    return let(ratios, missing)
 
 
 #: Qualification rules: id, name, weight (fixed values).
@@ -284,13 +290,12 @@ def qualification(text: Column, files: Column, one: Column, two: Column, three:
     holds; a turnover threshold of 0 makes turnover and net worth not applicable.
     """
     upper = F.upper(F.coalesce(text, F.lit("")))
-    found = F.struct(upper.alias("upper"), eligibility(upper, one, two, three, turnover).alias("e"))
-    return let(found, lambda x: rule_statuses(x["upper"], x["e"], files, turnover, relaxation))
+    startup = upper.rlike(STARTUP) | (F.contains(upper, F.lit("CERTIFICATE OF RECOGNITION")) & F.contains(upper, F.lit("DEPARTMENT FOR PROMOTION")))
+    found = F.struct(upper.alias("upper"), eligibility(upper, one, two, three, turnover).alias("e"), upper.rlike(SMALL_ENTERPRISE).alias("small"), startup.alias("startup"))
+    return let(let(found, lambda x: rule_statuses(x["upper"], x["e"], x["small"], x["startup"], files, turnover, relaxation)), scored_rules)
 
 
-def rule_statuses(upper: Column, e: Column, files: Column, turnover: Column, relaxation: Column) -> Column:
-    small = upper.rlike(SMALL_ENTERPRISE)
-    startup = upper.rlike(STARTUP) | (F.contains(upper, F.lit("CERTIFICATE OF RECOGNITION")) & F.contains(upper, F.lit("DEPARTMENT FOR PROMOTION")))
+def rule_statuses(upper: Column, e: Column, small: Column, startup: Column, files: Column, turnover: Column, relaxation: Column) -> Column:
     waived, free = (small | startup) & relaxation, turnover == 0
     spec = F.when((F.char_length(upper) > 100) & (F.size(missing_parameters(upper)) == 0), "PASS").otherwise("FAIL")
     status = {
@@ -298,6 +303,10 @@ def rule_statuses(upper: Column, e: Column, files: Column, turnover: Column, rel
         "R3": F.when(free, "PASS (Not Applicable)").otherwise(e["net_worth"]), "R4": e["maf"], "R5": e["iso"], "R6": spec,
         "R7": F.when(files >= 3, "PASS").otherwise("ADVISORY"), "R8": F.when(holds(upper, DEPOSIT_PROOF) | small | startup, "PASS").otherwise("FAIL"),
     }
+    return F.struct(*[c.alias(r) for r, c in status.items()])
+
+
+def scored_rules(status: Column) -> Column:
     risk = {"R2": 15, "R3": 10}
     scored = lambda r, w: F.when(status[r].contains("Risk"), risk.get(r, w)).when(status[r].startswith("PASS"), w).when(status[r] == "ADVISORY", 2).otherwise(0)
     return F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(n).alias("name"), F.lit(w).alias("weight"), status[r].alias("status"), scored(r, w).alias("score")) for r, n, w in PQC_RULES])

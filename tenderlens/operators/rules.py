@@ -148,16 +148,37 @@ NEEDS = (
 MONEY = r"(?:INR|RS|₹|USD)\.?\s*[0-9]"
 
 
+def word_of(words: tuple[str, ...]) -> str:
+    return r"\b(?:" + "|".join(words) + r")\b"
+
+
+def line_of(text: Column, lines: Column, words: tuple[str, ...]) -> Column:
+    """The 1-based first line with one of the words, else 0; lines are looked through only where the text has one."""
+    word = f"(?i){word_of(words)}"
+    return F.when(text.rlike(word), F.array_position(F.transform(lines, lambda x: x.rlike(word)), True).cast("int")).otherwise(0)
+
+
+def lines_around(lines: Column, at: Column, around: int = 2) -> Column:
+    first = F.greatest(F.lit(1), at - around)
+    return F.regexp_replace(F.array_join(F.slice(lines, first, at + around - first + 1), "\n"), r"^\s+|\s+$", "")
+
+
+def shortened(joined: Column, most: int = 400) -> Column:
+    return F.when(F.char_length(joined) > most, F.concat(F.substring(joined, 1, most - 3), F.lit("..."))).otherwise(joined)
+
+
+def near_amount(joined: Column, words: tuple[str, ...]) -> Column:
+    word = word_of(words)
+    return joined.rlike(rf"(?i){word}[\s\S]{{0,50}}{MONEY}|{MONEY}[\s\S]{{0,50}}{word}")
+
+
 def evidence_of(text: Column, words: tuple[str, ...], around: int = 2, most: int = 400) -> Column:
     """(line, snippet, confidence): the first line with one of the words and its neighbours; high if an amount stands within 50 characters, low without any line."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    word = r"\b(?:" + "|".join(words) + r")\b"
-    at = F.array_position(F.transform(lines, lambda x: x.rlike(f"(?i){word}")), True).cast("int")
-    first = F.greatest(F.lit(1), at - around)
-    joined = F.regexp_replace(F.array_join(F.slice(lines, first, at + around - first + 1), "\n"), r"^\s+|\s+$", "")
-    short = F.when(F.char_length(joined) > most, F.concat(F.substring(joined, 1, most - 3), F.lit("..."))).otherwise(joined)
-    near = joined.rlike(rf"(?i){word}[\s\S]{{0,50}}{MONEY}|{MONEY}[\s\S]{{0,50}}{word}")
-    return F.struct(F.when(at > 0, at - 1).alias("line"), F.when(at > 0, short).alias("snippet"), F.when(at == 0, "low").when(near, "high").otherwise("medium").alias("confidence"))
+    text = F.coalesce(text, F.lit(""))
+    lines = F.split(text, "\n")
+    at = line_of(text, lines, words)
+    joined = lines_around(lines, at, around)
+    return F.struct(F.when(at > 0, at - 1).alias("line"), F.when(at > 0, shortened(joined, most)).alias("snippet"), F.when(at == 0, "low").when(near_amount(joined, words), "high").otherwise("medium").alias("confidence"))
 
 
 def place_of(text: Column, line: Column) -> tuple[Column, Column]:
@@ -183,12 +204,25 @@ def gap_analysis(results: DataFrame, docs: DataFrame, key: str, source: Column |
     either is not verified.  ``source`` names a text; else it is its key.
     """
     needs = results.sparkSession.createDataFrame([(r, n, s) for r, n, _, s in NEEDS], "rule string, need string, grave string")
-    d = docs.select(key, "text", F.coalesce((F.col(key) if source is None else source).cast("string"), F.lit("")).alias("source"), X.normal(F.coalesce("text", F.lit(""))).alias("plain"))
-    shown = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), evidence_of(F.col("text"), words).alias("e")) for r, _, words, _ in NEEDS])).alias("x")
-    evidence = d.select(key, "source", "text", "plain", shown).select(key, "source", "text", "plain", "x.rule", "x.e.*")
-    page, section = place_of(F.col("text"), F.col("line"))
-    own = holds(F.col("plain"), F.col("snippet"), F.endswith("snippet", F.lit("...")))
-    evidence = evidence.select(key, "rule", "source", page.alias("page"), section.alias("section"), "line", "snippet", "confidence", F.coalesce(own, F.lit(False)).alias("own"))
+    text = F.coalesce("text", F.lit(""))
+    d = docs.select(key, text.alias("text"), F.coalesce((F.col(key) if source is None else source).cast("string"), F.lit("")).alias("source"), X.normal(text).alias("plain"))
+    # each step is a column of its own, as an expression that is named twice is worked out twice
+    lined = d.withColumn("lines", F.split("text", "\n"))
+    rules = F.array(*[F.struct(F.lit(r).alias("rule"), line_of(F.col("text"), F.col("lines"), words).alias("at")) for r, _, words, _ in NEEDS])
+    shown = lined.select(key, "source", "lines", "plain", F.explode(rules).alias("x")).select(key, "source", "lines", "plain", "x.rule", "x.at")
+    found = F.col("at") > 0
+    near = F.lit(False)
+    for r, _, words, _ in NEEDS:
+        near = F.when(F.col("rule") == r, near_amount(F.col("joined"), words)).otherwise(near)
+    shown = shown.withColumn("joined", F.when(found, lines_around(F.col("lines"), F.col("at")))).withColumn("before", F.slice("lines", F.lit(1), F.col("at"))).drop("lines")
+    marks = F.filter(F.transform("before", lambda x: F.regexp_extract(x, X.PAGE_MARK, 1)), lambda x: x != "")
+    shown = shown.withColumn("snippet", shortened(F.col("joined"))).withColumn("marks", marks).withColumn("heads", F.filter("before", lambda x: x.rlike(X.HEADING))).drop("before")
+    last = lambda c: F.when(F.size(c) > 0, F.get(c, F.size(c) - 1))
+    page, section = F.when(found, F.coalesce(last("marks").cast("int"), F.lit(1))), F.when(found, last("heads"))
+    confidence = F.when(~found, "low").when(near, "high").otherwise("medium")
+    shown = shown.withColumn("quote", X.normal(F.coalesce("snippet", F.lit(""))))
+    own = (F.col("quote") != "") & F.contains(F.concat(F.lit(" "), "plain", F.lit(" ")), F.concat(F.lit(" "), "quote", F.when(F.endswith("snippet", F.lit("...")), "").otherwise(" ")))
+    evidence = shown.select(key, "rule", "source", page.alias("page"), section.alias("section"), F.when(found, F.col("at") - 1).alias("line"), "snippet", confidence.alias("confidence"), F.coalesce(own, F.lit(False)).alias("own"))
     if cited is None:
         evidence = evidence.withColumn("given", F.lit(None).cast("boolean"))
     else:
