@@ -181,15 +181,6 @@ def evidence_of(text: Column, words: tuple[str, ...], around: int = 2, most: int
     return F.struct(F.when(at > 0, at - 1).alias("line"), F.when(at > 0, shortened(joined, most)).alias("snippet"), F.when(at == 0, "low").when(near_amount(joined, words), "high").otherwise("medium").alias("confidence"))
 
 
-def place_of(text: Column, line: Column) -> tuple[Column, Column]:
-    """(page, section) of a 0-based line: the last page mark up to it (1 without any) and the last heading up to it; null without a line."""
-    before = F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), F.lit(1), F.coalesce(line, F.lit(-1)) + 1)
-    marks = F.filter(F.transform(before, lambda x: F.regexp_extract(x, X.PAGE_MARK, 1)), lambda x: x != "")
-    heads = F.filter(before, lambda x: x.rlike(X.HEADING))
-    last = lambda a: F.when(F.size(a) > 0, F.get(a, F.size(a) - 1))
-    return F.when(line.isNotNull(), F.coalesce(last(marks).cast("int"), F.lit(1))), F.when(line.isNotNull(), last(heads))
-
-
 def holds(normal_text: Column, quote: Column, cut: Column) -> Column:
     """A normalised text holds a quote's words in a row; the last word of a ``cut`` quote may go on."""
     q = X.normal(F.coalesce(quote, F.lit("")))
